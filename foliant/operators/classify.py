@@ -1,0 +1,191 @@
+"""Node rows to classified nodes and blocks.
+
+Relations between nodes are read from windows over a page's nodes in document order, never from
+pairs of ancestor and descendant, so the work stays linear however deep a page nests:
+
+* "first X below me" is the nearest X that follows, if it lies before my ``end_pos``;
+* a count over my direct children is a window over (page, parent), handed up by my first child,
+  which is the very next row;
+* "am I below some X" is the furthest end of the X's that started before me.
+
+Every window is partitioned by page, which the exchange of the raw pages already provides.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from foliant.functions.text import looks_dated
+from foliant.operators.parse import HIDDEN_TEXT_TAGS, KEEP_SPACE_TAGS
+
+# Class names that mark a callout.
+CALLOUT_CLASSES = [
+    "callout", "alert", "admonition", "notice", "warning",
+    "note", "tip", "info", "danger", "success", "hint",
+]
+# Tags that count as parts of a card, and tags that may carry a date.
+CARD_PART_TAGS = ["div", "span", "p", "h2", "h3", "h4"]
+DATE_TAGS = ["time", "span", "div"]
+SKIPPED_TAGS = ["script", "style", "head", "link", "meta"]
+HEADING_TAGS = ["h1", "h2", "h3", "h4", "h5", "h6"]
+
+_PAGE = Window.partitionBy("page_id")
+_FORWARD = _PAGE.orderBy("pos")
+_BACKWARD = _PAGE.orderBy(F.desc("pos"))
+_SIBLINGS = Window.partitionBy("page_id", "parent")
+_EARLIER = (Window.unboundedPreceding, -1)
+_UP_TO_HERE = (Window.unboundedPreceding, Window.currentRow)
+
+
+def has_class(names: list[str]) -> Column:
+    return F.arrays_overlap("classes", F.array(*map(F.lit, names)))
+
+
+def class_contains(part: str) -> Column:
+    return F.exists("classes", lambda c: F.contains(c, F.lit(part)))
+
+
+def style_contains(part: str) -> Column:
+    return F.contains("style", F.lit(part))
+
+
+def _tag(*tags: str) -> Column:
+    return F.coalesce(F.col("tag").isin(*tags), F.lit(False))
+
+
+def _next(condition: Column) -> Column:
+    """Position of the nearest later node that meets the condition (on backward order)."""
+    return F.min(F.when(condition, F.col("pos"))).over(_BACKWARD.rowsBetween(*_EARLIER))
+
+
+def _inside(next_pos: str) -> Column:
+    return F.when(F.col(next_pos) < F.col("end_pos"), F.col(next_pos))
+
+
+def _below(condition: Column) -> Column:
+    """Is this node inside an earlier element that meets the condition? (on forward order)"""
+    furthest = F.max(F.when(condition, F.col("end_pos"))).over(_FORWARD.rowsBetween(*_EARLIER))
+    return F.coalesce(furthest > F.col("pos"), F.lit(False))
+
+
+def is_mermaid() -> Column:
+    return _tag("pre", "div") & class_contains("mermaid")
+
+
+def is_badge() -> Column:
+    return _tag("span") & F.array_contains("classes", "badge")
+
+
+def first_below(nodes: DataFrame) -> DataFrame:
+    """Add the first descendants that detection and rendering ask for, as positions or null."""
+    wanted = {
+        "h1": _tag("h1"), "p": _tag("p"), "pre": _tag("pre"), "code": _tag("code"), "table": _tag("table"),
+        "a": _tag("a"), "mermaid": is_mermaid(), "grid": _tag("div") & style_contains("grid"),
+    }
+    is_string = F.col("kind").isin("text", "comment", "raw")
+    string = F.struct("pos", "depth", looks_dated(F.col("text")).alias("dated"))
+    nearest = nodes.select(
+        "*",
+        *[_next(c).alias(f"_{n}") for n, c in wanted.items()],
+        F.min(F.when(is_string, string)).over(_BACKWARD.rowsBetween(*_EARLIER)).alias("_string"),
+    )
+    # An element has a string of its own if a chain of only children leads down to it.
+    steps = F.col("_string.depth") - F.col("depth")
+    only_chain = (F.col("_string.pos") - F.col("pos") == steps) & (F.col("end_pos") - F.col("_string.pos") == steps)
+    dated = nearest.withColumn("is_dated", F.coalesce(_tag(*DATE_TAGS) & only_chain & F.col("_string.dated"), F.lit(False)))
+    return dated.withColumn("_date", _next(F.col("is_dated"))).select(
+        *nodes.columns, *[_inside(f"_{n}").alias(f"first_{n}") for n in [*wanted, "date"]]
+    )
+
+
+def child_counts(nodes: DataFrame) -> DataFrame:
+    """Add the counts over direct children on which component detection rests."""
+    styled = _tag("span", "div") & style_contains("background") & (style_contains("width") | style_contains("flex"))
+    first_level = {
+        "n_div": _tag("div"),
+        "n_part": _tag(*CARD_PART_TAGS),
+        "n_styled": styled,
+        "n_dated": _tag("div") & F.col("first_date").isNotNull(),
+    }
+
+    def hand_up(df: DataFrame, counts: dict[str, Column]) -> DataFrame:
+        among = df.select("*", F.struct("parent", *[F.count_if(c).over(_SIBLINGS).alias(n) for n, c in counts.items()]).alias("_s"))
+        below = among.withColumn("_c", F.lead("_s").over(_FORWARD))
+        mine = F.col("_c.parent") == F.col("pos")
+        return below.select(*df.columns, *[F.coalesce(F.when(mine, F.col(f"_c.{n}")), F.lit(0)).alias(n) for n in counts])
+
+    once = hand_up(nodes, first_level)
+    return hand_up(once, {"n_card": _tag("div") & (F.col("n_part") >= 2)})
+
+
+def block_kind() -> Column:
+    """Kind of an element; the first rule that holds decides. Containers are ``section`` and ``container``."""
+    div = _tag("div")
+    framed = style_contains("border") | style_contains("background")
+    hero = _tag("div", "section") & (style_contains("gradient") | style_contains("background")) & F.col("first_h1").isNotNull()
+    rules = [
+        (_tag(*SKIPPED_TAGS), "skipped"),
+        (_tag("header") | hero, "hero"),
+        (_tag("nav") & F.col("first_a").isNotNull(), "contents"),
+        (_tag("section"), "section"),
+        (_tag(*HEADING_TAGS), "heading"),
+        (_tag("p"), "paragraph"),
+        (_tag("ul", "ol"), "list"),
+        (is_mermaid() | (div & F.col("first_mermaid").isNotNull()), "mermaid"),
+        (div & has_class(CALLOUT_CLASSES), "callout"),
+        (div & (F.col("n_styled") >= 2), "progress_bar"),
+        (div & (F.col("n_card") >= 2) & (F.col("n_card") == F.col("n_div")), "stat_cards"),
+        (div & (class_contains("timeline") | ((F.col("n_div") >= 3) & (10 * F.col("n_dated") >= 6 * F.col("n_div")))), "timeline"),
+        (_tag("pre"), "code"),
+        (_tag("table"), "table"),
+        (_tag("footer"), "footer"),
+        (div & style_contains("grid-template-columns"), "comparison"),
+        (div & framed & (F.col("first_table").isNotNull() | F.col("first_grid").isNotNull()), "visual_component"),
+        (div, "container"),
+    ]
+    kind = F
+    for condition, name in rules:
+        kind = kind.when(condition, F.lit(name))
+    return kind.otherwise(F.lit("dropped"))
+
+
+def kinds(nodes: DataFrame) -> DataFrame:
+    """Nodes with structural columns and ``block_kind`` on every element."""
+    is_element = F.col("kind").isin("element", "raw")
+    counted = child_counts(first_below(nodes))
+    return counted.withColumn("block_kind", F.when(is_element, block_kind()))
+
+
+def owned(nodes: DataFrame) -> DataFrame:
+    """Keep the nodes that belong to a block, each with its block, plus the document node of every page.
+
+    A block is an element of the body that is no container and lies in containers only.
+    """
+    classified = kinds(nodes)
+    in_body = (F.col("pos") > F.col("body_pos")) & (F.col("pos") < F.col("body_end"))
+    stops = in_body & F.col("block_kind").isNotNull() & ~F.col("block_kind").isin("section", "container")
+    is_block = stops & ~_below(stops)
+    inline_stop = _tag("code") | is_badge()
+    text = F.col("text")
+    blank = text.rlike(r"^[ \t\n\f\r]+$") & F.col("kind").isin("text", "comment")
+    marked = classified.select(
+        "*",
+        F.when(is_block | (F.col("kind") == "document"), F.struct("pos", "end_pos", F.coalesce("block_kind", F.lit("page")).alias("kind"))).alias("_b"),
+        # The outermost code or badge around a node: among the earlier ones, the one that reaches furthest.
+        F.max(F.when(inline_stop, F.struct("end_pos", "pos", is_badge().alias("badge")))).over(_FORWARD.rowsBetween(*_EARLIER)).alias("_stop"),
+        _below(_tag(*KEEP_SPACE_TAGS)).alias("_keep"),
+        _below(_tag(*HIDDEN_TEXT_TAGS)).alias("_hidden"),
+    )
+    block = F.last("_b", ignorenulls=True).over(_FORWARD.rowsBetween(*_UP_TO_HERE))
+    within = marked.withColumn("block", block).filter((F.col("pos") <= F.col("block.end_pos")) & ~F.col("block.kind").isin("skipped", "dropped"))
+    within = within.filter((F.col("block.kind") != "page") | (F.col("kind") == "document"))
+    shown = F.when(blank & ~F.col("_keep"), F.when(F.contains(text, F.lit("\n")), "\n").otherwise(" ")).otherwise(text)
+    return within.select(
+        "page_id", "block", "pos", "end_pos", "parent", "kind", "tag", "attrs", "classes", "style",
+        shown.alias("text"),
+        F.when((F.col("kind") == "text") & ~F.col("_hidden"), shown).alias("plain"),
+        F.when(F.col("_stop.end_pos") > F.col("pos"), F.col("_stop")).alias("stop"),
+        is_badge().alias("badge"),
+        "first_h1", "first_p", "first_pre", "first_code", "first_date",
+    )

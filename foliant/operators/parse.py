@@ -143,9 +143,9 @@ def _fold(tokens: Column) -> Column:
     return let(F.aggregate(span(F.lit(0), chunks - 1), start, one_chunk, finish), columns)
 
 
-# Pages with more tokens than this take the linear route: the fold copies the stack at every push,
+# Pages with more tag signs than this take the linear route: the fold copies the stack at every push,
 # which a deep page (thousands of unclosed tags) turns into quadratic work.
-GIANT_PAGE_TOKENS = 4000
+GIANT_PAGE_TAGS = 4000
 
 _LINKS = "struct<pos: array<int>, ord: array<int>, parent: array<int>, depth: array<int>, ends: array<int>>"
 
@@ -240,25 +240,33 @@ def _present(links: str) -> Column:
     return F.when(F.col(links)["ends"].isNotNull(), F.col(links))
 
 
-def spread(pages: DataFrame) -> DataFrame:
-    """One exchange of the raw pages by page. Everything up to the Markdown reuses this partitioning."""
-    return pages.select("page_id", "html").repartition("page_id")
+def _cut(html: str) -> Column:
+    return F.transform(F.regexp_extract_all(html, F.lit(TOKEN), F.lit(0)), _token)
 
 
-def nodes(pages: DataFrame, giant_page_tokens: int = GIANT_PAGE_TOKENS) -> DataFrame:
+def spread(pages: DataFrame, giant_page_tags: int) -> DataFrame:
+    """One exchange of the raw pages by page. Everything up to the Markdown reuses this partitioning.
+
+    Giant pages get their links before it, in the scan stage: a Python stage does not report its
+    partitioning, so behind the exchange it would cost a second one.
+    """
+    sign = lambda kind: F.when(kind == "open", "+").when(kind == "close", "-").when(kind == "none", "0").otherwise(".")
+    codes = F.array_join(F.transform(_cut("html"), lambda t: F.concat(sign(t["kind"]), t["tag"])), " ")
+    tags = F.length("html") - F.length(F.replace("html", F.lit("<"), F.lit("")))
+    linked = pages.select("page_id", "html", F.when(tags > giant_page_tags, codes).alias("codes")).select(
+        "page_id", "html", _giant_links("codes").alias("links")
+    )
+    return linked.select("page_id", "html", _present("links").alias("links")).repartition("page_id")
+
+
+def nodes(pages: DataFrame, giant_page_tags: int = GIANT_PAGE_TAGS) -> DataFrame:
     """Node table: page_id, pos, end_pos, parent, depth, kind, tag, attrs, classes, style, text, body extent.
 
     ``kind`` is document, element, text, comment or raw (a script or style element with its body as
     ``text``). ``body_pos``/``body_end`` span the first body, or the document if there is none.
     """
-    tokens = F.transform(F.regexp_extract_all("html", F.lit(TOKEN), F.lit(0)), _token)
-    cut = spread(pages).select("page_id", tokens.alias("tokens"))
-    sign = lambda kind: F.when(kind == "open", "+").when(kind == "close", "-").when(kind == "none", "0").otherwise(".")
-    codes = F.array_join(F.transform("tokens", lambda t: F.concat(sign(t["kind"]), t["tag"])), " ")
-    linked = cut.select("page_id", "tokens", F.when(F.size("tokens") > giant_page_tokens, codes).alias("codes")).select(
-        "page_id", "tokens", _giant_links("codes").alias("links")
-    )
-    trees = linked.select("page_id", _tree(F.col("tokens"), _present("links")).alias("tree"))
+    cut = spread(pages, giant_page_tags).select("page_id", _cut("html").alias("tokens"), "links")
+    trees = cut.select("page_id", _tree(F.col("tokens"), F.col("links")).alias("tree"))
     bodies = F.filter("tree", lambda n: (n["tag"] == "body") & (n["kind"] == "open"))
     scope = trees.select("page_id", "tree", F.coalesce(F.get(bodies, F.lit(0)), F.get("tree", F.lit(0))).alias("scope"))
     rows = scope.select(
