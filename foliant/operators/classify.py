@@ -13,7 +13,7 @@ Every window is partitioned by page, which the exchange of the raw pages already
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from foliant.functions.text import looks_dated
@@ -30,14 +30,22 @@ DATE_TAGS = ["time", "span", "div"]
 SKIPPED_TAGS = ["script", "style", "head", "link", "meta"]
 HEADING_TAGS = ["h1", "h2", "h3", "h4", "h5", "h6"]
 
-_PAGE = Window.partitionBy("page_id")
-_FORWARD = _PAGE.orderBy("pos")
-_BACKWARD = _PAGE.orderBy(F.desc("pos"))
-_SIBLINGS = Window.partitionBy("page_id", "parent")
 _EARLIER = (Window.unboundedPreceding, -1)
 _UP_TO_HERE = (Window.unboundedPreceding, Window.currentRow)
 
 
+def _forward() -> WindowSpec:
+    return Window.partitionBy("page_id").orderBy("pos")
+
+
+def _backward() -> WindowSpec:
+    return Window.partitionBy("page_id").orderBy(F.desc("pos"))
+
+
+def _siblings() -> WindowSpec:
+    return Window.partitionBy("page_id", "parent")
+
+
 def has_class(names: list[str]) -> Column:
     return F.arrays_overlap("classes", F.array(*map(F.lit, names)))
 
@@ -56,7 +64,7 @@ def _tag(*tags: str) -> Column:
 
 def _next(condition: Column) -> Column:
     """Position of the nearest later node that meets the condition (on backward order)."""
-    return F.min(F.when(condition, F.col("pos"))).over(_BACKWARD.rowsBetween(*_EARLIER))
+    return F.min(F.when(condition, F.col("pos"))).over(_backward().rowsBetween(*_EARLIER))
 
 
 def _inside(next_pos: str) -> Column:
@@ -65,7 +73,7 @@ def _inside(next_pos: str) -> Column:
 
 def _below(condition: Column) -> Column:
     """Is this node inside an earlier element that meets the condition? (on forward order)"""
-    furthest = F.max(F.when(condition, F.col("end_pos"))).over(_FORWARD.rowsBetween(*_EARLIER))
+    furthest = F.max(F.when(condition, F.col("end_pos"))).over(_forward().rowsBetween(*_EARLIER))
     return F.coalesce(furthest > F.col("pos"), F.lit(False))
 
 
@@ -88,7 +96,7 @@ def first_below(nodes: DataFrame) -> DataFrame:
     nearest = nodes.select(
         "*",
         *[_next(c).alias(f"_{n}") for n, c in wanted.items()],
-        F.min(F.when(is_string, string)).over(_BACKWARD.rowsBetween(*_EARLIER)).alias("_string"),
+        F.min(F.when(is_string, string)).over(_backward().rowsBetween(*_EARLIER)).alias("_string"),
     )
     # An element has a string of its own if a chain of only children leads down to it.
     steps = F.col("_string.depth") - F.col("depth")
@@ -110,8 +118,8 @@ def child_counts(nodes: DataFrame) -> DataFrame:
     }
 
     def hand_up(df: DataFrame, counts: dict[str, Column]) -> DataFrame:
-        among = df.select("*", F.struct("parent", *[F.count_if(c).over(_SIBLINGS).alias(n) for n, c in counts.items()]).alias("_s"))
-        below = among.withColumn("_c", F.lead("_s").over(_FORWARD))
+        among = df.select("*", F.struct("parent", *[F.count_if(c).over(_siblings()).alias(n) for n, c in counts.items()]).alias("_s"))
+        below = among.withColumn("_c", F.lead("_s").over(_forward()))
         mine = F.col("_c.parent") == F.col("pos")
         return below.select(*df.columns, *[F.coalesce(F.when(mine, F.col(f"_c.{n}")), F.lit(0)).alias(n) for n in counts])
 
@@ -173,11 +181,11 @@ def owned(nodes: DataFrame) -> DataFrame:
         "*",
         F.when(is_block | (F.col("kind") == "document"), F.struct("pos", "end_pos", F.coalesce("block_kind", F.lit("page")).alias("kind"))).alias("_b"),
         # The outermost code or badge around a node: among the earlier ones, the one that reaches furthest.
-        F.max(F.when(inline_stop, F.struct("end_pos", "pos", is_badge().alias("badge")))).over(_FORWARD.rowsBetween(*_EARLIER)).alias("_stop"),
+        F.max(F.when(inline_stop, F.struct("end_pos", "pos", is_badge().alias("badge")))).over(_forward().rowsBetween(*_EARLIER)).alias("_stop"),
         _below(_tag(*KEEP_SPACE_TAGS)).alias("_keep"),
         _below(_tag(*HIDDEN_TEXT_TAGS)).alias("_hidden"),
     )
-    block = F.last("_b", ignorenulls=True).over(_FORWARD.rowsBetween(*_UP_TO_HERE))
+    block = F.last("_b", ignorenulls=True).over(_forward().rowsBetween(*_UP_TO_HERE))
     within = marked.withColumn("block", block).filter((F.col("pos") <= F.col("block.end_pos")) & ~F.col("block.kind").isin("skipped", "dropped"))
     within = within.filter((F.col("block.kind") != "page") | (F.col("kind") == "document"))
     shown = F.when(blank & ~F.col("_keep"), F.when(F.contains(text, F.lit("\n")), "\n").otherwise(" ")).otherwise(text)

@@ -13,6 +13,7 @@ from collections import Counter
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from foliant.functions.text import NON_SPACE, decode_attribute, decode_text, let, span
 
@@ -147,7 +148,7 @@ def _fold(tokens: Column) -> Column:
 # which a deep page (thousands of unclosed tags) turns into quadratic work.
 GIANT_PAGE_TAGS = 4000
 
-_LINKS = "struct<pos: array<int>, ord: array<int>, parent: array<int>, depth: array<int>, ends: array<int>>"
+_LINKS = T.StructType([T.StructField(n, T.ArrayType(T.IntegerType())) for n in ("pos", "ord", "parent", "depth", "ends")])
 
 
 @F.pandas_udf(_LINKS)

@@ -105,8 +105,9 @@ def events(nodes: DataFrame) -> DataFrame:
 class _Block:
     """Expressions over one row of ``events``."""
 
-    def __init__(self) -> None:
-        self.pos, self.end = F.col("block_pos"), F.col("block_end")
+    @property
+    def pos(self) -> Column:
+        return F.col("block_pos")
 
     def at(self, no: Column) -> Column:
         return F.get("ev", no - self.pos)
