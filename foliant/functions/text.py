@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # White space as Unicode strings see it (Java's \s alone is ASCII only).
-SPACE = r"[\s\x0B\x1c-\x1f\x85\xa0  -     　]"
+SPACE = r"[\s\x0B\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 NON_SPACE = SPACE.replace("[", "[^", 1)
 
 # The abbreviations that make a string look like a date.
@@ -29,19 +29,6 @@ def span(lo: Column, hi: Column) -> Column:
     return F.when(hi >= lo, F.sequence(lo, hi)).otherwise(F.array().cast("array<int>"))
 
 
-def strip(c: Column) -> Column:
-    return F.regexp_replace(c, f"^{SPACE}+|{SPACE}+$", "")
-
-
-def squeeze(c: Column) -> Column:
-    """Strip, then turn every run of white space into one blank."""
-    return F.regexp_replace(strip(c), f"{SPACE}+", " ")
-
-
-def escape_pipe(c: Column) -> Column:
-    return F.replace(c, F.lit("|"), F.lit("\\|"))
-
-
 def collapse_blank_lines(c: Column) -> Column:
     return F.regexp_replace(c, "\n{3,}", "\n\n")
 

@@ -10,16 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from foliant.functions.text import (
-    SPACE,
-    asset_name,
-    collapse_blank_lines,
-    escape_pipe,
-    let,
-    span,
-    squeeze,
-    strip,
-)
+from foliant.functions import sql
+from foliant.functions.text import asset_name, collapse_blank_lines
 from foliant.operators.classify import CALLOUT_CLASSES, CARD_PART_TAGS, owned
 
 # Signs for callout classes, for the state of a timeline entry, and image captions.
@@ -102,277 +94,258 @@ def events(nodes: DataFrame) -> DataFrame:
     )
 
 
-class _Block:
-    """Expressions over one row of ``events``."""
+# The rules below are SQL text over one row of ``events``; an "event" argument is the name of a struct.
+# Text, because a rule nests a dozen lambdas: built call by call, planning took longer than running.
 
-    @property
-    def pos(self) -> Column:
-        return F.col("block_pos")
 
-    def at(self, no: Column) -> Column:
-        return F.get("ev", no - self.pos)
+def at(no: str) -> str:
+    return f"get(ev, {no} - block_pos)"
 
-    def nodes(self, lo: Column, hi: Column, keep) -> Column:
-        return F.filter(F.transform(span(lo, hi), self.at), lambda e: e["tag"].isNotNull() & keep(e))
 
-    def below(self, e: Column, keep) -> Column:
-        return self.nodes(e["pos"] + 1, e["end_pos"] - 1, keep)
+TOP = "get(ev, 0)"
 
-    def children(self, e: Column, tags: list[str]) -> Column:
-        return self.below(e, lambda x: (x["parent"] == e["pos"]) & x["tag"].isin(tags))
 
-    @property
-    def top(self) -> Column:
-        return F.get("ev", F.lit(0))
+def _nodes(lo: str, hi: str, keep) -> str:
+    """Openings between two positions that meet a condition."""
+    events = sql.transform(sql.span(lo, hi), at)
+    return sql.where(events, lambda e: f"{e}.tag IS NOT NULL AND ({keep(e)})")
 
-    def plain(self, e: Column) -> Column:
-        """Text of the subtree without marks, comments and scripts."""
-        return F.array_join(F.transform(span(e["pos"] + 1, e["end_pos"] - 1), lambda i: self.at(i)["plain"]), "")
 
-    def inline(self, root: Column) -> Column:
-        """Text of the subtree with inline marks.
+def below(e: str, keep) -> str:
+    return _nodes(f"({e}.pos + 1)", f"({e}.end_pos - 1)", keep)
 
-        Inside code and badges marks are off. ``stop`` names the outermost of them around an event
-        within the block; only if that one lies outside the root, it is looked up anew.
-        """
 
-        def shown(e: Column) -> Column:
-            return F.when(e["badge"], F.concat(F.lit("["), strip(self.plain(e)), F.lit("]"))).otherwise(e["piece"])
+def children(e: str, tags: list[str]) -> str:
+    return below(e, lambda x: f"{x}.parent = {e}.pos AND {x}.tag IN ({sql.strings(tags)})")
 
-        def quiet(stop: Column, e: Column) -> Column:
-            return F.when(stop["badge"], F.lit("")).otherwise(F.coalesce(e["plain"], F.lit("")))
 
-        def piece(e: Column) -> Column:
-            again = F.get(
-                self.nodes(root["pos"] + 1, e["pos"] - 1, lambda c: ((c["tag"] == "code") | c["badge"]) & (c["end_pos"] > e["pos"])),
-                F.lit(0),
-            )
-            return (
-                F.when(e["stop"].isNull(), shown(e))
-                .when(e["stop"]["pos"] > root["pos"], quiet(e["stop"], e))
-                .when(again.isNull(), shown(e))
-                .otherwise(quiet(again, e))
-            )
+def plain(e: str) -> str:
+    """Text of the subtree without marks, comments and scripts."""
+    inner = sql.span(f"({e}.pos + 1)", f"({e}.end_pos - 1)")
+    return f"array_join({sql.transform(inner, lambda i: f'{at(i)}.plain')}, '')"
+
+
+def inline(root: str) -> str:
+    """Text of the subtree with inline marks.
+
+    Inside code and badges marks are off. ``stop`` names the outermost of them around an event
+    within the block; only if that one lies outside the root, it is looked up anew.
+    """
+
+    def quiet(stop: str, e: str) -> str:
+        return f"if({stop}.badge, '', coalesce({e}.plain, ''))"
 
-        return F.array_join(F.transform(span(root["pos"] + 1, root["end_pos"] - 1), lambda i: piece(self.at(i))), "")
+    def piece(e: str) -> str:
+        shown = f"if({e}.badge, concat('[', {sql.strip(plain(e))}, ']'), {e}.piece)"
+        covers = lambda c: f"({c}.tag = 'code' OR {c}.badge) AND {c}.end_pos > {e}.pos"
+        again = f"get({_nodes(f'({root}.pos + 1)', f'({e}.pos - 1)', covers)}, 0)"
+        return f"""CASE WHEN {e}.stop IS NULL THEN {shown} WHEN {e}.stop.pos > {root}.pos THEN {quiet(f"{e}.stop", e)}
+            ELSE {sql.let(again, lambda c: f"if({c} IS NULL, {shown}, {quiet(c, e)})")} END"""
 
+    inner = sql.span(f"({root}.pos + 1)", f"({root}.end_pos - 1)")
+    return f"array_join({sql.transform(sql.transform(inner, at), piece)}, '')"
 
-_B = _Block()
 
+def _filled(parts: str) -> str:
+    return sql.where(parts, lambda p: f"{p} <> ''")
 
-def _filled(parts: Column) -> Column:
-    return F.filter(parts, lambda p: p != "")
 
+def _line(cells: str) -> str:
+    return f"concat('| ', array_join({cells}, ' | '), ' |')"
 
-def _table(rows: Column) -> Column:
-    line = lambda cells: F.concat(F.lit("| "), F.array_join(cells, " | "), F.lit(" |"))
 
-    def grid(rs: Column) -> Column:
-        width = F.array_max(F.transform(rs, lambda r: F.size(r)))
-        padded = F.transform(rs, lambda r: line(F.concat(r, F.array_repeat(F.lit(""), width - F.size(r)))))
-        rule = line(F.array_repeat(F.lit("---"), width))
-        return F.array_join(F.concat(F.slice(padded, 1, 1), F.array(rule), F.slice(padded, 2, F.size(rs))), "\n")
+def _table(rows: str) -> str:
+    def grid(rs: str) -> str:
+        def lines(width: str) -> str:
+            padded = sql.transform(rs, lambda r: _line(f"concat({r}, array_repeat('', {width} - size({r})))"))
+            rule = _line(f"array_repeat('---', {width})")
+            return sql.let(padded, lambda ls: f"array_join(concat(slice({ls}, 1, 1), array({rule}), slice({ls}, 2, size({ls}))), '\n')")
 
-    return let(rows, lambda rs: F.when(F.size(rs) > 0, grid(rs)).otherwise(F.lit("")))
+        return sql.let(f"array_max({sql.transform(rs, lambda r: f'size({r})')})", lines)
 
+    return sql.let(rows, lambda rs: f"if(size({rs}) > 0, {grid(rs)}, '')")
 
-def table_rows(e: Column) -> Column:
+
+def table_rows(e: str = TOP) -> str:
     """Cell texts by row: every row and cell below the table, also those of nested tables."""
-    cell = lambda c: escape_pipe(squeeze(_B.inline(c)))
-    cells = lambda tr: F.transform(_B.below(tr, lambda c: c["tag"].isin("td", "th")), cell)
-    return F.filter(F.transform(_B.below(e, lambda r: r["tag"] == "tr"), cells), lambda r: F.size(r) > 0)
+    cells = lambda tr: sql.transform(below(tr, lambda c: f"{c}.tag IN ('td', 'th')"), lambda c: sql.escape_pipe(sql.squeeze(inline(c))))
+    return sql.where(sql.transform(below(e, lambda r: f"{r}.tag = 'tr'"), cells), lambda r: f"size({r}) > 0")
 
 
-def contents_entries() -> Column:
-    return F.transform(_B.below(_B.top, lambda a: a["tag"] == "a"), lambda a: strip(_B.plain(a)))
+def contents_entries() -> str:
+    return sql.transform(below(TOP, lambda a: f"{a}.tag = 'a'"), lambda a: sql.strip(plain(a)))
 
 
-def list_entries() -> Column:
-    return F.transform(_B.children(_B.top, ["li"]), lambda li: strip(_B.inline(li)))
+def list_entries() -> str:
+    return sql.transform(children(TOP, ["li"]), lambda li: sql.strip(inline(li)))
 
 
-def callout_lines(e: Column) -> Column:
-    signs = F.create_map(*[F.lit(x) for pair in CALLOUT_SIGNS.items() for x in pair])
-    found = F.filter(F.transform(e["classes"], lambda c: F.element_at(signs, c)), lambda s: s.isNotNull())
-    sign = F.coalesce(F.get(found, F.lit(0)), F.lit(CALLOUT_DEFAULT_SIGN))
-    lines = F.transform(F.split(strip(_B.inline(e)), "\n"), strip)
-    signed = F.transform(lines, lambda t, i: F.struct(t.alias("text"), F.when(i == 0, F.concat(sign, F.lit(" "))).otherwise("").alias("sign")))
-    return F.transform(
-        F.filter(signed, lambda s: s["text"] != ""), lambda s: F.concat(F.lit("> "), s["sign"], s["text"])
-    )
+def badge_texts() -> str:
+    return sql.transform(below(TOP, lambda e: f"{e}.badge"), lambda e: f"concat('[', {sql.strip(plain(e))}, ']')")
+
 
+def _callout(e: str) -> str:
+    signs = sql.mapping(CALLOUT_SIGNS)
+    found = sql.where(sql.transform(f"{e}.classes", lambda c: f"element_at({signs}, {c})"), lambda s: f"{s} IS NOT NULL")
+    sign = f"concat(coalesce(get({found}, 0), '{CALLOUT_DEFAULT_SIGN}'), ' ')"
+    lines = sql.transform(f"split({sql.strip(inline(e))}, '\n')", sql.strip)
+    signed = sql.transform(lines, lambda t, i: f"if({t} = '', '', concat('> ', if({i} = 0, {sign}, ''), {t}))", 2)
+    return f"array_join({_filled(signed)}, '\n')"
 
-def progress_entries() -> Column:
-    return _filled(F.transform(_B.children(_B.top, ["span", "div"]), lambda s: strip(_B.plain(s))))
 
+def progress_entries() -> str:
+    return _filled(sql.transform(children(TOP, ["span", "div"]), lambda s: sql.strip(plain(s))))
 
-def _pairs(cards: Column, tags: list[str]) -> Column:
+
+def _pairs(cards: str, tags: list[str]) -> str:
     """First and second part of every card that has two."""
-    text = lambda parts, i: strip(_B.plain(F.get(parts, F.lit(i))))
-    pair = lambda parts: F.when(F.size(parts) >= 2, F.struct(text(parts, 0).alias("value"), text(parts, 1).alias("label")))
-    return F.filter(F.transform(cards, lambda c: let(_B.children(c, tags), pair)), lambda p: p.isNotNull())
+    text = lambda parts, i: sql.let(f"{parts}[{i}]", lambda e: sql.strip(plain(e)))
+    pair = lambda parts: f"if(size({parts}) >= 2, named_struct('value', {text(parts, 0)}, 'label', {text(parts, 1)}), NULL)"
+    found = sql.transform(cards, lambda c: sql.let(children(c, tags), pair))
+    return sql.where(found, lambda p: f"{p} IS NOT NULL")
 
 
-def stat_entries() -> Column:
-    return F.transform(
-        _pairs(_B.children(_B.top, ["div"]), CARD_PART_TAGS),
-        lambda p: F.struct(p["value"].alias("value"), squeeze(p["label"]).alias("label")),
+def stat_entries() -> str:
+    return sql.transform(
+        _pairs(children(TOP, ["div"]), CARD_PART_TAGS),
+        lambda p: f"named_struct('value', {p}.value, 'label', {sql.squeeze(f'{p}.label')})",
     )
 
 
-def hero_entries() -> Column:
-    return _pairs(_B.children(_B.top, ["div"]), ["div", "span"])
+def hero_entries() -> str:
+    return _pairs(children(TOP, ["div"]), ["div", "span"])
 
 
-def _pair_table(pairs: Column) -> Column:
-    return let(
-        pairs,
-        lambda ps: F.when(
-            F.size(ps) > 0,
-            F.array_join(
-                F.transform(
-                    F.array(F.transform(ps, lambda p: p["value"]), F.array_repeat(F.lit("---"), F.size(ps)), F.transform(ps, lambda p: p["label"])),
-                    lambda cells: F.concat(F.lit("| "), F.array_join(cells, " | "), F.lit(" |")),
-                ),
-                "\n",
-            ),
-        ),
-    )
+def _pair_table(pairs: str) -> str:
+    def lines(ps: str) -> str:
+        values, labels = (sql.transform(ps, lambda p: f"{p}.{n}") for n in ("value", "label"))
+        rows = f"array({values}, array_repeat('---', size({ps})), {labels})"
+        return f"if(size({ps}) > 0, array_join({sql.transform(rows, _line)}, '\n'), '')"
+
+    return sql.let(pairs, lines)
 
 
-def timeline_entries() -> Column:
+def timeline_entries() -> str:
     """sign, date, title and body of every entry."""
 
-    def same(a: Column, b: Column) -> Column:
-        marks = lambda e: F.array_join(F.transform(span(e["pos"], e["end_pos"]), lambda i: _B.at(i)["mark"]), "\u0000")
-        return (a["pos"] == b["pos"]) | (marks(a) == marks(b))
-
-    def entry(item: Column) -> Column:
-        sign = F
-        for name, char in TIMELINE_SIGNS.items():
-            sign = sign.when(F.array_contains(item["classes"], name), F.lit(char))
-        date = _B.at(item["first_date"])
-        parts = F.filter(
-            _B.children(item, ["div", "span", "p", "h3", "h4"]),
-            lambda c: item["first_date"].isNull() | ~same(c, date),
-        )
-        texts = _filled(F.transform(parts, lambda c: strip(_B.inline(c))))
-        return let(
-            texts,
-            lambda ts: F.struct(
-                sign.otherwise(F.lit(TIMELINE_DEFAULT_SIGN)).alias("sign"),
-                F.coalesce(F.when(item["first_date"].isNotNull(), strip(_B.plain(date))), F.lit("")).alias("date"),
-                F.coalesce(F.get(ts, F.lit(0)), F.lit("")).alias("title"),
-                F.coalesce(F.get(ts, F.lit(1)), F.lit("")).alias("body"),
-            ),
-        )
+    def marks(e: str) -> str:
+        return f"array_join({sql.transform(sql.span(f'{e}.pos', f'{e}.end_pos'), lambda i: f'{at(i)}.mark')}, '\u0001')"
+
+    def entry(item: str) -> str:
+        signs = " ".join(f"WHEN array_contains({item}.classes, '{n}') THEN '{c}'" for n, c in TIMELINE_SIGNS.items())
+
+        def fields(date: str) -> str:
+            same = lambda c: f"{c}.pos = {date}.pos OR {marks(c)} = {marks(date)}"
+            parts = sql.where(children(item, ["div", "span", "p", "h3", "h4"]), lambda c: f"{date} IS NULL OR NOT ({same(c)})")
+            texts = _filled(sql.transform(parts, lambda c: sql.strip(inline(c))))
+            return sql.let(
+                texts,
+                lambda ts: f"""named_struct('sign', CASE {signs} ELSE '{TIMELINE_DEFAULT_SIGN}' END,
+                    'date', if({date} IS NULL, '', {sql.strip(plain(date))}),
+                    'title', coalesce(get({ts}, 0), ''), 'body', coalesce(get({ts}, 1), ''))""",
+            )
 
-    return F.transform(_B.children(_B.top, ["div"]), entry)
+        return sql.let(at(f"{item}.first_date"), fields)
 
+    return sql.transform(children(TOP, ["div"]), entry)
 
-def _timeline_lines() -> Column:
-    def lines(t: Column) -> Column:
-        first = F.concat(F.lit("- "), t["sign"], F.lit(" **"), t["date"], F.lit("** — "), t["title"])
-        body = F.transform(_filled(F.transform(F.split(t["body"], "\n"), strip)), lambda b: F.concat(F.lit("  "), b))
-        return F.concat(F.array(first), body, F.array(F.lit("")))
 
-    return F.array_join(F.flatten(F.transform(timeline_entries(), lines)), "\n")
+def _timeline() -> str:
+    def lines(t: str) -> str:
+        body = sql.transform(_filled(sql.transform(f"split({t}.body, '\n')", sql.strip)), lambda b: f"concat('  ', {b})")
+        return f"concat(array(concat('- ', {t}.sign, ' **', {t}.date, '** — ', {t}.title)), {body}, array(''))"
 
+    return f"array_join(flatten({sql.transform(timeline_entries(), lines)}), '\n')"
 
-def code_language() -> Column:
-    hint = lambda classes: F.get(
-        F.filter(
-            F.transform(classes, lambda c: F.regexp_extract(c, "^(?:language-|lang-)(.+)$", 1)), lambda x: x != ""
-        ),
-        F.lit(0),
-    )
-    code = F.when(F.col("first_code").isNotNull(), hint(_B.at(F.col("first_code"))["classes"]))
-    return F.coalesce(code, hint(_B.top["classes"]), F.lit(""))
 
+def code_language() -> str:
+    def hint(classes: str) -> str:
+        found = sql.transform(classes, lambda c: f"regexp_extract({c}, '^(?:language-|lang-)(.+)$', 1)")
+        return f"get({_filled(found)}, 0)"
 
-def code_text() -> Column:
-    return _B.plain(F.when(F.col("first_code").isNotNull(), _B.at(F.col("first_code"))).otherwise(_B.top))
+    return f"coalesce({hint(at('first_code') + '.classes')}, {hint(TOP + '.classes')}, '')"
 
 
-def mermaid_source() -> Column:
-    holder = F.when(F.col("tag") == "div", F.when(F.col("first_pre").isNotNull(), _B.at(F.col("first_pre")))).otherwise(_B.top)
-    return let(holder, lambda h: F.when(h.isNull(), F.lit("")).otherwise(strip(_B.plain(h))))
+def code_text() -> str:
+    return sql.let(f"coalesce({at('first_code')}, {TOP})", plain)
 
 
-def _is_callout(e: Column) -> Column:
-    return (e["tag"] == "div") & F.arrays_overlap(e["classes"], F.array(*map(F.lit, CALLOUT_CLASSES)))
+def mermaid_source() -> str:
+    holder = f"if(tag = 'div', {at('first_pre')}, {TOP})"
+    return sql.let(holder, lambda h: f"if({h} IS NULL, '', {sql.strip(plain(h))})")
 
 
-def _comparison_parts() -> Column:
-    def parts(card: Column) -> Column:
-        titles = F.transform(_B.below(card, lambda e: (e["tag"] == "div") & e["titled"]), lambda e: F.concat(F.lit("**"), strip(_B.plain(e)), F.lit("**")))
-        texts = F.transform(_B.children(card, ["p"]), lambda p: strip(_B.inline(p)))
-        codes = F.transform(
-            _B.below(card, lambda e: e["tag"] == "pre"),
-            lambda e: F.concat(F.lit("```\n"), _B.plain(F.when(e["first_code"].isNotNull(), _B.at(e["first_code"])).otherwise(e)), F.lit("\n```")),
-        )
-        callouts = F.transform(_B.below(card, _is_callout), lambda e: F.array_join(callout_lines(e), "\n"))
-        return F.concat(titles, texts, codes, callouts)
+def _is_callout(e: str) -> str:
+    return f"{e}.tag = 'div' AND arrays_overlap({e}.classes, array({sql.strings(CALLOUT_CLASSES)}))"
+
+
+def _comparison() -> str:
+    def parts(card: str) -> str:
+        titles = sql.transform(below(card, lambda e: f"{e}.tag = 'div' AND {e}.titled"), lambda e: f"concat('**', {sql.strip(plain(e))}, '**')")
+        texts = sql.transform(children(card, ["p"]), lambda p: sql.strip(inline(p)))
+        code = lambda e: sql.let(f"coalesce({at(f'{e}.first_code')}, {e})", plain)
+        codes = sql.transform(below(card, lambda e: f"{e}.tag = 'pre'"), lambda e: f"concat('```\n', {code(e)}, '\n```')")
+        callouts = sql.transform(below(card, _is_callout), _callout)
+        return f"concat({titles}, {texts}, {codes}, {callouts})"
 
-    return _filled(F.flatten(F.transform(_B.children(_B.top, ["div"]), parts)))
+    return f"array_join({_filled(f'flatten({sql.transform(children(TOP, ["div"]), parts)})')}, '\n\n')"
 
 
-def comparison_callouts() -> Column:
+def _comparison_callouts() -> str:
     """Number of callouts inside the cards of a comparison."""
-    each = F.transform(_B.children(_B.top, ["div"]), lambda card: F.size(_B.below(card, _is_callout)))
-    return F.aggregate(each, F.lit(0), lambda a, n: a + n)
+    each = sql.transform(children(TOP, ["div"]), lambda card: f"size({below(card, _is_callout)})")
+    return f"aggregate({each}, 0, (a, n) -> a + n)"
 
 
-def _visual_parts() -> Column:
-    tables = F.transform(_B.below(_B.top, lambda e: e["tag"] == "table"), lambda t: _table(table_rows(t)))
-    texts = F.transform(_B.below(_B.top, lambda e: e["tag"] == "p"), lambda p: strip(_B.inline(p)))
-    return _filled(F.concat(tables, texts))
+def _visual() -> str:
+    tables = sql.transform(below(TOP, lambda e: f"{e}.tag = 'table'"), lambda t: _table(table_rows(t)))
+    texts = sql.transform(below(TOP, lambda e: f"{e}.tag = 'p'"), lambda p: sql.strip(inline(p)))
+    return f"array_join({_filled(f'concat({tables}, {texts})')}, '\n\n')"
 
 
-def _hero_parts() -> Column:
-    text = lambda c: strip(_B.plain(_B.at(F.col(c))))
-    title = F.when(F.col("first_h1").isNotNull(), F.concat(F.lit("# "), text("first_h1")))
-    lead = F.when(F.col("first_p").isNotNull(), F.concat(F.lit("\n*"), text("first_p"), F.lit("*\n")))
-    return F.array_compact(F.array(title, lead, _pair_table(hero_entries())))
+def _hero() -> str:
+    text = lambda c: sql.let(at(c), lambda e: sql.strip(plain(e)))
+    title = f"if(first_h1 IS NULL, '', concat('# ', {text('first_h1')}))"
+    lead = f"if(first_p IS NULL, '', concat('\n*', {text('first_p')}, '*\n'))"
+    return f"array_join({_filled(f'array({title}, {lead}, {_pair_table(hero_entries())})')}, '\n')"
 
 
-def _body() -> Column:
-    """What a block contributes besides its image line."""
-    top, inline = _B.top, strip(_B.inline(_B.top))
-    numbered = lambda items: F.transform(items, lambda t, i: F.concat((i + 1).cast("string"), F.lit(". "), t))
-    kind = F.col("kind")
-    return (
-        F.when(kind == "paragraph", inline)
-        .when(kind == "heading", F.concat(F.repeat(F.lit("#"), F.substring("tag", 2, 1).cast("int")), F.lit(" "), inline))
-        .when(kind == "list", F.array_join(
-            F.when(F.col("tag") == "ol", numbered(list_entries())).otherwise(F.transform(list_entries(), lambda t: F.concat(F.lit("- "), t))), "\n"))
-        .when(kind == "contents", F.array_join(F.concat(F.array(F.lit("## Table of Contents\n")), numbered(contents_entries())), "\n"))
-        .when(kind == "footer", F.concat(F.lit("---\n\n*"), inline, F.lit("*")))
-        .when(kind == "table", _table(table_rows(top)))
-        .when(kind == "callout", F.array_join(callout_lines(top), "\n"))
-        .when(kind == "code", F.concat(F.lit("```"), code_language(), F.lit("\n"), code_text(), F.lit("\n```")))
-        .when(kind == "mermaid", mermaid_source())
-        .when(kind == "progress_bar", F.concat(F.lit("`"), F.array_join(progress_entries(), " | "), F.lit("`")))
-        .when(kind == "stat_cards", _pair_table(stat_entries()))
-        .when(kind == "timeline", _timeline_lines())
-        .when(kind == "hero", F.array_join(_hero_parts(), "\n"))
-        .when(kind == "comparison", F.array_join(_comparison_parts(), "\n\n"))
-        .when(kind == "visual_component", F.array_join(_visual_parts(), "\n\n"))
-        .otherwise(F.lit(""))
-    )
+def _numbered(items: str) -> str:
+    return sql.transform(items, lambda t, i: f"concat({i} + 1, '. ', {t})", 2)
 
 
-def _markdown(body: Column, image: Column) -> Column:
-    kind = F.col("kind")
-    joined = lambda gap: F.concat(image, F.when(body == "", "").otherwise(F.concat(F.lit(gap), body)))
-    return (
-        F.when(kind == "mermaid", F.when(body == "", "").otherwise(
-            F.concat(F.lit("```mermaid\n"), body, F.lit("\n```\n\n*Fallback image: "), image, F.lit("*"))))
-        .when(kind.isin("progress_bar", "stat_cards"), F.concat(image, F.lit("\n\n"), body))
-        .when(kind.isin("hero", "timeline"), F.concat(image, F.lit("\n"), F.when(body == "", "").otherwise(F.concat(F.lit("\n"), body))))
-        .when(kind.isin("comparison", "visual_component"), F.concat(image, F.lit("\n"), F.when(body == "", "").otherwise(F.concat(F.lit("\n\n"), body))))
-        .otherwise(body)
-    )
+def _body() -> str:
+    """What a block contributes besides its image line."""
+    text = sql.strip(inline(TOP))
+    bodies = {
+        "paragraph": text,
+        "heading": f"concat(repeat('#', int(substring(tag, 2, 1))), ' ', {text})",
+        "list": f"array_join(if(tag = 'ol', {_numbered(list_entries())}, {sql.transform(list_entries(), lambda t: f"concat('- ', {t})")}), '\n')",
+        "contents": f"array_join(concat(array('## Table of Contents\n'), {_numbered(contents_entries())}), '\n')",
+        "footer": f"concat('---\n\n*', {text}, '*')",
+        "table": _table(table_rows()),
+        "callout": _callout(TOP),
+        "code": f"concat('```', {code_language()}, '\n', {code_text()}, '\n```')",
+        "mermaid": mermaid_source(),
+        "progress_bar": f"concat('`', array_join({progress_entries()}, ' | '), '`')",
+        "stat_cards": _pair_table(stat_entries()),
+        "timeline": _timeline(),
+        "hero": _hero(),
+        "comparison": _comparison(),
+        "visual_component": _visual(),
+    }
+    return f"CASE kind {' '.join(f"WHEN '{kind}' THEN {body}" for kind, body in bodies.items())} ELSE '' END"
+
+
+def _markdown() -> str:
+    """The body with its image line, for kinds that have one."""
+    image = f"concat('![', element_at({sql.mapping(CAPTIONS)}, kind), '](images/', asset_file, ')')"
+    return f"""CASE
+        WHEN kind = 'mermaid' THEN if(body = '', '', concat('```mermaid\n', body, '\n```\n\n*Fallback image: ', {image}, '*'))
+        WHEN kind IN ('progress_bar', 'stat_cards') THEN concat({image}, '\n\n', body)
+        WHEN kind IN ('hero', 'timeline') THEN concat({image}, '\n', if(body = '', '', concat('\n', body)))
+        WHEN kind IN ('comparison', 'visual_component') THEN concat({image}, '\n', if(body = '', '', concat('\n\n', body)))
+        ELSE body END"""
 
 
 def blocks(nodes: DataFrame) -> DataFrame:
@@ -383,8 +356,9 @@ def blocks(nodes: DataFrame) -> DataFrame:
     """
     kind = F.col("kind")
     bodies = events(owned(nodes)).select(
-        "page_id", F.col("block_pos").alias("pos"), F.col("block_end").alias("end_pos"), "kind", "tag", _body().alias("body"),
-        F.when(kind == "callout", 1).when(kind == "comparison", comparison_callouts()).otherwise(0).alias("n_callouts"),
+        "page_id", F.col("block_pos").alias("pos"), F.col("block_end").alias("end_pos"), "kind", "tag",
+        F.expr(_body()).alias("body"),
+        F.expr(f"CASE kind WHEN 'callout' THEN 1 WHEN 'comparison' THEN {_comparison_callouts()} ELSE 0 END").alias("n_callouts"),
     )
     is_diagram = (kind == "mermaid") & (F.col("body") != "")
     is_asset = is_diagram | (kind.isin(*CAPTIONS) & (kind != "mermaid"))
@@ -395,9 +369,7 @@ def blocks(nodes: DataFrame) -> DataFrame:
         F.when(is_diagram, F.count_if(is_diagram).over(so_far).cast("int")).alias("diagram_index"),
     )
     named = numbered.withColumn("asset_file", F.when(F.col("asset_index").isNotNull(), asset_name(kind, F.col("asset_index"))))
-    caption = F.create_map(*[F.lit(x) for pair in CAPTIONS.items() for x in pair])
-    image = F.concat(F.lit("!["), F.element_at(caption, kind), F.lit("](images/"), F.col("asset_file"), F.lit(")"))
-    return named.withColumn("md", _markdown(F.col("body"), image))
+    return named.withColumn("md", F.expr(_markdown()))
 
 
 def page_markdown(blocks: DataFrame) -> DataFrame:

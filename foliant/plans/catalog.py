@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from foliant.functions.text import asset_name, decode_text, escape_markup, looks_dated
@@ -47,9 +47,9 @@ def _markdown_of(conversion: Conversion, kind: str) -> DataFrame:
     return _numbered(_blocks(conversion.blocks, kind)).select("page_id", "block_no", "md")
 
 
-def _items(conversion: Conversion, kind: str, entries: Column) -> DataFrame:
+def _items(conversion: Conversion, kind: str, entries: str) -> DataFrame:
     """One row per entry of the blocks of a kind: page_id, block_no, item_no (from 1), item."""
-    listed = _blocks(conversion.events, kind).select("page_id", F.col("block_pos").alias("pos"), entries.alias("entries"))
+    listed = _blocks(conversion.events, kind).select("page_id", F.col("block_pos").alias("pos"), F.expr(entries).alias("entries"))
     return _numbered(listed).select("page_id", "block_no", F.posexplode("entries").alias("i", "item")).select(
         "page_id", "block_no", (F.col("i") + 1).alias("item_no"), "item"
     )
@@ -155,7 +155,7 @@ def paragraphs(spark, sf_dir):
 @query
 def plain_text(spark, sf_dir):
     paragraph = _blocks(_reports(spark, sf_dir, "paragraphs").events, "paragraph")
-    texts = paragraph.select("page_id", F.col("block_pos").alias("pos"), render._B.plain(render._B.top).alias("text"))
+    texts = paragraph.select("page_id", F.col("block_pos").alias("pos"), F.expr(render.plain(render.TOP)).alias("text"))
     return _numbered(texts).select("page_id", "block_no", "text")
 
 
@@ -179,9 +179,7 @@ def link_pieces(spark, sf_dir):
 
 @query
 def badge_text(spark, sf_dir):
-    badges = lambda: render._B.below(render._B.top, lambda e: e["badge"])
-    texts = F.transform(badges(), lambda e: F.concat(F.lit("["), F.trim(render._B.plain(e)), F.lit("]")))
-    return _items(_reports(spark, sf_dir, "paragraphs"), "paragraph", texts)
+    return _items(_reports(spark, sf_dir, "paragraphs"), "paragraph", render.badge_texts())
 
 
 @query
@@ -195,7 +193,7 @@ def date_like(spark, sf_dir):
 
 @query
 def table_cells(spark, sf_dir):
-    rows = _items(_reports(spark, sf_dir, "tables"), "table", render.table_rows(render._B.top))
+    rows = _items(_reports(spark, sf_dir, "tables"), "table", render.table_rows())
     return rows.select("page_id", (F.col("item_no") - 1).alias("row_idx"), F.posexplode("item").alias("col_idx", "text"))
 
 
