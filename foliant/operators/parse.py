@@ -146,7 +146,7 @@ def _fold(tokens: Column) -> Column:
 
 # Pages with more tag signs than this take the linear route: the fold copies the stack at every push,
 # which a deep page (thousands of unclosed tags) turns into quadratic work.
-GIANT_PAGE_TAGS = 4000
+GIANT_PAGE_TAGS = 300
 
 _LINKS = T.StructType([T.StructField(n, T.ArrayType(T.IntegerType())) for n in ("pos", "ord", "parent", "depth", "ends")])
 
