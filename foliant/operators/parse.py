@@ -160,7 +160,7 @@ def _giant_links(codes: pd.Series) -> pd.DataFrame:
         out = {n: None if page is None else [] for n in names}
         if page is not None:
             stack, open_tags, ends, pos = [("[document]", 0, 0)], Counter(), {}, 1
-            for code in page.split(" "):
+            for code in page.split(" ") if page else ():
                 kind, tag = code[0], code[1:]
                 is_node = kind not in "-0"
                 out["pos"].append(pos if is_node else None)
