@@ -108,7 +108,7 @@ def decode_text(c: Column) -> Column:
     """References in running text. An unknown name keeps its ampersand and loses its semicolon."""
 
     def named(p: Column) -> Column:
-        name = F.regexp_replace(F.substring(p, 2, 1 << 20), ";$", "")
+        name = F.regexp_replace(F.substring(p, F.lit(2), F.length(p)), ";$", "")
         return let(name, lambda n: F.coalesce(_lookup(n), F.concat(F.lit("&"), n)))
 
     return _decode(c, rf"{_NUMERIC}|&[a-zA-Z][-.a-zA-Z0-9]*+;?|[^&]++|&", named)
