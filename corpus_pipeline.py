@@ -1,13 +1,56 @@
-"""The corpus pipeline: what is toxic, copied or leaked goes, personal data is masked, the rest is packed."""
+"""The corpus pipeline: toxic, copied and leaked documents go, personal data is masked, and the rest is packed."""
 
 from __future__ import annotations
 
-STAGES: list = []
-ORACLE_SQL: str | None = None
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from foliant.llm import decontamination, minhash, packing, pii, toxicity
+from foliant.llm.staging import stage
 
-def run(spark, sf_dir):
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a toxicity score below the threshold; the model is fitted on the labels beside them."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    columns = [c for c in docs.columns if c != "score"]
+    return toxicity.toxic_scores(docs, labels, columns).where(F.col("score") < toxicity.THRESHOLD).drop("score")
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates: the one with the smallest doc_id. Repeated rows of it stay one."""
+    dropped = minhash.near_duplicates(docs).where("not kept").select("doc_id").distinct()
+    return docs.join(dropped, "doc_id", "left_anti").select(docs.columns)
+
+
+def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no passage of the benchmark."""
+    return decontamination.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with personal data in their texts replaced by its kind. n_chars follows the text."""
+    masked = pii.redact(docs)
+    return masked.withColumn("n_chars", F.when(F.col("n_chars").isNotNull(), F.length("text").cast("long"))) if "n_chars" in docs.columns else masked
+
+
+def pack_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents with their places in sequences of 2048 tokens."""
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("minhash_near_duplicates", drop_near_duplicates),
+    ("decontamination", drop_leaks),
+    ("pii", mask_personal_data),
+    ("packing", pack_tokens),
+]
+#: A trained model, min-wise hashing and a tokenizer: no SQL expresses these stages.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, step in STAGES[:-1]:
+        docs = stage(step(spark, docs, sf_dir), f"after_{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
