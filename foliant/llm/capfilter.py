@@ -1,7 +1,7 @@
 """Near-duplicate vectors by spherical-cap filters.
 
 Filters are the words of a random product code: the coordinates, in an order drawn at random, are cut into a few blocks,
-each with a codebook of random unit vectors; a filter takes one from each block. A vector is decoded to all filters
+each with a codebook of random unit vectors; a filter takes one from each block. There are a few such codes. A vector is decoded to all filters
 whose inner product with it exceeds a threshold, found by merging sorted partial sums, not by trying all of them. Vectors
 that share a filter (and the label) meet in a bucket, and pairs are verified there in double precision. A pair that
 shares several filters counts in the first of them, so nothing is counted twice and no pair is ever a row: a block
@@ -23,7 +23,8 @@ from foliant.llm.components import components
 from foliant.llm.staging import stage
 
 COSINE = 0.98
-FILTERS = 40  # that a vector exceeds, on average
+CODES = 6  # independent codes: a pair that one code misses is found by another
+FILTERS = 30  # of each code that a vector exceeds, on average
 PER_FILTER = 24  # vectors that a filter should hold; sets the size of the code
 BLOCK = 512  # vectors of a bucket that meet in one task at a time
 SEED = 20240229
@@ -32,8 +33,8 @@ SEED = 20240229
 class Code:
     """A random product code for vectors of one dimension."""
 
-    def __init__(self, dim: int, vectors: int):
-        rng = np.random.default_rng([SEED, dim])
+    def __init__(self, dim: int, vectors: int, number: int):
+        rng = np.random.default_rng([SEED, dim, number])
         self.blocks = [b for b in np.array_split(rng.permutation(dim), max(1, min(4, dim // 8)))]
         wanted = max(32.0, vectors * FILTERS / PER_FILTER)
         self.size = int(np.clip(np.ceil(wanted ** (1 / len(self.blocks))), 16, 256))
@@ -42,6 +43,7 @@ class Code:
             book = rng.standard_normal((self.size, len(b)))
             self.books.append(book / np.linalg.norm(book, axis=1, keepdims=True) / np.sqrt(len(self.blocks)))
         share = min(0.9, FILTERS / self.size ** len(self.blocks))
+        self.base = number * self.size ** len(self.blocks)  # where the numbers of its filters begin
         self.threshold = -NormalDist().inv_cdf(share) / np.sqrt(dim)
 
     def decode(self, v: np.ndarray) -> np.ndarray:
@@ -55,7 +57,7 @@ class Code:
         n = len(right) - first
         row = np.repeat(np.arange(len(left)), n)
         column = order[np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())]
-        return np.sort(row * len(right) + column)
+        return np.sort(self.base + row * len(right) + column)
 
 
 def unit(v: np.ndarray) -> np.ndarray:
@@ -65,8 +67,13 @@ def unit(v: np.ndarray) -> np.ndarray:
 
 
 @lru_cache(maxsize=8)
-def _code(dim: int, vectors: int) -> Code:
-    return Code(dim, vectors)
+def _codes(dim: int, vectors: int) -> list[Code]:
+    return [Code(dim, vectors, k) for k in range(CODES)]
+
+
+def decode(v: np.ndarray, vectors: int) -> np.ndarray:
+    """Sorted numbers of all filters of all codes that a unit vector exceeds."""
+    return np.concatenate([code.decode(v) for code in _codes(len(v), vectors)])
 
 
 def _prepare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -87,7 +94,7 @@ def _filters(vectors: int):
             nodes, keys = [], []
             for node, raw in zip(b.column("node").to_pylist(), b.column("vector").to_pylist()):
                 v = np.frombuffer(raw)
-                found = _code(len(v), vectors).decode(unit(v))
+                found = decode(unit(v), vectors)
                 nodes.append(np.full(len(found), node))
                 keys.append(found)
             none = np.zeros(0, np.int64)
@@ -128,8 +135,7 @@ def _blocks(table: pa.Table, vectors: int) -> Iterator[pa.RecordBatch]:
         i, j = np.nonzero(near)
         if not len(i):
             continue
-        code = _code(v.shape[1], vectors)
-        lists = {k: code.decode(v[k]) for k in np.unique(np.append(i, j)).tolist()}
+        lists = {k: decode(v[k], vectors) for k in np.unique(np.append(i, j)).tolist()}
         first = [np.intersect1d(lists[a], lists[b], assume_unique=True)[0] == key[lo] for a, b in zip(i.tolist(), j.tolist())]
         i, j = i[first] + lo, j[first] + lo
         links: dict[int, int] = {}
