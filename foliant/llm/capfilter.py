@@ -27,6 +27,7 @@ CODES = 6  # independent codes: a pair that one code misses is found by another
 FILTERS = 30  # of each code that a vector exceeds, on average
 PER_FILTER = 24  # vectors that a filter should hold; sets the size of the code
 BLOCK = 512  # vectors of a bucket that meet in one task at a time
+REMEMBERED = 20_000  # filter lists that a task keeps at most
 SEED = 20240229
 
 
@@ -125,6 +126,7 @@ def _blocks(table: pa.Table, vectors: int) -> Iterator[pa.RecordBatch]:
     raw = table.column("vector").to_pylist()
     cuts = [0, *(np.flatnonzero(np.diff(block)) + 1), len(block)]
     out: list[tuple] = []
+    lists: dict[int, np.ndarray] = {}
     for lo, hi in zip(cuts, cuts[1:]):
         if hi - lo < 2:
             continue
@@ -135,9 +137,14 @@ def _blocks(table: pa.Table, vectors: int) -> Iterator[pa.RecordBatch]:
         i, j = np.nonzero(near)
         if not len(i):
             continue
-        lists = {k: decode(v[k], vectors) for k in np.unique(np.append(i, j)).tolist()}
-        first = [np.intersect1d(lists[a], lists[b], assume_unique=True)[0] == key[lo] for a, b in zip(i.tolist(), j.tolist())]
-        i, j = i[first] + lo, j[first] + lo
+        if len(lists) > REMEMBERED:
+            lists.clear()
+        for k in np.unique(np.append(i, j)).tolist():
+            if node[lo + k] not in lists:
+                lists[node[lo + k]] = decode(v[k], vectors)
+        i, j = i + lo, j + lo
+        first = [np.intersect1d(lists[a], lists[b], assume_unique=True)[0] == key[lo] for a, b in zip(node[i].tolist(), node[j].tolist())]
+        i, j = i[first], j[first]
         links: dict[int, int] = {}
         root: dict[int, int] = {}
 
