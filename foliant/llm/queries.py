@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm import capfilter, decontamination, licences, minhash, packing, pii, sharding, tokenfiles, toxicity
+from foliant.llm import capfilter, decontamination, licences, minhash, packing, pii, repeats, sharding, tokenfiles, toxicity
 from foliant.llm.staging import new_path
 
 
@@ -52,6 +52,10 @@ def histogram_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def qgram_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -65,6 +69,7 @@ QUERIES = {
     "op6_licence_digests": licence_digests,
     "op7_token_files": token_files,
     "op8_histogram_sharding": histogram_sharding,
+    "op9_suffix_repeats": suffix_repeats,
     "op10_qgram_decontamination": qgram_decontamination,
 }
 
