@@ -31,7 +31,7 @@ from foliant.llm.tokens import slices
 
 PACK_BYTES = 16 << 20  # text whose anchors travel together
 SLICE_BYTES = 64 << 20  # text whose anchors a slice should gather
-SORT_BYTES = 16 << 20  # contexts that are sorted together
+SORT_BYTES = 8 << 20  # text whose open contexts (a third of it or so) are sorted together
 HOT = 20_000  # contexts of one anchor from which on they are not gathered
 REPEATED, OPEN, OF_HOT = 1, 2, 4  # bits of a code: repeated, to be sorted, by digest
 
@@ -275,7 +275,7 @@ def remove_repeats(docs: DataFrame, with_text: bool = False, hot_contexts: int =
     with_hits = long_.select("key", "text").join(hits, "key")
     met = stage(with_hits.mapInArrow(_first_cut(with_text), _DONE + ", open boolean, text binary, hits array<binary>"), "cut")
     open_ = met.where("open").select("key", "text", "hits")
-    n_sort = max(1, -(-(met.where("open").agg(F.sum(F.octet_length("text"))).first()[0] or 0) // (2 * SORT_BYTES)))
+    n_sort = max(1, -(-(met.where("open").agg(F.sum(F.octet_length("text"))).first()[0] or 0) // SORT_BYTES))
     contexts = open_.mapInArrow(_contexts(n_sort, n_slices), _PACKS + ", contexts binary, hot boolean")
     contexts = stage(contexts, "contexts")
     sorted_ = contexts.where("not hot").groupBy("slice").applyInPandas(_sort, _HITS)
