@@ -5,7 +5,7 @@
    texts writes, per document, how far its candidates lie apart and a few small features of their format and context.
 2. Running sums give places. A candidate that is, or overlaps, a checked base span counts as an example; the others
    count against. Since all features are small integers, the whole corpus folds into one short table of counts.
-3. Trees of two levels are boosted on the table of one half of the documents, and each kind's threshold is calibrated
+3. Trees of two levels are boosted on the table of one half of the candidates, and each kind's threshold is calibrated
    on that of the other half: the least score at which ``PRECISION`` is reached. Features that define a base span
    (its sign, its prefix) are left out, so look-alikes in the same format and context score as high.
 4. The trees become a SQL expression. Base spans stay; candidates beside them are added from the threshold on.
@@ -153,7 +153,7 @@ class Trees:
 
 def fit(flat: DataFrame) -> tuple[Trees, list[float]]:
     """The trees, and a threshold for each kind (2 where no score is precise enough)."""
-    half = F.pmod(F.xxhash64("row"), F.lit(2)).alias("half")
+    half = F.pmod(F.xxhash64("start", "end", "kind"), F.lit(2)).alias("half")  # alike however rows are dealt
     # A row per combination of small integers: its size does not depend on the corpus.
     table = flat.groupBy(half, "kind", *FEATURES).agg(F.sum((F.col("base") | F.col("covered")).cast("long")).alias("yes"), F.count(F.lit(1)).alias("n")).orderBy("half", "kind", *FEATURES).collect()
     part = lambda h: [r for r in table if r["half"] == h]
