@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from foliant.llm.hashing import mix, sequences
 from foliant.llm.staging import stage
 
-BITS = 20  # features are hashed to so many bits
+BITS = 18  # features are hashed to so many bits
 #: Labelled documents for the fit, at most: those with the smallest digest of their id. All, if there are fewer.
 SAMPLE = 12_000
 STEM = 6
