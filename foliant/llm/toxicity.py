@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from foliant.llm.hashing import mix, sequences
 from foliant.llm.staging import stage
 
-BITS = 18  # features are hashed to so many bits
+BITS = 19  # features are hashed to so many bits
 #: Labelled documents for the fit, at most: those with the smallest digest of their id. All, if there are fewer.
 SAMPLE = 12_000
 STEM = 6
@@ -62,7 +62,7 @@ def _chance(total: float) -> float:
 
 def _learn(z0: np.ndarray, n0: np.ndarray, bias: float):
     def shard(rows: pd.DataFrame) -> pd.DataFrame:
-        z, n = z0.copy(), n0.copy()
+        z, n = z0.astype(float), n0.astype(float)
         rows = rows.sort_values(["place", "doc_id"])
         for text, label in zip(rows["text"], rows["label"]):
             at = features(text)
@@ -94,7 +94,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     bias = float(np.log((size["toxic"] + 1) / (size["n"] - size["toxic"] + 1))) - 1 if size["n"] else -2.0
     z, n = np.zeros(1 << BITS), np.zeros(1 << BITS)
     for _ in range(PASSES if size["n"] else 0):
-        learned = rows.groupBy("shard").applyInPandas(_learn(z, n, bias), "at long, z double, n double")
+        learned = rows.groupBy("shard").applyInPandas(_learn(z.astype(np.float32), n.astype(np.float32), bias), "at int, z float, n float")
         total = learned.groupBy("at").agg(F.sum("z").alias("z"), F.sum("n").alias("n")).toPandas()  # 2**BITS rows at most
         z[total["at"]] += total["z"]
         n[total["at"]] += total["n"]
