@@ -18,7 +18,8 @@ SOURCE_MARKS = {
     "comparison": ["comparison-grid"],
     "diagram_script": ["mermaid", "cdn.jsdelivr.net"],
 }
-MIN_SOURCE_CHARS, MIN_OUTPUT_CHARS, MIN_STAT_CARDS, MIN_COMPARISON_CARDS = 500, 100, 4, 2
+# The least sizes and the marks of sound output.
+MIN_SOURCE_BYTES, MIN_OUTPUT_CHARS, MIN_STAT_CARDS, MIN_COMPARISON_CARDS = 500, 100, 4, 2
 CALLOUT_SIGN = "[💡✅🚨⚠️]"
 OUTPUT_MARKS = {"diagram": "```mermaid", "table": "| ", "callout": "> ", "image": "!["}
 
@@ -37,7 +38,7 @@ def source_census(pages: DataFrame) -> DataFrame:
     extra = {"stat_cards": stat_cards >= MIN_STAT_CARDS, "comparison": comparison_cards >= MIN_COMPARISON_CARDS}
     return pages.select(
         "page_id",
-        (F.length("html") > MIN_SOURCE_CHARS).alias("is_long"),
+        (F.octet_length("html") > MIN_SOURCE_BYTES).alias("is_long"),
         *[(_holds("html", m) & extra.get(n, F.lit(True))).alias(f"has_{n}") for n, m in SOURCE_MARKS.items()],
         stat_cards.cast("bigint").alias("n_stat_cards"),
         comparison_cards.cast("bigint").alias("n_comparison_cards"),
@@ -52,7 +53,7 @@ def output_checks(markdown: DataFrame, manifests: DataFrame) -> DataFrame:
         (F.length("md") > MIN_OUTPUT_CHARS).alias("is_long"),
         *[F.contains("md", F.lit(mark)).alias(f"has_{n}") for n, mark in OUTPUT_MARKS.items()],
         F.col("md").rlike(CALLOUT_SIGN).alias("has_callout_sign"),
-        F.from_json("manifest", entry).isNotNull().alias("manifest_is_array"),
+        (F.col("manifest").rlike(r"^\s*\[") & F.from_json("manifest", entry).isNotNull()).alias("manifest_is_array"),
     )
 
 

@@ -180,7 +180,7 @@ ORACLES = {
     "root_nodes": "SELECT page_id, 'nav div article footer' AS root_tags FROM pages",
     "entity_text": "SELECT doc_id, text || ' © — 😀 · –' AS text FROM documents",
     "mermaid_pages": _per_page(f"{_FIRST_CLOSED} AS has_mermaid"),
-    "source_census": f"""SELECT page_id, length(html) > 500 AS is_long, {_holds('<header class="hero">')} AS has_hero,
+    "source_census": f"""SELECT page_id, strlen(html) > 500 AS is_long, {_holds('<header class="hero">')} AS has_hero,
         {_holds('<pre class="mermaid">', 'mermaid-wrapper')} AS has_diagram,
         {_holds('<table>', 'badge green', 'badge red')} AS has_table,
         {_holds('callout insight', 'callout success', 'callout danger', 'callout warn')} AS has_callout,

@@ -1,6 +1,8 @@
 """Literal expectations for single rules and their order, converted in one job."""
 
 import pytest
+from foliant.functions.text import decode_text
+from foliant.operators.quality import output_checks, source_census
 from pyspark.sql import functions as F
 
 from foliant.operators import assets
@@ -143,3 +145,18 @@ def test_one_exchange_before_markdown(spark):
     pages = spark.createDataFrame([(1, "<p>a</p>")], "page_id long, html string")
     plan = page_markdown(blocks(nodes(pages)))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1
+
+
+def test_long_unknown_reference_keeps_every_character(spark):
+    name = "a" * 1_100_000
+    got = spark.createDataFrame([(f"&{name};",)], "s string").select(F.length(decode_text(F.col("s"))).alias("n")).first()["n"]
+    assert got == 1 + len(name)
+
+
+def test_manifest_must_be_an_array_and_size_is_in_bytes(spark):
+    rows = [(1, "x", '{"a":1}'), (2, "x", ' [{"type":"hero"}]'), (3, "x", "[]")]
+    both = spark.createDataFrame(rows, "page_id long, md string, manifest string")
+    found = output_checks(both.select("page_id", "md"), both.select("page_id", "manifest")).collect()
+    assert {r["page_id"]: r["manifest_is_array"] for r in found} == {1: False, 2: True, 3: True}
+    html = spark.createDataFrame([(1, "é" * 300)], "page_id long, html string")
+    assert source_census(html).first()["is_long"]
