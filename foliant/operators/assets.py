@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliant.functions.text import asset_name
@@ -53,18 +53,30 @@ def page_stats(blocks: DataFrame) -> DataFrame:
     )
 
 
+def resolved(path: Column) -> Column:
+    """A path without empty and ``.`` parts, each ``..`` taken with the part before it. It stays relative or absolute."""
+    root = F.startswith(path, F.lit("/"))
+
+    def step(done: Column, part: Column) -> Column:
+        last = F.try_element_at(done, F.lit(-1))
+        up = F.when(F.coalesce(last != "..", F.lit(False)), F.slice(done, 1, F.size(done) - 1)).when(root, done).otherwise(F.array_append(done, part))
+        return F.when(part.isin("", "."), done).when(part == "..", up).otherwise(F.array_append(done, part))
+
+    parts = F.aggregate(F.split(path, "/"), F.array().cast("array<string>"), step)
+    return F.concat(F.when(root, "/").otherwise(""), F.array_join(parts, "/"))
+
+
 def image_refs(markdown: DataFrame, files: DataFrame) -> DataFrame:
     """Local image references of every page, one row per occurrence, and whether the file is missing.
 
-    ``files`` has page_id and path, relative to the page's Markdown. A semi join on (page, path) keeps
-    one row per reference however often a path is listed.
+    ``files`` has page_id and path, relative to the page's Markdown. A left join on (page, resolved path) with the
+    distinct paths keeps one row per reference however often a path is listed.
     """
     ref = lambda i: F.regexp_extract_all("md", F.lit(IMAGE_REFERENCE), F.lit(i))
     found = markdown.select("page_id", F.explode(F.arrays_zip(ref(1).alias("alt"), ref(2).alias("ref"))).alias("r"))
     local = found.select("page_id", "r.alt", "r.ref").filter(~F.col("ref").rlike("^https?://"))
-    path = F.regexp_replace("ref", r"^(?:\./+)+", "")
-    known = files.groupBy("page_id", "path").agg(F.lit(True).alias("_known"))
-    matched = local.withColumn("path", path).join(known, ["page_id", "path"], "left")
+    known = files.groupBy("page_id", resolved(F.col("path")).alias("path")).agg(F.lit(True).alias("_known"))
+    matched = local.withColumn("path", resolved(F.col("ref"))).join(known, ["page_id", "path"], "left")
     return matched.select("page_id", "alt", "ref", F.col("_known").isNull().alias("is_missing"))
 
 
@@ -72,8 +84,13 @@ def missing_images(refs: DataFrame) -> DataFrame:
     return refs.filter("is_missing").select("page_id", "alt", "ref")
 
 
-def missing_image_count(refs: DataFrame) -> DataFrame:
-    return refs.groupBy("page_id").agg(F.count_if("is_missing").alias("missing_count"))
+def _for_all(pages: DataFrame, counts: DataFrame) -> DataFrame:
+    """Counts for every page, zero where there was nothing to count."""
+    return pages.select("page_id").distinct().join(counts, "page_id", "left").na.fill(0)
+
+
+def missing_image_count(pages: DataFrame, refs: DataFrame) -> DataFrame:
+    return _for_all(pages, refs.groupBy("page_id").agg(F.count_if("is_missing").alias("missing_count")))
 
 
 def capture_candidates(kinds: DataFrame) -> DataFrame:
@@ -112,10 +129,9 @@ def capture_plan(manifest: DataFrame, candidates: DataFrame) -> DataFrame:
     )
 
 
-def capture_summary(plan: DataFrame) -> DataFrame:
-    return plan.groupBy("page_id").agg(
-        F.count_if(F.col("status") == "found").alias("success"), F.count_if(F.col("status") == "missing").alias("failed")
-    )
+def capture_summary(pages: DataFrame, plan: DataFrame) -> DataFrame:
+    of = lambda status, name: F.count_if(F.col("status") == status).alias(name)
+    return _for_all(pages, plan.groupBy("page_id").agg(of("found", "success"), of("missing", "failed")))
 
 
 def mermaid_png_names(sources: DataFrame) -> DataFrame:

@@ -332,7 +332,8 @@ def capture_plan(spark, sf_dir):
 
 @query
 def capture_summary(spark, sf_dir):
-    return assets.capture_summary(_reports(spark, sf_dir, "stats", "timeline_as_cards", "mermaid", "visual").capture_plan)
+    c = _reports(spark, sf_dir, "stats", "timeline_as_cards", "mermaid", "visual")
+    return assets.capture_summary(c.pages, c.capture_plan)
 
 
 @query
@@ -361,7 +362,7 @@ def missing_images(spark, sf_dir):
 
 @query
 def missing_image_count(spark, sf_dir):
-    return assets.missing_image_count(_image_refs(spark, sf_dir))
+    return assets.missing_image_count(_reports(spark, sf_dir, "hero", "images").pages, _image_refs(spark, sf_dir))
 
 
 @query

@@ -160,3 +160,14 @@ def test_manifest_must_be_an_array_and_size_is_in_bytes(spark):
     assert {r["page_id"]: r["manifest_is_array"] for r in found} == {1: False, 2: True, 3: True}
     html = spark.createDataFrame([(1, "é" * 300)], "page_id long, html string")
     assert source_census(html).first()["is_long"]
+
+
+def test_paths_are_resolved_and_pages_without_references_count_zero(spark):
+    paths = ["images/../images/x.png", "./images//./x.png", "../x.png", "/a/../../b", "a/..", ""]
+    found = spark.createDataFrame([(p,) for p in paths], "p string").select(assets.resolved(F.col("p"))).collect()
+    assert [r[0] for r in found] == ["images/x.png", "images/x.png", "../x.png", "/b", "", ""]
+    markdown = spark.createDataFrame([(1, "![a](images/../images/x.png) ![b](y.png)"), (2, "text")], "page_id long, md string")
+    refs = assets.image_refs(markdown, spark.createDataFrame([(1, "images/x.png")], "page_id long, path string"))
+    assert sorted(map(tuple, assets.missing_image_count(markdown, refs).collect())) == [(1, 1), (2, 0)]
+    plan = spark.createDataFrame([(1, "found")], "page_id long, status string")
+    assert sorted(map(tuple, assets.capture_summary(markdown, plan).collect())) == [(1, 1, 0), (2, 0, 0)]
