@@ -35,7 +35,7 @@ BANDS, ROWS = 32, 4
 MINIMA = BANDS * ROWS
 BATCH = 16  # minima compared at a time
 MISS = 1e-7  # posterior probability at which a candidate is given up
-BLOCK = 256  # documents of a bucket that meet in one block
+BLOCK = 1024  # documents of a bucket that meet in one block: half a megabyte of minima
 
 _seeds = mix(np.arange(1, 2 * MINIMA + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
 _XOR, _FACTOR = _seeds[:MINIMA, None], _seeds[MINIMA:, None] | np.uint64(1)
