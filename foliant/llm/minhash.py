@@ -10,7 +10,7 @@
    are confirmed on their full sets.
 4. Where a bucket still holds documents of several components, its other pairs are looked at too: in blocks of
    bounded size, by the same sequential test inside the task, so pairs that fail are never rows. Pairs of one component
-   need no look: they change nothing.
+   need no look, as they change nothing; so the largest component of a bucket meets only the documents outside it.
 """
 
 from __future__ import annotations
@@ -178,7 +178,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         .where("n > 1"),
         "buckets",
     )
-    members = stage(in_bands.join(buckets, "band").select("band", "doc_id", "n_shingles", "hub", "n"), "members")
+    members = stage(in_bands.join(buckets, "band").select("band", "doc_id", "n_shingles", "hub"), "members")
     sizes_fit = F.expr(f"{SIMILAR[1]} * least(n_shingles, hub.n_shingles) >= {SIMILAR[0]} * greatest(n_shingles, hub.n_shingles)")
     met = members.where(sizes_fit & (F.col("doc_id") != F.col("hub.doc_id"))).groupBy(F.col("hub.doc_id").alias("a"), F.col("doc_id").alias("b"))
     met = met.agg(F.count(F.lit(1)).alias("times")).groupBy("b").agg(F.min("a").alias("least"), F.min(F.struct(-F.col("times"), "a"))["a"].alias("often"))
@@ -190,12 +190,16 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     labels = stage(components(links), "labels")
 
     others = members.join(labels, F.col("doc_id") == F.col("node"), "left")
-    others = others.select("band", "doc_id", "n_shingles", "n", F.coalesce("component", "doc_id").alias("component"))
-    split = others.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("band")
-    chunks = F.ceil(F.col("n") / (BLOCK // 2)).cast("int")
-    chunk = F.pmod(F.xxhash64("doc_id"), chunks).cast("int")
-    others = others.join(split, "band").withColumns({"chunks": chunks, "chunk": chunk})
-    others = others.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    others = others.select("band", "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component"))
+    parts = others.groupBy("band", "component").agg(F.count(F.lit(1)).alias("n"))
+    split = parts.groupBy("band").agg(F.max(F.struct("n", "component")).alias("main"), F.sum("n").alias("n")).where("n > main.n")
+    in_main = F.col("component") == F.col("main.component")
+    size = lambda n: F.ceil(n / (BLOCK // 2)).cast("int")
+    others = others.join(split, "band").withColumns({"mains": size(F.col("main.n")), "rests": size(F.col("n") - F.col("main.n"))})
+    # Chunks of the main component come first. They meet the rest only, which meets all.
+    chunk = F.when(in_main, F.pmod(F.xxhash64("doc_id"), "mains")).otherwise(F.col("mains") + F.pmod(F.xxhash64("doc_id"), "rests")).cast("int")
+    met_chunks = F.sequence(F.when(in_main, F.col("mains")).otherwise(0), F.col("mains") + F.col("rests") - 1)
+    others = others.withColumn("chunk", chunk).withColumn("other", F.explode(met_chunks))
     blocks = others.select(
         F.xxhash64("band", F.least("chunk", "other"), F.greatest("chunk", "other")).alias("block"), "doc_id", "n_shingles", "component",
         F.when(F.col("chunk") < F.col("other"), 1).when(F.col("chunk") > F.col("other"), 2).otherwise(0).alias("side"),
