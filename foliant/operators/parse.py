@@ -1,9 +1,9 @@
 """Pages to node rows.
 
-A page row is cut into tokens by one regular expression, a fold over the tokens keeps the stack of
-open elements, and the resulting nodes are exploded. All of that is a narrow projection: no shuffle
-and no Python worker. Positions count openings *and* closings, so ``pos < other < end_pos`` says
-"inside", and an element's children start at ``pos + 1``.
+A page row is cut into tokens by regular expressions, a scan over the kinds and tags of the tokens keeps
+the stack of open elements, and the resulting nodes are exploded. The scan is an Arrow function that sees
+one short code per token, no text; all else is built-in. Positions count openings *and* closings, so
+``pos < other < end_pos`` says "inside", and an element's children start at ``pos + 1``.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from foliant.functions.text import NON_SPACE, decode_attribute, decode_text, let, span
+from foliant.functions.text import NON_SPACE, decode_attribute, decode_text, let
 
 # Elements without content, and elements whose text is not part of the plain text.
 VOID_TAGS = [
@@ -28,25 +28,33 @@ KEEP_SPACE_TAGS = ["pre", "textarea"]
 
 # The runs are possessive, so neither long values nor long texts recurse in the regex engine.
 _ATTRIBUTES = r"""(?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+')|=)*+"""
-TOKEN = (
-    r"(?is)"
-    r"(?:[^<]++|<(?![a-z!?/]))++"  # text, with any bare less-than sign
-    r"|<!--.*?--\s*>"
-    rf"|<(script|style)(?=[\s/>]){_ATTRIBUTES}(?<!/)>(?:.*?</\s*\1\s*>|.*+)"
-    r"|</\s*[a-z][^>]*>"
-    rf"|<[a-z]{_ATTRIBUTES}>"
-    r"|<[!?/][^>]*>"  # declaration, instruction, malformed comment
-    r"|<"
-)
+
+
+def _token_pattern(comments: bool, sections: bool) -> str:
+    """One token. A comment or marked section that never ends takes the rest of the page, to be cut again.
+
+    So the search for its end fails once, not at each later opening. The same holds for a rest without any ``>``.
+    """
+    return (
+        r"(?is)"
+        r"(?:[^<]++|<(?![a-z!?/]))++"  # text, with any bare less-than sign
+        r"|<[^>]*+\z"
+        + (r"|<!--(?:.*?--\s*>|.*+)" if comments else "")
+        + (r"|<!\[cdata\[(?:.*?\]\s*\]\s*>|.*+)" if sections else "")
+        + rf"|<(script|style)(?=[\s/>]){_ATTRIBUTES}(?<!/)>(?:.*?</\s*\1\s*>|.*+)"
+        r"|</\s*[a-z][^>]*>"
+        rf"|<[a-z]{_ATTRIBUTES}>"
+        r"|<[!?/][^>]*>"  # declaration, instruction, malformed comment
+        r"|<"
+    )
+
+
+_OPEN_COMMENT = r"(?s)^<!--(?!.*--\s*>$)"
+_SECTION = r"(?is)^<!\[cdata\[(.*)\]\s*\]\s*>$"
+_OPEN_SECTION = r"(?is)^<!\[cdata\[(?!.*\]\s*\]\s*>$)"
 _ATTRIBUTE = r"""([^\s/>][^\s/=>]*+)(?:\s*+=++\s*+("[^"]*+"|'[^']*+'|(?!['"])[^>\s]*+))?+"""
 _START_TAG = rf"(?is)^<[a-z][^\s/>]*+({_ATTRIBUTES})>"
 
-_ROW = "struct<pos: int, ord: int, parent: int, depth: int>"
-_END = "struct<pos: int, end_pos: int>"
-_STATE = (
-    f"struct<tags: array<string>, opens: array<int>, next: int, seen: int, rows: array<{_ROW}>, shut: array<{_END}>>"
-)
-
 
 def _token(t: Column) -> Column:
     """Kind and tag of one token."""
@@ -54,135 +62,54 @@ def _token(t: Column) -> Column:
     # A slash that ends an unquoted value does not close the tag.
     self_closing = F.endswith(t, F.lit("/>")) & ~t.rlike(r"""=\s*[^\s"'>]*/>$""")
     kind = (
-        F.when(~F.startswith(t, F.lit("<")), F.lit("text"))
+        F.when(~F.startswith(t, F.lit("<")) | ~F.contains(t, F.lit(">")), F.lit("text"))
         .when(t.rlike("^</\\s*[a-zA-Z]"), F.lit("close"))
         .when(t.rlike("^<[a-zA-Z]"), F.when(tag.isin("script", "style") & ~self_closing, F.lit("raw"))
               .when(self_closing | tag.isin(VOID_TAGS), F.lit("void"))
               .otherwise(F.lit("open")))
         .when(t == "</>", F.lit("none"))
-        .when(t.rlike(r"(?s)^<!--(?!.*--\s*>$)"), F.lit("text"))  # never closed: stays text
+        .when(t.rlike(_OPEN_COMMENT), F.lit("text"))  # never closed: stays text
+        .when(t.rlike(_SECTION) | t.rlike(_OPEN_SECTION), F.lit("text"))
         .when(t.rlike("^<[!?/]"), F.lit("comment"))
         .otherwise(F.lit("text"))
     )
     return F.struct(kind.alias("kind"), tag.alias("tag"), t.alias("raw"))
 
 
-def _state(tags, opens, next_pos, seen, rows, shut) -> Column:
-    """A fold state. No cast here: casting would copy the arrays at every token."""
-    names = ("tags", "opens", "next", "seen", "rows", "shut")
-    return F.struct(*[c.alias(n) for c, n in zip((tags, opens, next_pos, seen, rows, shut), names)])
-
-
-def _step(acc: Column, token: Column) -> Column:
-    """Take one token: push an element, add a leaf, or pop to the matching open element."""
-    tags, opens, pos, seen, rows, shut = (acc[n] for n in ("tags", "opens", "next", "seen", "rows", "shut"))
-    kind = token["kind"]
-
-    def row(at: Column | None, order: Column | None) -> Column:
-        none = F.lit(None).cast("int")
-        fields = (none if at is None else at, none if order is None else order, F.get(opens, F.lit(0)), F.size(opens))
-        return F.array_append(rows, F.struct(*[c.alias(n) for c, n in zip(fields, ("pos", "ord", "parent", "depth"))]))
-
-    def pop(hit: Column) -> Column:
-        ends = F.transform(F.slice(opens, 1, hit), lambda p, i: F.struct(p.alias("pos"), (pos + i).alias("end_pos")))
-        rest = lambda stack: F.slice(stack, hit + 1, F.size(stack))
-        return F.when(
-            hit > 0, _state(rest(tags), rest(opens), pos + hit, seen, row(None, None), F.concat(shut, ends))
-        ).otherwise(_state(tags, opens, pos, seen, row(None, None), shut))
-
-    return (
-        F.when(kind == "open", _state(F.array_prepend(tags, token["tag"]), F.array_prepend(opens, pos), pos + 1, seen + 1, row(pos, seen), shut))
-        .when(kind == "close", F.aggregate(F.array(F.array_position(tags, token["tag"]).cast("int")), acc, lambda _, hit: pop(hit)))
-        .when(kind == "none", _state(tags, opens, pos, seen, row(None, None), shut))
-        .otherwise(_state(tags, opens, pos + 1, seen, row(pos, None), shut))
-    )
-
-
-def _fold(tokens: Column) -> Column:
-    """Run the stack over all tokens.
-
-    Appending to an array copies it, so one long fold would be quadratic in the page. The tokens go
-    in chunks of about the square root of their number: inside a chunk only the chunk's own rows are
-    copied, between chunks only the list of chunks.
-    """
-    n = F.size(tokens)
-    chunk = F.ceil(F.sqrt(n + F.lit(1))).cast("int")
-    chunks = F.ceil(n / chunk).cast("int")
-    no_rows, no_ends = F.array().cast(f"array<{_ROW}>"), F.array().cast(f"array<{_END}>")
-    start = F.struct(
-        _state(F.array(F.lit("[document]")), F.array(F.lit(0)), F.lit(1), F.lit(1), no_rows, no_ends).alias("state"),
-        F.array().alias("rows"),
-        F.array().alias("shut"),
-    ).cast(f"struct<state: {_STATE}, rows: array<array<{_ROW}>>, shut: array<array<{_END}>>>")
-
-    def one_chunk(acc: Column, k: Column) -> Column:
-        old = acc["state"]
-        fresh = _state(old["tags"], old["opens"], old["next"], old["seen"], no_rows, no_ends)
-        last = F.least((k + 1) * chunk, n) - 1
-        # Binds ``new`` by a fold of one element: ``transform`` would copy its result, ``aggregate`` does not.
-        return F.aggregate(
-            F.array(F.aggregate(span(k * chunk, last), fresh, lambda s, i: _step(s, tokens[i]))),
-            acc,
-            lambda _, new: F.struct(
-                new.alias("state"),
-                F.array_append(acc["rows"], new["rows"]).alias("rows"),
-                F.array_append(acc["shut"], new["shut"]).alias("shut"),
-            ),
-        )
-
-    def finish(acc: Column) -> Column:
-        old = acc["state"]
-        left = F.transform(old["opens"], lambda p, i: F.struct(p.alias("pos"), (old["next"] + i).alias("end_pos")))
-        # Every element is closed exactly once, so sorted by position the closings line up with ``ord``.
-        ends = F.sort_array(F.concat(F.flatten(acc["shut"]), left))
-        return F.struct(F.flatten(acc["rows"]).alias("rows"), ends.alias("ends"))
-
-    def columns(done: Column) -> Column:
-        each = lambda name: F.transform(done["rows"], lambda r: r[name]).alias(name)
-        return F.struct(*map(each, ("pos", "ord", "parent", "depth")), F.transform(done["ends"], lambda e: e["end_pos"]).alias("ends"))
-
-    return let(F.aggregate(span(F.lit(0), chunks - 1), start, one_chunk, finish), columns)
-
-
-# Pages with more tag signs than this take the linear route: the fold copies the stack at every push,
-# which a deep page (thousands of unclosed tags) turns into quadratic work.
-GIANT_PAGE_TAGS = 300
-
 _LINKS = T.StructType([T.StructField(n, T.ArrayType(T.IntegerType())) for n in ("pos", "ord", "parent", "depth", "ends")])
 
 
 @F.pandas_udf(_LINKS)
-def _giant_links(codes: pd.Series) -> pd.DataFrame:
-    """The fold of a giant page in linear time. Other pages come as null and are passed over."""
+def _links(codes: pd.Series) -> pd.DataFrame:
+    """The stack of open elements, in one pass over the codes of a page's tokens."""
     names = ("pos", "ord", "parent", "depth", "ends")
     rows = []
     for page in codes:
-        out = {n: None if page is None else [] for n in names}
-        if page is not None:
-            stack, open_tags, ends, pos = [("[document]", 0, 0)], Counter(), {}, 1
-            for code in page.split(" ") if page else ():
-                kind, tag = code[0], code[1:]
-                is_node = kind not in "-0"
-                out["pos"].append(pos if is_node else None)
-                out["ord"].append(len(ends) + len(stack) if kind == "+" else None)
-                out["parent"].append(stack[-1][1])
-                out["depth"].append(len(stack))
-                if kind == "+":
-                    stack.append((tag, pos, len(ends) + len(stack)))
-                    open_tags[tag] += 1
-                if is_node:
-                    pos += 1
-                while kind == "-" and open_tags[tag]:
-                    name, _, order = stack.pop()
-                    open_tags[name] -= 1
-                    ends[order] = pos
-                    pos += 1
-                    if name == tag:
-                        break
-            for _, _, order in reversed(stack):
+        out = {n: [] for n in names}
+        stack, open_tags, ends, pos = [("[document]", 0, 0)], Counter(), {}, 1
+        for code in page.split(" ") if page else ():
+            kind, tag = code[0], code[1:]
+            is_node = kind not in "-0"
+            out["pos"].append(pos if is_node else None)
+            out["ord"].append(len(ends) + len(stack) if kind == "+" else None)
+            out["parent"].append(stack[-1][1])
+            out["depth"].append(len(stack))
+            if kind == "+":
+                stack.append((tag, pos, len(ends) + len(stack)))
+                open_tags[tag] += 1
+            if is_node:
+                pos += 1
+            while kind == "-" and open_tags[tag]:
+                name, _, order = stack.pop()
+                open_tags[name] -= 1
                 ends[order] = pos
                 pos += 1
-            out["ends"] = [ends[i] for i in range(len(ends))]
+                if name == tag:
+                    break
+        for _, _, order in reversed(stack):
+            ends[order] = pos
+            pos += 1
+        out["ends"] = [ends[i] for i in range(len(ends))]
         rows.append(out)
     return pd.DataFrame(rows, columns=list(names))
 
@@ -204,7 +131,7 @@ def _tree(tokens: Column, links: Column) -> Column:
         ),
     )
     nodes = lambda t: F.concat(F.array(page(t)), F.filter(found(t), lambda n: n["pos"].isNotNull()))
-    return let(F.when(links.isNull(), _fold(tokens)).otherwise(links), nodes)
+    return nodes(links)
 
 
 def _attributes(raw: Column) -> Column:
@@ -233,41 +160,54 @@ def _string(kind: Column, raw: Column) -> Column:
         .otherwise(F.regexp_extract(raw, r"(?s)^<[!?/](.*)>$", 1))
     )
     script = F.regexp_extract(raw, rf"(?is)^<(?:script|style){_ATTRIBUTES}>(.*)</\s*(?:script|style)\s*>$", 1)
-    return F.when(kind == "text", decode_text(raw)).when(kind == "comment", comment).when(kind == "raw", script)
+    section = F.regexp_extract(raw, _SECTION, 1)
+    string = F.when(raw.rlike(_SECTION), section).otherwise(decode_text(raw))
+    return F.when(kind == "text", string).when(kind == "comment", comment).when(kind == "raw", script)
 
 
-def _present(links: str) -> Column:
-    """A struct result of a pandas function is never null itself; its fields are."""
-    return F.when(F.col(links)["ends"].isNotNull(), F.col(links))
+def _cut_raw(html: Column, comments: bool = True, sections: bool = True) -> Column:
+    """The tokens of a text. Only the last one can be a comment or section without end; it is cut again."""
+    found = F.regexp_extract_all(html, F.lit(_token_pattern(comments, sections)), F.lit(0))
+    rests = []
+    if comments:
+        rests.append((_OPEN_COMMENT, (False, sections)))
+    if sections:
+        rests.append((_OPEN_SECTION, (comments, False)))
+
+    def settled(tokens: Column) -> Column:
+        last = F.try_element_at(tokens, F.lit(-1))
+        again = F.filter(F.array(last), lambda t: t.isNotNull())
+        for opening, kept in rests:
+            again = F.when(F.contains(last, F.lit(">")) & last.rlike(opening), _cut_raw(last, *kept)).otherwise(again)
+        return F.concat(F.slice(tokens, 1, F.greatest(F.size(tokens) - 1, F.lit(0))), again)
+
+    return let(found, settled) if rests else found
 
 
 def _cut(html: str) -> Column:
-    return F.transform(F.regexp_extract_all(html, F.lit(TOKEN), F.lit(0)), _token)
+    return F.transform(_cut_raw(F.col(html)), _token)
 
 
-def spread(pages: DataFrame, giant_page_tags: int) -> DataFrame:
-    """One exchange of the raw pages by page. Everything up to the Markdown reuses this partitioning.
+def spread(pages: DataFrame) -> DataFrame:
+    """The tokens of the pages and their links, in one exchange by page, whose partitioning is used up to the Markdown.
 
-    Giant pages get their links before it, in the scan stage: a Python stage does not report its
-    partitioning, so behind the exchange it would cost a second one.
+    The links come before it: a Python stage does not report its partitioning, so behind the exchange it would cost
+    a second one.
     """
     sign = lambda kind: F.when(kind == "open", "+").when(kind == "close", "-").when(kind == "none", "0").otherwise(".")
-    codes = F.array_join(F.transform(_cut("html"), lambda t: F.concat(sign(t["kind"]), t["tag"])), " ")
-    tags = F.length("html") - F.length(F.replace("html", F.lit("<"), F.lit("")))
-    linked = pages.select("page_id", "html", F.when(tags > giant_page_tags, codes).alias("codes")).select(
-        "page_id", "html", _giant_links("codes").alias("links")
-    )
-    return linked.select("page_id", "html", _present("links").alias("links")).repartition("page_id")
+    cut = pages.select("page_id", _cut("html").alias("tokens"))
+    codes = F.array_join(F.transform("tokens", lambda t: F.concat(sign(t["kind"]), t["tag"])), " ")
+    coded = cut.select("page_id", "tokens", codes.alias("codes"))
+    return coded.select("page_id", "tokens", _links("codes").alias("links")).repartition("page_id")
 
 
-def nodes(pages: DataFrame, giant_page_tags: int = GIANT_PAGE_TAGS) -> DataFrame:
+def nodes(pages: DataFrame) -> DataFrame:
     """Node table: page_id, pos, end_pos, parent, depth, kind, tag, attrs, classes, style, text, body extent.
 
     ``kind`` is document, element, text, comment or raw (a script or style element with its body as
     ``text``). ``body_pos``/``body_end`` span the first body, or the document if there is none.
     """
-    cut = spread(pages, giant_page_tags).select("page_id", _cut("html").alias("tokens"), "links")
-    trees = cut.select("page_id", _tree(F.col("tokens"), F.col("links")).alias("tree"))
+    trees = spread(pages).select("page_id", _tree(F.col("tokens"), F.col("links")).alias("tree"))
     bodies = F.filter("tree", lambda n: (n["tag"] == "body") & (n["kind"] == "open"))
     scope = trees.select("page_id", "tree", F.coalesce(F.get(bodies, F.lit(0)), F.get("tree", F.lit(0))).alias("scope"))
     rows = scope.select(

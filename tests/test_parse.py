@@ -1,5 +1,6 @@
-"""Node extraction against the standard library's HTML tokenizer, on both link routes."""
+"""Node extraction against the standard library's HTML tokenizer."""
 
+import time
 from html.parser import HTMLParser
 
 from foliant.operators.parse import VOID_TAGS, nodes
@@ -13,6 +14,10 @@ PAGES = [
     "<table><tr><td>1<table><tr><td>2</table><td>3</table>",
     "<a href=x/>link</a><input disabled/><p id=\"u\" hidden>q",
     "text only",
+    "<p>a<!-- b <i>c</i> <!-- d <b>e",
+    "<p>a<!-- b --> <!-- c <i>d</i> <![CDATA[ e <b>f</b>",
+    "<p>a <b c <d e",
+    "<p><![CDATA[x > y &amp; <b>]]></p><![cdata[ z <!-- w --> <i>v</i>",
     "",
 ]
 
@@ -40,6 +45,9 @@ class _Reader(HTMLParser):
     def handle_data(self, data):
         self.text.append(data)
 
+    def unknown_decl(self, data):
+        self.text.append(data[len("CDATA[") :])
+
 
 def _paths(rows):
     """Tag and ancestor tags of every element, from parent links."""
@@ -56,15 +64,14 @@ def _paths(rows):
     return out
 
 
-def test_tree_matches_tokenizer_on_both_routes(spark):
+def test_tree_matches_tokenizer(spark):
     pages = spark.createDataFrame(list(enumerate(PAGES)), "page_id long, html string")
-    routes = [nodes(pages, limit).drop("attrs", "classes").collect() for limit in (1_000_000, -1)]
-    assert sorted(map(tuple, routes[0]), key=str) == sorted(map(tuple, routes[1]), key=str)
+    found = nodes(pages).collect()
     for i, html in enumerate(PAGES):
         reader = _Reader()
         reader.feed(html)
         reader.close()
-        rows = [r for r in routes[0] if r.page_id == i]
+        rows = [r for r in found if r.page_id == i]
         assert _paths(rows) == reader.found, html
         texts = [r.text for r in sorted(rows, key=lambda r: r.pos) if r.kind in ("text", "raw")]
         assert "".join(texts) == "".join(reader.text), html
@@ -98,3 +105,18 @@ def test_deep_and_long_pages(spark):
     pages = [(1, "<p>ab" * 30_000), (2, "<p>ab</p>" * 30_000), (3, "<p>" + "a < b " * 50_000)]
     found = nodes(spark.createDataFrame(pages, "page_id long, html string")).groupBy("page_id").count().collect()
     assert {r.page_id: r["count"] for r in found} == {1: 60_001, 2: 60_001, 3: 3}
+
+
+def test_pages_without_ends_take_linear_time(spark):
+    pages = spark.createDataFrame([(1, "<!-- b " * 150_000), (2, "<a b " * 200_000), (3, "<p>" + "<!-- b > " * 100_000)], "page_id long, html string")
+    nodes(pages.limit(1)).count()
+    began = time.monotonic()
+    lengths = {r.page_id: r.n for r in nodes(pages).where("kind = 'text'").selectExpr("page_id", "length(text) n").groupBy("page_id").agg({"n": "sum"}).withColumnRenamed("sum(n)", "n").collect()}
+    assert time.monotonic() - began < 15
+    assert lengths == {1: 1_050_000, 2: 1_000_000, 3: 900_000}
+
+
+def test_sections_are_text_as_they_stand(spark):
+    rows = nodes(spark.createDataFrame([(1, "<p><![CDATA[x > y &amp; <b>]]></p>")], "page_id long, html string")).collect()
+    assert [r.text for r in rows if r.kind == "text"] == ["x > y &amp; <b>"]
+    assert [r.tag for r in rows if r.kind == "element"] == ["p"]
