@@ -3,11 +3,14 @@
 1. Generators propose spans by regular expressions, with more recall than precision: the four base patterns before their
    checks, e-mail addresses with the sign spelled out, telephone numbers without a country code. One pass over the
    texts writes, per document, how far its candidates lie apart and a few small features of their format and context.
-2. Running sums give places. A candidate that is, or overlaps, a checked base span counts as an example; the others
-   count against. Since all features are small integers, the whole corpus folds into one short table of counts.
-3. Trees of two levels are boosted on the table of one half of the candidates, and each kind's threshold is calibrated
-   on that of the other half: the least score at which ``PRECISION`` is reached. Features that define a base span
-   (its sign, its prefix) are left out, so look-alikes in the same format and context score as high.
+2. Running sums give places. A candidate that is, or overlaps, a checked base span counts as an example; a match of a
+   base pattern that fails its check counts against. Candidates of the other generators have no label unless a base
+   span covers them: they are neither learned from nor counted, however frequent they are. Since all features are
+   small integers, the whole corpus folds into one short table of counts.
+3. For each kind, trees of two levels are boosted on the table of one half of its labelled candidates, and its threshold
+   is calibrated on that of the other half: the least score at which ``PRECISION`` is reached. Features that define a
+   base span (its generator, its sign, its prefix) are left out, so look-alikes in the same format and context score
+   as high. A kind without labels has nothing against it: its candidates score one half and are added.
 4. The trees become a SQL expression. Base spans stay; candidates beside them are added from the threshold on.
 """
 
@@ -40,7 +43,7 @@ GENERATORS = [
 ]
 BASE = 4  # generators that are the base patterns
 HINTS = r"(?i)\b(?:e-?mail|mail|contact|tel|phone|call|mobile|fax|card|visa|credit|ip|address|host)\b"
-FEATURES = ["generator", "luhn", "n_digits", "format", "before", "after", "hint"]
+FEATURES = ["luhn", "n_digits", "format", "before", "after", "hint"]
 
 
 def _digits(c: Column) -> Column:
@@ -151,26 +154,29 @@ class Trees:
         return f"1 / (1 + exp(-({' + '.join([f'{self.first!r}D', *map(of, self.trees)])})))"
 
 
-def fit(flat: DataFrame) -> tuple[Trees, list[float]]:
-    """The trees, and a threshold for each kind (2 where no score is precise enough)."""
+def fit(flat: DataFrame) -> tuple[list[Trees], list[float]]:
+    """The trees and a threshold for each kind (2 where no score is precise enough)."""
     half = F.pmod(F.xxhash64("start", "end", "kind"), F.lit(2)).alias("half")  # alike however rows are dealt
+    labelled = flat.where((F.col("generator") < BASE) | F.col("covered"))
     # A row per combination of small integers: its size does not depend on the corpus.
-    table = flat.groupBy(half, "kind", *FEATURES).agg(F.sum((F.col("base") | F.col("covered")).cast("long")).alias("yes"), F.count(F.lit(1)).alias("n")).orderBy("half", "kind", *FEATURES).collect()
-    part = lambda h: [r for r in table if r["half"] == h]
+    table = labelled.groupBy(half, "kind", *FEATURES).agg(F.sum((F.col("base") | F.col("covered")).cast("long")).alias("yes"), F.count(F.lit(1)).alias("n")).orderBy("half", "kind", *FEATURES).collect()
     matrix = lambda rows: np.array([[r[f] for f in FEATURES] for r in rows], np.int64).reshape(-1, len(FEATURES))
     column = lambda rows, name: np.array([r[name] for r in rows], float)
-    learn, check = part(0), part(1)
-    trees = Trees(matrix(learn), column(learn, "yes"), column(learn, "n"))
-    thresholds = []
+    models, thresholds = [], []
     for kind in range(len(KINDS)):
-        rows = [r for r in check if r["kind"] == kind]
-        score, yes, n = trees.scores(matrix(rows)), column(rows, "yes"), column(rows, "n")
+        learn, check = ([r for r in table if r["kind"] == kind and r["half"] == h] for h in (0, 1))
+        trees = Trees(matrix(learn), column(learn, "yes"), column(learn, "n"))
+        models.append(trees)
+        score, yes, n = trees.scores(matrix(check)), column(check, "yes"), column(check, "n")
         order = np.argsort(-score, kind="stable")
         precision = np.cumsum(yes[order]) / np.maximum(np.cumsum(n[order]), 1)
         last = np.append(np.diff(score[order]) != 0, True)[: len(order)]  # rows of one score go together
         good = np.flatnonzero((precision >= PRECISION) & last)
-        thresholds.append(max(LEAST_SCORE, float(score[order][good[-1]]) - 1e-9) if len(good) else 2.0)
-    return trees, thresholds
+        if len(good) and good[-1] + 1 < len(order):  # half way to the next score, which is not precise enough
+            thresholds.append(max(LEAST_SCORE, float(score[order][good[-1] : good[-1] + 2].mean())))
+        else:
+            thresholds.append(2.0 if len(order) and not len(good) else LEAST_SCORE)
+    return models, thresholds
 
 
 def spans(docs: DataFrame, keep: list[str]) -> DataFrame:
@@ -180,8 +186,8 @@ def spans(docs: DataFrame, keep: list[str]) -> DataFrame:
     an empty table gives no rows.
     """
     rows, flat = candidates(docs, keep)
-    trees, thresholds = fit(flat)
-    flat = flat.withColumn("score", F.expr(trees.sql()))
+    models, thresholds = fit(flat)
+    flat = flat.withColumn("score", F.expr(f"case {' '.join(f'when kind = {k} then {trees.sql()}' for k, trees in enumerate(models))} end"))
     enough = F.col("score") >= F.get(F.array(*map(F.lit, thresholds)), F.col("kind"))
     span = F.struct(F.col("kind"), F.col("start"), F.col("end"))
     chosen = flat.where(F.col("base") | ~F.col("covered") & enough)

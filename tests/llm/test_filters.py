@@ -71,6 +71,23 @@ def test_spans_are_replaced_in_place(spark):
     assert pii.redact(docs).first()["text"] == "é😀 mail [EMAIL], ip [IP] end"
 
 
+@pytest.mark.parametrize(("base", "added"), [(300, 3), (20, 300), (0, 40)])
+def test_added_spans_are_found_rare_or_frequent(spark, base, added):
+    """Spelled-out addresses and numbers without country code beside base spans and beside matches that fail their check."""
+    texts = [f"please mail some.one{i}@host{i}.com or call +1 (555) 123-{i:04d} soon" for i in range(base)]
+    texts += [f"number {'4111111111111112'} and +{i % 10}-{i % 7} then" for i in range(60)]
+    extra = [(f"other{i} [at] site{i}.org", f"555-{100 + i}-{1000 + i}") for i in range(added)]
+    texts += [f"please mail {a} or call {b} soon" for a, b in extra]
+    texts = ["so " * (i % 7) + t for i, t in enumerate(texts)]  # matches of one kind at many places
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    found = {r["doc_id"]: r["spans"] for r in pii.summary(docs).collect()}
+    for i, (address, number) in enumerate(extra, base + 60):
+        lo, at = texts[i].index(address), texts[i].index(number)
+        want = {f"email:{lo}:{lo + len(address)}"} | ({f"phone:{at}:{at + len(number)}"} if base else set())
+        assert want <= set(found[i].split(","))
+    assert not [s for i in range(base, base + 60) if (s := found[i])]
+
+
 def test_toxicity_of_held_out_rows(spark):
     found = queries.ftrl_toxicity(spark, "/root/testdata/sf0.1").join(spark.read.parquet("/root/testdata/sf0.1/labels.parquet"), "doc_id").where("held_out").toPandas()
     toxic, predicted = found["toxic"] == 1, found["predicted"] == 1
