@@ -5,6 +5,9 @@ each sign kept. An occurrence of an item of n signs with at most e edits shares
 with the text, on diagonals (place in the text less place in the item) that differ by e at most. So every q-gram hit
 is counted in bands of diagonals, 2e wide and overlapping by e: any occurrence lies within one of them. Bands that
 reach the count are aligned, with only the diagonals of the band computed.
+
+Items of fewer than LEAST signs are searched for without edits; those of fewer than Q signs are looked up by digests of
+their length and must begin and end at a border of words.
 """
 
 from __future__ import annotations
@@ -22,7 +25,7 @@ from foliant.llm.hashing import between, prefix
 
 Q = 10
 EDITS = 0.06  # of an item's signs
-LEAST = 40  # signs that an item must have to be searched for
+LEAST = 40  # signs from which an item may have edits; shorter ones must occur exactly
 #: Characters of items that one broadcast index holds. More items are searched for in rounds of so many.
 INDEX_CHARS = 2_000_000
 
@@ -46,18 +49,35 @@ def normalise(text: str) -> tuple[np.ndarray, np.ndarray]:
     return lower[codes[at]], at
 
 
-def grams(signs: np.ndarray) -> np.ndarray:
-    """Hashes of all runs of Q signs."""
-    if len(signs) < Q:
+def grams(signs: np.ndarray, q: int = Q) -> np.ndarray:
+    """Hashes of all runs of q signs."""
+    if len(signs) < q:
         return np.zeros(0, np.uint64)
     parts = []
-    for lo in range(0, len(signs) - Q + 1, _SEGMENT):
-        table = prefix(signs[lo : lo + _SEGMENT + Q - 1])
-        start = np.arange(len(table) - Q)
-        parts.append(between(table, start, start + Q))
+    for lo in range(0, len(signs) - q + 1, _SEGMENT):
+        table = prefix(signs[lo : lo + _SEGMENT + q - 1])
+        start = np.arange(len(table) - q)
+        parts.append(between(table, start, start + q))
     return np.concatenate(parts)
 
 
+def allowed(size: int) -> int:
+    """Edits that an occurrence of so many signs may have."""
+    return int(size * EDITS) if size >= LEAST else 0
+
+
+def _spaced(sign: int) -> bool:
+    """Whether the sign is of a script that puts spaces between words."""
+    return not (0x0E00 <= sign <= 0x0FFF or 0x1000 <= sign <= 0x109F or 0x1780 <= sign <= 0x17FF or 0x3040 <= sign <= 0x30FF or 0x3400 <= sign <= 0x9FFF or 0xF900 <= sign <= 0xFAFF or sign >= 0x20000)
+
+
+def _border(signs: np.ndarray, where: np.ndarray, at: int) -> bool:
+    """Whether no word goes on from the sign before ``at`` to the one there."""
+    if at in (0, len(signs)) or where[at] > where[at - 1] + 1:
+        return True
+    return not (_spaced(int(signs[at - 1])) and _spaced(int(signs[at])))
+
+
 def band_distance(item: np.ndarray, text: np.ndarray, lo: int, hi: int, limit: int) -> tuple[int, int, int] | None:
     """Least edits of the item against any stretch of the text, on diagonals lo..hi only: (edits, start, end) or None.
 
@@ -100,13 +120,14 @@ class Index:
     place: np.ndarray
     least: np.ndarray  # q-grams that an occurrence of each item shares
     present: np.ndarray  # by the upper bits of a hash: whether the index may hold it
+    short: dict[int, tuple[np.ndarray, np.ndarray]]  # by length, below Q: sorted hashes and their items
 
     @classmethod
     def of(cls, items: list[tuple[int, str]]) -> "Index":
         ids, signs = [], []
         for item_id, text in items:
             found = normalise(text)[0]
-            if len(found) >= LEAST:
+            if len(found):
                 ids.append(item_id)
                 signs.append(found)
         parts = [grams(s) for s in signs]
@@ -116,26 +137,45 @@ class Index:
         order = np.argsort(hashes, kind="stable")
         present = np.zeros(1 << _FILTER_BITS, bool)
         present[hashes >> np.uint64(64 - _FILTER_BITS)] = True
-        least = np.array([len(s) - Q + 1 - Q * int(len(s) * EDITS) for s in signs], np.int64)
-        return cls(ids, signs, hashes[order], item[order].astype(np.int64), place[order].astype(np.int64), least, present)
+        least = np.array([max(1, len(s) - Q + 1 - Q * allowed(len(s))) for s in signs], np.int64)
+        short = {}
+        for size in sorted({len(s) for s in signs if len(s) < Q}):
+            own = np.array([i for i, s in enumerate(signs) if len(s) == size])
+            digests = np.array([grams(signs[i], size)[0] for i in own], np.uint64)
+            by_digest = np.argsort(digests, kind="stable")
+            short[size] = (digests[by_digest], own[by_digest])
+        return cls(ids, signs, hashes[order], item[order].astype(np.int64), place[order].astype(np.int64), least, present, short)
+
+    def _short(self, signs: np.ndarray, where: np.ndarray) -> list[tuple[int, int, int, int]]:
+        """Occurrences of the items of fewer than Q signs."""
+        found = []
+        for size, (digests, items) in self.short.items():
+            own = grams(signs, size)
+            first, last = np.searchsorted(digests, own, "left"), np.searchsorted(digests, own, "right")
+            for d in np.flatnonzero(last > first).tolist():
+                if _border(signs, where, d) and _border(signs, where, d + size):
+                    for i in items[first[d] : last[d]].tolist():
+                        if np.array_equal(signs[d : d + size], self.signs[i]):
+                            found.append((self.ids[i], int(where[d]), int(where[d + size - 1]) + 1, 0))
+        return found
 
     def search(self, text: str) -> list[tuple[int, int, int, int]]:
         """(item_id, start, end, edits) of the occurrences; the places are code points of the text."""
         signs, where = normalise(text)
+        found = self._short(signs, where)
         own = grams(signs)
         maybe = np.flatnonzero(self.present[own >> np.uint64(64 - _FILTER_BITS)])
         own = own[maybe]
         first, last = np.searchsorted(self.hashes, own, "left"), np.searchsorted(self.hashes, own, "right")
         n = last - first
         if not n.any():
-            return []
+            return found
         at = np.repeat(maybe, n)
         entry = np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())
         item, diagonal = self.item[entry], at - self.place[entry]
-        found = []
         for i in np.flatnonzero(np.bincount(item, minlength=len(self.ids)) >= self.least).tolist():
             mine, size = diagonal[item == i], len(self.signs[i])
-            edits = int(size * EDITS)
+            edits = allowed(size)
             width = edits + 1  # bands [k*width, (k+2)*width): they overlap by more than the edits
             bands, count = np.unique(np.concatenate([mine // width, mine // width - 1]), return_counts=True)
             straight, hits = np.unique(mine, return_counts=True)
@@ -176,9 +216,10 @@ def _rounds(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """One row per occurrence: doc_id, item_id, start, end (code points of the text, end exclusive), edits.
 
-    Items of under 40 letters and digits, null items and null or empty texts give nothing. Every round of items
-    reads the texts once, so a benchmark of any size is searched for whole. Repeated rows report each; other
-    columns are not looked at.
+    Items of under 40 letters and digits are found where they occur without edits, those of under 10 as whole words only.
+    Null items, items without letter or digit and null or empty texts give nothing. Every round of items reads the
+    texts once, so a benchmark of any size is searched for whole. Repeated rows report each; other columns are not
+    looked at.
     """
     source = docs.where("text is not null").select(F.col("doc_id").cast("long"), "text")
     fields = "doc_id long, item_id long, start long, end long, edits int"

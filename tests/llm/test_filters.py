@@ -144,6 +144,16 @@ def test_leaks(spark):
     assert decontamination.leaks(docs, bench.where("false")).count() == 0 and decontamination.leaks(docs.where("false"), bench).count() == 0
 
 
+def test_short_items_are_found_exactly(spark):
+    items = [(1, "What is the capital of France?"), (2, "Who won?"), (3, "首都"), (4, "cat"), (5, "..."), (6, "Who won?")]
+    texts = ["Quiz: WHAT is the capital, of France - Paris", "what is the capitol of France", "so who  won the cup", "法国的首都是哪里", "concatenate", "a Cat. cat", "whowonder"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    found = sorted((r["doc_id"], r["item_id"], texts[r["doc_id"]][r["start"] : r["end"]], r["edits"]) for r in decontamination.leaks(docs, bench).collect())
+    assert found == [(0, 1, "WHAT is the capital, of France", 0), (2, 2, "who  won", 0), (2, 6, "who  won", 0), (3, 3, "首都", 0), (5, 4, "Cat", 0), (5, 4, "cat", 0)]
+    assert {r["doc_id"] for r in decontamination.decontaminate(docs, bench).collect()} == {1, 4, 6}
+
+
 def test_pipeline(spark):
     """Each stage against the operator's own decisions on its own input."""
     docs = spark.read.parquet(f"{SF}/documents.parquet")
