@@ -8,6 +8,10 @@ reach the count are aligned, with only the diagonals of the band computed.
 
 Items of fewer than LEAST signs are searched for without edits; those of fewer than Q signs are looked up by digests of
 their length and must begin and end at a border of words.
+
+Items of more than SEGMENT signs are also searched for in parts: segments of SEGMENT signs that overlap by half, each
+with its own edits and count of q-grams. So any stretch of one and a half segments is found. Segments that follow one
+another in item and text become one occurrence, unless one of the whole item covers them.
 """
 
 from __future__ import annotations
@@ -26,6 +30,7 @@ from foliant.llm.hashing import between, prefix
 Q = 10
 EDITS = 0.06  # of an item's signs
 LEAST = 40  # signs from which an item may have edits; shorter ones must occur exactly
+SEGMENT = 64  # signs of a part of an item: some dozen words
 #: Characters of items that one broadcast index holds. More items are searched for in rounds of so many.
 INDEX_CHARS = 2_000_000
 
@@ -66,6 +71,10 @@ def allowed(size: int) -> int:
     return int(size * EDITS) if size >= LEAST else 0
 
 
+#: q-grams that an occurrence of a segment shares.
+_SEGMENT_LEAST = SEGMENT - Q + 1 - Q * allowed(SEGMENT)
+
+
 def _spaced(sign: int) -> bool:
     """Whether the sign is of a script that puts spaces between words."""
     return not (0x0E00 <= sign <= 0x0FFF or 0x1000 <= sign <= 0x109F or 0x1780 <= sign <= 0x17FF or 0x3040 <= sign <= 0x30FF or 0x3400 <= sign <= 0x9FFF or 0xF900 <= sign <= 0xFAFF or sign >= 0x20000)
@@ -173,33 +182,82 @@ class Index:
         at = np.repeat(maybe, n)
         entry = np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())
         item, diagonal = self.item[entry], at - self.place[entry]
-        for i in np.flatnonzero(np.bincount(item, minlength=len(self.ids)) >= self.least).tolist():
-            mine, size = diagonal[item == i], len(self.signs[i])
-            edits = allowed(size)
-            width = edits + 1  # bands [k*width, (k+2)*width): they overlap by more than the edits
-            bands, count = np.unique(np.concatenate([mine // width, mine // width - 1]), return_counts=True)
-            straight, hits = np.unique(mine, return_counts=True)
-            for d in straight[hits == size - Q + 1].tolist():  # all q-grams on one diagonal: no edits
-                if d >= 0 and np.array_equal(signs[d : d + size], self.signs[i]):
-                    found.append((self.ids[i], int(where[d]), int(where[d + size - 1]) + 1, 0))
-                    bands, count = (x[(bands != d // width) & (bands != d // width - 1)] for x in (bands, count))
-            done = None
-            for band in bands[count >= self.least[i]].tolist():
-                base = max(0, band * width)
-                shift = band * width - base  # diagonals before the text begins
-                hit = band_distance(self.signs[i], signs[base : base + 2 * width + size + edits], shift, shift + 2 * width - 1, edits)
-                if hit is None:
-                    continue
-                start, end = int(where[base + max(0, hit[1])]), int(where[min(len(where), base + hit[2]) - 1]) + 1
-                if done and start < done[2]:  # the overlapping band saw the same one
-                    if hit[0] < done[3]:
-                        found[-1] = done = (self.ids[i], start, end, hit[0])
-                    continue
-                done = (self.ids[i], start, end, hit[0])
-                found.append(done)
+        total = np.bincount(item, minlength=len(self.ids))
+        size = np.array([len(x) for x in self.signs])
+        least = np.where(size > SEGMENT, np.minimum(self.least, _SEGMENT_LEAST), self.least)
+        for i in np.flatnonzero(total >= least).tolist():
+            own = item == i
+            mine, begin = diagonal[own], at[own]
+            hits = _occurrences(signs, self.signs[i], mine, int(self.least[i])) if total[i] >= self.least[i] else []
+            if size[i] > SEGMENT:
+                free = np.ones(len(begin), bool)
+                for start, end, _ in hits:
+                    free &= (begin < start) | (begin >= end)
+                if free.sum() >= _SEGMENT_LEAST:
+                    hits += [h for h in _parts(signs, self.signs[i], mine[free], begin[free]) if not any(h[0] < end and start < h[1] for start, end, _ in hits)]
+            found += [(self.ids[i], int(where[start]), int(where[end - 1]) + 1, edits) for start, end, edits in hits]
         return found
 
 
+def _occurrences(signs: np.ndarray, part: np.ndarray, mine: np.ndarray, least: int) -> list[tuple[int, int, int]]:
+    """(start, end, edits) of ``part`` among the signs of a text, from the diagonals of its q-gram hits."""
+    found, size, edits = [], len(part), allowed(len(part))
+    width = edits + 1  # bands [k*width, (k+2)*width): they overlap by more than the edits
+    bands, count = np.unique(np.concatenate([mine // width, mine // width - 1]), return_counts=True)
+    straight, hits = np.unique(mine, return_counts=True)
+    for d in straight[hits == size - Q + 1].tolist():  # all q-grams on one diagonal: no edits
+        if d >= 0 and np.array_equal(signs[d : d + size], part):
+            found.append((d, d + size, 0))
+            bands, count = (x[(bands != d // width) & (bands != d // width - 1)] for x in (bands, count))
+    done = None
+    for band in bands[count >= least].tolist():
+        base = max(0, band * width)
+        shift = band * width - base  # diagonals before the text begins
+        hit = band_distance(part, signs[base : base + 2 * width + size + edits], shift, shift + 2 * width - 1, edits)
+        if hit is None:
+            continue
+        start, end = base + max(0, hit[1]), min(len(signs), base + hit[2])
+        if done and start < done[1]:  # the overlapping band saw the same one
+            if hit[0] < done[2]:
+                found[-1] = done = (start, end, hit[0])
+            continue
+        done = (start, end, hit[0])
+        found.append(done)
+    return found
+
+
+def _parts(signs: np.ndarray, whole: np.ndarray, mine: np.ndarray, begin: np.ndarray) -> list[tuple[int, int, int]]:
+    """(start, end, edits) of stretches that hold segments of an item; edits are those of the stretch."""
+    place = begin - mine
+    hits = []  # start and end in the text, start and end in the item, edits
+    for lo in [*range(0, len(whole) - SEGMENT, SEGMENT // 2), len(whole) - SEGMENT]:
+        inside = (place >= lo) & (place <= lo + SEGMENT - Q)
+        if inside.sum() >= _SEGMENT_LEAST:
+            part = whole[lo : lo + SEGMENT]
+            hits += [(start, end, lo, lo + SEGMENT, edits) for start, end, edits in _occurrences(signs, part, mine[inside] + lo, _SEGMENT_LEAST)]
+    runs = []
+    for hit in sorted(hits):
+        last = runs[-1] if runs else None
+        slack = last and last[4] + hit[4]
+        if last and hit[0] < last[1] and last[2] <= hit[2] <= last[3] and abs((hit[0] - hit[2]) - (last[0] - last[2])) <= slack:
+            start, end, lo, hi = last[0], max(last[1], hit[1]), last[2], max(last[3], hit[3])
+            base = max(0, start - slack)
+            exact = band_distance(whole[lo:hi], signs[base : end + slack], 0, start - base + slack, slack)
+            runs[-1] = (start, end, lo, hi, exact[0] if exact else slack)
+        elif last and hit[0] < last[1]:  # a stretch that repeats within the item
+            runs[-1] = (last[0], max(last[1], hit[1]), *last[2:])
+        else:
+            runs.append(hit)
+    found = []
+    for start, end, lo, hi, edits in runs:
+        while lo and start and signs[start - 1] == whole[lo - 1]:
+            start, lo = start - 1, lo - 1
+        while hi < len(whole) and end < len(signs) and signs[end] == whole[hi]:
+            end, hi = end + 1, hi + 1
+        found.append((start, end, edits))
+    return found
+
+
 def _rounds(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
     """The items in lists of INDEX_CHARS characters at most (one item at least), one list at a time."""
     held, size = [], 0
@@ -217,6 +275,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """One row per occurrence: doc_id, item_id, start, end (code points of the text, end exclusive), edits.
 
     Items of under 40 letters and digits are found where they occur without edits, those of under 10 as whole words only.
+    Of items of more than 64, parts are found too: any stretch of 96, or a segment of 64 from a multiple of 32 on or at
+    the end; start, end and edits are then those of the part, and an item may have several rows.
     Null items, items without letter or digit and null or empty texts give nothing. Every round of items reads the
     texts once, so a benchmark of any size is searched for whole. Repeated rows report each; other columns are not
     looked at.

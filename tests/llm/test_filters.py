@@ -154,6 +154,23 @@ def test_short_items_are_found_exactly(spark):
     assert {r["doc_id"] for r in decontamination.decontaminate(docs, bench).collect()} == {1, 4, 6}
 
 
+def test_parts_of_long_items_are_found(spark):
+    rng = random.Random(3)
+    item = prose(rng, 120)
+    half, middle = item[: len(item) // 2], item[400:540]
+    texts = [f"{prose(rng, 30)} {x} {prose(rng, 30)}" for x in (half, middle, item, item[:30], item[:300].replace("a", "4", 4))]
+    texts.append(f"{item[-200:]} {prose(rng, 40)} {half}")
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bench = spark.createDataFrame([(7, item)], "item_id long, text string")
+    found = {}
+    for r in decontamination.leaks(docs, bench).collect():
+        found.setdefault(r["doc_id"], []).append((texts[r["doc_id"]][r["start"] : r["end"]], r["edits"]))
+    assert set(found) == {0, 1, 2, 4, 5} and found[2] == [(item, 0)]
+    assert [len(found[k]) for k in (0, 1, 4, 5)] == [1, 1, 1, 2]
+    assert half.strip() in found[0][0][0] and found[0][0][1] <= 3  # the last segment may reach beyond the half, at an edit a sign
+    assert middle.strip() in found[1][0][0] and 0 < found[4][0][1] <= 4
+
+
 def test_pipeline(spark):
     """Each stage against the operator's own decisions on its own input."""
     docs = spark.read.parquet(f"{SF}/documents.parquet")
