@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +32,7 @@ class Encoder:
     A text is cut before each space. The pattern of the vocabulary never joins signs across such a cut,
     so the ids of the units, one after the other, are the ids of the text, and a unit that repeats is
     encoded once. A new unit is cut by the pattern itself into words, of which most are known. Texts with
-    runs of white space around a cut are encoded whole.
+    runs of white space around a cut, or with an added token of the vocabulary, are encoded whole.
     """
 
     def __init__(self, path: str):
@@ -40,7 +41,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their names in a text are ordinary text
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]  # found before the pattern cuts
+        self.whole = "|".join([_UNSAFE, *(re.escape(t) for t in added)])
         self.words = regex.compile(public_tokenizers.PATTERN).findall
         # A byte is one sign of the vocabulary's alphabet.
         self.n_bytes = np.zeros(self.tokenizer.get_vocab_size(), np.int64)
@@ -78,7 +80,7 @@ class Encoder:
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
         if len(texts) == 0:
             return np.zeros(0, "<u4"), np.zeros(1, np.int64)
-        whole = pc.match_substring_regex(texts, _UNSAFE)
+        whole = pc.match_substring_regex(texts, self.whole)
         pieces = pc.split_pattern(pc.if_else(whole, "", texts), " ")
         first_at = pieces.offsets.to_numpy()[:-1]
         coded = pieces.flatten().dictionary_encode()

@@ -7,6 +7,7 @@ import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from foliant.llm import packing, sharding, tokenfiles
 from foliant.llm.tokens import Encoder, vocabulary
@@ -35,6 +36,14 @@ def test_ids_are_those_of_whole_texts(encode):
         assert ids[at[i] : at[i + 1]].tolist() == encode(text)
 
 
+def test_added_tokens_have_their_own_ids():
+    tokenizer = Tokenizer.from_file(vocabulary())
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|> it's", "<|endoftext |>", "plain text", "a  <|endoftext|>\n"]
+    ids, at = Encoder(vocabulary()).encode(pa.array(texts))
+    assert [ids[lo:hi].tolist() for lo, hi in zip(at, at[1:])] == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    assert ids[: at[1]].tolist() == [64, 220, 50256, 275]
+
+
 def test_pieces_and_places(docs, encode):
     rows = packing.pack(docs, with_ids=True).collect()
     by_doc = {}
