@@ -40,6 +40,58 @@ _APACHE_HEADER = (
     'to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF '
     "ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."
 )
+_BSD_GRANT = (
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following "
+    "conditions are met:"
+)
+_BSD_CLAUSES = [
+    "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
+    "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer "
+    "in the documentation and/or other materials provided with the distribution.",
+    "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived "
+    "from this software without specific prior written permission.",
+]
+_BSD_WARRANTIES = [
+    f'THIS SOFTWARE IS PROVIDED BY THE {by} AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, '
+    "THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE "
+    f"{no} OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT "
+    "LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED "
+    "AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY "
+    "WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+    for by in ("COPYRIGHT HOLDERS", "COPYRIGHT HOLDER")
+    for no in ("COPYRIGHT HOLDER", "COPYRIGHT HOLDERS")
+]
+_UNLICENSE = (
+    "This is free and unencumbered software released into the public domain.\n\n"
+    "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a "
+    "compiled binary, for any purpose, commercial or non-commercial, and by any means.\n\n"
+    "In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in "
+    "the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our "
+    "heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future "
+    "rights to this software under copyright law.\n\n"
+    f"{_MIT_WARRANTY.replace('AUTHORS OR COPYRIGHT HOLDERS', 'AUTHORS')}\n\n"
+    "For more information, please refer to <https://unlicense.org"
+)
+_MPL_HEADER = (
+    "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed "
+    "with this file, You can obtain one at https://mozilla.org/MPL/2.0/."
+)
+
+
+def _gnu(licence: str, name: str, work: str, version: str) -> list[tuple[str, str, str]]:
+    """The header of a GNU licence, and its first paragraph."""
+    first = (
+        f"This {work} is free software: you can redistribute it and/or modify it under the terms of the GNU {name} as published by the "
+        f"Free Software Foundation, either version {version} of the License, or (at your option) any later version."
+    )
+    second = (
+        f"This {work} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of "
+        f"MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {name} for more details."
+    )
+    third = f"You should have received a copy of the GNU {name} along with this {work}. If not, see <https://www.gnu.org/licenses/>."
+    return [(licence, "header", f"{first}\n\n{second}\n\n{third}"), (licence, "header", first)]
+
+
 KNOWN = [
     ("MIT", "text", f"{_MIT_GRANT}\n\n{_MIT_NOTICE}\n\n{_MIT_WARRANTY}"),
     ("MIT", "text", f"MIT License\n\n{_MIT_GRANT}\n\n{_MIT_NOTICE}\n\n{_MIT_WARRANTY}"),
@@ -62,7 +114,25 @@ KNOWN = [
     ("CC-BY-NC-4.0", "notice", "Licensed under CC BY-NC 4.0."),
     ("CC-BY-4.0", "notice", "Licensed under CC BY 4.0."),
     ("MIT", "notice", "SPDX-License-Identifier: MIT"),
-]
+    *(
+        (f"BSD-{n}-Clause", "text", title + "\n\n".join([_BSD_GRANT, *(f"{k if numbered else '*'} {c}" for k, c in enumerate(_BSD_CLAUSES[:n], 1)), warranty]))
+        for n in (2, 3)
+        for title in ("", f"BSD {n}-Clause License\n\n")
+        for numbered in (True, False)
+        for warranty in _BSD_WARRANTIES
+    ),
+    *(("BSD", "part", warranty) for warranty in _BSD_WARRANTIES),
+    *(("Unlicense", "text", f"{_UNLICENSE}{end}>") for end in ("", "/")),
+    ("MPL-2.0", "header", _MPL_HEADER),
+    *_gnu("GPL-2.0", "General Public License", "program", "2"),
+    *_gnu("GPL-3.0", "General Public License", "program", "3"),
+    *_gnu("LGPL-2.1", "Lesser General Public License", "library", "2.1"),
+    *_gnu("LGPL-3.0", "Lesser General Public License", "library", "3"),
+    *((name.removesuffix("-only").removesuffix("-or-later"), "notice", f"SPDX-License-Identifier: {name}") for name in (
+        "BSD-2-Clause", "BSD-3-Clause", "ISC", "MPL-2.0", "Unlicense", "GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0-or-later",
+        "LGPL-2.1-only", "LGPL-2.1-or-later", "LGPL-3.0-only", "LGPL-3.0-or-later", "CC-BY-4.0", "CC-BY-NC-4.0",
+    )),
+]
 #: Spellings that count as one, after case and punctuation are gone. Whole words.
 SPELLINGS = [
     ("licence", "license"), ("licenced", "licensed"), ("sublicence", "sublicense"), ("sub license", "sublicense"),
@@ -84,17 +154,20 @@ def canonical(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, " +", " "))
 
 
-def known(spark: SparkSession) -> DataFrame:
-    """licence, form and digest of the known texts: a fixed table of a few rows."""
+def known(spark: SparkSession, texts: DataFrame | None = None) -> DataFrame:
+    """licence, form and digest of the known texts: a fixed table of a few rows, and those of ``texts``."""
     rows = spark.createDataFrame(KNOWN, "licence string, form string, text string")
+    if texts is not None:
+        given = texts.select("licence", "form", "text")
+        rows = rows.unionByName(given.where(F.length(canonical(F.col("text"))) > 0))
     return rows.select("licence", "form", F.sha2(canonical(F.col("text")), 256).alias("digest")).distinct()
 
 
-def scan(docs: DataFrame) -> DataFrame:
+def scan(docs: DataFrame, texts: DataFrame | None = None) -> DataFrame:
     """One row per unit that is a known text: doc_id, unit (document, paragraph or line), place (from 0), licence, form.
 
     Null and empty texts, and units without letter or digit, give nothing. Repeated rows report each; other columns are
-    not looked at.
+    not looked at. ``texts`` (licence, form, text) adds known texts; with it units are looked up whatever words they have.
     """
     lines, paragraphs = F.split("text", "\n"), F.split("text", r"\n[ \t]*\n")
     unit = lambda kind: lambda t, i: F.struct(F.lit(kind).alias("unit"), i.cast("int").alias("place"), t.alias("part"))
@@ -103,7 +176,9 @@ def scan(docs: DataFrame) -> DataFrame:
         F.transform(paragraphs, unit("paragraph")),
         F.transform(lines, unit("line")),
     )
-    marked = docs.where(F.col("text").rlike(MARKS)).select("doc_id", "text")
-    found = marked.select("doc_id", F.inline(F.filter(units, lambda u: u["part"].rlike(MARKS))))
+    marks = (lambda c: c.rlike(MARKS)) if texts is None else (lambda c: F.length(c) > 0)
+    marked = docs.where(marks(F.col("text"))).select("doc_id", "text")
+    found = marked.select("doc_id", F.inline(F.filter(units, lambda u: marks(u["part"]))))
     found = found.select("doc_id", "unit", "place", F.sha2(canonical(F.col("part")), 256).alias("digest"))
-    return found.join(F.broadcast(known(docs.sparkSession)), "digest").select("doc_id", "unit", "place", "licence", "form")
+    names = known(docs.sparkSession, texts)
+    return found.join(F.broadcast(names) if texts is None else names, "digest").select("doc_id", "unit", "place", "licence", "form")

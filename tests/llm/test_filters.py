@@ -115,6 +115,19 @@ def test_known_licences(spark):
     assert not {r for r in found if r[0] > 2}
 
 
+def test_common_and_given_licences(spark):
+    bsd = next(t for name, form, t in licences.KNOWN if name == "BSD-3-Clause" and form == "text")
+    texts = [
+        f"Copyright (c) 2001, A. Body\n{bsd}".replace("must", "MUST"), "SPDX-License-Identifier: LGPL-2.1-or-later", "// code\n\n" + licences._MPL_HEADER,
+        "Grant  of Own Terms, one!", "SPDX-License-Identifier: Own",
+    ]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {(r["doc_id"], r["unit"], r["licence"]) for r in licences.scan(docs).collect()}
+    assert {(0, "document", "BSD-3-Clause"), (1, "line", "LGPL-2.1"), (2, "paragraph", "MPL-2.0")} <= found and {r[0] for r in found} == {0, 1, 2}
+    own = spark.createDataFrame([("Own", "text", "grant of own terms one"), ("None", "text", "...")], "licence string, form string, text string")
+    assert (3, "document", "Own") in {(r["doc_id"], r["unit"], r["licence"]) for r in licences.scan(docs, own).collect()}
+
+
 def test_leaks(spark):
     rng = random.Random(9)
     items = [(i, prose(rng, rng.randrange(8, 40))) for i in range(30)] + [(90, None), (91, "short"), (None, prose(rng, 20))]
