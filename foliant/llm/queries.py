@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm import capfilter, decontamination, licences, minhash, packing, pii, repeats, sharding, tokenfiles, toxicity
+from foliant.llm import capfilter, decontamination, licences, minhash, packing, pii, repeats, resampling, sharding, tokenfiles, toxicity
+from foliant.llm.oracles import ORACLES  # noqa: F401 - the entry reads both
 from foliant.llm.staging import new_path
 
 
@@ -60,6 +61,11 @@ def qgram_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def prefix_crc_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 QUERIES = {
     "op1_minhash_near_duplicates": minhash_near_duplicates,
     "op2_cap_filter_vectors": cap_filter_vectors,
@@ -71,6 +77,5 @@ QUERIES = {
     "op8_histogram_sharding": histogram_sharding,
     "op9_suffix_repeats": suffix_repeats,
     "op10_qgram_decontamination": qgram_decontamination,
+    "op11_prefix_crc_resampling": prefix_crc_resampling,
 }
-
-ORACLES: dict[str, str] = {}
