@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm import capfilter, decontamination, licences, minhash, packing, pii, repeats, resampling, sharding, tokenfiles, toxicity
+from foliant.llm import capfilter, decontamination, licences, minhash, packing, pii, prefixtrie, repeats, resampling, sharding, substrings, tokenfiles, toxicity
 from foliant.llm.oracles import ORACLES  # noqa: F401 - the entry reads both
 from foliant.llm.staging import new_path
 
@@ -66,6 +66,14 @@ def prefix_crc_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_features", "weight", "score", "rank")
 
 
+def anchor_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.drop_repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+def sparse_table_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefixtrie.prefix_trie(table(spark, sf_dir, "conversations")).drop("key", "parent_key")
+
+
 QUERIES = {
     "op1_minhash_near_duplicates": minhash_near_duplicates,
     "op2_cap_filter_vectors": cap_filter_vectors,
@@ -78,4 +86,6 @@ QUERIES = {
     "op9_suffix_repeats": suffix_repeats,
     "op10_qgram_decontamination": qgram_decontamination,
     "op11_prefix_crc_resampling": prefix_crc_resampling,
+    "op12_anchor_substrings": anchor_substrings,
+    "op13_sparse_table_trie": sparse_table_trie,
 }
