@@ -21,6 +21,7 @@ from itertools import compress
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -63,9 +64,15 @@ def word_parts(text: bytes) -> Iterator[list[bytes]]:
         at = end
 
 
-def word_hashes(text: bytes) -> np.ndarray:
-    parts = [np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words)) for words in word_parts(text)]
-    return np.concatenate(parts) if parts else np.zeros(0, np.uint64)
+def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of all texts in a row, and where each text's words begin (one more entry than texts)."""
+    lists = pc.ascii_split_whitespace(texts.view(pa.string()))
+    words = lists.flatten()
+    real = pc.greater(pc.binary_length(words), 0).to_numpy(zero_copy_only=False)
+    coded = words.dictionary_encode()
+    known = np.fromiter(map(_hashes.__getitem__, coded.dictionary.view(pa.binary()).to_pylist()), np.uint64, len(coded.dictionary))
+    begin = np.append(0, np.cumsum(real))[lists.offsets.to_numpy() - lists.offsets[0].as_py()]
+    return known[coded.indices.to_numpy()[real]], begin
 
 
 def _runs(words: np.ndarray, size: int) -> Iterator[np.ndarray]:
@@ -85,15 +92,21 @@ def _least(values: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
-def seeds(words: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(seed, context, first window, number of windows) of all seeds of a document, in parts of bounded size."""
+def seeds(words: np.ndarray, begin: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(seed, context, first window, number of windows) of all seeds of some documents, whose words stand in a row: document i
+    has those from ``begin[i]`` on. Windows are numbered by their first word; none crosses documents. In parts of bounded size."""
+    number = np.repeat(np.arange(len(begin) - 1), np.diff(begin))
     for base in range(0, len(words) - WINDOW + 1, _WORD_PART):
-        by_size = dict(enumerate(_runs(words[base : base + _WORD_PART + WINDOW - 1], WINDOW), 1))
+        end = base + _WORD_PART + WINDOW - 1
+        by_size = dict(enumerate(_runs(words[base:end], WINDOW), 1))
         seed, window = by_size[SEED], by_size[WINDOW]
         at = np.arange(len(seed), dtype=np.uint64)
         held = _least((seed & ~_PLACE) | at, _PER_WINDOW) & _PLACE  # by window
-        first = np.flatnonzero(np.diff(held, prepend=_PLACE + np.uint64(1)) != 0)
-        n = np.diff(np.append(first, len(held)))
+        whole = np.flatnonzero(number[base : base + len(held)] == number[base + WINDOW - 1 : base + WINDOW - 1 + len(held)])
+        if not len(whole):
+            continue
+        new = np.flatnonzero(np.diff(held[whole], prepend=_PLACE + np.uint64(1)) != 0)
+        first, n = whole[new], np.diff(np.append(new, len(whole)))
         place = held[first]
         # Two windows cover a context: it is at most 2 * WINDOW - SEED words long.
         shape = (place - first.astype(np.uint64)) * np.uint64(64) + n.astype(np.uint64)
@@ -115,37 +128,45 @@ _SIGNED = np.int64
 
 
 def _find_seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["seed", "context", "doc_id", "key", "first", "n"]
     for whole in batches:
         for b in slices(whole, "text"):
-            for doc_id, key, text in zip(*(b.column(c).to_pylist() for c in ("doc_id", "key", "text"))):
-                for seed, context, first, n in seeds(word_hashes(text)):
-                    same = [pa.array(np.full(len(seed), v)) for v in (doc_id, key)]
-                    yield pa.record_batch([pa.array(seed.view(_SIGNED)), pa.array(context.view(_SIGNED)), *same, pa.array(first.astype(np.int32)), pa.array(n.astype(np.int32))], names=names)
+            words, begin = word_hashes(b.column("text"))
+            doc_id, key = (b.column(c).to_numpy() for c in ("doc_id", "key"))
+            for seed, context, first, n in seeds(words, begin):
+                doc = np.searchsorted(begin, first, "right") - 1
+                columns = [seed.view(_SIGNED), context.view(_SIGNED), doc_id[doc], key[doc], (first - begin[doc]).astype(np.int32), n.astype(np.int32)]
+                yield pa.record_batch([pa.array(c) for c in columns], names=["seed", "context", "doc_id", "key", "first", "n"])
 
 
-def _batched(rows: Iterator[pa.RecordBatch], most: int = 1 << 16) -> Iterator[pa.RecordBatch]:
-    """Rows in batches of about ``most``."""
-    held: list[pa.RecordBatch] = []
-    for b in rows:
-        held.append(b)
-        if sum(h.num_rows for h in held) >= most:
-            yield pa.concat_batches(held)
-            held = []
-    if held:
-        yield pa.concat_batches(held)
+def _extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        words, begin = word_hashes(_unpacked(b.column("packed")))
+        doc_id, key, opened = b.column("doc_id").to_numpy(), b.column("key").to_numpy(), b.column("open")
+        runs = opened.flatten()
+        seed, first, n = (runs.field(c).to_numpy().astype(np.int64) for c in ("seed", "first", "n"))
+        doc = np.repeat(np.arange(b.num_rows), np.diff(opened.offsets.to_numpy()))
+        h, which = windows(words, first + begin[doc], n)
+        nth = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
+        columns = [seed[which], h.view(_SIGNED), doc_id[doc[which]], key[doc[which]], (first[which] + nth).astype(np.int32)]
+        yield pa.record_batch([pa.array(c) for c in columns], names=["seed", "window", "doc_id", "key", "first"])
 
 
-def _extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["seed", "window", "doc_id", "key", "first"]
-    for whole in batches:
-        for b in slices(whole, "text"):
-            for doc_id, key, text, open_ in zip(*(b.column(c).to_pylist() for c in ("doc_id", "key", "text", "open"))):
-                seed, first, n = (np.array([o[c] for o in open_], np.int64) for c in ("seed", "first", "n"))
-                h, which = windows(word_hashes(text), first, n)
-                at = first[which] + np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
-                same = [pa.array(np.full(len(h), v)) for v in (doc_id, key)]
-                yield pa.record_batch([pa.array(seed[which]), pa.array(h.view(_SIGNED)), *same, pa.array(at.astype(np.int32))], names=names)
+_codec = pa.Codec("zstd", 1)
+
+
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts compressed, so that they take less in a shuffle; eight bytes before each give its size."""
+    for b in batches:
+        packed = [None if t is None else len(t).to_bytes(8, "little") + _codec.compress(t, asbytes=True) for t in b.column("text").to_pylist()]
+        yield pa.record_batch([b.column("doc_id"), b.column("key"), pa.array(packed, pa.binary())], names=["doc_id", "key", "packed"])
+
+
+def _unpack(packed: bytes | None) -> bytes:
+    return _codec.decompress(packed[8:], int.from_bytes(packed[:8], "little"), asbytes=True) if packed else b""
+
+
+def _unpacked(packed: pa.Array) -> pa.Array:
+    return pa.array([_unpack(p) for p in packed.to_pylist()], pa.binary())
 
 
 def _source(docs: DataFrame) -> DataFrame:
@@ -153,6 +174,10 @@ def _source(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), text.alias("text"), F.xxhash64(text).alias("key"))
 
 
+def _travelling(source: DataFrame) -> DataFrame:
+    return source.mapInArrow(_pack, "doc_id long, key long, packed binary")
+
+
 def repeats(docs: DataFrame) -> DataFrame:
     """The windows of each document that also start in a document with a smaller doc_id: doc_id, key (a hash of the text)
     and ``runs``, an array of (first window, number of windows) in words from 0, unordered; runs may touch or overlap.
@@ -160,7 +185,7 @@ def repeats(docs: DataFrame) -> DataFrame:
     Documents without such windows have no row. See ``drop_repeats`` for nulls, ties and repeated rows.
     """
     source = _source(docs).where("doc_id is not null and text is not null")
-    found = source.mapInArrow(lambda bs: _batched(_find_seeds(bs)), "seed long, context long, doc_id long, key long, first int, n int")
+    found = source.mapInArrow(_find_seeds, "seed long, context long, doc_id long, key long, first int, n int")
     shared = found.groupBy("seed").agg(
         F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.min("context").alias("c0"), F.max("context").alias("c1")
     )
@@ -172,10 +197,8 @@ def repeats(docs: DataFrame) -> DataFrame:
     contexts = matched.where("not settled")
     by_context = contexts.join(contexts.groupBy("seed", "context").agg(F.min("doc_id").alias("least")), ["seed", "context"])
     opened = by_context.where("doc_id = least").groupBy("doc_id", "key").agg(F.collect_set(F.struct("seed", "first", "n")).alias("open"))
-    extended = source.join(opened, ["doc_id", "key"]).mapInArrow(
-        lambda bs: _batched(_extend(bs)), "seed long, window long, doc_id long, key long, first int"
-    )
-    extended = stage(extended, "windows")
+    reopened = _travelling(source).join(opened, ["doc_id", "key"]).select("doc_id", "key", "packed", "open")
+    extended = stage(reopened.mapInArrow(_extend, "seed long, window long, doc_id long, key long, first int"), "windows")
     by_window = extended.join(extended.groupBy("seed", "window").agg(F.min("doc_id").alias("least")), ["seed", "window"])
     runs = (
         matched.where("settled").select(*run)
@@ -201,10 +224,10 @@ def _cut(keep_text: bool):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out: dict[str, list] = {"n_words": [], "n_removed": [], "kept_sha256": [], "repeats": [], "kept_text": []}
-            for text, runs in zip(b.column("text").to_pylist(), b.column("runs").to_pylist()):
+            for packed, runs in zip(b.column("packed").to_pylist(), b.column("runs").to_pylist()):
                 spans = maximal(runs or [])
                 digest, n_words, kept, texts = hashlib.sha256(), 0, 0, []
-                for words in word_parts(text or b""):
+                for words in word_parts(_unpack(packed)):
                     stays = np.ones(len(words), bool)
                     for lo, hi in spans - n_words:
                         stays[max(0, lo) : max(0, hi)] = False
@@ -236,4 +259,4 @@ def drop_repeats(docs: DataFrame, keep_text: bool = False) -> DataFrame:
     table gives no rows, and other columns are not looked at.
     """
     fields = "doc_id long, n_words long, n_removed long, kept_sha256 string, repeats array<array<long>>" + ", kept_text string" * keep_text
-    return _source(docs).join(repeats(docs), ["doc_id", "key"], "left").mapInArrow(_cut(keep_text), fields)
+    return _travelling(_source(docs)).join(repeats(docs), ["doc_id", "key"], "left").mapInArrow(_cut(keep_text), fields)

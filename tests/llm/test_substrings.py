@@ -63,14 +63,16 @@ def test_kept_text_and_repeats(spark):
 
 def test_repeats_are_maximal():
     runs = [{"first": 30, "n": 2}, {"first": 0, "n": 1}, {"first": 13, "n": 1}, {"first": 14, "n": 3}]
-    assert substrings.maximal(runs).tolist() == [[0, 44]]
+    assert substrings.maximal(runs).tolist() == [[0, 29], [30, 44]]
     assert substrings.maximal([{"first": 0, "n": 1}, {"first": 14, "n": 1}]).tolist() == [[0, 13], [14, 27]]
 
 
 def test_every_window_has_one_seed():
     words = np.random.default_rng(1).integers(0, 6, 500).astype(np.uint64)
-    spans = [(int(f), int(n)) for seed in substrings.seeds(words) for f, n in zip(seed[2], seed[3])]
-    assert sorted(w for f, n in spans for w in range(f, f + n)) == list(range(500 - WINDOW + 1))
+    begin = np.array([0, 0, 200, 212, 225, 500])  # an empty document, one too short, one of a single window
+    spans = [(int(f), int(n)) for seed in substrings.seeds(words, begin) for f, n in zip(seed[2], seed[3])]
+    want = [w for lo, hi in zip(begin, begin[1:]) for w in range(lo, hi - WINDOW + 1)]
+    assert sorted(w for f, n in spans for w in range(f, f + n)) == want
 
 
 def test_one_very_long_text_and_empty_table(spark):
