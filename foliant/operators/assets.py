@@ -1,56 +1,66 @@
-"""Side tables of a conversion: manifest, diagram sources, counts, image references, capture plan, listing."""
+"""Side tables of a conversion: manifest, diagram sources, counts, image references, capture plan, listing.
+
+Most of them are read off one row per page (see ``Conversion.table``): ``bs`` are its blocks with the numbers of their images,
+``blocks`` the same with their Markdown, ``candidates`` the elements that selectors find. Nothing of that is joined or grouped.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from foliant.functions import sql
+from foliant.functions.rows import spread
 from foliant.functions.text import asset_name
-from foliant.operators.classify import _below, _tag, style_contains
+from foliant.operators.outline import IMAGED
 
 # The image reference of Markdown.
 IMAGE_REFERENCE = r"!\[([^\]]*)\]\(([^)]+)\)"
 
+_ENTRY = "named_struct('type', b.kind, 'index', b.asset_index, 'filename', b.asset_file, 'selector', cast(NULL AS string))"
+_ENTRIES = f"transform(filter(bs, b -> b.asset_index IS NOT NULL), b -> {_ENTRY})"
+_SOURCES = """transform(filter(blocks, b -> b.diagram_index IS NOT NULL),
+    b -> named_struct('idx', b.diagram_index, 'name', format_string('mermaid_%02d.mmd', b.diagram_index), 'source', b.body))"""
+
+
+def candidates(types: list[str]) -> Column:
+    """Elements that a capture by selector would find: an array of (type, ordinal within the type, node_pos). ``types`` are those of the
+    selectors with which the page was outlined. An element may be a candidate for several types.
+    """
+    types = sql.strings(types)
+    return F.expr(f"transform(ix.c_type, (t, i) -> struct(array({types})[t] AS type, ix.c_ordinal[i] AS ordinal, ix.c_pos[i] AS node_pos))")
+
+
+def loads_diagrams() -> Column:
+    """Does a page load the diagram script?"""
+    return F.exists("tokens", lambda t: F.coalesce((t["kind"] == "raw") & (t["tag"] == "script") & F.contains(t["attrs"]["src"], F.lit("mermaid")), F.lit(False)))
 
-def manifest(blocks: DataFrame) -> DataFrame:
+
+def manifest(table: DataFrame) -> DataFrame:
     """One row per image that a page's Markdown refers to, numbered over all types in page order."""
-    return blocks.filter(F.col("asset_index").isNotNull()).select(
-        "page_id",
-        F.col("kind").alias("type"),
-        F.col("asset_index").alias("index"),
-        F.col("asset_file").alias("filename"),
-        F.lit(None).cast("string").alias("selector"),
-    )
+    return spread(table, F.expr(_ENTRIES), "page_id")
 
 
-def manifest_json(blocks: DataFrame) -> DataFrame:
-    """The manifest of each page as one JSON array; pages without images have an empty one."""
-    entry = F.struct(
-        F.col("kind").alias("type"), F.col("asset_index").alias("index"), F.col("asset_file").alias("filename"),
-        F.lit(None).cast("string").alias("selector"),
-    )
-    entries = F.sort_array(F.collect_list(F.when(F.col("asset_index").isNotNull(), F.struct(F.col("asset_index").alias("n"), entry.alias("entry")))))
-    listed = blocks.groupBy("page_id").agg(F.transform(entries, lambda e: e["entry"]).alias("entries"))
-    return listed.select("page_id", F.to_json("entries", {"ignoreNullFields": "false"}).alias("manifest"))
+def manifest_json() -> Column:
+    """The manifest of a page as one JSON array; a page without images has an empty one."""
+    return F.to_json(F.expr(_ENTRIES), {"ignoreNullFields": "false"})
 
 
-def mermaid_sources(blocks: DataFrame) -> DataFrame:
-    return blocks.filter(F.col("diagram_index").isNotNull()).select(
-        "page_id",
-        F.col("diagram_index").alias("idx"),
-        asset_name(F.lit("mermaid"), F.col("diagram_index"), "mmd").alias("name"),
-        F.col("body").alias("source"),
-    )
+def mermaid_sources(table: DataFrame) -> DataFrame:
+    return spread(table, F.expr(_SOURCES), "page_id")
 
 
-def page_stats(blocks: DataFrame) -> DataFrame:
-    """Counts per page. The row of kind ``page`` keeps pages without blocks, with zeros."""
-    return blocks.groupBy("page_id").agg(
-        F.count("diagram_index").alias("mermaid_count"),
-        F.count("asset_index").alias("screenshot_count"),
-        F.count_if(F.col("kind") == "table").alias("table_count"),
-        F.sum(F.col("n_callouts").cast("bigint")).alias("callout_count"),
-    )
+def stats() -> list[Column]:
+    """The counts of a page, from kinds and numbers alone: nothing is rendered for them."""
+    count = lambda condition: F.expr(f"cast(size(filter(bs, b -> {condition})) AS bigint)")
+    return [
+        count("b.diagram_index IS NOT NULL").alias("mermaid_count"), count("b.asset_index IS NOT NULL").alias("screenshot_count"),
+        count("b.kind = 'table'").alias("table_count"), F.expr("aggregate(bs, 0L, (n, b) -> n + b.n_callouts)").alias("callout_count"),
+    ]
+
+
+def page_stats(table: DataFrame) -> DataFrame:
+    return table.select("page_id", *stats())
 
 
 def resolved(path: Column) -> Column:
@@ -73,8 +83,8 @@ def image_refs(markdown: DataFrame, files: DataFrame) -> DataFrame:
     distinct paths keeps one row per reference however often a path is listed.
     """
     ref = lambda i: F.regexp_extract_all("md", F.lit(IMAGE_REFERENCE), F.lit(i))
-    found = markdown.select("page_id", F.explode(F.arrays_zip(ref(1).alias("alt"), ref(2).alias("ref"))).alias("r"))
-    local = found.select("page_id", "r.alt", "r.ref").filter(~F.col("ref").rlike("^https?://"))
+    found = spread(markdown, F.arrays_zip(ref(1).alias("alt"), ref(2).alias("ref")), "page_id")
+    local = found.filter(~F.col("ref").rlike("^https?://"))
     known = files.groupBy("page_id", resolved(F.col("path")).alias("path")).agg(F.lit(True).alias("_known"))
     matched = local.withColumn("path", resolved(F.col("ref"))).join(known, ["page_id", "path"], "left")
     return matched.select("page_id", "alt", "ref", F.col("_known").isNull().alias("is_missing"))
@@ -84,88 +94,71 @@ def missing_images(refs: DataFrame) -> DataFrame:
     return refs.filter("is_missing").select("page_id", "alt", "ref")
 
 
-def _for_all(pages: DataFrame, counts: DataFrame) -> DataFrame:
-    """Counts for every page, zero where there was nothing to count."""
+def missing_image_count(pages: DataFrame, refs: DataFrame) -> DataFrame:
+    """Counts for every page, zero where nothing is missing."""
+    counts = refs.groupBy("page_id").agg(F.count_if("is_missing").alias("missing_count"))
     return pages.select("page_id").distinct().join(counts, "page_id", "left").na.fill(0)
 
 
-def missing_image_count(pages: DataFrame, refs: DataFrame) -> DataFrame:
-    return _for_all(pages, refs.groupBy("page_id").agg(F.count_if("is_missing").alias("missing_count")))
+def plan() -> Column:
+    """The n-th manifest entry of a type takes the n-th candidate of that type, if there is one: an array of (type, ordinal,
+    filename, node_pos, status)."""
 
+    def of_type(found: str) -> str:
+        entry = f"""struct(b.kind AS type, i + 1 AS ordinal, b.asset_file AS filename, get({found}, i).node_pos AS node_pos,
+            if(get({found}, i) IS NULL, 'missing', 'found') AS status)"""
+        return f"transform(filter(bs, b -> b.kind = ty AND b.asset_index IS NOT NULL), (b, i) -> {entry})"
 
-def capture_candidates(kinds: DataFrame) -> DataFrame:
-    """Elements that a capture by selector would find: page_id, type, ordinal, node_pos.
+    each = sql.let("filter(candidates, c -> c.type = ty)", of_type)
+    return F.expr(f"flatten(transform(array({sql.strings(IMAGED)}), ty -> {each}))")
 
-    An element may be a candidate for several types. The class tests on parts look at the whole
-    attribute, as a selector does; the others at single class names.
-    """
-    part = lambda text: F.contains(F.coalesce(F.col("attrs")["class"], F.lit("")), F.lit(text))
-    name = lambda *names: F.arrays_overlap("classes", F.array(*map(F.lit, names)))
-    in_grid = _below(F.col("tag").isNotNull() & style_contains("grid-template-columns"))
-    rules = {
-        "hero": _tag("header") | part("hero"),
-        "stat_cards": name("stat-cards") | part("stats"),
-        "progress_bar": part("progress"),
-        "timeline": part("timeline"),
-        "mermaid": name("mermaid-wrapper", "mermaid"),
-        "comparison": _tag("div") & style_contains("grid-template-columns") & ~name("stats-row"),
-        "visual_component": _tag("div") & style_contains("border") & style_contains("border-radius") & style_contains("padding")
-        & F.col("first_table").isNotNull() & ~F.col("_in_grid"),
-    }
-    elements = kinds.withColumn("_in_grid", in_grid).filter(F.col("kind").isin("element", "raw"))
-    types = F.array_compact(F.array(*[F.when(rule, F.lit(kind)) for kind, rule in rules.items()]))
-    hits = elements.select("page_id", F.explode(types).alias("type"), F.col("pos").alias("node_pos"))
-    order = Window.partitionBy("page_id", "type").orderBy("node_pos")
-    return hits.select("page_id", "type", F.row_number().over(order).alias("ordinal"), "node_pos")
-
-
-def capture_plan(manifest: DataFrame, candidates: DataFrame) -> DataFrame:
-    """The n-th manifest entry of a type takes the n-th candidate of that type, if there is one."""
-    order = Window.partitionBy("page_id", "type").orderBy("index")
-    wanted = manifest.select("page_id", "type", F.row_number().over(order).alias("ordinal"), "filename")
-    return wanted.join(candidates, ["page_id", "type", "ordinal"], "left").select(
-        "page_id", "type", "ordinal", "filename", "node_pos",
-        F.when(F.col("node_pos").isNull(), "missing").otherwise("found").alias("status"),
-    )
+
+def capture_candidates(table: DataFrame) -> DataFrame:
+    return spread(table, F.col("candidates"), "page_id")
 
 
-def capture_summary(pages: DataFrame, plan: DataFrame) -> DataFrame:
-    of = lambda status, name: F.count_if(F.col("status") == status).alias(name)
-    return _for_all(pages, plan.groupBy("page_id").agg(of("found", "success"), of("missing", "failed")))
+def capture_plan(table: DataFrame) -> DataFrame:
+    return spread(table, F.col("plan"), "page_id")
 
 
-def mermaid_png_names(sources: DataFrame) -> DataFrame:
-    """Diagram images are numbered by the sorted source name, not by the manifest."""
-    rank = F.row_number().over(Window.partitionBy("page_id").orderBy("name"))
-    return sources.select("page_id", "name", asset_name(F.lit("mermaid"), rank).alias("filename"))
+def capture_summary(table: DataFrame) -> DataFrame:
+    """Counts for every page, zero where there was nothing to capture."""
+    count = lambda status: F.size(F.filter("plan", lambda p: p["status"] == status)).cast("bigint")
+    return table.select("page_id", count("found").alias("success"), count("missing").alias("failed"))
 
 
-def mermaid_name_gaps(manifest: DataFrame, png_names: DataFrame) -> DataFrame:
+def png_names() -> Column:
+    """Diagram images are numbered by the sorted source name, not by the manifest: an array of (name, filename)."""
+    names = F.sort_array(F.transform(F.expr("filter(bs, b -> b.diagram_index IS NOT NULL)"), lambda b: asset_name(F.lit("mermaid"), b["diagram_index"], "mmd")))
+    return F.transform(names, lambda n, i: F.struct(n.alias("name"), asset_name(F.lit("mermaid"), i + 1).alias("filename")))
+
+
+def mermaid_png_names(table: DataFrame) -> DataFrame:
+    return spread(table, F.col("png_names"), "page_id")
+
+
+def mermaid_name_gaps(table: DataFrame) -> DataFrame:
     """Diagram images referred to but not drawn under that name, and the other way round."""
-    referred = manifest.filter(F.col("type") == "mermaid").select("page_id", "filename", F.lit(True).alias("referenced"))
-    drawn = png_names.select("page_id", "filename", F.lit(True).alias("rendered"))
-    both = referred.join(drawn, ["page_id", "filename"], "full").na.fill(False, ["referenced", "rendered"])
-    return both.filter(F.col("referenced") != F.col("rendered"))
-
-
-def bundle_index(markdown: DataFrame, sources: DataFrame, plan: DataFrame, png_names: DataFrame) -> DataFrame:
-    """Files of each page's export: page_id, path, kind."""
-    image = lambda df, kind: df.select("page_id", F.concat(F.lit("images/"), "filename").alias("path"), F.lit(kind).alias("kind"))
-    per_page = F.inline(
-        F.array(
-            F.struct(F.lit("output.md").alias("path"), F.lit("markdown").alias("kind")),
-            F.struct(F.lit("screenshot_manifest.json").alias("path"), F.lit("manifest").alias("kind")),
-        )
+    names = table.select(
+        "page_id", F.expr("transform(filter(bs, b -> b.diagram_index IS NOT NULL), b -> b.asset_file)").alias("referred"),
+        F.transform("png_names", lambda p: p["filename"]).alias("drawn"),
+    )
+    one_way = lambda a, b, referred: F.transform(
+        F.array_except(a, b), lambda f: F.struct(f.alias("filename"), F.lit(referred).alias("referenced"), F.lit(not referred).alias("rendered"))
     )
-    fixed = markdown.select("page_id", per_page)
-    diagrams = sources.select("page_id", F.concat(F.lit("mermaid_sources/"), "name").alias("path"), F.lit("mermaid").alias("kind"))
-    images = image(plan.filter(F.col("status") == "found"), "image").unionByName(image(png_names, "image")).distinct()
-    return fixed.unionByName(diagrams).unionByName(images)
+    return spread(names, F.concat(one_way("referred", "drawn", True), one_way("drawn", "referred", False)), "page_id")
 
 
-def mermaid_pages(nodes: DataFrame) -> DataFrame:
-    """Does a page load the diagram script?"""
-    loads = F.coalesce((F.col("tag") == "script") & F.contains(F.col("attrs")["src"], F.lit("mermaid")), F.lit(False))
-    return nodes.groupBy("page_id").agg(F.bool_or(loads).alias("has_mermaid"))
+def files() -> Column:
+    """Files of a page's export: an array of (path, kind)."""
+    file = lambda path, kind: F.struct(path.alias("path"), F.lit(kind).alias("kind"))
+    below = lambda folder, name, kind: file(F.concat(F.lit(folder), name), kind)
+    fixed = F.array(file(F.lit("output.md"), "markdown"), file(F.lit("screenshot_manifest.json"), "manifest"), file(F.lit("images/full_page.png"), "image"))
+    diagrams = F.transform("png_names", lambda p: below("mermaid_sources/", p["name"], "mermaid"))
+    found = F.transform(F.filter("plan", lambda p: p["status"] == "found"), lambda p: below("images/", p["filename"], "image"))
+    drawn = F.transform("png_names", lambda p: below("images/", p["filename"], "image"))
+    return F.concat(fixed, diagrams, F.array_union(found, drawn))
 
 
+def bundle_index(table: DataFrame) -> DataFrame:
+    return spread(table, files(), "page_id")

@@ -1,30 +1,19 @@
-"""Pages to node rows.
+"""Pages to outlines, and outlines to node rows.
 
-A page row is cut into tokens by regular expressions, a scan over the kinds and tags of the tokens keeps
-the stack of open elements, and the resulting nodes are exploded. The scan is an Arrow function that sees
-one short code per token, no text; all else is built-in. Positions count openings *and* closings, so
-``pos < other < end_pos`` says "inside", and an element's children start at ``pos + 1``.
+A page stays one row: regular expressions cut it into tokens, SQL answers the local questions to each, and ``outline`` turns
+these answers into the arrays of the page's tree. Nothing is shuffled, sorted or joined, and the text does not pass through Python.
+Positions count openings *and* closings, so ``pos < other < end_pos`` says "inside".
 """
 
 from __future__ import annotations
 
-from collections import Counter
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from foliant.functions import sql
 from foliant.functions.text import NON_SPACE, decode_attribute, decode_text, let
-
-# Elements without content, and elements whose text is not part of the plain text.
-VOID_TAGS = [
-    "area", "base", "basefont", "bgsound", "br", "col", "command", "embed", "frame", "hr", "image",
-    "img", "input", "isindex", "keygen", "link", "menuitem", "meta", "nextid", "param", "source",
-    "spacer", "track", "wbr",
-]
-HIDDEN_TEXT_TAGS = ["rt", "rp", "template"]
-KEEP_SPACE_TAGS = ["pre", "textarea"]
+from foliant.operators import outline as tree
+from foliant.operators.predicates import KINDS, SELECTORS, VOID_TAGS, Selection, local_bits, selection
 
 # The runs are possessive, so neither long values nor long texts recurse in the regex engine.
 _ATTRIBUTES = r"""(?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+')|=)*+"""
@@ -76,64 +65,6 @@ def _token(t: Column) -> Column:
     return F.struct(kind.alias("kind"), tag.alias("tag"), t.alias("raw"))
 
 
-_LINKS = T.StructType([T.StructField(n, T.ArrayType(T.IntegerType())) for n in ("pos", "ord", "parent", "depth", "ends")])
-
-
-@F.pandas_udf(_LINKS)
-def _links(codes: pd.Series) -> pd.DataFrame:
-    """The stack of open elements, in one pass over the codes of a page's tokens."""
-    names = ("pos", "ord", "parent", "depth", "ends")
-    rows = []
-    for page in codes:
-        out = {n: [] for n in names}
-        stack, open_tags, ends, pos = [("[document]", 0, 0)], Counter(), {}, 1
-        for code in page.split(" ") if page else ():
-            kind, tag = code[0], code[1:]
-            is_node = kind not in "-0"
-            out["pos"].append(pos if is_node else None)
-            out["ord"].append(len(ends) + len(stack) if kind == "+" else None)
-            out["parent"].append(stack[-1][1])
-            out["depth"].append(len(stack))
-            if kind == "+":
-                stack.append((tag, pos, len(ends) + len(stack)))
-                open_tags[tag] += 1
-            if is_node:
-                pos += 1
-            while kind == "-" and open_tags[tag]:
-                name, _, order = stack.pop()
-                open_tags[name] -= 1
-                ends[order] = pos
-                pos += 1
-                if name == tag:
-                    break
-        for _, _, order in reversed(stack):
-            ends[order] = pos
-            pos += 1
-        out["ends"] = [ends[i] for i in range(len(ends))]
-        rows.append(out)
-    return pd.DataFrame(rows, columns=list(names))
-
-
-def _tree(tokens: Column, links: Column) -> Column:
-    """Array of node structs for one page: the document node, then one per opening, text or comment."""
-    page = lambda t: F.struct(
-        F.lit(0).alias("pos"), t["ends"][0].alias("end_pos"),
-        F.lit(None).cast("int").alias("parent"), F.lit(0).alias("depth"),
-        F.lit("document").alias("kind"), F.lit("[document]").alias("tag"), F.lit("").alias("raw"),
-    )
-    found = lambda t: F.transform(
-        t["pos"],
-        lambda pos, i: F.struct(
-            pos.alias("pos"),
-            F.when(t["ord"][i].isNotNull(), t["ends"][t["ord"][i]]).otherwise(pos).alias("end_pos"),
-            t["parent"][i].alias("parent"), t["depth"][i].alias("depth"),
-            tokens[i]["kind"].alias("kind"), tokens[i]["tag"].alias("tag"), tokens[i]["raw"].alias("raw"),
-        ),
-    )
-    nodes = lambda t: F.concat(F.array(page(t)), F.filter(found(t), lambda n: n["pos"].isNotNull()))
-    return nodes(links)
-
-
 def _attributes(raw: Column) -> Column:
     """Attributes as a map, names in lower case and sorted; of a repeated name the last value counts."""
     body = F.regexp_extract(raw, _START_TAG, 1)
@@ -184,51 +115,55 @@ def _cut_raw(html: Column, comments: bool = True, sections: bool = True) -> Colu
     return let(found, settled) if rests else found
 
 
-def _cut(html: str) -> Column:
-    return F.transform(_cut_raw(F.col(html)), _token)
+def _content(token: Column) -> Column:
+    """Attributes of a tag, and the string of a text, comment or script."""
+    kind, raw = token["kind"], token["raw"]
+    is_tag = kind.isin("open", "void", "raw")
+    attrs = F.when(is_tag & raw.rlike(r"^<[^>\s/]+[\s/]+[^>\s/]"), _attributes(raw))
+    return F.struct(kind.alias("kind"), token["tag"].alias("tag"), attrs.alias("attrs"), _string(kind, raw).alias("text"))
 
 
-def spread(pages: DataFrame) -> DataFrame:
-    """The tokens of the pages and their links, in one exchange by page, whose partitioning is used up to the Markdown.
+_SPLIT = f"regexp_extract_all(t.attrs['class'], r'{NON_SPACE}+', 0)"
+#: A string has no neighbours below its parent only if tags stand on both sides of it, whatever they open or close.
+_ALONE = """coalesce(get(contents, i - 1).kind IN ('open', 'close', 'none'), false) AND coalesce(get(contents, i + 1).kind IN ('close', 'none'), true)"""
 
-    The links come before it: a Python stage does not report its partitioning, so behind the exchange it would cost
-    a second one.
-    """
-    sign = lambda kind: F.when(kind == "open", "+").when(kind == "close", "-").when(kind == "none", "0").otherwise(".")
-    cut = pages.select("page_id", _cut("html").alias("tokens"))
-    codes = F.array_join(F.transform("tokens", lambda t: F.concat(sign(t["kind"]), t["tag"])), " ")
-    coded = cut.select("page_id", "tokens", codes.alias("codes"))
-    return coded.select("page_id", "tokens", _links("codes").alias("links")).repartition("page_id")
 
+def tokens(pages: DataFrame, chosen: Selection) -> DataFrame:
+    """page_id, html and ``tokens``, an array of (kind, tag, attrs, classes, style, text, bits)."""
+    contents = pages.select("page_id", "html", F.transform(F.transform(_cut_raw(F.col("html")), _token), _content).alias("contents"))
+    styled = f"""named_struct('kind', t.kind, 'tag', t.tag, 'attrs', t.attrs, 'classes', coalesce({_SPLIT}, cast(array() AS array<string>)),
+        'style', coalesce(t.attrs['style'], ''), 'text', t.text, 'alone', {_ALONE})"""
+    answered = f"""named_struct('kind', t.kind, 'tag', t.tag, 'attrs', t.attrs, 'classes', t.classes, 'style', t.style, 'text', t.text,
+        'bits', {local_bits(chosen)})"""
+    # The inner lambda gives the name of the outer one to what is made of it.
+    return contents.select("page_id", "html", F.expr(f"transform(contents, (t, i) -> transform(array({styled}), t -> {answered})[0])").alias("tokens"))
 
-def nodes(pages: DataFrame) -> DataFrame:
-    """Node table: page_id, pos, end_pos, parent, depth, kind, tag, attrs, classes, style, text, body extent.
 
-    ``kind`` is document, element, text, comment or raw (a script or style element with its body as
-    ``text``). ``body_pos``/``body_end`` span the first body, or the document if there is none.
+def outlines(pages: DataFrame, selectors: dict[str, str] = SELECTORS) -> DataFrame:
+    """page_id, html, ``tokens`` and ``ix``, the arrays of the page's tree (see ``outline``). One Python stage, which sees two longs a token."""
+    chosen = selection(selectors)
+    outline = F.arrow_udf(tree.outliner(chosen), tree.TYPE)
+    answers = F.transform("tokens", lambda t: t["bits"])
+    names = F.transform("tokens", lambda t: F.when(t["kind"].isin("open", "close"), F.xxhash64(t["tag"])).otherwise(0))
+    return tokens(pages, chosen).select("page_id", "html", "tokens", outline(answers, names).alias("ix"))
+
+
+def nodes_of(outlined: DataFrame) -> DataFrame:
+    """Node table: page_id, pos, end_pos, parent, parent_tag, depth, kind, tag, attrs, classes, style, text, block_kind, body extent.
+
+    ``kind`` is document, element, text, comment or raw (a script or style element with its body as ``text``); ``block_kind``
+    is set on elements. ``body_pos``/``body_end`` span the first body, or the document if there is none.
     """
-    trees = spread(pages).select("page_id", _tree(F.col("tokens"), F.col("links")).alias("tree"))
-    bodies = F.filter("tree", lambda n: (n["tag"] == "body") & (n["kind"] == "open"))
-    scope = trees.select("page_id", "tree", F.coalesce(F.get(bodies, F.lit(0)), F.get("tree", F.lit(0))).alias("scope"))
-    rows = scope.select(
-        "page_id",
-        F.col("scope.pos").alias("body_pos"),
-        F.col("scope.end_pos").alias("body_end"),
-        F.inline_outer("tree"),  # never empty; the plain form would make Catalyst filter on size(tree), parsing twice
-    )
-    kind = F.col("kind")
-    is_tag = kind.isin("open", "void", "raw")
-    parsed = rows.select(
-        "page_id", "pos", "end_pos", "parent", "depth",
-        F.when(kind.isin("open", "void"), F.lit("element")).otherwise(kind).alias("kind"),
-        F.when(is_tag | (kind == "document"), F.col("tag")).alias("tag"),
-        F.when(is_tag & F.col("raw").rlike(r"^<[^>\s/]+[\s/]+[^>\s/]"), _attributes(F.col("raw"))).alias("attrs"),
-        _string(kind, F.col("raw")).alias("text"),
-        "body_pos", "body_end",
-    )
-    attrs = F.col("attrs")
-    return parsed.select(
-        "*",
-        F.coalesce(F.regexp_extract_all(attrs["class"], F.lit(f"{NON_SPACE}+"), F.lit(0)), F.array().cast("array<string>")).alias("classes"),
-        F.coalesce(attrs["style"], F.lit("")).alias("style"),
-    )
+    kinds = sql.strings(KINDS)
+    node = f"""transform(ix.tok, (k, i) -> struct(ix.pos[i] AS pos, ix.end_pos[i] AS end_pos, ix.parent[i] AS parent,
+        CASE WHEN ix.parent_tok[i] IS NOT NULL THEN tokens[ix.parent_tok[i]].tag WHEN k IS NOT NULL THEN '[document]' END AS parent_tag, ix.depth[i] AS depth,
+        CASE WHEN k IS NULL THEN 'document' WHEN tokens[k].kind IN ('open', 'void') THEN 'element' ELSE tokens[k].kind END AS kind,
+        CASE WHEN k IS NULL THEN '[document]' WHEN tokens[k].kind IN ('open', 'void', 'raw') THEN tokens[k].tag END AS tag,
+        tokens[k].attrs AS attrs, coalesce(tokens[k].classes, cast(array() AS array<string>)) AS classes, coalesce(tokens[k].style, '') AS style,
+        tokens[k].text AS text, get(array({kinds}), ix.kind[i]) AS block_kind))"""
+    # A page has one node at least; the plain form would make Catalyst filter on the size, parsing twice.
+    return outlined.select("page_id", F.col("ix.body_pos").alias("body_pos"), F.col("ix.body_end").alias("body_end"), F.expr(f"inline_outer({node})"))
+
+
+def nodes(pages: DataFrame) -> DataFrame:
+    return nodes_of(outlines(pages))

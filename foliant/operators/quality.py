@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from foliant.functions.rows import numbered
+
 # The marks by which a source is said to hold a component (all marks must occur).
 SOURCE_MARKS = {
     "hero": ['<header class="hero">'],
@@ -20,7 +22,7 @@ SOURCE_MARKS = {
 }
 # The least sizes and the marks of sound output.
 MIN_SOURCE_BYTES, MIN_OUTPUT_CHARS, MIN_STAT_CARDS, MIN_COMPARISON_CARDS = 500, 100, 4, 2
-CALLOUT_SIGN = "[💡✅🚨⚠️]"
+CALLOUT_SIGNS = "💡✅🚨⚠️"
 OUTPUT_MARKS = {"diagram": "```mermaid", "table": "| ", "callout": "> ", "image": "!["}
 
 
@@ -31,6 +33,13 @@ def _holds(text: str, marks: list[str]) -> Column:
     return found
 
 
+def _has_callout_sign() -> Column:
+    """Does the output hold one of the signs? As in the check that this follows, any UTF-16 unit of a sign counts as one."""
+    units = CALLOUT_SIGNS.encode("utf-16-be").hex().upper()
+    one = "|".join(sorted({units[i : i + 4] for i in range(0, len(units), 4)}))
+    return F.hex(F.encode("md", "UTF-16BE")).rlike(f"^(?:.{{4}})*?(?:{one})")
+
+
 def source_census(pages: DataFrame) -> DataFrame:
     """Which components each page's source holds."""
     stat_cards = F.regexp_count("html", F.lit("stat-card"))
@@ -45,26 +54,22 @@ def source_census(pages: DataFrame) -> DataFrame:
     )
 
 
-def output_checks(markdown: DataFrame, manifests: DataFrame) -> DataFrame:
-    """Soundness of each page's Markdown and manifest."""
+def output_checks(table: DataFrame) -> DataFrame:
+    """Soundness of each page's Markdown (``md``) and manifest."""
     entry = "array<struct<type: string, index: int, filename: string, selector: string>>"
-    return markdown.join(manifests, "page_id").select(
+    return table.select(
         "page_id",
         (F.length("md") > MIN_OUTPUT_CHARS).alias("is_long"),
         *[F.contains("md", F.lit(mark)).alias(f"has_{n}") for n, mark in OUTPUT_MARKS.items()],
-        F.col("md").rlike(CALLOUT_SIGN).alias("has_callout_sign"),
+        _has_callout_sign().alias("has_callout_sign"),
         (F.col("manifest").rlike(r"^\s*\[") & F.from_json("manifest", entry).isNotNull()).alias("manifest_is_array"),
     )
 
 
-def lost_components(census: DataFrame, checks: DataFrame) -> DataFrame:
-    """Components that a source holds and the output lacks: page_id, component."""
-    output = checks.select(
-        "page_id", F.col("has_diagram").alias("diagram"), F.col("has_table").alias("table"),
-        (F.col("has_callout") & F.col("has_callout_sign")).alias("callout"),
-    )
-    lost = F.array_compact(
-        F.array(*[F.when(F.col(f"has_{n}_source") & ~F.col(n), F.lit(n)) for n in ("diagram", "table", "callout")])
-    )
-    source = census.select("page_id", *[F.col(f"has_{n}").alias(f"has_{n}_source") for n in ("diagram", "table", "callout")])
-    return source.join(output, "page_id").select("page_id", F.explode(lost).alias("component"))
+def lost_components(pages: DataFrame) -> DataFrame:
+    """Components that a source (``html``) holds and the output (``md``) lacks: page_id, component."""
+    source = {n: _holds("html", SOURCE_MARKS[n]) for n in ("diagram", "table", "callout")}
+    output = {n: F.contains("md", F.lit(OUTPUT_MARKS[n])) for n in source}
+    output["callout"] = output["callout"] & _has_callout_sign()
+    lost = F.array_compact(F.array(*[F.when(held & ~output[n], F.lit(n)) for n, held in source.items()]))
+    return numbered(pages, lost, "number", "component", "page_id").drop("number")

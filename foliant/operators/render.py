@@ -1,18 +1,22 @@
 """Blocks to Markdown.
 
-The nodes of one block are gathered into an ordered array of events (one per opening, closing or
-string). An event's place in the array is its position minus the block's, so any subtree is an index
-range and each rule below reads exactly the events it renders.
+A page is one row. Its array ``ev`` holds the events of its blocks in document order: openings, strings, and closings that
+write a mark. An event knows its place ``at`` and the last place ``to`` of its subtree, so any subtree is a range and each rule below
+reads exactly the events it renders. ``bs`` holds the blocks: where they stand, their kind and the numbers of their images.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foliant.functions import sql
-from foliant.functions.text import asset_name, collapse_blank_lines
-from foliant.operators.classify import CALLOUT_CLASSES, CARD_PART_TAGS, owned
+from foliant.functions.rows import numbered
+from foliant.functions.text import collapse_blank_lines
+from foliant.operators import outline as tree
+from foliant.operators.predicates import BIT, CALLOUT_CLASSES, CARD_PART_TAGS, KINDS
 
 # Signs for callout classes, for the state of a timeline entry, and image captions.
 CALLOUT_SIGNS = {
@@ -40,88 +44,70 @@ CAPTIONS = {
 }
 
 
-def events(nodes: DataFrame) -> DataFrame:
-    """One row per block: page_id, pos, end_pos, kind, lead node positions, and ``ev``, its events in order."""
-    tag, text = F.col("tag"), F.coalesce("text", F.lit(""))
-    is_element = F.col("kind") == "element"
-    href = F.coalesce(F.col("attrs")["href"], F.lit(""))
-    opening = (
-        F.when(tag.isin("strong", "b"), "**").when(tag.isin("em", "i"), "*").when(tag == "code", "`")
-        .when(tag == "a", "[").when(tag == "br", "\n").otherwise("")
-    )
-    closing = (
-        F.when(tag.isin("strong", "b"), "**").when(tag.isin("em", "i"), "*").when(tag == "code", "`")
-        .when(tag == "a", F.concat(F.lit("]("), href, F.lit(")"))).otherwise("")
-    )
-    in_timeline = F.col("block.kind") == "timeline"
-    hollow = is_element & (F.col("end_pos") == F.col("pos"))  # void or self-closed: no closing event of its own
-
-    def event(no: Column, piece: Column, head: bool) -> Column:
-        only = (lambda c: c) if head else (lambda c: F.when(F.lit(False), c))
-        mark = F.when(is_element, F.concat(F.lit("<"), tag, F.coalesce(F.map_entries("attrs").cast("string"), F.lit("")))).otherwise(
-            F.concat(F.col("kind"), F.lit(":"), text)
-        )
-        return F.struct(
-            no.alias("no"),
-            F.col("pos"),
-            F.col("end_pos"),
-            only(F.col("parent")).alias("parent"),
-            only(F.when(is_element, tag)).alias("tag"),
-            piece.alias("piece"),
-            only(F.col("plain")).alias("plain"),
-            F.col("stop"),
-            only(is_element & F.col("badge")).alias("badge"),
-            only(F.when(is_element, F.col("classes"))).alias("classes"),
-            only(F.contains("style", F.lit("text-transform"))).alias("titled"),
-            only(F.col("first_code")).alias("first_code"),
-            only(F.col("first_date")).alias("first_date"),
-            F.when(in_timeline, mark if head else F.lit(">")).alias("mark"),
-        )
-
-    head = event(F.col("pos"), F.when(is_element, F.when(hollow, F.concat(opening, F.when(tag == "br", "").otherwise(closing))).otherwise(opening)).otherwise(text), True)
-    tail = event(F.col("end_pos"), closing, False)
-    rows = nodes.select(
-        "page_id",
-        F.col("block.pos").alias("block_pos"),
-        F.col("block.end_pos").alias("block_end"),
-        F.col("block.kind").alias("kind"),
-        *[F.when(F.col("pos") == F.col("block.pos"), F.col(c)).alias(c) for c in ("tag", "first_h1", "first_p", "first_pre", "first_code")],
-        F.explode_outer(F.when(is_element & ~hollow, F.array(head, tail)).otherwise(F.array(head))).alias("e"),
-    )
-    return rows.groupBy("page_id", "block_pos", "block_end", "kind").agg(
-        *[F.max(c).alias(c) for c in ("tag", "first_h1", "first_p", "first_pre", "first_code")],
-        F.sort_array(F.collect_list("e")).alias("ev"),
-    )
+def _event() -> str:
+    """The event at place ``k`` of a page: ``t`` is its token."""
+
+    def flag(bit: int) -> str:
+        return f"(ix.ev_flags[k] & {bit}) <> 0"
+
+    def asked(*names: str) -> str:
+        need = sum(BIT[n] for n in names)
+        return f"(t.bits & {need}L) = {need}L"
+
+    is_tag = "t.kind IN ('open', 'void')"
+    opening = "CASE WHEN t.tag IN ('strong', 'b') THEN '**' WHEN t.tag IN ('em', 'i') THEN '*' WHEN t.tag = 'code' THEN '`' WHEN t.tag = 'a' THEN '[' WHEN t.tag = 'br' THEN '\n' ELSE '' END"
+    closing = "CASE WHEN t.tag IN ('strong', 'b') THEN '**' WHEN t.tag IN ('em', 'i') THEN '*' WHEN t.tag = 'code' THEN '`' WHEN t.tag = 'a' THEN concat('](', coalesce(t.attrs['href'], ''), ')') ELSE '' END"
+    string = f"if({asked('blank')} AND NOT {flag(tree.KEEPS_SPACE)}, if(contains(t.text, '\n'), '\n', ' '), coalesce(t.text, ''))"
+    piece = f"CASE WHEN {flag(tree.CLOSING)} THEN {closing} WHEN t.kind = 'open' THEN {opening} WHEN t.kind = 'void' THEN concat({opening}, {closing}) ELSE {string} END"
+    plain = f"if(t.kind = 'text' AND NOT {flag(tree.HIDDEN)}, {string}, NULL)"
+    # A subtree is told from another by its marks alone: the number of events below each opening gives the shape.
+    mark = f"if({is_tag}, concat('<', t.tag, coalesce(cast(map_entries(t.attrs) AS string), ''), ' ', cast(ix.ev_to[k] - k AS string)), concat(t.kind, ':', t.text))"
+    only = lambda value: f"if({flag(tree.CLOSING)}, NULL, {value})"
+    return f"""named_struct('at', k, 'to', ix.ev_to[k], 'parent', ix.ev_parent[k], 'tag', {only(f"if({is_tag}, t.tag, NULL)")},
+        'piece', {piece}, 'plain', {only(plain)}, 'stop', ix.ev_stop[k], 'quiet_stop', ix.ev_badge_stop[k] = 1,
+        'badge', {only(asked('span', 'class badge'))}, 'classes', {only('t.classes')}, 'titled', {only("contains(t.style, 'text-transform')")},
+        'code', ix.ev_code[k], 'date', ix.ev_date[k], 'mark', if({flag(tree.TIMELINE)}, {only(mark)}, NULL))"""
 
 
-# The rules below are SQL text over one row of ``events``; an "event" argument is the name of a struct.
+def block_rows(outlined: DataFrame, carried: Sequence[str] = ()) -> DataFrame:
+    """page_id, ``ev``, ``bs`` and the columns that are carried along. What is not used of them is not computed."""
+    events = f"transform(ix.ev_tok, (n, k) -> transform(array(tokens[n]), t -> {_event()})[0])"
+    kind = f"array({sql.strings(KINDS)})"
+    name = f"{kind}[ix.b_kind[j]]"
+    found = f"""transform(ix.b_at, (a, j) -> struct(a AS at, ix.b_pos[j] AS pos, ix.b_end[j] AS end_pos, {name} AS kind,
+        ix.b_h1[j] AS h1, ix.b_p[j] AS p, ix.b_pre[j] AS pre, ix.b_code[j] AS code, ix.b_asset[j] AS asset_index, ix.b_diagram[j] AS diagram_index,
+        if(ix.b_asset[j] IS NULL, NULL, format_string('%s_%02d.png', {name}, ix.b_asset[j])) AS asset_file, ix.b_callouts[j] AS n_callouts))"""
+    return outlined.select("page_id", *carried, F.expr(events).alias("ev"), F.expr(found).alias("bs"))
+
+
+# The rules below are SQL text over ``ev`` and a block ``b``; an "event" argument is the name of a struct.
 # Text, because a rule nests a dozen lambdas: built call by call, planning took longer than running.
 
 
-def at(no: str) -> str:
-    return f"get(ev, {no} - block_pos)"
+def at(place: str) -> str:
+    return f"get(ev, {place})"
 
 
-TOP = "get(ev, 0)"
+TOP = "get(ev, b.at)"
 
 
 def _nodes(lo: str, hi: str, keep) -> str:
-    """Openings between two positions that meet a condition."""
+    """Openings between two places that meet a condition."""
     events = sql.transform(sql.span(lo, hi), at)
     return sql.where(events, lambda e: f"{e}.tag IS NOT NULL AND ({keep(e)})")
 
 
 def below(e: str, keep) -> str:
-    return _nodes(f"({e}.pos + 1)", f"({e}.end_pos - 1)", keep)
+    return _nodes(f"({e}.at + 1)", f"{e}.to", keep)
 
 
 def children(e: str, tags: list[str]) -> str:
-    return below(e, lambda x: f"{x}.parent = {e}.pos AND {x}.tag IN ({sql.strings(tags)})")
+    return below(e, lambda x: f"{x}.parent = {e}.at AND {x}.tag IN ({sql.strings(tags)})")
 
 
 def plain(e: str) -> str:
     """Text of the subtree without marks, comments and scripts."""
-    inner = sql.span(f"({e}.pos + 1)", f"({e}.end_pos - 1)")
+    inner = sql.span(f"({e}.at + 1)", f"{e}.to")
     return f"array_join({sql.transform(inner, lambda i: f'{at(i)}.plain')}, '')"
 
 
@@ -129,20 +115,20 @@ def inline(root: str) -> str:
     """Text of the subtree with inline marks.
 
     Inside code and badges marks are off. ``stop`` names the outermost of them around an event
-    within the block; only if that one lies outside the root, it is looked up anew.
+    on the page; only if that one lies outside the root, it is looked up anew.
     """
 
-    def quiet(stop: str, e: str) -> str:
-        return f"if({stop}.badge, '', coalesce({e}.plain, ''))"
+    def quiet(is_badge: str, e: str) -> str:
+        return f"if({is_badge}, '', coalesce({e}.plain, ''))"
 
     def piece(e: str) -> str:
         shown = f"if({e}.badge, concat('[', {sql.strip(plain(e))}, ']'), {e}.piece)"
-        covers = lambda c: f"({c}.tag = 'code' OR {c}.badge) AND {c}.end_pos > {e}.pos"
-        again = f"get({_nodes(f'({root}.pos + 1)', f'({e}.pos - 1)', covers)}, 0)"
-        return f"""CASE WHEN {e}.stop IS NULL THEN {shown} WHEN {e}.stop.pos > {root}.pos THEN {quiet(f"{e}.stop", e)}
-            ELSE {sql.let(again, lambda c: f"if({c} IS NULL, {shown}, {quiet(c, e)})")} END"""
+        covers = lambda c: f"({c}.tag = 'code' OR {c}.badge) AND {c}.to >= {e}.at"
+        again = f"get({_nodes(f'({root}.at + 1)', f'({e}.at - 1)', covers)}, 0)"
+        return f"""CASE WHEN {e}.stop IS NULL THEN {shown} WHEN {e}.stop > {root}.at THEN {quiet(f"{e}.quiet_stop", e)}
+            ELSE {sql.let(again, lambda c: f"if({c} IS NULL, {shown}, {quiet(f'{c}.badge', e)})")} END"""
 
-    inner = sql.span(f"({root}.pos + 1)", f"({root}.end_pos - 1)")
+    inner = sql.span(f"({root}.at + 1)", f"{root}.to")
     return f"array_join({sql.transform(sql.transform(inner, at), piece)}, '')"
 
 
@@ -229,13 +215,13 @@ def timeline_entries() -> str:
     """sign, date, title and body of every entry."""
 
     def marks(e: str) -> str:
-        return f"array_join({sql.transform(sql.span(f'{e}.pos', f'{e}.end_pos'), lambda i: f'{at(i)}.mark')}, '\u0001')"
+        return f"array_join({sql.transform(sql.span(f'{e}.at', f'{e}.to'), lambda i: f'{at(i)}.mark')}, '\u0001')"
 
     def entry(item: str) -> str:
         signs = " ".join(f"WHEN array_contains({item}.classes, '{n}') THEN '{c}'" for n, c in TIMELINE_SIGNS.items())
 
         def fields(date: str) -> str:
-            same = lambda c: f"{c}.pos = {date}.pos OR {marks(c)} = {marks(date)}"
+            same = lambda c: f"{c}.at = {date}.at OR {marks(c)} = {marks(date)}"
             parts = sql.where(children(item, ["div", "span", "p", "h3", "h4"]), lambda c: f"{date} IS NULL OR NOT ({same(c)})")
             texts = _filled(sql.transform(parts, lambda c: sql.strip(inline(c))))
             return sql.let(
@@ -245,7 +231,7 @@ def timeline_entries() -> str:
                     'title', coalesce(get({ts}, 0), ''), 'body', coalesce(get({ts}, 1), ''))""",
             )
 
-        return sql.let(at(f"{item}.first_date"), fields)
+        return sql.let(at(f"{item}.date"), fields)
 
     return sql.transform(children(TOP, ["div"]), entry)
 
@@ -263,15 +249,15 @@ def code_language() -> str:
         found = sql.transform(classes, lambda c: f"regexp_extract({c}, '^(?:language-|lang-)(.+)$', 1)")
         return f"get({_filled(found)}, 0)"
 
-    return f"coalesce({hint(at('first_code') + '.classes')}, {hint(TOP + '.classes')}, '')"
+    return f"coalesce({hint(at('b.code') + '.classes')}, {hint(TOP + '.classes')}, '')"
 
 
 def code_text() -> str:
-    return sql.let(f"coalesce({at('first_code')}, {TOP})", plain)
+    return sql.let(f"coalesce({at('b.code')}, {TOP})", plain)
 
 
 def mermaid_source() -> str:
-    holder = f"if(tag = 'div', {at('first_pre')}, {TOP})"
+    holder = f"if({TOP}.tag = 'div', {at('b.pre')}, {TOP})"
     return sql.let(holder, lambda h: f"if({h} IS NULL, '', {sql.strip(plain(h))})")
 
 
@@ -283,7 +269,7 @@ def _comparison() -> str:
     def parts(card: str) -> str:
         titles = sql.transform(below(card, lambda e: f"{e}.tag = 'div' AND {e}.titled"), lambda e: f"concat('**', {sql.strip(plain(e))}, '**')")
         texts = sql.transform(children(card, ["p"]), lambda p: sql.strip(inline(p)))
-        code = lambda e: sql.let(f"coalesce({at(f'{e}.first_code')}, {e})", plain)
+        code = lambda e: sql.let(f"coalesce({at(f'{e}.code')}, {e})", plain)
         codes = sql.transform(below(card, lambda e: f"{e}.tag = 'pre'"), lambda e: f"concat('```\n', {code(e)}, '\n```')")
         callouts = sql.transform(below(card, _is_callout), _callout)
         return f"concat({titles}, {texts}, {codes}, {callouts})"
@@ -291,12 +277,6 @@ def _comparison() -> str:
     return f"array_join({_filled(f'flatten({sql.transform(children(TOP, ["div"]), parts)})')}, '\n\n')"
 
 
-def _comparison_callouts() -> str:
-    """Number of callouts inside the cards of a comparison."""
-    each = sql.transform(children(TOP, ["div"]), lambda card: f"size({below(card, _is_callout)})")
-    return f"aggregate({each}, 0, (a, n) -> a + n)"
-
-
 def _visual() -> str:
     tables = sql.transform(below(TOP, lambda e: f"{e}.tag = 'table'"), lambda t: _table(table_rows(t)))
     texts = sql.transform(below(TOP, lambda e: f"{e}.tag = 'p'"), lambda p: sql.strip(inline(p)))
@@ -305,8 +285,8 @@ def _visual() -> str:
 
 def _hero() -> str:
     text = lambda c: sql.let(at(c), lambda e: sql.strip(plain(e)))
-    title = f"if(first_h1 IS NULL, '', concat('# ', {text('first_h1')}))"
-    lead = f"if(first_p IS NULL, '', concat('\n*', {text('first_p')}, '*\n'))"
+    title = f"if(b.h1 IS NULL, '', concat('# ', {text('b.h1')}))"
+    lead = f"if(b.p IS NULL, '', concat('\n*', {text('b.p')}, '*\n'))"
     return f"array_join({_filled(f'array({title}, {lead}, {_pair_table(hero_entries())})')}, '\n')"
 
 
@@ -314,13 +294,13 @@ def _numbered(items: str) -> str:
     return sql.transform(items, lambda t, i: f"concat({i} + 1, '. ', {t})", 2)
 
 
-def _body() -> str:
-    """What a block contributes besides its image line."""
+def _bodies() -> dict[str, str]:
+    """What a block of each kind contributes besides its image line."""
     text = sql.strip(inline(TOP))
-    bodies = {
+    return {
         "paragraph": text,
-        "heading": f"concat(repeat('#', int(substring(tag, 2, 1))), ' ', {text})",
-        "list": f"array_join(if(tag = 'ol', {_numbered(list_entries())}, {sql.transform(list_entries(), lambda t: f"concat('- ', {t})")}), '\n')",
+        "heading": f"concat(repeat('#', int(substring({TOP}.tag, 2, 1))), ' ', {text})",
+        "list": f"array_join(if({TOP}.tag = 'ol', {_numbered(list_entries())}, {sql.transform(list_entries(), lambda t: f"concat('- ', {t})")}), '\n')",
         "contents": f"array_join(concat(array('## Table of Contents\n'), {_numbered(contents_entries())}), '\n')",
         "footer": f"concat('---\n\n*', {text}, '*')",
         "table": _table(table_rows()),
@@ -334,46 +314,53 @@ def _body() -> str:
         "comparison": _comparison(),
         "visual_component": _visual(),
     }
-    return f"CASE kind {' '.join(f"WHEN '{kind}' THEN {body}" for kind, body in bodies.items())} ELSE '' END"
 
 
 def _markdown() -> str:
-    """The body with its image line, for kinds that have one."""
-    image = f"concat('![', element_at({sql.mapping(CAPTIONS)}, kind), '](images/', asset_file, ')')"
+    """The body with its image line, for kinds that have one, of a rendered block ``b``."""
+    image = f"concat('![', element_at({sql.mapping(CAPTIONS)}, b.kind), '](images/', b.asset_file, ')')"
     return f"""CASE
-        WHEN kind = 'mermaid' THEN if(body = '', '', concat('```mermaid\n', body, '\n```\n\n*Fallback image: ', {image}, '*'))
-        WHEN kind IN ('progress_bar', 'stat_cards') THEN concat({image}, '\n\n', body)
-        WHEN kind IN ('hero', 'timeline') THEN concat({image}, '\n', if(body = '', '', concat('\n', body)))
-        WHEN kind IN ('comparison', 'visual_component') THEN concat({image}, '\n', if(body = '', '', concat('\n\n', body)))
-        ELSE body END"""
+        WHEN b.kind = 'mermaid' THEN if(b.body = '', '', concat('```mermaid\n', b.body, '\n```\n\n*Fallback image: ', {image}, '*'))
+        WHEN b.kind IN ('progress_bar', 'stat_cards') THEN concat({image}, '\n\n', b.body)
+        WHEN b.kind IN ('hero', 'timeline') THEN concat({image}, '\n', if(b.body = '', '', concat('\n', b.body)))
+        WHEN b.kind IN ('comparison', 'visual_component') THEN concat({image}, '\n', if(b.body = '', '', concat('\n\n', b.body)))
+        ELSE b.body END"""
 
 
-def blocks(nodes: DataFrame) -> DataFrame:
-    """All blocks of all pages with their Markdown and the numbers of their images and diagrams.
+def _of(kinds: tuple[str, ...]) -> str:
+    return f"filter(bs, b -> b.kind IN ({sql.strings(list(kinds))}))" if kinds else "bs"
 
-    Columns: page_id, pos, end_pos, kind, tag, md, body, asset_index, asset_file, diagram_index, n_callouts. Every page
-    has one further row of kind ``page`` so that pages without blocks are not lost.
-    """
-    kind = F.col("kind")
-    bodies = events(owned(nodes)).select(
-        "page_id", F.col("block_pos").alias("pos"), F.col("block_end").alias("end_pos"), "kind", "tag",
-        F.expr(_body()).alias("body"),
-        F.expr(f"CASE kind WHEN 'callout' THEN 1 WHEN 'comparison' THEN {_comparison_callouts()} ELSE 0 END").alias("n_callouts"),
-    )
-    is_diagram = (kind == "mermaid") & (F.col("body") != "")
-    is_asset = is_diagram | (kind.isin(*CAPTIONS) & (kind != "mermaid"))
-    so_far = Window.partitionBy("page_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    numbered = bodies.select(
-        "*",
-        F.when(is_asset, F.count_if(is_asset).over(so_far).cast("int")).alias("asset_index"),
-        F.when(is_diagram, F.count_if(is_diagram).over(so_far).cast("int")).alias("diagram_index"),
-    )
-    named = numbered.withColumn("asset_file", F.when(F.col("asset_index").isNotNull(), asset_name(kind, F.col("asset_index"))))
-    return named.withColumn("md", F.expr(_markdown()))
+
+_FIELDS = ["pos", "end_pos", "kind", "asset_index", "asset_file", "diagram_index", "n_callouts"]
+
+
+def _with_events(body: str) -> str:
+    """``body`` with ``ev`` as a variable: computed once a page even where Catalyst moves its expression here."""
+    return f"transform(array(ev), ev -> {body})[0]"
+
+
+def rendered(rows: DataFrame, *kinds: str, carried: Sequence[str] = ()) -> DataFrame:
+    """page_id, the columns carried along and ``blocks``, those of some kinds, or all, with body and Markdown: one row a page."""
+    bodies = {kind: body for kind, body in _bodies().items() if not kinds or kind in kinds}
+    body = f"CASE b.kind {' '.join(f"WHEN '{kind}' THEN {body}" for kind, body in bodies.items())} ELSE '' END"
+    fields = ", ".join(f"b.{c} AS {c}" for c in _FIELDS)
+    with_body = rows.select("page_id", *carried, F.expr(_with_events(f"transform({_of(kinds)}, b -> struct({fields}, {body} AS body))")).alias("blocks"))
+    return with_body.select("page_id", *carried, F.expr(f"transform(blocks, b -> struct({fields}, b.body AS body, {_markdown()} AS md))").alias("blocks"))
+
+
+def entries(rows: DataFrame, kind: str, listed: str) -> DataFrame:
+    """page_id, block_no, item_no (both from 1) and item: the entries of all blocks of a kind."""
+    found = rows.select("page_id", F.expr(_with_events(f"transform({_of((kind,))}, b -> {listed})")).alias("found"))
+    return numbered(numbered(found, F.col("found"), "block_no", "entries", "page_id"), F.col("entries"), "item_no", "item", "page_id", "block_no")
+
+
+def blocks(rows: DataFrame, *kinds: str) -> DataFrame:
+    """One row per block of some kinds, or of all: page_id, block_no (from 1, among those), pos, end_pos, kind, asset_index, asset_file,
+    diagram_index, n_callouts, body, md."""
+    return numbered(rendered(rows, *kinds), F.col("blocks"), "block_no", "b", "page_id").select("page_id", "block_no", "b.*")
 
 
-def page_markdown(blocks: DataFrame) -> DataFrame:
-    """page_id, md: the non-empty blocks of a page in order, with blank lines between."""
-    parts = F.sort_array(F.collect_list(F.when(F.col("md") != "", F.struct("pos", "md"))))
-    joined = F.array_join(F.transform(parts, lambda p: p["md"]), "\n\n")
-    return blocks.groupBy("page_id").agg(collapse_blank_lines(joined).alias("md"))
+def joined() -> Column:
+    """The Markdown of a page: its non-empty blocks in order, with blank lines between."""
+    parts = F.transform(F.filter("blocks", lambda b: b["md"] != ""), lambda b: b["md"])
+    return collapse_blank_lines(F.array_join(parts, "\n\n"))

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from foliant.functions.rows import numbered
 from foliant.functions.text import asset_name, decode_text, escape_markup, looks_dated
 from foliant.operators import assets, quality, render
 from foliant.plans.convert import Conversion
@@ -34,25 +35,8 @@ def _reports(spark: SparkSession, sf_dir: str, *sections: str) -> Conversion:
     return Conversion(reports(spark, sf_dir, *sections))
 
 
-def _blocks(df: DataFrame, kind: str) -> DataFrame:
-    return df.filter(F.col("kind") == kind)
-
-
-def _numbered(df: DataFrame, name: str = "block_no") -> DataFrame:
-    """Blocks of a page with their ordinal."""
-    return df.withColumn(name, F.row_number().over(Window.partitionBy("page_id").orderBy("pos")))
-
-
 def _markdown_of(conversion: Conversion, kind: str) -> DataFrame:
-    return _numbered(_blocks(conversion.blocks, kind)).select("page_id", "block_no", "md")
-
-
-def _items(conversion: Conversion, kind: str, entries: str) -> DataFrame:
-    """One row per entry of the blocks of a kind: page_id, block_no, item_no (from 1), item."""
-    listed = _blocks(conversion.events, kind).select("page_id", F.col("block_pos").alias("pos"), F.expr(entries).alias("entries"))
-    return _numbered(listed).select("page_id", "block_no", F.posexplode("entries").alias("i", "item")).select(
-        "page_id", "block_no", (F.col("i") + 1).alias("item_no"), "item"
-    )
+    return conversion.blocks(kind).select("page_id", "block_no", "md")
 
 
 # --- pages: sources and nodes ---------------------------------------------------------
@@ -79,18 +63,16 @@ def node_counts(spark, sf_dir):
 @query
 def node_edges(spark, sf_dir):
     """How often a tag has which parent tag, over the corpus."""
-    nodes = _web(spark, sf_dir).nodes
-    upper = nodes.filter(F.col("tag").isNotNull()).select("page_id", F.col("pos").alias("parent"), F.col("tag").alias("parent_tag"))
-    lower = nodes.filter(F.col("kind").isin("element", "raw")).select("page_id", "parent", "tag")
-    return lower.join(upper, ["page_id", "parent"]).groupBy("parent_tag", "tag").agg(F.count("*").alias("n"))
+    nodes = _web(spark, sf_dir).nodes.filter(F.col("kind").isin("element", "raw"))
+    return nodes.groupBy("parent_tag", "tag").agg(F.count("*").alias("n"))
 
 
 @query
 def root_nodes(spark, sf_dir):
     """Elements directly below the body, in order."""
-    nodes = _web(spark, sf_dir).nodes.filter((F.col("parent") == F.col("body_pos")) & (F.col("kind") == "element"))
-    tags = F.sort_array(F.collect_list(F.struct("pos", "tag")))
-    return nodes.groupBy("page_id").agg(F.array_join(F.transform(tags, lambda t: t["tag"]), " ").alias("root_tags"))
+    is_root = "ix.parent[i] = ix.body_pos AND tokens[k].kind IN ('open', 'void')"
+    tags = F.expr(f"array_join(transform(ix.tok, (k, i) -> if({is_root}, tokens[k].tag, NULL)), ' ')")
+    return _web(spark, sf_dir).outlined.select("page_id", tags.alias("root_tags"))
 
 
 @query
@@ -102,7 +84,7 @@ def entity_text(spark, sf_dir):
 
 @query
 def mermaid_pages(spark, sf_dir):
-    return assets.mermaid_pages(_reports(spark, sf_dir, "hero").nodes)
+    return _reports(spark, sf_dir).table.select("page_id", F.col("loads_diagrams").alias("has_mermaid"))
 
 
 @query
@@ -113,13 +95,13 @@ def source_census(spark, sf_dir):
 @query
 def report_census(spark, sf_dir):
     """The census where components do occur."""
-    census = quality.source_census(reports(spark, sf_dir, "hero", "kept_or_lost", "progress", "stats"))
+    census = quality.source_census(reports(spark, sf_dir))
     return census.drop("is_long")
 
 
 @query
 def toc_entries(spark, sf_dir):
-    return _items(_web(spark, sf_dir), "contents", render.contents_entries())
+    return _web(spark, sf_dir).entries("contents", render.contents_entries())
 
 
 @query
@@ -149,14 +131,13 @@ def markup_escape(spark, sf_dir):
 @query
 def paragraphs(spark, sf_dir):
     """Whole documents through the parser and back."""
-    return _blocks(Conversion(document_pages(spark, sf_dir)).blocks, "paragraph").select("page_id", "md")
+    return Conversion(document_pages(spark, sf_dir)).blocks("paragraph").select("page_id", "md")
 
 
 @query
 def plain_text(spark, sf_dir):
-    paragraph = _blocks(_reports(spark, sf_dir, "paragraphs").events, "paragraph")
-    texts = paragraph.select("page_id", F.col("block_pos").alias("pos"), F.expr(render.plain(render.TOP)).alias("text"))
-    return _numbered(texts).select("page_id", "block_no", "text")
+    texts = _reports(spark, sf_dir, "paragraphs").entries("paragraph", f"array({render.plain(render.TOP)})")
+    return texts.select("page_id", "block_no", F.col("item").alias("text"))
 
 
 @query
@@ -172,14 +153,14 @@ def headings(spark, sf_dir):
 @query
 def link_pieces(spark, sf_dir):
     """Link elements with their targets; a link without target has an empty one."""
-    links = _reports(spark, sf_dir, "paragraphs").nodes.filter((F.col("kind") == "element") & (F.col("tag") == "a"))
-    target = F.coalesce(F.col("attrs")["href"], F.lit(""))
-    return _numbered(links.select("page_id", "pos", target.alias("href")), "link_no").select("page_id", "link_no", "href")
+    links = F.filter("tokens", lambda t: t["kind"].isin("open", "void") & (t["tag"] == "a"))
+    targets = F.transform(links, lambda t: F.coalesce(t["attrs"]["href"], F.lit("")))
+    return numbered(_reports(spark, sf_dir, "paragraphs").outlined, targets, "link_no", "href", "page_id")
 
 
 @query
 def badge_text(spark, sf_dir):
-    return _items(_reports(spark, sf_dir, "paragraphs"), "paragraph", render.badge_texts())
+    return _reports(spark, sf_dir, "paragraphs").entries("paragraph", render.badge_texts())
 
 
 @query
@@ -193,8 +174,9 @@ def date_like(spark, sf_dir):
 
 @query
 def table_cells(spark, sf_dir):
-    rows = _items(_reports(spark, sf_dir, "tables"), "table", render.table_rows())
-    return rows.select("page_id", (F.col("item_no") - 1).alias("row_idx"), F.posexplode("item").alias("col_idx", "text"))
+    rows = _reports(spark, sf_dir, "tables").entries("table", render.table_rows())
+    cells = numbered(rows, F.col("item"), "cell_no", "text", "page_id", "item_no")
+    return cells.select("page_id", (F.col("item_no") - 1).alias("row_idx"), (F.col("cell_no") - 1).alias("col_idx"), "text")
 
 
 @query
@@ -219,7 +201,7 @@ def stat_cards(spark, sf_dir):
 
 @query
 def timeline_items(spark, sf_dir):
-    items = _items(_reports(spark, sf_dir, "timeline"), "timeline", render.timeline_entries())
+    items = _reports(spark, sf_dir, "timeline").entries("timeline", render.timeline_entries())
     return items.select("page_id", "item_no", "item.sign", "item.date", "item.title", "item.body")
 
 
@@ -235,7 +217,7 @@ def code_blocks(spark, sf_dir):
 
 @query
 def list_items(spark, sf_dir):
-    return _items(_reports(spark, sf_dir, "lists"), "list", render.list_entries())
+    return _reports(spark, sf_dir, "lists").entries("list", render.list_entries())
 
 
 @query
@@ -246,23 +228,22 @@ def list_blocks(spark, sf_dir):
 @query
 def mermaid_blocks(spark, sf_dir):
     """Blocks that hold no diagram text give nothing and take no number."""
-    return _blocks(_reports(spark, sf_dir, "mermaid").blocks, "mermaid").filter("md <> ''").select("page_id", "diagram_index", "md")
+    return _reports(spark, sf_dir, "mermaid").blocks("mermaid").filter("md <> ''").select("page_id", "diagram_index", "md")
 
 
 @query
 def mermaid_sources(spark, sf_dir):
-    return _reports(spark, sf_dir, "hero", "footer", "mermaid").mermaid_sources
+    return assets.mermaid_sources(_reports(spark, sf_dir, "hero", "footer", "mermaid").table)
 
 
 @query
 def mermaid_png_names(spark, sf_dir):
-    return _reports(spark, sf_dir, "hero", "footer", "mermaid").mermaid_png_names
+    return assets.mermaid_png_names(_reports(spark, sf_dir, "hero", "footer", "mermaid").table)
 
 
 @query
 def mermaid_name_gaps(spark, sf_dir):
-    conversion = _reports(spark, sf_dir, "hero", "footer", "mermaid")
-    return assets.mermaid_name_gaps(conversion.manifest, conversion.mermaid_png_names)
+    return assets.mermaid_name_gaps(_reports(spark, sf_dir, "hero", "footer", "mermaid").table)
 
 
 @query
@@ -287,14 +268,14 @@ def visual_components(spark, sf_dir):
 def block_kinds(spark, sf_dir):
     """Elements per page and kind, inside other blocks or not."""
     other = ("container", "dropped", "skipped")
-    kinds = _reports(spark, sf_dir).kinds.filter(~F.col("block_kind").isin(*other))
+    kinds = _reports(spark, sf_dir).nodes.filter(~F.col("block_kind").isin(*other))
     return kinds.groupBy("page_id", "block_kind").agg(F.count("*").alias("n"))
 
 
 @query
 def blocks(spark, sf_dir):
     """Blocks per page and kind, swallowed and empty ones left out."""
-    found = _reports(spark, sf_dir).blocks.filter("md <> ''")
+    found = _reports(spark, sf_dir).blocks().filter("md <> ''")
     return found.groupBy("page_id", "kind").agg(F.count("*").alias("n"))
 
 
@@ -306,40 +287,38 @@ def report_markdown(spark, sf_dir):
 
 @query
 def manifest(spark, sf_dir):
-    return _reports(spark, sf_dir).manifest
+    return assets.manifest(_reports(spark, sf_dir).table)
 
 
 @query
 def manifest_json(spark, sf_dir):
-    return assets.manifest_json(_reports(spark, sf_dir, "hero", "lists", "stats").blocks)
+    return _reports(spark, sf_dir).table.select("page_id", "manifest")
 
 
 @query
 def page_stats(spark, sf_dir):
-    return assets.page_stats(_reports(spark, sf_dir).blocks)
+    return assets.page_stats(_reports(spark, sf_dir).table)
 
 
 @query
 def capture_candidates(spark, sf_dir):
     """Without the node positions, which only the engine knows."""
-    return assets.capture_candidates(_reports(spark, sf_dir).kinds).select("page_id", "type", "ordinal")
+    return assets.capture_candidates(_reports(spark, sf_dir).table).drop("node_pos")
 
 
 @query
 def capture_plan(spark, sf_dir):
-    return _reports(spark, sf_dir, "stats", "timeline_as_cards", "mermaid", "visual").capture_plan.drop("node_pos")
+    return assets.capture_plan(_reports(spark, sf_dir).table).drop("node_pos")
 
 
 @query
 def capture_summary(spark, sf_dir):
-    c = _reports(spark, sf_dir, "stats", "timeline_as_cards", "mermaid", "visual")
-    return assets.capture_summary(c.pages, c.capture_plan)
+    return assets.capture_summary(_reports(spark, sf_dir).table)
 
 
 @query
 def bundle_index(spark, sf_dir):
-    c = _reports(spark, sf_dir, "hero", "mermaid", "progress")
-    return assets.bundle_index(c.markdown, c.mermaid_sources, c.capture_plan, c.mermaid_png_names)
+    return assets.bundle_index(_reports(spark, sf_dir).table)
 
 
 def _image_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -367,14 +346,12 @@ def missing_image_count(spark, sf_dir):
 
 @query
 def output_checks(spark, sf_dir):
-    c = _reports(spark, sf_dir, "kept_or_lost", "hero")
-    return quality.output_checks(c.markdown, assets.manifest_json(c.blocks))
+    return quality.output_checks(_reports(spark, sf_dir).table)
 
 
 @query
 def lost_components(spark, sf_dir):
-    c = _reports(spark, sf_dir, "kept_or_lost")
-    return quality.lost_components(quality.source_census(c.pages), quality.output_checks(c.markdown, assets.manifest_json(c.blocks)))
+    return quality.lost_components(_reports(spark, sf_dir).table)
 
 
 @query

@@ -2,67 +2,79 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Mapping
+from dataclasses import dataclass, field
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foliant.operators import assets, classify, parse, render
+from foliant.operators import assets, parse, quality, render
+from foliant.operators.predicates import SELECTORS
 
 
 @dataclass(frozen=True)
 class Conversion:
-    """Lazy tables of one corpus. Nothing runs until one of them is used."""
+    """Lazy tables of one corpus. Nothing runs until one of them is used, and then only what that one needs.
+
+    Every table comes from one scan of the pages and one Python stage. A page stays one row up to the table asked for.
+    """
 
     pages: DataFrame
+    #: How the images of a type are found on a page.
+    selectors: Mapping[str, str] = field(default_factory=lambda: dict(SELECTORS))
 
     @cached_property
+    def outlined(self) -> DataFrame:
+        return parse.outlines(self.pages, dict(self.selectors))
+
+    @property
     def nodes(self) -> DataFrame:
-        return parse.nodes(self.pages)
+        return parse.nodes_of(self.outlined)
 
     @cached_property
-    def kinds(self) -> DataFrame:
-        return classify.kinds(self.nodes)
+    def rows(self) -> DataFrame:
+        """page_id, ev and bs: what blocks are rendered from."""
+        return render.block_rows(self.outlined)
 
-    @cached_property
-    def events(self) -> DataFrame:
-        return render.events(classify.owned(self.nodes))
+    def blocks(self, *kinds: str) -> DataFrame:
+        return render.blocks(self.rows, *kinds)
+
+    def entries(self, kind: str, listed: str) -> DataFrame:
+        return render.entries(self.rows, kind, listed)
 
     @cached_property
-    def blocks(self) -> DataFrame:
-        return render.blocks(self.nodes)
+    def table(self) -> DataFrame:
+        """One row per page: page_id, html, bs, blocks, md, manifest, candidates, plan, png_names, loads_diagrams."""
+        found = self.outlined.select("page_id", "html", "tokens", "ix", assets.candidates(list(self.selectors)).alias("candidates"), assets.loads_diagrams().alias("loads_diagrams"))
+        carried = ["html", "candidates", "loads_diagrams"]
+        rows = render.block_rows(found, carried)
+        shown = render.rendered(rows, carried=[*carried, "bs"])
+        whole = shown.select("*", render.joined().alias("md"), assets.manifest_json().alias("manifest"), assets.png_names().alias("png_names"))
+        return whole.select("*", assets.plan().alias("plan"))
 
     @property
     def markdown(self) -> DataFrame:
-        return render.page_markdown(self.blocks)
-
-    @property
-    def manifest(self) -> DataFrame:
-        return assets.manifest(self.blocks)
-
-    @property
-    def mermaid_sources(self) -> DataFrame:
-        return assets.mermaid_sources(self.blocks)
-
-    @property
-    def capture_plan(self) -> DataFrame:
-        return assets.capture_plan(self.manifest, assets.capture_candidates(self.kinds))
-
-    @property
-    def mermaid_png_names(self) -> DataFrame:
-        return assets.mermaid_png_names(self.mermaid_sources)
+        return self.table.select("page_id", "md")
 
 
 def export(spark: SparkSession, pages: DataFrame, out: str) -> None:
     """Convert a corpus and write all its tables below ``out``, a shared folder.
 
-    The pages are parsed and rendered once, into ``blocks``; that table cuts the lineage, and the
-    Markdown, manifest, diagram sources and counts are read off it. Written files survive the loss
-    of executors, and a re-run replaces them whole.
+    The pages are parsed and rendered once, into ``pages``, one row per page; that table cuts the lineage, and all others
+    are read off it. Written files survive the loss of executors, and a re-run replaces them whole.
     """
-    render.blocks(parse.nodes(pages)).write.mode("overwrite").parquet(f"{out}/blocks")
-    blocks = spark.read.parquet(f"{out}/blocks")
-    render.page_markdown(blocks).write.mode("overwrite").parquet(f"{out}/markdown")
-    assets.manifest(blocks).write.mode("overwrite").json(f"{out}/manifest")
-    assets.mermaid_sources(blocks).write.mode("overwrite").parquet(f"{out}/mermaid_sources")
-    assets.page_stats(blocks).write.mode("overwrite").json(f"{out}/page_stats")
+    converted = Conversion(pages).table.drop("html")
+    converted.write.mode("overwrite").parquet(f"{out}/pages")
+    table = spark.read.schema(converted.schema).parquet(f"{out}/pages")
+    table.select("page_id", "md").write.mode("overwrite").parquet(f"{out}/markdown")
+    assets.manifest(table).write.mode("overwrite").json(f"{out}/manifest")
+    table.select("page_id", "manifest").write.mode("overwrite").parquet(f"{out}/manifest_arrays")
+    assets.mermaid_sources(table).write.mode("overwrite").parquet(f"{out}/mermaid_sources")
+    assets.page_stats(table).write.mode("overwrite").json(f"{out}/page_stats")
+    assets.capture_plan(table).write.mode("overwrite").parquet(f"{out}/capture_plan")
+    assets.capture_summary(table).write.mode("overwrite").json(f"{out}/capture_summary")
+    assets.bundle_index(table).write.mode("overwrite").parquet(f"{out}/bundle")
+    refs = assets.image_refs(table, assets.bundle_index(table))
+    refs.write.mode("overwrite").parquet(f"{out}/image_refs")
+    assets.missing_image_count(table, refs).write.mode("overwrite").json(f"{out}/missing_images")
+    quality.output_checks(table).write.mode("overwrite").parquet(f"{out}/checks")

@@ -46,8 +46,10 @@ def _count(status: str) -> str:
     return f"CAST(count(*) FILTER (s = '{status}') AS VARCHAR)"
 
 
-def _image(caption: str, kind: str, n: int) -> str:
-    return f"![{caption}](images/{kind}_{n:02d}.png)"
+def _image(caption: str, kind: str, n: int | str) -> str:
+    """``n``: a number, or SQL for one; the reference stands inside a quoted string."""
+    number = f"{n:02d}" if isinstance(n, int) else f"' || printf('%02d', {n}) || '"
+    return f"![{caption}](images/{kind}_{number}.png)"
 
 
 _F, _O, _P = map(_count, "FOP")
@@ -64,42 +66,42 @@ _FOOTER = "'---\n\n*Batch **' || page_id || '** © ' || count(*) || ' end*'"
 _REFERENCES = "'![Order ' || k || '](./images/order_' || k || '.png) ![all](images/all.png) ![web](https://example.org/' || k || '.png)'"
 
 
-def _hero(n: int) -> str:
+def _hero(n: int | str) -> str:
     return f"'{_image('Hero banner', 'hero', n)}{_HERO_TEXT}"
 
 
-def _progress(n: int) -> str:
+def _progress(n: int | str) -> str:
     return f"'{_image('Progress bar', 'progress_bar', n)}\n\n`F ' || {_F} || ' | O ' || {_O} || ' | P ' || {_P} || '`'"
 
 
-def _stats(n: int) -> str:
+def _stats(n: int | str) -> str:
     return (
         f"'{_image('Stat cards', 'stat_cards', n)}\n\n| F | O | P |\n| --- | --- | --- |\n| count ' || {_F} || ' | count '"
         f" || {_O} || ' | count ' || {_P} || ' |'"
     )
 
 
-def _cards(n: int) -> str:
+def _cards(n: int | str) -> str:
     return (
         f"'{_image('Stat cards', 'stat_cards', n)}\n\n| all | 2 x | ' || {_all('d', ' | ')} || ' |\n| --- | --- |'"
         f" || repeat(' --- |', CAST(count(*) AS INTEGER)) || '\n| orders | all | ' || {_all(chr(39) + 'Order ' + chr(39) + ' || k', ' | ')} || ' |'"
     )
 
 
-def _timeline(n: int) -> str:
+def _timeline(n: int | str) -> str:
     return f"'{_image('Timeline', 'timeline', n)}\n\n' || {_all(_ENTRY, chr(10))}"
 
 
-def _diagram(source: str, n: int) -> str:
+def _diagram(source: str, n: int | str) -> str:
     return f"'```mermaid\n' || {source} || '\n```\n\n*Fallback image: {_image('Diagram', 'mermaid', n)}*'"
 
 
-def _comparison(n: int) -> str:
+def _comparison(n: int | str) -> str:
     card = lambda s, c: f"'\n\n**{s}**\n\n' || {c} || ' **orders**\n\n```\nn = ' || {c} || '\n```\n\n> 📌 ' || {c} || ' open'"
     return f"'{_image('Comparison', 'comparison', n)}\n\n\nintro' || {card('F', _F)} || {card('O', _O)} || {card('P', _P)}"
 
 
-def _visual(n: int) -> str:
+def _visual(n: int | str) -> str:
     rows = (
         "'| Order ' || min_by(k, k) || ' | ' || min_by(s, k) || ' |\n| --- | --- |' || coalesce("
         "string_agg('\n| Order ' || k || ' | ' || s || ' |', '' ORDER BY k) FILTER (rn > 1), '')"
@@ -108,10 +110,118 @@ def _visual(n: int) -> str:
     return f"'{_image('Visual component', 'visual_component', n)}\n\n\n' || {rows} || '\n\n' || {texts} || '\n\nafter'"
 
 
-_FULL = [
-    _hero(1), _CONTENTS, _all(_HEADING), _all(_PARAGRAPH), _TABLE, _all(_CALLOUT), _progress(2), _stats(3), _timeline(4),
-    _all(_CODE), _ORDERED, _DASHED, _diagram(_GRAPH, 5), _comparison(6), _visual(7), _all(_REFERENCES), _FOOTER,
+# --- full pages: which sections there are, and what follows from that --------------------------
+
+# The sections in order. A page lacks those whose number has the same remainder as the page's by 7.
+_SECTIONS = [
+    "hero", "contents", "headings", "paragraphs", "tables", "callouts", "progress", "stats", "timeline", "code",
+    "lists", "mermaid", "comparison", "visual", "images", "footer", "kept_or_lost", "timeline_as_cards",
 ]
+_PAGES = f"""{_ORDERS}, pg AS (SELECT page_id, count(*) AS n, min_by(s, k) = 'F' AS closed, count(*) FILTER (k % 4 = 1) AS n_success,
+    count(*) FILTER (k % 4 <> 3) AS n_coloured FROM o GROUP BY page_id)"""
+
+
+def _here(section: str) -> str:
+    """SQL: does the page have the section? What ``kept_or_lost`` holds shows only where the first order is not closed."""
+    there = f"page_id % 7 <> {_SECTIONS.index(section) % 7}"
+    return f"({there} AND NOT closed)" if section == "kept_or_lost" else f"({there})"
+
+
+_SOURCE_KEPT = f"(page_id % 7 <> {_SECTIONS.index('kept_or_lost') % 7})"  # in the source, shown or not
+_IMAGED = {"hero": "hero", "progress": "progress_bar", "stats": "stat_cards", "timeline": "timeline", "mermaid": "mermaid",
+           "comparison": "comparison", "visual": "visual_component", "kept_or_lost": "mermaid", "timeline_as_cards": "stat_cards"}
+
+
+def _sum(sections: list[str]) -> str:
+    return " + ".join([f"CAST({_here(x)} AS INTEGER)" for x in sections] or ["0"])
+
+
+def _number(section: str, kind: str | None = None) -> str:
+    """SQL: the number of a section's image among all of the page, or among those of a kind."""
+    earlier = [x for x in list(_IMAGED)[: list(_IMAGED).index(section)] if kind in (None, _IMAGED[x])]
+    return f"(1 + {_sum(earlier)})"
+
+
+_KEPT = (
+    "'" + "{0}" + "\n\n| [a] | [b] |\n| --- | --- |\n\n> 💡 x\n\n> ✅ x\n\n> 🚨 x\n\n> ⚠️ x'"
+).format(_diagram("'graph'", _number("kept_or_lost"))[1:-1])
+_SHOWN = {
+    "hero": _hero(_number("hero")), "contents": _CONTENTS, "headings": _all(_HEADING), "paragraphs": _all(_PARAGRAPH), "tables": _TABLE,
+    "callouts": _all(_CALLOUT), "progress": _progress(_number("progress")), "stats": _stats(_number("stats")),
+    "timeline": _timeline(_number("timeline")), "code": _all(_CODE), "lists": f"{_ORDERED} || '\n\n' || {_DASHED}",
+    "mermaid": _diagram(_GRAPH, _number("mermaid")), "comparison": _comparison(_number("comparison")), "visual": _visual(_number("visual")),
+    "images": _all(_REFERENCES), "footer": _FOOTER, "kept_or_lost": _KEPT, "timeline_as_cards": _cards(_number("timeline_as_cards")),
+}
+_WHOLE = (
+    "regexp_replace(concat_ws('\n\n', " + ", ".join(f"CASE WHEN {_here(x)} THEN {md} END" for x, md in _SHOWN.items()) + "), '\n{3,}', '\n\n', 'g')"
+)
+
+
+def _of_pages(columns: str) -> str:
+    return f"{_PAGES} SELECT page_id, {columns} FROM pg"
+
+
+def _of_whole(columns: str) -> str:
+    """Columns that may use the Markdown, ``md``."""
+    whole = f"SELECT page_id, any_value(n) AS n, any_value(closed) AS closed, any_value(n_coloured) AS n_coloured, {_WHOLE} AS md FROM o JOIN pg USING (page_id) GROUP BY page_id, closed"
+    return f"{_PAGES} SELECT page_id, {columns} FROM ({whole})"
+
+
+def _each_image(columns: str, where: str = "TRUE") -> str:
+    """One row per image of a page: {type}, {number} and {ordinal} are filled in."""
+    rows = []
+    for section, kind in _IMAGED.items():
+        filled = columns.format(type=kind, number=_number(section), ordinal=_number(section, kind), found=str(section != "timeline_as_cards").upper())
+        rows.append(f"SELECT page_id, {filled} FROM pg WHERE {_here(section)} AND {where.format(found=str(section != 'timeline_as_cards').upper())}")
+    return " UNION ALL ".join(rows)
+
+
+def _kinds(name: str, counted: dict[str, dict[str, str]], always: dict[str, str]) -> str:
+    """Per page and kind: the sum over the page's sections of SQL counts. ``kept_or_lost`` counts by its own conditions."""
+    rows = ["SELECT page_id, '' AS kind, 0 AS c FROM pg WHERE FALSE", *(f"SELECT page_id, '{kind}', {n} FROM pg" for kind, n in always.items())]
+    for section, kinds in counted.items():
+        there = "TRUE" if section == "kept_or_lost" else _here(section)
+        rows += [f"SELECT page_id, '{kind}', {n} FROM pg WHERE {there}" for kind, n in kinds.items()]
+    return f"{_PAGES} SELECT page_id, kind AS {name}, CAST(sum(c) AS BIGINT) AS n FROM ({' UNION ALL '.join(rows)}) GROUP BY ALL HAVING sum(c) > 0"
+
+
+_ELEMENTS = {
+    "hero": {"hero": "1", "heading": "1", "paragraph": "1"}, "contents": {"contents": "1", "list": "1", "section": "1"}, "headings": {"heading": "n"},
+    "paragraphs": {"paragraph": "n", "section": "1"}, "tables": {"table": "1"}, "callouts": {"callout": "n", "paragraph": "n", "section": "1"},
+    "progress": {"progress_bar": "1"}, "stats": {"stat_cards": "1", "paragraph": "6", "section": "1"},
+    # The class of a timeline entry may be "success", which is also a callout's.
+    "timeline": {"timeline": "1", "paragraph": "n - 1", "callout": "n_success"}, "code": {"code": "n", "section": "1"}, "lists": {"list": "2 + n"},
+    "mermaid": {"mermaid": "6", "section": "1"}, "comparison": {"comparison": "1", "paragraph": "4", "code": "3", "callout": "3", "list": "3"},
+    "visual": {"visual_component": "1", "table": "1", "paragraph": "n + 1", "section": "1"}, "images": {"paragraph": "n"},
+    "footer": {"footer": "1", "section": "1"}, "timeline_as_cards": {"stat_cards": "1", "paragraph": "n", "section": "1"},
+    "kept_or_lost": {kind: f"{n} * CAST({_SOURCE_KEPT} AS INTEGER)" for kind, n in (("mermaid", 2), ("table", 1), ("callout", 4))}
+    | {"section": f"CAST({_here('kept_or_lost')} AS INTEGER)"},
+}
+_BLOCKS = {
+    "hero": {"hero": "1"}, "contents": {"contents": "1"}, "headings": {"heading": "n"}, "paragraphs": {"paragraph": "n"}, "tables": {"table": "1"},
+    "callouts": {"callout": "n"}, "progress": {"progress_bar": "1"}, "stats": {"stat_cards": "1"}, "timeline": {"timeline": "1"}, "code": {"code": "n"},
+    "lists": {"list": "2"}, "mermaid": {"mermaid": "1"}, "comparison": {"comparison": "1"}, "visual": {"visual_component": "1"},
+    "images": {"paragraph": "n"}, "footer": {"footer": "1"}, "timeline_as_cards": {"stat_cards": "1"},
+    "kept_or_lost": {kind: f"{n} * CAST({_here('kept_or_lost')} AS INTEGER)" for kind, n in (("mermaid", 1), ("table", 1), ("callout", 4))},
+}
+# How many elements selectors find: per type, SQL.
+_CANDIDATES = {
+    "hero": _sum(["hero"]), "stat_cards": _sum(["stats"]), "progress_bar": _sum(["progress"]), "timeline": _sum(["timeline", "timeline_as_cards"]),
+    "mermaid": f"5 * CAST({_here('mermaid')} AS INTEGER) + 2 * CAST({_SOURCE_KEPT} AS INTEGER)", "comparison": _sum(["comparison"]),
+    "visual_component": _sum(["visual"]),
+}
+_DIAGRAMS = f"({_sum(['mermaid', 'kept_or_lost'])})"
+
+
+def _any(*sections: str) -> str:
+    return "(" + " OR ".join(_here(x) for x in sections) + ")"
+
+
+# A diagram's arrows look like quotations, and the colours of a timeline share a unit with the signs of callouts.
+_QUOTED = _any("callouts", "comparison", "kept_or_lost", "mermaid")
+_SIGNED = f"({_any('callouts', 'comparison', 'kept_or_lost')} OR {_here('timeline')} AND n_coloured > 0)"
+_PIPED = _any("hero", "tables", "progress", "stats", "visual", "kept_or_lost", "timeline_as_cards")
+_DRAWN = _any("mermaid", "kept_or_lost")
 
 
 def _per_order(columns: str) -> str:
@@ -132,25 +242,6 @@ def _rows(values: list[tuple[str, str]], columns: str) -> str:
     return f"{_ORDERS} SELECT page_id, {columns} FROM (SELECT page_id, count(*) AS n FROM o GROUP BY page_id), (VALUES {listed}) AS v(a, b)"
 
 
-def _counts(name: str, constants: dict[str, tuple[int, int]], callouts: str = "0") -> str:
-    """Per page and kind: a constant plus a multiple of the page's orders, and ``callouts`` of that kind on top."""
-    listed = ", ".join(f"('{kind}', {fixed}, {each})" for kind, (fixed, each) in constants.items())
-    return (
-        f"{_ORDERS} SELECT * FROM (SELECT page_id, v.kind AS {name}, v.fixed + v.each * t.n + if(v.kind = 'callout', t.m, 0) AS n FROM"
-        f" (SELECT page_id, count(*) AS n, {callouts} AS m FROM o GROUP BY page_id) t, (VALUES {listed}) AS v(kind, fixed, each)) WHERE n > 0"
-    )
-
-
-def _file_list(names: list[str]) -> list[tuple[str, str]]:
-    return [(f"'{n.rsplit('_', 1)[0]}'", f"'{n}'") for n in names]
-
-
-_FULL_FILES = ["hero_01", "progress_bar_02", "stat_cards_03", "timeline_04", "mermaid_05", "comparison_06", "visual_component_07"]
-_MANIFEST_3 = (
-    '[{"type":"hero","index":1,"filename":"hero_01.png","selector":null},'
-    '{"type":"stat_cards","index":2,"filename":"stat_cards_02.png","selector":null}]'
-)
-_FIRST_CLOSED = "min_by(s, k) = 'F'"
 
 # --- web pages -----------------------------------------------------------------------------
 
@@ -179,7 +270,7 @@ ORACLES = {
         {_TIMES.format(_CLEAN, '<br[ />]')} AS n_breaks FROM pages""",
     "root_nodes": "SELECT page_id, 'nav div article footer' AS root_tags FROM pages",
     "entity_text": "SELECT doc_id, text || ' © — 😀 · –' AS text FROM documents",
-    "mermaid_pages": _per_page(f"{_FIRST_CLOSED} AS has_mermaid"),
+    "mermaid_pages": _of_pages("closed AS has_mermaid"),
     "source_census": f"""SELECT page_id, strlen(html) > 500 AS is_long, {_holds('<header class="hero">')} AS has_hero,
         {_holds('<pre class="mermaid">', 'mermaid-wrapper')} AS has_diagram,
         {_holds('<table>', 'badge green', 'badge red')} AS has_table,
@@ -192,9 +283,9 @@ ORACLES = {
         {_holds('mermaid', 'cdn.jsdelivr.net')} AS has_diagram_script,
         {_TIMES.format('html', 'stat-card')} AS n_stat_cards, {_TIMES.format('html', 'comparison-card')} AS n_comparison_cards
         FROM pages""",
-    "report_census": _per_page(f"""TRUE AS has_hero, TRUE AS has_diagram, TRUE AS has_table, TRUE AS has_callout,
-        TRUE AS has_progress_bar, FALSE AS has_stat_cards, FALSE AS has_timeline, FALSE AS has_code, FALSE AS has_comparison,
-        {_FIRST_CLOSED} AS has_diagram_script, CAST(0 AS BIGINT) AS n_stat_cards, CAST(0 AS BIGINT) AS n_comparison_cards"""),
+    "report_census": _of_pages(f"""{_here('hero')} AS has_hero, {_here('mermaid')} OR {_SOURCE_KEPT} AS has_diagram, {_SOURCE_KEPT} AS has_table,
+        {_SOURCE_KEPT} AS has_callout, {_here('progress')} AS has_progress_bar, FALSE AS has_stat_cards, FALSE AS has_timeline, FALSE AS has_code,
+        FALSE AS has_comparison, closed AS has_diagram_script, CAST(0 AS BIGINT) AS n_stat_cards, CAST(0 AS BIGINT) AS n_comparison_cards"""),
     "toc_entries": f"SELECT page_id, CAST(1 AS INTEGER) AS block_no, i AS item_no, {_LINK} AS item FROM {_ENTRIES}",
     "toc_blocks": f"SELECT page_id, CAST(1 AS INTEGER) AS block_no, md FROM ({_WEB_CONTENTS})",
     "footers": f"SELECT page_id, CAST(1 AS INTEGER) AS block_no, md FROM ({_WEB_FOOTER})",
@@ -232,31 +323,25 @@ ORACLES = {
     "hero_blocks": _one(_hero(1)),
     "comparison_blocks": _one(_comparison(1)),
     "visual_components": _one(_visual(1)),
-    "block_kinds": _counts("block_kind", {
-        "hero": (1, 0), "contents": (1, 0), "section": (8, 0), "heading": (1, 1), "paragraph": (12, 5), "list": (6, 1),
-        "mermaid": (6, 0), "callout": (3, 1), "progress_bar": (1, 0), "stat_cards": (1, 0), "timeline": (1, 0), "code": (3, 1),
-        "table": (2, 0), "footer": (1, 0), "comparison": (1, 0), "visual_component": (1, 0)},
-        # The class of a timeline entry may be "success", which is also a callout's.
-        "count(*) FILTER (k % 4 = 1)"),
-    "blocks": _counts("kind", {
-        "hero": (1, 0), "contents": (1, 0), "heading": (0, 1), "paragraph": (0, 2), "table": (1, 0), "callout": (0, 1),
-        "progress_bar": (1, 0), "stat_cards": (1, 0), "timeline": (1, 0), "code": (0, 1), "list": (2, 0), "mermaid": (1, 0),
-        "comparison": (1, 0), "visual_component": (1, 0), "footer": (1, 0)}),
-    "report_markdown": _per_page("regexp_replace(" + " || '\n\n' || ".join(_FULL) + ", '\n{3,}', '\n\n', 'g') AS md"),
-    "manifest": _rows(_file_list(_FULL_FILES), "a AS type, CAST(right(b, 2) AS INTEGER) AS index, b || '.png' AS filename, CAST(NULL AS VARCHAR) AS selector"),
-    "manifest_json": _per_page(f"'{_MANIFEST_3}' AS manifest"),
-    "page_stats": _per_page("CAST(1 AS BIGINT) AS mermaid_count, CAST(7 AS BIGINT) AS screenshot_count, CAST(1 AS BIGINT) AS table_count, count(*) + 3 AS callout_count"),
-    "capture_candidates": _rows([(f"'{t}'", str(i)) for t, n in {
-        "hero": 1, "stat_cards": 1, "progress_bar": 1, "timeline": 1, "mermaid": 5, "comparison": 1, "visual_component": 1}.items()
-        for i in range(1, n + 1)], "a AS type, CAST(b AS INTEGER) AS ordinal"),
-    "capture_plan": _rows([
-        ("'stat_cards_01'", "1"), ("'stat_cards_02'", "2"), ("'mermaid_03'", "1"), ("'mermaid_04'", "2"), ("'visual_component_05'", "1")],
-        "left(a, length(a) - 3) AS type, CAST(b AS INTEGER) AS ordinal, a || '.png' AS filename, CASE a WHEN 'stat_cards_02' THEN 'missing' ELSE 'found' END AS status"),
-    "capture_summary": _per_page("CAST(4 AS BIGINT) AS success, CAST(1 AS BIGINT) AS failed"),
-    "bundle_index": _rows([
-        ("'output.md'", "'markdown'"), ("'screenshot_manifest.json'", "'manifest'"), ("'mermaid_sources/mermaid_01.mmd'", "'mermaid'"),
-        ("'images/hero_01.png'", "'image'"), ("'images/mermaid_02.png'", "'image'"), ("'images/progress_bar_03.png'", "'image'"),
-        ("'images/mermaid_01.png'", "'image'")], "a AS path, b AS kind"),
+    "block_kinds": _kinds("block_kind", _ELEMENTS, {"paragraph": "1"}),
+    "blocks": _kinds("kind", _BLOCKS, {}),
+    "report_markdown": _of_whole("md"),
+    "manifest": f"""{_PAGES} {_each_image("'{type}' AS type, CAST({number} AS INTEGER) AS index, '{type}_' || printf('%02d', {number}) || '.png' AS filename, CAST(NULL AS VARCHAR) AS selector")}""",
+    "manifest_json": f"""{_PAGES}, images AS ({_each_image("{number} AS i, '{type}' AS type")}) SELECT page_id, '[' || coalesce(string_agg('{{"type":"' || type
+        || '","index":' || i || ',"filename":"' || type || '_' || printf('%02d', i) || '.png","selector":null}}', ',' ORDER BY i), '') || ']' AS manifest
+        FROM pg LEFT JOIN images USING (page_id) GROUP BY page_id""",
+    "page_stats": _of_pages(f"""CAST({_DIAGRAMS} AS BIGINT) AS mermaid_count, CAST({_sum(list(_IMAGED))} AS BIGINT) AS screenshot_count,
+        CAST({_sum(["tables", "kept_or_lost"])} AS BIGINT) AS table_count,
+        CAST(n * CAST({_here("callouts")} AS INTEGER) + 3 * CAST({_here("comparison")} AS INTEGER) + 4 * CAST({_here("kept_or_lost")} AS INTEGER) AS BIGINT) AS callout_count"""),
+    "capture_candidates": f"""{_PAGES}, found AS ({' UNION ALL '.join(f"SELECT page_id, '{t}' AS type, {n} AS n FROM pg" for t, n in _CANDIDATES.items())})
+        SELECT page_id, type, CAST(unnest(range(1, n + 1)) AS INTEGER) AS ordinal FROM found""",
+    "capture_plan": f"""{_PAGES} {_each_image("'{type}' AS type, CAST({ordinal} AS INTEGER) AS ordinal, '{type}_' || printf('%02d', {number}) || '.png' AS filename, CASE WHEN {found} THEN 'found' ELSE 'missing' END AS status")}""",
+    "capture_summary": _of_pages(f"""CAST({_sum([x for x in _IMAGED if x != 'timeline_as_cards'])} AS BIGINT) AS success, CAST({_sum(['timeline_as_cards'])} AS BIGINT) AS failed"""),
+    "bundle_index": f"""{_PAGES}, drawn AS (SELECT page_id, unnest(range(1, {_DIAGRAMS} + 1)) AS i FROM pg)
+        SELECT page_id, unnest(['output.md', 'screenshot_manifest.json', 'images/full_page.png']) AS path, unnest(['markdown', 'manifest', 'image']) AS kind FROM pg
+        UNION ALL SELECT page_id, 'mermaid_sources/mermaid_' || printf('%02d', i) || '.mmd', 'mermaid' FROM drawn
+        UNION ALL SELECT page_id, path, 'image' FROM (SELECT page_id, 'images/mermaid_' || printf('%02d', i) || '.png' AS path FROM drawn
+            UNION {_each_image("'images/{type}_' || printf('%02d', {number}) || '.png'", "{found}")})""",
     "image_refs": f"""{_ORDERS} SELECT page_id, 'Order ' || k AS alt, './images/order_' || k || '.png' AS ref, s <> 'F' AS is_missing FROM o
         UNION ALL SELECT page_id, 'all', 'images/all.png', TRUE FROM o
         UNION ALL SELECT DISTINCT page_id, 'Hero banner', 'images/hero_01.png', TRUE FROM o""",
@@ -264,9 +349,10 @@ ORACLES = {
         UNION ALL SELECT page_id, 'all', 'images/all.png' FROM o
         UNION ALL SELECT DISTINCT page_id, 'Hero banner', 'images/hero_01.png' FROM o""",
     "missing_image_count": _per_page("1 + count(*) + count(*) FILTER (s <> 'F') AS missing_count"),
-    "output_checks": _per_page(f"""min_by(s, k) <> 'F' OR length({_hero(1)}) > 100 AS is_long, min_by(s, k) <> 'F' AS has_diagram, TRUE AS has_table,
-        min_by(s, k) <> 'F' AS has_callout, TRUE AS has_image, min_by(s, k) <> 'F' AS has_callout_sign, TRUE AS manifest_is_array"""),
-    "lost_components": f"""{_ORDERS} SELECT page_id, component FROM (SELECT page_id FROM o GROUP BY page_id HAVING {_FIRST_CLOSED}),
-        (VALUES ('diagram'), ('table'), ('callout')) AS v(component)""",
+    "output_checks": _of_whole(f"""length(md) > 100 AS is_long, {_DRAWN} AS has_diagram, {_PIPED} AS has_table, {_QUOTED} AS has_callout,
+        {_any(*_IMAGED, 'images')} AS has_image, {_SIGNED} AS has_callout_sign, TRUE AS manifest_is_array"""),
+    "lost_components": f"""{_PAGES} SELECT page_id, 'diagram' AS component FROM pg WHERE ({_here('mermaid')} OR {_SOURCE_KEPT}) AND NOT {_DRAWN}
+        UNION ALL SELECT page_id, 'table' FROM pg WHERE {_SOURCE_KEPT} AND NOT {_PIPED}
+        UNION ALL SELECT page_id, 'callout' FROM pg WHERE {_SOURCE_KEPT} AND NOT ({_QUOTED} AND {_SIGNED})""",
     "asset_names": "SELECT o_orderkey, printf('hero_%02d.png', o_orderkey) AS filename FROM orders",
 }

@@ -45,7 +45,7 @@ def _count(status: str) -> Column:
 
 def _hero() -> Column:
     return _fill(
-        '<header class="hero"><h1>Batch {b}</h1><p class="subtitle">Orders of <b>batch</b> {b} &amp; more</p>'
+        '<header class="hero"><h1>Batch {b}</h1><p class="lead-in">Orders of <b>batch</b> {b} &amp; more</p>'
         "<div><span>{n}</span><span>orders</span></div><div><div>{f}</div><div>closed</div><i>x</i></div>"
         "<div><span>alone</span></div></header>",
         b=F.col("page_id"), n=F.size("os"), f=_count("F"),
@@ -103,7 +103,7 @@ def _callouts() -> Column:
 
 
 def _progress() -> Column:
-    bars = [_fill('<div style="flex: {n}; background-color: #abc"> ' + s + " {n}</div>", n=_count(s)) for s in STATUSES]
+    bars = [_fill('<div style="background-color: teal; width: {n}em"> ' + s + " {n}</div>", n=_count(s)) for s in STATUSES]
     return F.concat(F.lit('<div class="progress-bar">'), *bars, F.lit("<span> </span></div>"))
 
 
@@ -207,8 +207,10 @@ SECTIONS = {
 # The order of the sections on a full page.
 FULL_PAGE = [
     "hero", "contents", "headings", "paragraphs", "tables", "callouts", "progress", "stats", "timeline", "code",
-    "lists", "mermaid", "comparison", "visual", "images", "footer",
+    "lists", "mermaid", "comparison", "visual", "images", "footer", "kept_or_lost", "timeline_as_cards",
 ]
+#: Full pages differ: of every so many sections one is left out, another one on the next page.
+LEFT_OUT = 7
 
 
 def batches(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -222,14 +224,15 @@ def batches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def reports(spark: SparkSession, sf_dir: str, *sections: str) -> DataFrame:
-    """Pages with the named sections, or full pages. Odd sections are wrapped in containers."""
+    """Pages with the named sections, or full pages, of which each lacks some. Odd sections are wrapped in containers."""
     names = sections or FULL_PAGE
     wrap = lambda i, html: F.concat(F.lit("<section><div>"), html, F.lit("</div>\n</section>\n")) if i % 2 else html
+    here = lambda i, html: html if sections else F.when(F.col("page_id") % LEFT_OUT != i % LEFT_OUT, html).otherwise("")
     script = F.when(F.element_at("os", 1)["s"] == "F", '<script src="https://cdn.jsdelivr.net/npm/mermaid.min.js"></script>').otherwise("")
     html = F.concat(
         F.lit("<!DOCTYPE html><html><head><title>Report</title>"), script, F.lit("<style>p > b {x: y}</style></head><body>\nloose text"),
         F.lit("<script>var t = '</p><p>';</script><main><p>lost</p></main>"),
-        *[wrap(i, SECTIONS[n]()) for i, n in enumerate(names)],
+        *[here(i, wrap(i, SECTIONS[n]())) for i, n in enumerate(names)],
         F.lit("</body></html>"),
     )
     return batches(spark, sf_dir).select("page_id", html.alias("html"))

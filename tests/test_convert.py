@@ -2,12 +2,11 @@
 
 import pytest
 from foliant.functions.text import decode_text
-from foliant.operators.quality import output_checks, source_census
+from foliant.operators.quality import lost_components, output_checks, source_census
 from pyspark.sql import functions as F
 
 from foliant.operators import assets
-from foliant.operators.parse import nodes
-from foliant.operators.render import blocks, page_markdown
+from foliant.operators.predicates import compile_selector
 from foliant.plans.convert import Conversion, export
 from foliant.sources.pages import read_html_files, read_pages
 
@@ -89,9 +88,9 @@ CASES = {
 @pytest.fixture(scope="module")
 def converted(spark):
     rows = [(name, html) for name, (html, _) in CASES.items()]
-    table = blocks(nodes(spark.createDataFrame(rows, "page_id string, html string"))).cache()
-    markdown = {r.page_id: r.md for r in page_markdown(table).collect()}
-    stats = {r.page_id: r for r in assets.page_stats(table).collect()}
+    conversion = Conversion(spark.createDataFrame(rows, "page_id string, html string"))
+    markdown = {r.page_id: r.md for r in conversion.markdown.collect()}
+    stats = {r.page_id: r for r in assets.page_stats(conversion.table).collect()}
     return markdown, stats
 
 
@@ -114,9 +113,9 @@ def test_counts(converted):
 def test_hundredth_asset_and_positional_capture(spark):
     html = "<body>" + "<header class='a-hero'></header>" * 101 + "<div class='hero-stats'><p>x</p></div>" + CARDS + "</body>"
     c = Conversion(spark.createDataFrame([(1, html)], "page_id long, html string"))
-    names = [r.filename for r in c.manifest.orderBy("index").collect()]
+    names = [r.filename for r in assets.manifest(c.table).orderBy("index").collect()]
     assert names[0] == "hero_01.png" and names[99] == "hero_100.png" and names[101] == "stat_cards_102.png"
-    plan = {(r.type, r.ordinal): r for r in c.capture_plan.collect()}
+    plan = {(r.type, r.ordinal): r for r in assets.capture_plan(c.table).collect()}
     # "hero-stats" holds "stats", so it takes the place of the first row of stat cards.
     assert plan["stat_cards", 1].status == "found"
     marked = c.nodes.filter(F.array_contains("classes", "hero-stats")).first()
@@ -133,6 +132,14 @@ def test_export_writes_all_tables(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "out/manifest")).first().filename == "mermaid_01.png"
     assert spark.read.parquet(str(tmp_path / "out/mermaid_sources")).first().source == "g"
     assert spark.read.json(str(tmp_path / "out/page_stats")).count() == 2
+    read = lambda name: spark.read.parquet(str(tmp_path / "out" / name))
+    assert {r.page_id.rsplit("/", 1)[1]: r.manifest for r in read("manifest_arrays").collect()}["b.html"] == "[]"
+    assert sorted(r.path for r in read("bundle").collect() if r.page_id.endswith("a.html")) == [
+        "images/full_page.png", "images/mermaid_01.png", "mermaid_sources/mermaid_01.mmd", "output.md", "screenshot_manifest.json"]
+    assert read("capture_plan").first().status == "found" and not read("image_refs").first().is_missing
+    assert {r.success for r in spark.read.json(str(tmp_path / "out/capture_summary")).collect()} == {0, 1}
+    assert {r.missing_count for r in spark.read.json(str(tmp_path / "out/missing_images")).collect()} == {0}
+    assert read("checks").count() == 2
 
 
 def test_missing_source_raises(spark, tmp_path):
@@ -140,11 +147,49 @@ def test_missing_source_raises(spark, tmp_path):
         read_pages(spark, str(tmp_path / "none.parquet"))
 
 
-def test_one_exchange_before_markdown(spark):
-    """All windows and groupings up to the Markdown ride on the exchange of the raw pages."""
-    pages = spark.createDataFrame([(1, "<p>a</p>")], "page_id long, html string")
-    plan = page_markdown(blocks(nodes(pages)))._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("Exchange hashpartitioning") == 1
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_one_scan_and_one_python_stage_for_every_table(spark):
+    """A page stays one row: no window, sort, join or exchange on the way to any of its tables."""
+    table = Conversion(spark.createDataFrame([(1, "<p>a</p>")], "page_id long, html string")).table
+    made = [table.select("page_id", "md"), *(f(table) for f in (
+        assets.manifest, assets.mermaid_sources, assets.page_stats, assets.capture_candidates, assets.capture_plan, assets.capture_summary,
+        assets.mermaid_png_names, assets.mermaid_name_gaps, assets.bundle_index, output_checks, lost_components))]
+    for df in made:
+        plan = plan_of(df)
+        assert plan.count("ArrowEvalPython") == 1 and plan.count("Scan ") == 1
+        assert not any(x in plan for x in ("Window", "Sort", "Exchange", "Join"))
+    # Counting renders nothing: no events are made for it.
+    assert "quiet_stop" not in plan_of(assets.page_stats(table)) and "quiet_stop" in plan_of(table.select("md"))
+
+
+def test_selectors_are_data(spark):
+    """A new selector needs no code. Elements are named by their tag, or the text they hold."""
+    html = (
+        "<main><div class='a b' id='x' style='color: red'><p class='b'>1</p><ul><li><p>2</p></li></ul></div><P class='c-b'>3</P></main>"
+        "<script class='b'>4</script>"
+    )
+    wanted = {
+        "p": "1 2 3", ".b": "div 1 4", "div p": "1 2", "div li p, script": "2 4", "p.b": "1", "*:not(p):not(main *)": "main 4", "aside": "",
+        '[class*="b"]': "div 1 3 4", '[id="x"]': "div", "[class]": "div 1 3 4", "div:has(li)": "div", "p:not(.b, li p)": "3", "main:has(p.c-b) .b": "div 1",
+        '[style*="red"] li': "li",
+    }
+    c = Conversion(spark.createDataFrame([(1, html)], "page_id long, html string"), {text: text for text in wanted})
+    nodes = c.nodes.collect()
+    inner = {n.parent: n.text for n in nodes if n.kind == "text"}
+    name = {n.pos: inner.get(n.pos, n.text if n.kind == "raw" else n.tag) for n in nodes}
+    found = {text: [] for text in wanted}
+    for r in assets.capture_candidates(c.table).orderBy("type", "ordinal").collect():
+        found[r.type].append(name[r.node_pos])
+    assert {text: " ".join(names) for text, names in found.items()} == wanted
+
+
+@pytest.mark.parametrize("text", ["p:hover", "p > a", "", "a,", ":not(a", "a)", "[x^=\"y\"]"])
+def test_other_selectors_are_refused(text):
+    with pytest.raises(ValueError):
+        compile_selector(text)
 
 
 def test_long_unknown_reference_keeps_every_character(spark):
@@ -155,8 +200,7 @@ def test_long_unknown_reference_keeps_every_character(spark):
 
 def test_manifest_must_be_an_array_and_size_is_in_bytes(spark):
     rows = [(1, "x", '{"a":1}'), (2, "x", ' [{"type":"hero"}]'), (3, "x", "[]")]
-    both = spark.createDataFrame(rows, "page_id long, md string, manifest string")
-    found = output_checks(both.select("page_id", "md"), both.select("page_id", "manifest")).collect()
+    found = output_checks(spark.createDataFrame(rows, "page_id long, md string, manifest string")).collect()
     assert {r["page_id"]: r["manifest_is_array"] for r in found} == {1: False, 2: True, 3: True}
     html = spark.createDataFrame([(1, "é" * 300)], "page_id long, html string")
     assert source_census(html).first()["is_long"]
@@ -169,5 +213,14 @@ def test_paths_are_resolved_and_pages_without_references_count_zero(spark):
     markdown = spark.createDataFrame([(1, "![a](images/../images/x.png) ![b](y.png)"), (2, "text")], "page_id long, md string")
     refs = assets.image_refs(markdown, spark.createDataFrame([(1, "images/x.png")], "page_id long, path string"))
     assert sorted(map(tuple, assets.missing_image_count(markdown, refs).collect())) == [(1, 1), (2, 0)]
-    plan = spark.createDataFrame([(1, "found")], "page_id long, status string")
-    assert sorted(map(tuple, assets.capture_summary(markdown, plan).collect())) == [(1, 1, 0), (2, 0, 0)]
+    plan = spark.createDataFrame([(1, [("found",)]), (2, [])], "page_id long, plan array<struct<status: string>>")
+    assert sorted(map(tuple, assets.capture_summary(plan).collect())) == [(1, 1, 0), (2, 0, 0)]
+
+
+def test_any_unit_of_a_callout_sign_counts(spark):
+    texts = ["> 💡", "✅", "⚠", "a📌b", "\uFE0F", "\U00010CA1", "🤖", "> a", "", "é" * 400_000 + "x", "é" * 400_000 + "🚨"]
+    rows = [(i, t, "[]") for i, t in enumerate(texts)]
+    found = output_checks(spark.createDataFrame(rows, "page_id long, md string, manifest string")).collect()
+    units = set("\ud83d\udca1\u2705\ud83d\udea8\u26a0\ufe0f")
+    split = lambda t: {t.encode("utf-16-be")[i : i + 2].decode("utf-16-be", "surrogatepass") for i in range(0, 2 * len(t.encode("utf-16-be")) // 2, 2)}
+    assert {r["page_id"]: r["has_callout_sign"] for r in found} == {i: bool(units & split(t)) for i, t in enumerate(texts)}
