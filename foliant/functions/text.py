@@ -40,9 +40,12 @@ def escape_markup(c: Column) -> Column:
     return c
 
 
+# Four digits in a row, or a month abbreviation as a whole word.
+DATED = r"(?iU)\d{4}|\b(" + "|".join(MONTHS) + r")\b"
+
+
 def looks_dated(c: Column) -> Column:
-    """Four digits in a row, or a month abbreviation as a whole word."""
-    return c.rlike(r"(?iU)\d{4}|\b(" + "|".join(MONTHS) + r")\b")
+    return c.rlike(DATED)
 
 
 def asset_name(kind: Column, number: Column, suffix: str = "png") -> Column:

@@ -1,7 +1,7 @@
 """The tree of a page as arrays: ends of subtrees, places of wanted nodes, answers, kinds and blocks.
 
-Input are two longs per token: the answers to local questions and a hash of the tag. One pass over openings and closings gives each
-node its parent and the end of its subtree; nodes are numbered in document order, so a subtree is a range and
+Input are, per token, its kind, tag and those attributes that are asked for, and what a string is like. Local questions are answered
+once per distinct tag with its attributes, as bits of a long. One pass over openings and closings gives each node its parent and the end of its subtree; nodes are numbered in document order, so a subtree is a range and
 
 * "the first X below" is the next X in a sorted list of places, if it lies in the range (a binary search);
 * "how many X below" is the difference of two prefix counts, "how many X among the children" a count by parent;
@@ -19,13 +19,13 @@ import pyarrow as pa
 from pyspark.sql import types as T
 
 from foliant.operators.predicates import (
-    All, Any, BIT, Below, EVERY, Has, KINDS, LOOKED_INTO, Local, NEEDED, Not, RULE_BIT, SILENT, Selection, Test,
+    All, Any, BIT, BY_KIND, BY_STRING, Below, Has, KIND_CODES, KINDS, LOOKED_INTO, Local, NEEDED, Not, RULE_BIT, SILENT, Selection, Test,
 )
 
 SLICE = 1 << 19  # tokens that are worked on at a time; a longer page is worked on alone
 #: Kinds whose blocks have an image; a diagram has one only if it has a source.
 IMAGED = ["hero", "mermaid", "progress_bar", "stat_cards", "timeline", "comparison", "visual_component"]
-CLOSING, TIMELINE, KEEPS_SPACE, HIDDEN = 1, 2, 4, 8  # what is known of an event
+CLOSING, TIMELINE, BLANK, HIDDEN, BADGE = 1, 2, 4, 8, 16  # what is known of an event
 OUTSIDE = -2  # place of a node that encloses blocks, before all events
 
 #: The arrays of a page, by what they run over.
@@ -143,11 +143,11 @@ class _Tree:
         counts = np.cumsum(wanted)
         return counts[self.last] - counts
 
-    def meets(self, test: Test, asked: dict[str, int]) -> np.ndarray:
+    def meets(self, test: Test, asked: dict[Local, int]) -> np.ndarray:
         """Elements that a selector finds. ``asked``: the bits of its questions to single tags."""
         match test:
-            case Local(condition):
-                return self.any("opens", "void", "raw") if condition == EVERY else (self.bits & asked[condition]) != 0
+            case Local():
+                return (self.bits & asked[test]) != 0
             case Below(outer):
                 return self.inside(self.meets(outer, asked))
             case Has(inner):
@@ -241,9 +241,9 @@ def _outline(bits: np.ndarray, tags: np.ndarray, begin: np.ndarray, chosen: Sele
     reach = np.append(-1, np.maximum.accumulate(np.where(quiet, tree.last * (tree.n + 1) + (tree.n - every), -1))[:-1])
     stop = np.where(reach // (tree.n + 1) >= every, tree.n - reach % (tree.n + 1), -1)
     stop_at = np.where(stop < 0, -1, np.where(at[stop] < 0, OUTSIDE, at[stop]))
-    hidden, keeps = tree.inside(tree.has("hides text")), tree.inside(tree.has("keeps space"))
+    hidden, shrinks = tree.inside(tree.has("hides text")), tree.has("blank") & ~tree.inside(tree.has("keeps space"))
     in_timeline = kind[owner] == KINDS.index("timeline")
-    flags = CLOSING * ev_close + TIMELINE * in_timeline[ev_node] + KEEPS_SPACE * keeps[ev_node] + HIDDEN * hidden[ev_node]
+    flags = CLOSING * ev_close + TIMELINE * in_timeline[ev_node] + BLANK * shrinks[ev_node] + HIDDEN * hidden[ev_node] + BADGE * is_badge[ev_node]
     badge_stop = np.where(stop >= 0, is_badge[stop], False)
 
     # Blocks, with the numbers of their images.
@@ -290,25 +290,59 @@ def _slices(begin: np.ndarray) -> Iterator[tuple[int, int]]:
         lo = hi
 
 
-def outliner(chosen: Selection) -> Callable[[pa.Array, pa.Array], pa.Array]:
-    """A function from the answers and tag hashes of pages to their arrays, as a struct of lists (see ``TYPE``)."""
-
-    def outline(bits: pa.Array, tags: pa.Array) -> pa.Array:
-        begin = np.append(0, np.cumsum(np.nan_to_num(bits.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64)))
-        all_bits, all_tags = (column.flatten().to_numpy(zero_copy_only=False) for column in (bits, tags))
+_KIND_BITS = np.array([next((BIT[name] for name, kind in BY_KIND.items() if kind == code), 0) for code in KIND_CODES], np.int64)
+
+
+def _codes(column: pa.Array) -> tuple[np.ndarray, list[str | None]]:
+    """Places in a list of distinct values, the last of which is null."""
+    coded = column.dictionary_encode()
+    values = coded.dictionary.to_pylist()
+    return coded.indices.fill_null(len(values)).to_numpy(zero_copy_only=False).astype(np.int64), [*values, None]
+
+
+def _answers(kinds: np.ndarray, strings: np.ndarray, tags: pa.Array, attributes: list[pa.Array], chosen: Selection) -> tuple[np.ndarray, np.ndarray]:
+    """The bits of all tokens, and a number for each tag name."""
+    tag_code, names = _codes(tags)
+    columns = [_codes(a) for a in attributes]
+    combined = tag_code
+    for code, values in columns:
+        combined = combined * len(values) + code
+    distinct, first, which = np.unique(combined, return_index=True, return_inverse=True)
+    answered = np.zeros(len(distinct), np.int64)
+    for i, at in enumerate(first.tolist()):
+        tag = names[tag_code[at]]
+        if tag:
+            answered[i] = chosen.answers(tag, {name: values[code[at]] for name, (code, values) in zip(chosen.attributes, columns)})
+    bits = _KIND_BITS[kinds]
+    is_tag = (bits & (BIT["opens"] | BIT["void"] | BIT["raw"])) != 0
+    bits = bits | np.where(is_tag, answered[which.ravel()], 0)
+    of_string = sum(np.where(strings & code, BIT[name], 0) for name, code in BY_STRING.items())
+    is_text = kinds == KIND_CODES.index("text")
+    return bits | np.where(is_text, of_string, of_string & ~BIT["visible"]), tag_code
+
+
+def outliner(chosen: Selection) -> Callable[..., pa.Array]:
+    """A function from the tokens of pages (kind codes, string codes, tags and the chosen attributes, each an array per page) to the arrays of their
+    trees, as a struct of lists (see ``TYPE``)."""
+
+    def outline(kinds: pa.Array, strings: pa.Array, tags: pa.Array, *attributes: pa.Array) -> pa.Array:
+        begin = np.append(0, np.cumsum(np.nan_to_num(kinds.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64)))
+        flat = [column.flatten() for column in (kinds, strings, tags, *attributes)]
         parts = []
         for lo, hi in _slices(begin):
-            arrays, scalars = _outline(all_bits[begin[lo] : begin[hi]], all_tags[begin[lo] : begin[hi]], begin[lo : hi + 1] - begin[lo], chosen)
+            kind, string, tag, *values = (column.slice(begin[lo], begin[hi] - begin[lo]) for column in flat)
+            bits, names = _answers(kind.to_numpy(zero_copy_only=False), string.to_numpy(zero_copy_only=False), tag, values, chosen)
+            arrays, scalars = _outline(bits, names, begin[lo : hi + 1] - begin[lo], chosen)
             columns = []
             for name in ARRAYS:
-                values, page = arrays[name]
+                found, page = arrays[name]
                 lists = np.searchsorted(page, np.arange(hi - lo + 1)).astype(np.int32)
-                columns.append(pa.ListArray.from_arrays(pa.array(lists), pa.array(values.astype(np.int32), mask=values == -1)))
+                columns.append(pa.ListArray.from_arrays(pa.array(lists), pa.array(found.astype(np.int32), mask=found == -1)))
             columns += [pa.array(scalars[name].astype(np.int32)) for name in SCALARS]
             parts.append(pa.StructArray.from_arrays(columns, names=[*ARRAYS, *SCALARS]))
         if not parts:
-            kinds = [pa.list_(pa.int32())] * len(ARRAYS) + [pa.int32()] * len(SCALARS)
-            return pa.StructArray.from_arrays([pa.array([], k) for k in kinds], names=[*ARRAYS, *SCALARS])
+            empty = [pa.list_(pa.int32())] * len(ARRAYS) + [pa.int32()] * len(SCALARS)
+            return pa.StructArray.from_arrays([pa.array([], k) for k in empty], names=[*ARRAYS, *SCALARS])
         return pa.concat_arrays(parts)
 
     return outline

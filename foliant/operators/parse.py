@@ -1,7 +1,7 @@
 """Pages to outlines, and outlines to node rows.
 
-A page stays one row: regular expressions cut it into tokens, SQL answers the local questions to each, and ``outline`` turns
-these answers into the arrays of the page's tree. Nothing is shuffled, sorted or joined, and the text does not pass through Python.
+A page stays one row: regular expressions cut it into tokens, and ``outline`` turns the kinds, tags and attributes of these into the
+arrays of the page's tree. Nothing is shuffled, sorted or joined, and the text does not pass through Python.
 Positions count openings *and* closings, so ``pos < other < end_pos`` says "inside".
 """
 
@@ -11,9 +11,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foliant.functions import sql
-from foliant.functions.text import NON_SPACE, decode_attribute, decode_text, let
+from foliant.functions.text import DATED, NON_SPACE, decode_attribute, decode_text, let
 from foliant.operators import outline as tree
-from foliant.operators.predicates import KINDS, SELECTORS, VOID_TAGS, Selection, local_bits, selection
+from foliant.operators.predicates import BY_STRING, KIND_CODES, KINDS, SELECTORS, VOID_TAGS, selection
 
 # The runs are possessive, so neither long values nor long texts recurse in the regex engine.
 _ATTRIBUTES = r"""(?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+')|=)*+"""
@@ -47,22 +47,24 @@ _START_TAG = rf"(?is)^<[a-z][^\s/>]*+({_ATTRIBUTES})>"
 
 def _token(t: Column) -> Column:
     """Kind and tag of one token."""
-    tag = F.lower(F.regexp_extract(t, r"^</?\s*([a-zA-Z][^\s/>]*)", 1))
-    # A slash that ends an unquoted value does not close the tag.
-    self_closing = F.endswith(t, F.lit("/>")) & ~t.rlike(r"""=\s*[^\s"'>]*/>$""")
-    kind = (
-        F.when(~F.startswith(t, F.lit("<")) | ~F.contains(t, F.lit(">")), F.lit("text"))
-        .when(t.rlike("^</\\s*[a-zA-Z]"), F.lit("close"))
-        .when(t.rlike("^<[a-zA-Z]"), F.when(tag.isin("script", "style") & ~self_closing, F.lit("raw"))
-              .when(self_closing | tag.isin(VOID_TAGS), F.lit("void"))
-              .otherwise(F.lit("open")))
-        .when(t == "</>", F.lit("none"))
-        .when(t.rlike(_OPEN_COMMENT), F.lit("text"))  # never closed: stays text
-        .when(t.rlike(_SECTION) | t.rlike(_OPEN_SECTION), F.lit("text"))
-        .when(t.rlike("^<[!?/]"), F.lit("comment"))
-        .otherwise(F.lit("text"))
-    )
-    return F.struct(kind.alias("kind"), tag.alias("tag"), t.alias("raw"))
+
+    def tagged(tag: Column) -> Column:
+        # A slash that ends an unquoted value does not close the tag.
+        self_closing = F.endswith(t, F.lit("/>")) & ~t.rlike(r"""=\s*[^\s"'>]*/>$""")
+        kind = (
+            F.when(tag == "", F.when(t == "</>", F.lit("none")).when(t.rlike(_OPEN_COMMENT), F.lit("text"))  # never closed: stays text
+                   .when(t.rlike(_SECTION) | t.rlike(_OPEN_SECTION), F.lit("text"))
+                   .when(t.rlike("^<[!?/]"), F.lit("comment")).otherwise(F.lit("text")))
+            .when(F.startswith(t, F.lit("</")), F.lit("close"))
+            .when(tag.isin("script", "style") & ~self_closing, F.lit("raw"))
+            .when(tag.isin(VOID_TAGS) | self_closing, F.lit("void"))
+            .otherwise(F.lit("open"))
+        )
+        return F.struct(kind.alias("kind"), tag.alias("tag"), t.alias("raw"))
+
+    text = F.struct(F.lit("text").alias("kind"), F.lit("").alias("tag"), t.alias("raw"))
+    name = F.lower(F.regexp_extract(t, r"^<(?:/\s*)?([a-zA-Z][^\s/>]*)", 1))
+    return F.when(~F.startswith(t, F.lit("<")) | ~F.contains(t, F.lit(">")), text).otherwise(let(name, tagged))
 
 
 def _attributes(raw: Column) -> Column:
@@ -70,17 +72,18 @@ def _attributes(raw: Column) -> Column:
     body = F.regexp_extract(raw, _START_TAG, 1)
     names = F.regexp_extract_all(body, F.lit(_ATTRIBUTE), F.lit(1))
     values = F.regexp_extract_all(body, F.lit(_ATTRIBUTE), F.lit(2))
-    unquoted = lambda v: F.when(v.rlike("^[\"']"), F.substring(v, F.lit(2), F.length(v) - 2)).otherwise(v)
+    quoted = lambda v: F.startswith(v, F.lit('"')) | F.startswith(v, F.lit("'"))
+    unquoted = lambda v: F.when(quoted(v), F.substring(v, F.lit(2), F.length(v) - 2)).otherwise(v)
     pairs = F.zip_with(
         names, values, lambda n, v: F.struct(F.lower(n).alias("name"), decode_attribute(unquoted(v)).alias("value"))
     )
     last = lambda ps, name: F.element_at(F.filter(ps, lambda p: p["name"] == name), -1)
-    return let(
-        pairs,
-        lambda ps: F.map_from_entries(
-            F.transform(F.sort_array(F.array_distinct(F.transform(ps, lambda p: p["name"]))), lambda n: last(ps, n))
-        ),
-    )
+
+    def settled(ps: Column) -> Column:
+        distinct = F.sort_array(F.array_distinct(F.transform(ps, lambda p: p["name"])))
+        return let(distinct, lambda ns: F.map_from_entries(F.when(F.size(ns) == F.size(ps), F.sort_array(ps)).otherwise(F.transform(ns, lambda n: last(ps, n)))))
+
+    return let(pairs, lambda ps: F.when(F.size(ps) == 1, F.map_from_entries(ps)).otherwise(settled(ps)))
 
 
 def _string(kind: Column, raw: Column) -> Column:
@@ -92,7 +95,7 @@ def _string(kind: Column, raw: Column) -> Column:
     )
     script = F.regexp_extract(raw, rf"(?is)^<(?:script|style){_ATTRIBUTES}>(.*)</\s*(?:script|style)\s*>$", 1)
     section = F.regexp_extract(raw, _SECTION, 1)
-    string = F.when(raw.rlike(_SECTION), section).otherwise(decode_text(raw))
+    string = F.when(F.startswith(raw, F.lit("<!")) & raw.rlike(_SECTION), section).otherwise(decode_text(raw))
     return F.when(kind == "text", string).when(kind == "comment", comment).when(kind == "raw", script)
 
 
@@ -117,35 +120,37 @@ def _cut_raw(html: Column, comments: bool = True, sections: bool = True) -> Colu
 
 def _content(token: Column) -> Column:
     """Attributes of a tag, and the string of a text, comment or script."""
-    kind, raw = token["kind"], token["raw"]
-    is_tag = kind.isin("open", "void", "raw")
-    attrs = F.when(is_tag & raw.rlike(r"^<[^>\s/]+[\s/]+[^>\s/]"), _attributes(raw))
-    return F.struct(kind.alias("kind"), token["tag"].alias("tag"), attrs.alias("attrs"), _string(kind, raw).alias("text"))
+    kind, tag, raw = token["kind"], token["tag"], token["raw"]
+    has_more = (F.length(raw) > F.length(tag) + 2) & raw.rlike(r"^<[^>\s/]+[\s/]+[^>\s/]")
+    attrs = F.when(kind.isin("open", "void", "raw") & has_more, _attributes(raw))
+    return F.struct(kind.alias("kind"), tag.alias("tag"), attrs.alias("attrs"), F.when(~kind.isin("open", "close", "void"), _string(kind, raw)).alias("text"))
 
 
-_SPLIT = f"regexp_extract_all(t.attrs['class'], r'{NON_SPACE}+', 0)"
-#: A string has no neighbours below its parent only if tags stand on both sides of it, whatever they open or close.
-_ALONE = """coalesce(get(contents, i - 1).kind IN ('open', 'close', 'none'), false) AND coalesce(get(contents, i + 1).kind IN ('close', 'none'), true)"""
+def tokens(pages: DataFrame) -> DataFrame:
+    """page_id, html and ``tokens``, an array of (kind, tag, attrs, text)."""
+    return pages.select("page_id", "html", F.transform(F.transform(_cut_raw(F.col("html")), _token), _content).alias("tokens"))
 
 
-def tokens(pages: DataFrame, chosen: Selection) -> DataFrame:
-    """page_id, html and ``tokens``, an array of (kind, tag, attrs, classes, style, text, bits)."""
-    contents = pages.select("page_id", "html", F.transform(F.transform(_cut_raw(F.col("html")), _token), _content).alias("contents"))
-    styled = f"""named_struct('kind', t.kind, 'tag', t.tag, 'attrs', t.attrs, 'classes', coalesce({_SPLIT}, cast(array() AS array<string>)),
-        'style', coalesce(t.attrs['style'], ''), 'text', t.text, 'alone', {_ALONE})"""
-    answered = f"""named_struct('kind', t.kind, 'tag', t.tag, 'attrs', t.attrs, 'classes', t.classes, 'style', t.style, 'text', t.text,
-        'bits', {local_bits(chosen)})"""
-    # The inner lambda gives the name of the outer one to what is made of it.
-    return contents.select("page_id", "html", F.expr(f"transform(contents, (t, i) -> transform(array({styled}), t -> {answered})[0])").alias("tokens"))
+# A string counts as an element's own only between two tags, so only there the costlier question for a date is put.
+_ALONE = "coalesce(get(tokens, i - 1).kind IN ('open', 'close', 'none'), false) AND coalesce(get(tokens, i + 1).kind IN ('close', 'none'), true)"
+_STRING = f"""transform(tokens, (t, i) -> CASE WHEN t.text IS NULL THEN 0 WHEN rlike(t.text, r'{NON_SPACE}')
+    THEN {BY_STRING['visible']} + if({_ALONE} AND rlike(t.text, r'{DATED}'), {BY_STRING['dated']}, 0)
+    WHEN t.kind <> 'raw' AND rlike(t.text, r'^[ \t\n\f\r]+$') THEN {BY_STRING['blank']} ELSE 0 END)"""
 
 
 def outlines(pages: DataFrame, selectors: dict[str, str] = SELECTORS) -> DataFrame:
-    """page_id, html, ``tokens`` and ``ix``, the arrays of the page's tree (see ``outline``). One Python stage, which sees two longs a token."""
+    """page_id, html, ``tokens`` and ``ix``, the arrays of the page's tree (see ``outline``). One Python stage, which sees tags but no text."""
     chosen = selection(selectors)
     outline = F.arrow_udf(tree.outliner(chosen), tree.TYPE)
-    answers = F.transform("tokens", lambda t: t["bits"])
-    names = F.transform("tokens", lambda t: F.when(t["kind"].isin("open", "close"), F.xxhash64(t["tag"])).otherwise(0))
-    return tokens(pages, chosen).select("page_id", "html", "tokens", outline(answers, names).alias("ix"))
+    kinds = F.expr(f"transform(tokens, t -> CASE t.kind {' '.join(f"WHEN '{kind}' THEN {i}" for i, kind in enumerate(KIND_CODES))} END)")
+    tags = F.transform("tokens", lambda t: t["tag"])
+    attributes = [F.expr(f"transform(tokens, t -> t.attrs['{name}'])") for name in chosen.attributes]
+    return tokens(pages).select("page_id", "html", "tokens", outline(kinds, F.expr(_STRING), tags, *attributes).alias("ix"))
+
+
+def classes(attrs: str) -> str:
+    """SQL: the class names in a map of attributes."""
+    return f"coalesce(regexp_extract_all({attrs}['class'], r'{NON_SPACE}+', 0), cast(array() AS array<string>))"
 
 
 def nodes_of(outlined: DataFrame) -> DataFrame:
@@ -159,10 +164,11 @@ def nodes_of(outlined: DataFrame) -> DataFrame:
         CASE WHEN ix.parent_tok[i] IS NOT NULL THEN tokens[ix.parent_tok[i]].tag WHEN k IS NOT NULL THEN '[document]' END AS parent_tag, ix.depth[i] AS depth,
         CASE WHEN k IS NULL THEN 'document' WHEN tokens[k].kind IN ('open', 'void') THEN 'element' ELSE tokens[k].kind END AS kind,
         CASE WHEN k IS NULL THEN '[document]' WHEN tokens[k].kind IN ('open', 'void', 'raw') THEN tokens[k].tag END AS tag,
-        tokens[k].attrs AS attrs, coalesce(tokens[k].classes, cast(array() AS array<string>)) AS classes, coalesce(tokens[k].style, '') AS style,
-        tokens[k].text AS text, get(array({kinds}), ix.kind[i]) AS block_kind))"""
+        tokens[k].attrs AS attrs, tokens[k].text AS text, get(array({kinds}), ix.kind[i]) AS block_kind))"""
     # A page has one node at least; the plain form would make Catalyst filter on the size, parsing twice.
-    return outlined.select("page_id", F.col("ix.body_pos").alias("body_pos"), F.col("ix.body_end").alias("body_end"), F.expr(f"inline_outer({node})"))
+    rows = outlined.select("page_id", F.col("ix.body_pos").alias("body_pos"), F.col("ix.body_end").alias("body_end"), F.expr(f"inline_outer({node})"))
+    style = F.coalesce(F.col("attrs")["style"], F.lit(""))
+    return rows.select("*", F.expr(classes("attrs")).alias("classes"), style.alias("style"))
 
 
 def nodes(pages: DataFrame) -> DataFrame:

@@ -1,17 +1,15 @@
 """What is asked of single nodes, as data: one bit per question, rules over bits, and selectors.
 
-A local question looks at one tag, its classes, its style or one string; SQL answers all of them at once, as one long per
-token. Questions about the tree ("a heading below", "two such children") are answered from these by ``outline``.
+A local question looks at one tag: its name, its classes, another attribute. It is answered once for each distinct combination of
+these. Questions about the tree ("a heading below", "two such children") are answered from the local ones by ``outline``.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Mapping
 from dataclasses import dataclass
 
-from foliant.functions import sql
-from foliant.functions.text import MONTHS, NON_SPACE
-
 # Elements without content, elements whose text is not part of the plain text or keeps its white space.
 VOID_TAGS = [
     "area", "base", "basefont", "bgsound", "br", "col", "command", "embed", "frame", "hr", "image",
@@ -43,30 +41,47 @@ BY_TAG = {
 }
 
 
-def _some_class(part: str) -> str:
-    return f"exists(t.classes, c -> contains(c, '{part}'))"
-
-
-#: Asked of tags that have a class.
-BY_CLASS = {
-    "class mermaid": _some_class("mermaid"), "class timeline": _some_class("timeline"),
-    "class callout": f"arrays_overlap(t.classes, array({sql.strings(CALLOUT_CLASSES)}))", "class badge": "array_contains(t.classes, 'badge')",
-}
-#: Asked of tags that have a style.
-BY_STYLE = {
-    "style gradient": "contains(t.style, 'gradient')", "style background": "contains(t.style, 'background')",
-    "style border": "contains(t.style, 'border')", "style extent": "contains(t.style, 'width') OR contains(t.style, 'flex')",
-    "style grid": "contains(t.style, 'grid')", "style columns": "contains(t.style, 'grid-template-columns')",
-}
-#: Asked of text, comments and script bodies. A string counts as an element's own only between two tags, so only there the
-#: costlier question for a date is put.
-DATED = r"(?iU)\d{4}|\b(" + "|".join(MONTHS) + r")\b"
-BY_STRING = {
-    "blank": r"t.kind <> 'raw' AND rlike(t.text, r'^[ \t\n\f\r]+$')", "visible": f"t.kind = 'text' AND rlike(t.text, r'{NON_SPACE}')",
-    "dated": f"t.alone AND rlike(t.text, r'{DATED}')",
+@dataclass(frozen=True)
+class Local:
+    """A question to one tag: ``tag`` and ``class`` ask for a name; ``has`` for an attribute, ``is`` and ``part`` for its value or a part of
+    it, ``class part`` for a part of a single class; ``every`` is always met."""
+
+    asks: str
+    name: str = ""
+    value: str = ""
+
+    def holds(self, tag: str, attributes: Mapping[str, str | None]) -> bool:
+        held = attributes.get("class" if self.asks.startswith("class") else self.name)
+        match self.asks:
+            case "every":
+                return True
+            case "tag":
+                return tag == self.name
+            case "class":
+                return self.name in SPACES.split(held or "")
+            case "class part":
+                return any(self.name in c for c in SPACES.split(held or ""))
+            case "has":
+                return held is not None
+            case "is":
+                return held == self.value
+            case _:
+                return self.value in (held or "")
+
+
+SPACES = re.compile(r"[\s\x0B\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
+_part = lambda part: Local("part", "style", part)
+#: Questions by name; one of the listed is to hold.
+BY_ATTRIBUTE = {
+    "class mermaid": [Local("class part", "mermaid")], "class timeline": [Local("class part", "timeline")],
+    "class callout": [Local("class", name) for name in CALLOUT_CLASSES], "class badge": [Local("class", "badge")],
+    "style gradient": [_part("gradient")], "style background": [_part("background")], "style border": [_part("border")],
+    "style extent": [_part("width"), _part("flex")], "style grid": [_part("grid")], "style columns": [_part("grid-template-columns")],
 }
-#: What a token is.
+#: What a token is, and what a string is like; SQL gives both as one number each.
+KIND_CODES = ["none", "open", "close", "void", "raw", "text", "comment"]
 BY_KIND = {"opens": "open", "closes": "close", "void": "void", "raw": "raw", "text": "text", "comment": "comment"}
+BY_STRING = {"blank": 1, "visible": 2, "dated": 4}
 
 # --- rules ------------------------------------------------------------------------------
 
@@ -115,13 +130,6 @@ SELECTORS = {
 _TOKEN = re.compile(r'\s*(,)\s*|(\s+)|\.([\w-]+)|\[([\w-]+)(?:(\*=|=)"([^"]*)")?\]|:(not|has)\(|(\))|(\*)|([a-zA-Z][\w-]*)')
 
 
-@dataclass(frozen=True)
-class Local:
-    """A question to one tag, as SQL over ``t``."""
-
-    condition: str
-
-
 @dataclass(frozen=True)
 class Below:
     """Inside an element that meets ``outer``."""
@@ -182,19 +190,18 @@ def compile_selector(text: str) -> Test:
                 if here:
                     outer, here = finished(), []
             elif name:
-                here.append(Local(f"array_contains(t.classes, '{name}')"))
+                here.append(Local("class", name))
             elif attribute:
-                held = "t.style" if attribute.lower() == "style" and operator else f"element_at(t.attrs, '{attribute.lower()}')"
-                here.append(Local({"*=": f"contains({held}, '{value}')", "=": f"{held} = '{value}'", None: f"{held} IS NOT NULL"}[operator]))
+                here.append(Local({"*=": "part", "=": "is", None: "has"}[operator], attribute.lower(), value or ""))
             elif function:
                 inner = alternatives(nested=True)
                 here.append(Not(inner) if function == "not" else Has(inner))
             elif closing:
                 closed = True
             elif star:
-                here.append(Local("true"))
+                here.append(Local("every"))
             else:
-                here.append(Local(f"t.tag = '{tag.lower()}'"))
+                here.append(Local("tag", tag.lower()))
         if closed != nested:
             raise ValueError(f"unbalanced selector {text!r}")
         options.append(finished())
@@ -203,10 +210,10 @@ def compile_selector(text: str) -> Test:
     return alternatives(nested=False)
 
 
-def _locals(test: Test) -> list[str]:
+def _locals(test: Test) -> list[Local]:
     match test:
-        case Local(condition):
-            return [condition]
+        case Local():
+            return [test]
         case Below(t) | Has(t) | Not(t):
             return _locals(t)
         case All(ts) | Any(ts):
@@ -215,52 +222,32 @@ def _locals(test: Test) -> list[str]:
 
 # --- bits ----------------------------------------------------------------------------------
 
-EVERY = "true"  # the condition of ``*``
-BIT = {name: 1 << i for i, name in enumerate([*BY_KIND, *BY_TAG, *BY_CLASS, *BY_STYLE, *BY_STRING])}
-_ASKED = {c: BIT[name] for name, c in BY_STYLE.items()} | {f"t.tag = '{tags[0]}'": BIT[name] for name, tags in BY_TAG.items() if tags == [name]}
+BIT = {name: 1 << i for i, name in enumerate([*BY_KIND, *BY_STRING, *BY_TAG, *BY_ATTRIBUTE])}
 
 
 @dataclass(frozen=True)
 class Selection:
-    """Selectors as tests, and the bit of each question that they put to single tags."""
+    """Selectors as tests, the bit of each question that they put to single tags, and the attributes that are asked for."""
 
     tests: dict[str, Test]
-    bits: dict[str, int]
+    bits: dict[Local, int]
+    attributes: list[str]
+
+    def answers(self, tag: str, attributes: Mapping[str, str | None]) -> int:
+        """All local questions to a tag, as one long."""
+        bits = sum(BIT[name] for name, tags in BY_TAG.items() if tag in tags)
+        if any(v is not None for v in attributes.values()):
+            bits |= sum(BIT[name] for name, asked in BY_ATTRIBUTE.items() if any(q.holds(tag, attributes) for q in asked))
+        return bits | sum(bit for q, bit in self.bits.items() if q.holds(tag, attributes))
 
 
 def selection(selectors: dict[str, str]) -> Selection:
-    """Questions that are asked anyway keep their bits; the others get those that are left."""
     tests = {kind: compile_selector(text) for kind, text in selectors.items()}
-    asked = dict.fromkeys(c for test in tests.values() for c in _locals(test) if c != EVERY)
-    new = [c for c in asked if c not in _ASKED]
-    if len(BIT) + len(new) > 63:
+    asked = dict.fromkeys(q for test in tests.values() for q in _locals(test))
+    if len(BIT) + len(asked) > 63:
         raise ValueError("more questions than a long has bits")
-    return Selection(tests, {c: _ASKED[c] for c in asked if c in _ASKED} | {c: 1 << len(BIT) + i for i, c in enumerate(new)})
-
-
-def _mask(questions: dict[str, int]) -> str:
-    return " | ".join([f"if({condition}, {bit}L, 0L)" for condition, bit in questions.items()] or ["0L"])
-
-
-def local_bits(chosen: Selection) -> str:
-    """SQL: the answers for a token ``t`` (kind, tag, attrs, classes, style, text, alone), as one long. ``alone``: between two tags."""
-    kinds = ", ".join(f"'{kind}', {BIT[name]}L" for name, kind in BY_KIND.items())
-    tags: dict[str, int] = {}
-    for name, members in BY_TAG.items():
-        for tag in members:
-            tags[tag] = tags.get(tag, 0) | BIT[name]
-    of_selectors = {c: bit for c, bit in chosen.bits.items() if c not in _ASKED}
-    for condition in list(of_selectors):
-        if named := re.fullmatch(r"t\.tag = '([\w-]+)'", condition):
-            tags[named[1]] = tags.get(named[1], 0) | of_selectors.pop(condition)
-    by_tag = ", ".join(f"'{tag}', {bits}L" for tag, bits in tags.items())
-    mask = lambda questions: _mask({condition: BIT[name] for name, condition in questions.items()})
-    of_a_tag = (
-        f"coalesce(element_at(map({by_tag}), t.tag), 0L) | if(size(t.classes) > 0, {mask(BY_CLASS)}, 0L)"
-        f" | if(t.style <> '', {mask(BY_STYLE)}, 0L) | if(t.attrs IS NOT NULL, {_mask(of_selectors)}, 0L)"
-    )
-    return f"""coalesce(element_at(map({kinds}), t.kind), 0L) | CASE WHEN t.kind IN ('open', 'void') THEN {of_a_tag}
-        WHEN t.kind = 'raw' THEN {of_a_tag} | {mask(BY_STRING)} WHEN t.kind IN ('text', 'comment') THEN {mask(BY_STRING)} ELSE 0L END"""
+    attributes = ["class", "style", *(q.name for q in asked if q.asks in ("has", "is", "part"))]
+    return Selection(tests, {q: 1 << len(BIT) + i for i, q in enumerate(asked)}, list(dict.fromkeys(attributes)))
 
 
 #: The answers that rules ask for, as bits of a second long, and what each row of a rule needs.

@@ -16,7 +16,8 @@ from foliant.functions import sql
 from foliant.functions.rows import numbered
 from foliant.functions.text import collapse_blank_lines
 from foliant.operators import outline as tree
-from foliant.operators.predicates import BIT, CALLOUT_CLASSES, CARD_PART_TAGS, KINDS
+from foliant.operators.parse import classes
+from foliant.operators.predicates import CALLOUT_CLASSES, CARD_PART_TAGS, KINDS
 
 # Signs for callout classes, for the state of a timeline entry, and image captions.
 CALLOUT_SIGNS = {
@@ -50,14 +51,10 @@ def _event() -> str:
     def flag(bit: int) -> str:
         return f"(ix.ev_flags[k] & {bit}) <> 0"
 
-    def asked(*names: str) -> str:
-        need = sum(BIT[n] for n in names)
-        return f"(t.bits & {need}L) = {need}L"
-
     is_tag = "t.kind IN ('open', 'void')"
     opening = "CASE WHEN t.tag IN ('strong', 'b') THEN '**' WHEN t.tag IN ('em', 'i') THEN '*' WHEN t.tag = 'code' THEN '`' WHEN t.tag = 'a' THEN '[' WHEN t.tag = 'br' THEN '\n' ELSE '' END"
     closing = "CASE WHEN t.tag IN ('strong', 'b') THEN '**' WHEN t.tag IN ('em', 'i') THEN '*' WHEN t.tag = 'code' THEN '`' WHEN t.tag = 'a' THEN concat('](', coalesce(t.attrs['href'], ''), ')') ELSE '' END"
-    string = f"if({asked('blank')} AND NOT {flag(tree.KEEPS_SPACE)}, if(contains(t.text, '\n'), '\n', ' '), coalesce(t.text, ''))"
+    string = f"if({flag(tree.BLANK)}, if(contains(t.text, '\n'), '\n', ' '), coalesce(t.text, ''))"
     piece = f"CASE WHEN {flag(tree.CLOSING)} THEN {closing} WHEN t.kind = 'open' THEN {opening} WHEN t.kind = 'void' THEN concat({opening}, {closing}) ELSE {string} END"
     plain = f"if(t.kind = 'text' AND NOT {flag(tree.HIDDEN)}, {string}, NULL)"
     # A subtree is told from another by its marks alone: the number of events below each opening gives the shape.
@@ -65,7 +62,7 @@ def _event() -> str:
     only = lambda value: f"if({flag(tree.CLOSING)}, NULL, {value})"
     return f"""named_struct('at', k, 'to', ix.ev_to[k], 'parent', ix.ev_parent[k], 'tag', {only(f"if({is_tag}, t.tag, NULL)")},
         'piece', {piece}, 'plain', {only(plain)}, 'stop', ix.ev_stop[k], 'quiet_stop', ix.ev_badge_stop[k] = 1,
-        'badge', {only(asked('span', 'class badge'))}, 'classes', {only('t.classes')}, 'titled', {only("contains(t.style, 'text-transform')")},
+        'badge', {only(flag(tree.BADGE))}, 'classes', {only(f"if(t.attrs IS NULL, cast(array() AS array<string>), {classes('t.attrs')})")}, 'titled', {only("coalesce(contains(t.attrs['style'], 'text-transform'), false)")},
         'code', ix.ev_code[k], 'date', ix.ev_date[k], 'mark', if({flag(tree.TIMELINE)}, {only(mark)}, NULL))"""
 
 
