@@ -7,8 +7,14 @@ from pyspark.sql import functions as F
 
 
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
-    """Pages kept as a Parquet table. A missing path raises, and only the columns used are scanned."""
-    return spark.read.parquet(path)
+    """Pages kept as a Parquet table. A missing path raises, and only the columns used are scanned.
+
+    A table that reads in fewer splits than there are cores is dealt out first: pages grow a lot when parsed. A larger one is
+    read as it lies, without an exchange.
+    """
+    pages = spark.read.parquet(path)
+    cores = spark.sparkContext.defaultParallelism
+    return pages if pages.rdd.getNumPartitions() >= cores else pages.repartition(cores)
 
 
 def read_html_files(spark: SparkSession, path: str) -> DataFrame:
