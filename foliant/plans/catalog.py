@@ -12,7 +12,7 @@ from foliant.functions.text import asset_name, decode_text, escape_markup, looks
 from foliant.operators import assets, quality, render
 from foliant.plans.convert import Conversion
 from foliant.sources.pages import read_pages
-from foliant.sources.rendered import document_pages, reports
+from foliant.sources.rendered import document_pages, reports, tree_pages
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -62,9 +62,9 @@ def node_counts(spark, sf_dir):
 
 @query
 def node_edges(spark, sf_dir):
-    """How often a tag has which parent tag, over the corpus."""
-    nodes = _web(spark, sf_dir).nodes.filter(F.col("kind").isin("element", "raw"))
-    return nodes.groupBy("parent_tag", "tag").agg(F.count("*").alias("n"))
+    """How often a tag has which parent tag, per page, on pages whose trees are known."""
+    nodes = Conversion(tree_pages(spark, sf_dir)).nodes.filter(F.col("kind").isin("element", "raw"))
+    return nodes.groupBy("page_id", "parent_tag", "tag").agg(F.count("*").alias("n"))
 
 
 @query

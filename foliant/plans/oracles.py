@@ -268,6 +268,13 @@ ORACLES = {
         {_TIMES.format(_CLEAN, '<(script|style)[ >]')} AS n_raw, {_TIMES.format('html', '<!--\\s*ad ')} AS n_ad_comments,
         {_TIMES.format(_CLEAN, '<a[ >]')} AS n_links, {_TIMES.format(_CLEAN, '<p[ >]')} AS n_paragraphs,
         {_TIMES.format(_CLEAN, '<br[ />]')} AS n_breaks FROM pages""",
+    "node_edges": f"""{_ORDERS}, deep AS (SELECT page_id, k, rn, s, rn + min(if(rn = 1, 0, c % 5) - rn + 1) OVER (PARTITION BY page_id ORDER BY rn) AS d FROM o),
+        tags AS (SELECT *, lower(s) || d AS tag FROM deep),
+        parents AS (SELECT t.page_id, t.k, any_value(t.tag) AS tag, coalesce(arg_max(p.tag, p.rn), 'body') AS parent_tag
+            FROM tags t LEFT JOIN tags p ON p.page_id = t.page_id AND p.rn < t.rn AND p.d = t.d - 1 GROUP BY t.page_id, t.k),
+        edges AS (SELECT page_id, parent_tag, tag FROM parents UNION ALL SELECT page_id, tag, 'br' FROM parents WHERE k % 3 = 0
+            UNION ALL SELECT DISTINCT page_id, '[document]', 'html' FROM o UNION ALL SELECT DISTINCT page_id, 'html', 'body' FROM o)
+        SELECT page_id, parent_tag, tag, count(*) AS n FROM edges GROUP BY ALL""",
     "root_nodes": "SELECT page_id, 'nav div article footer' AS root_tags FROM pages",
     "entity_text": "SELECT doc_id, text || ' © — 😀 · –' AS text FROM documents",
     "mermaid_pages": _of_pages("closed AS has_mermaid"),

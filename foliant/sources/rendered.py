@@ -244,3 +244,26 @@ def document_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select(
         F.col("doc_id").alias("page_id"), F.concat(F.lit("<body><p>"), escape_markup(F.col("text")), F.lit("</p></body>")).alias("html")
     )
+
+
+def tree_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages whose elements form trees that follow from the orders alone, with most end tags left out.
+
+    The n-th order of a page is an element at depth 1 + min(a + n - m) over itself and the orders m before it, where ``a`` is 0 for the first and
+    the customer's remainder by 5 for others: so each is at most one deeper than the one before. Its tag is its status and depth. Only one
+    end tag is written where an element starts that is not below the one before: that of the element which it follows.
+    """
+    wish = F.transform("os", lambda o, n: F.when(n == 0, 0).otherwise(o["c"] % 5) - n)
+    deep = F.transform("os", lambda o, n: F.struct(o["k"].alias("k"), o["s"].alias("s"), (n + 1 + F.array_min(F.slice("wish", 1, n + 1))).alias("d")))
+    tags = F.transform("deep", lambda o: F.struct(o["k"].alias("k"), o["d"].alias("d"), F.concat(F.lower(o["s"]), o["d"].cast("string")).alias("tag")))
+
+    def element(o: Column, n: Column) -> Column:
+        same = F.filter("tags", lambda x, m: (m < n) & (x["d"] == o["d"]))
+        follows = (n > 0) & (F.get(F.col("tags"), n - 1)["d"] >= o["d"])
+        end = F.when(follows, _fill("</{t}>", t=F.try_element_at(same, F.lit(-1))["tag"])).otherwise("")
+        return F.concat(end, _fill("<{t}>{k}", t=o["tag"], k=o["k"]), F.when(o["k"] % 3 == 0, "<br>").otherwise(""))
+
+    found = batches(spark, sf_dir).select("page_id", "os", wish.alias("wish")).select("page_id", deep.alias("deep")).select("page_id", tags.alias("tags"))
+    body = F.array_join(F.transform("tags", element), "")
+    last = F.when(F.col("page_id") % 2 == 0, "</body></html>").otherwise("")
+    return found.select("page_id", F.concat(F.lit("<html><body>"), body, last).alias("html"))
