@@ -50,17 +50,17 @@ def mermaid_sources(table: DataFrame) -> DataFrame:
     return spread(table, F.expr(_SOURCES), "page_id")
 
 
-def stats() -> list[Column]:
+def stats() -> dict[str, Column]:
     """The counts of a page, from kinds and numbers alone: nothing is rendered for them."""
     count = lambda condition: F.expr(f"cast(size(filter(bs, b -> {condition})) AS bigint)")
-    return [
-        count("b.diagram_index IS NOT NULL").alias("mermaid_count"), count("b.asset_index IS NOT NULL").alias("screenshot_count"),
-        count("b.kind = 'table'").alias("table_count"), F.expr("aggregate(bs, 0L, (n, b) -> n + b.n_callouts)").alias("callout_count"),
-    ]
+    return {
+        "mermaid_count": count("b.diagram_index IS NOT NULL"), "screenshot_count": count("b.asset_index IS NOT NULL"),
+        "table_count": count("b.kind = 'table'"), "callout_count": F.expr("aggregate(bs, 0L, (n, b) -> n + b.n_callouts)"),
+    }
 
 
 def page_stats(table: DataFrame) -> DataFrame:
-    return table.select("page_id", *stats())
+    return table.select("page_id", *[count.alias(name) for name, count in stats().items()])
 
 
 def resolved(path: Column) -> Column:

@@ -6,7 +6,8 @@ from collections.abc import Mapping
 from dataclasses import dataclass, field
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 from foliant.operators import assets, parse, quality, render
 from foliant.operators.predicates import SELECTORS
@@ -57,14 +58,17 @@ class Conversion:
         return self.table.select("page_id", "md")
 
 
-def export(spark: SparkSession, pages: DataFrame, out: str) -> None:
-    """Convert a corpus and write all its tables below ``out``, a shared folder.
+def export(spark: SparkSession, pages: DataFrame, out: str) -> dict[str, int]:
+    """Convert a corpus and write all its tables below ``out``, a shared folder. Returns the corpus totals, observed while writing.
 
     The pages are parsed and rendered once, into ``pages``, one row per page; that table cuts the lineage, and all others
     are read off it. Written files survive the loss of executors, and a re-run replaces them whole.
     """
     converted = Conversion(pages).table.drop("html")
-    converted.write.mode("overwrite").parquet(f"{out}/pages")
+    totals = Observation("totals")
+    counts = {name: F.sum(count) for name, count in assets.stats().items()}
+    observed = converted.observe(totals, F.count(F.lit(1)).alias("pages"), *[F.coalesce(c, F.lit(0)).alias(n) for n, c in counts.items()])
+    observed.write.mode("overwrite").parquet(f"{out}/pages")
     table = spark.read.schema(converted.schema).parquet(f"{out}/pages")
     table.select("page_id", "md").write.mode("overwrite").parquet(f"{out}/markdown")
     assets.manifest(table).write.mode("overwrite").json(f"{out}/manifest")
@@ -78,3 +82,4 @@ def export(spark: SparkSession, pages: DataFrame, out: str) -> None:
     refs.write.mode("overwrite").parquet(f"{out}/image_refs")
     assets.missing_image_count(table, refs).write.mode("overwrite").json(f"{out}/missing_images")
     quality.output_checks(table).write.mode("overwrite").parquet(f"{out}/checks")
+    return totals.get

@@ -1,5 +1,6 @@
 """Literal expectations for single rules and their order, converted in one job."""
 
+import json
 from array import array
 
 import pytest
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from foliant.operators import assets
 from foliant.operators.predicates import compile_selector
 from foliant.plans.convert import Conversion, export
+from foliant.sources.folders import PageFolders, list_files, write_folders
 from foliant.sources.pages import read_html_files, read_pages
 
 IMAGE = "![{}](images/{}_01.png)"
@@ -128,7 +130,10 @@ def test_export_writes_all_tables(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "a.html").write_text("<body><p>a</p><pre class='mermaid'>g</pre></body>", encoding="utf-8")
     (tmp_path / "in" / "b.html").write_text("<html></html>", encoding="utf-8")
-    export(spark, read_html_files(spark, str(tmp_path / "in")), str(tmp_path / "out"))
+    totals = export(spark, read_html_files(spark, str(tmp_path / "in")), str(tmp_path / "out"))
+    stats = spark.read.json(str(tmp_path / "out/page_stats"))
+    names = [c for c in stats.columns if c.endswith("_count")]
+    assert totals == {"pages": 2, **stats.groupBy().sum(*names).toDF(*names).first().asDict()} and totals["mermaid_count"] == 1
     markdown = {r.page_id.rsplit("/", 1)[1]: r.md for r in spark.read.parquet(str(tmp_path / "out/markdown")).collect()}
     assert markdown["b.html"] == "" and markdown["a.html"].startswith("a\n\n```mermaid\ng\n```")
     assert spark.read.json(str(tmp_path / "out/manifest")).first().filename == "mermaid_01.png"
@@ -226,3 +231,43 @@ def test_any_unit_of_a_callout_sign_counts(spark):
     units = lambda t: set(array("H", t.encode("utf-16-le")))
     signs = units("💡✅🚨⚠️")
     assert {r["page_id"]: r["has_callout_sign"] for r in found} == {i: bool(signs & units(t)) for i, t in enumerate(texts)}
+
+
+def test_page_folders(spark, tmp_path):
+    pages = [(1, "<p>é</p><pre class='mermaid'>g</pre><pre class='mermaid'>h</pre>"), (2, ""), (3, "<p>![x](images/x.png) ![y](./y.png)</p>")]
+    table = Conversion(spark.createDataFrame([(f"u/{i}" if i == 2 else str(i), h) for i, h in pages], "page_id string, html string")).table
+    out = tmp_path / "out"
+    write_folders(table, out.as_uri())
+    write_folders(table, out.as_uri())  # again: every file is there once
+    odd = next(f.name for f in out.iterdir() if f.name.startswith("u_2_"))
+    names = sorted(str(f.relative_to(out)) for f in out.rglob("*") if f.is_file() and not f.name.endswith(".crc"))
+    assert names == sorted(["_SUCCESS", *(f"{d}/{n}" for d in ("1", odd, "3") for n in ("output.md", "screenshot_manifest.json")),
+                            "1/mermaid_sources/mermaid_01.mmd", "1/mermaid_sources/mermaid_02.mmd"])
+    assert (out / "1/output.md").read_text(encoding="utf-8").startswith("é\n\n```mermaid\ng") and (out / "1/mermaid_sources/mermaid_02.mmd").read_text() == "h"
+    assert [e["filename"] for e in json.loads((out / "1/screenshot_manifest.json").read_text())] == ["mermaid_01.png", "mermaid_02.png"]
+    assert json.loads((out / "_SUCCESS").read_text()) == {"pages": 3, "files": 8}
+    # References are held against the files that lie there.
+    (out / "3/images").mkdir()
+    (out / "3/images/x.png").write_bytes(b"x")
+    files = list_files(spark, out.as_uri()).withColumnRenamed("folder", "page_id")
+    assert sorted(map(tuple, files.where("page_id = '3'").collect())) == [("3", "images/x.png"), ("3", "output.md"), ("3", "screenshot_manifest.json")]
+    refs = assets.image_refs(table, files)
+    assert {(r.ref, r.is_missing) for r in refs.where("page_id = '3'").collect()} == {("images/x.png", False), ("./y.png", True)}
+    assert "content" not in plan_of(files)
+
+
+def test_a_task_that_fails_half_way_and_runs_again_leaves_each_file_once(tmp_path):
+    rows = [{"folder": str(i), "md": f"text {i}", "manifest": "[]", "sources": []} for i in range(3)]
+
+    def failing():
+        yield rows[0]
+        yield rows[1]
+        raise OSError("lost")
+
+    writer = PageFolders({"path": tmp_path.as_uri()}).writer(None, False)
+    with pytest.raises(OSError):
+        writer.write(failing())
+    writer.commit([writer.write(iter(rows)), None])
+    assert sorted(f.name for f in tmp_path.iterdir()) == ["0", "1", "2", "_SUCCESS"]
+    assert all(len(list((tmp_path / str(i)).iterdir())) == 2 for i in range(3))
+    writer.abort([])
