@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import re
+from struct import pack
 
 import numpy as np
 import pyarrow as pa
@@ -14,8 +15,18 @@ import regex
 _SPACE = r"[\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 # A cut before a space is safe unless white space stands on both sides of it (the end of the text counts).
 _UNSAFE = rf"{_SPACE} (?:{_SPACE}|\z)"
-#: What a Python worker remembers at most; beyond that it forgets all and starts anew.
-REMEMBERED_UNITS, REMEMBERED_WORDS = 300_000, 1_000_000
+#: What a Python worker remembers at most; beyond that it forgets all and starts anew. An entry takes some 250 bytes.
+REMEMBERED_UNITS, REMEMBERED_WORDS = 100_000, 300_000
+
+
+def _alphabet() -> dict[int, str]:
+    """The sign of each byte in byte-level vocabularies: printable ones stand for themselves, the others follow from 256 on."""
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in printable]
+    return {b: chr(256 + i) for i, b in enumerate(others)} | {b: chr(b) for b in printable}
+
+
+_ALPHABET = _alphabet()
 
 _encoders: dict[str, "Encoder"] = {}
 
@@ -31,7 +42,7 @@ class Encoder:
 
     A text is cut before each space. The pattern of the vocabulary never joins signs across such a cut,
     so the ids of the units, one after the other, are the ids of the text, and a unit that repeats is
-    encoded once. A new unit is cut by the pattern itself into words, of which most are known. Texts with
+    encoded once. A new unit is cut by the pattern itself into words, of which most are known; new ones are merged alone. Texts with
     runs of white space around a cut, or with an added token of the vocabulary, are encoded whole.
     """
 
@@ -44,25 +55,15 @@ class Encoder:
         added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]  # found before the pattern cuts
         self.whole = "|".join([_UNSAFE, *(re.escape(t) for t in added)])
         self.words = regex.compile(public_tokenizers.PATTERN).findall
-        # A byte is one sign of the vocabulary's alphabet.
-        self.n_bytes = np.zeros(self.tokenizer.get_vocab_size(), np.int64)
-        for token, i in self.tokenizer.get_vocab().items():
-            self.n_bytes[i] = len(token)
         self.units: dict[str, bytes] = {}
         self.known: dict[str, bytes] = {}
 
     def _learn(self, words: list[str]) -> None:
-        """Words that are a space and letters are encoded in one text: no pattern joins them."""
-        plain = [w for w in words if w[0] == " " and w[1:].isalpha()]
-        if plain:
-            ids = np.array(self.tokenizer.encode_batch_fast(["".join(plain)], add_special_tokens=False)[0].ids, "<u4")
-            ends = np.cumsum([len(w.encode()) for w in plain])
-            at = np.searchsorted(np.cumsum(self.n_bytes[ids]), ends) + 1
-            for word, lo, hi in zip(plain, np.append(0, at).tolist(), at.tolist()):
-                self.known[word] = ids[lo:hi].tobytes()
-        others = [w for w in words if w[0] != " " or not w[1:].isalpha()]
-        for word, e in zip(others, self.tokenizer.encode_batch_fast(others, add_special_tokens=False)):
-            self.known[word] = np.array(e.ids, "<u4").tobytes()
+        """Words that the pattern has cut go to the vocabulary's merges as they are, in its alphabet of bytes."""
+        merged = self.tokenizer.model.tokenize
+        for word in words:
+            ids = [t.id for t in merged(word.encode().decode("latin-1").translate(_ALPHABET))]
+            self.known[word] = pack(f"<{len(ids)}I", *ids)
 
     def _ids(self, units: list[str]) -> list[bytes]:
         if len(self.units) > REMEMBERED_UNITS:
