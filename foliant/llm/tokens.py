@@ -16,7 +16,7 @@ _SPACE = r"[\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x
 # A cut before a space is safe unless white space stands on both sides of it (the end of the text counts).
 _UNSAFE = rf"{_SPACE} (?:{_SPACE}|\z)"
 #: What a Python worker remembers at most; beyond that it forgets all and starts anew. An entry takes some 250 bytes.
-REMEMBERED_UNITS, REMEMBERED_WORDS = 100_000, 300_000
+REMEMBERED_UNITS, REMEMBERED_WORDS = 200_000, 600_000
 
 
 def _alphabet() -> dict[int, str]:
