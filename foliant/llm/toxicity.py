@@ -4,7 +4,7 @@ FTRL keeps a rate per coordinate and an L1 threshold, which here grows with the
 that a weight must be significant to differ from zero; the model is a short list that every task can hold. Weights
 are never negative: evidence adds up, and a long document does not dilute it. The fit takes a bounded sample of
 labelled documents, in shards: each pass trains the shards in parallel from the same state and adds up what they
-learned. Scoring covers all documents and whole texts.
+learned, in a staged table. Scoring covers all documents and whole texts.
 """
 
 from __future__ import annotations
@@ -12,13 +12,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foliant.llm.hashing import mix, sequences
 from foliant.llm.staging import stage
+from foliant.llm.tokens import slices
 
 BITS = 19  # features are hashed to so many bits
 #: Labelled documents for the fit, at most: those with the smallest digest of their id. All, if there are fewer.
@@ -27,6 +27,7 @@ STEM = 6
 DENSITIES = (0.01, 0.02)
 SHARDS = 4
 PASSES = 4
+LISTS = 512  # rows in which the state travels
 ALPHA, BETA, L1 = 1.0, 1.0, 2.5
 THRESHOLD = 0.7
 
@@ -60,21 +61,51 @@ def _chance(total: float) -> float:
     return 1 / (1 + np.exp(-max(-35.0, min(35.0, total))))
 
 
-def _learn(z0: np.ndarray, n0: np.ndarray, bias: float):
-    def shard(rows: pd.DataFrame) -> pd.DataFrame:
-        z, n = z0.astype(float), n0.astype(float)
-        rows = rows.sort_values(["place", "doc_id"])
-        for text, label in zip(rows["text"], rows["label"]):
-            at = features(text)
-            w = weights(z[at], n[at])
-            g = _chance(w.sum() + bias) - label
-            sigma = (np.sqrt(n[at] + g * g) - np.sqrt(n[at])) / ALPHA
-            z[at] += g - sigma * w
-            n[at] += g * g
-        hit = np.flatnonzero(n != n0)
-        return pd.DataFrame({"at": hit, "z": z[hit] - z0[hit], "n": n[hit] - n0[hit]})
+def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The sample as features: a list of numbers in place of each text."""
+    for batch in batches:
+        for b in slices(batch, "text"):
+            found = pa.array([features(t).astype(np.int32) for t in b.column("text").to_pylist()], pa.list_(pa.int32()))
+            yield pa.record_batch([b.column("shard"), b.column("place"), b.column("doc_id"), b.column("label"), found], names=["shard", "place", "doc_id", "label", "found"])
 
-    return shard
+
+def _learn(bias: float):
+    """One pass. Rows come by shard: first the state (lists of at, z, n), then the documents, one at a time."""
+
+    def pass_(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, z, n, z0, n0 = None, *[np.zeros(0)] * 4
+
+        def learned() -> pa.RecordBatch:
+            hit = np.flatnonzero(n != n0)
+            return pa.record_batch([pa.array(hit.astype(np.int32)), pa.array(z[hit] - z0[hit]), pa.array(n[hit] - n0[hit])], names=["at", "z", "n"])
+
+        for b in batches:
+            shard, is_doc = b.column("shard").to_numpy(), b.column("coordinates").is_null().to_numpy(zero_copy_only=False)
+            cuts = [0, *(np.flatnonzero((np.diff(shard) != 0) | (np.diff(is_doc) != 0)) + 1), b.num_rows]
+            for lo, hi in zip(cuts, cuts[1:]):
+                if lo == hi:
+                    continue
+                if shard[lo] != now:
+                    if now is not None:
+                        yield learned()
+                    now, (z, n, z0, n0) = shard[lo], np.zeros((4, 1 << BITS))
+                part = b.slice(lo, hi - lo)
+                if not is_doc[lo]:
+                    at, z_at, n_at = (x.to_numpy() for x in part.column("coordinates").flatten().flatten())
+                    z[at] = z0[at] = z_at
+                    n[at] = n0[at] = n_at
+                    continue
+                for found, label in zip(part.column("found"), part.column("label").to_pylist()):
+                    at = found.values.to_numpy()
+                    w = weights(z[at], n[at])
+                    g = _chance(w.sum() + bias) - label
+                    sigma = (np.sqrt(n[at] + g * g) - np.sqrt(n[at])) / ALPHA
+                    z[at] += g - sigma * w
+                    n[at] += g * g
+        if now is not None:
+            yield learned()
+
+    return pass_
 
 
 Model = tuple[np.ndarray, np.ndarray, float]
@@ -84,27 +115,36 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """Numbers of the features that have a weight, the weights, and the bias. ``labels``: doc_id and label (0 or 1).
 
     Null labels and null texts are skipped; of several labels of a document the largest counts. With no labelled
-    row the model has no feature and calls nothing toxic.
+    row the model has no feature and calls nothing toxic. The state of all coordinates is a staged table, which the
+    tasks of a pass read and add to; the driver sees the weights that are not zero.
     """
+    spark = docs.sparkSession
     known = labels.where("label is not null and doc_id is not null").groupBy("doc_id").agg(F.max("label").cast("double").alias("label"))
     chosen = known.withColumn("place", F.xxhash64("doc_id")).orderBy("place", "doc_id").limit(sample)  # the sample, see SAMPLE
     texts = docs.where("text is not null").select("doc_id", F.col("text").cast("binary").alias("text"))
-    rows = stage(texts.join(F.broadcast(chosen), "doc_id").withColumn("shard", F.pmod("place", F.lit(SHARDS))), "labelled")
+    rows = texts.join(F.broadcast(chosen), "doc_id").withColumn("shard", F.pmod("place", F.lit(SHARDS)).cast("int"))
+    fields = "shard int, place long, doc_id long, label double, found array<int>"
+    rows = stage(rows.withColumn("doc_id", F.col("doc_id").cast("long")).mapInArrow(_features, fields), "labelled")
     size = rows.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("label"), F.lit(0.0)).alias("toxic")).first()
-    bias = float(np.log((size["toxic"] + 1) / (size["n"] - size["toxic"] + 1))) - 1 if size["n"] else -2.0
-    z, n = np.zeros(1 << BITS), np.zeros(1 << BITS)
-    for _ in range(PASSES if size["n"] else 0):
-        learned = rows.groupBy("shard").applyInPandas(_learn(z.astype(np.float32), n.astype(np.float32), bias), "at int, z float, n float")
-        total = learned.groupBy("at").agg(F.sum("z").alias("z"), F.sum("n").alias("n")).toPandas()  # 2**BITS rows at most
-        z[total["at"]] += total["z"]
-        n[total["at"]] += total["n"]
-    w = weights(z, n)
-    at = np.flatnonzero(w)
-    return at, w[at], bias
-
-
-def score(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
-    """Columns ``keep`` and ``score`` (0 to 1) of all rows. Null and empty texts have no feature, so a low score."""
+    if not size["n"]:
+        return np.zeros(0, np.int64), np.zeros(0), -2.0
+    bias = float(np.log((size["toxic"] + 1) / (size["n"] - size["toxic"] + 1))) - 1
+    state = spark.createDataFrame([], "at int, z double, n double")
+    for _ in range(PASSES):
+        lists = state.groupBy(F.pmod("at", F.lit(LISTS))).agg(F.collect_list(F.struct("at", "z", "n")).alias("coordinates"))  # 2**BITS / LISTS each at most
+        to_all = lists.select("coordinates", F.explode(F.sequence(F.lit(0), F.lit(SHARDS - 1))).alias("shard"))
+        dealt = rows.unionByName(to_all, allowMissingColumns=True).repartition(SHARDS, "shard")
+        dealt = dealt.sortWithinPartitions("shard", F.col("coordinates").isNull(), "place", "doc_id")
+        learned = dealt.mapInArrow(_learn(bias), "at int, z double, n double")
+        state = stage(state.unionByName(learned).groupBy("at").agg(F.sum("z").alias("z"), F.sum("n").alias("n")), "state")
+    root = F.sqrt("n")
+    weight = (-F.col("z") - L1 * root) / ((BETA + root) / ALPHA)  # see ``weights``
+    found = state.select("at", weight.alias("w")).where("w > 0").orderBy("at").collect()  # the model: 2**BITS rows at most, some hundreds
+    return np.array([r["at"] for r in found], np.int64), np.array([r["w"] for r in found]), bias
+
+
+def score(docs: DataFrame, model: Model, keep: list[str], name: str = "score") -> DataFrame:
+    """Columns ``keep`` and the score (0 to 1, called ``name``) of all rows. Null and empty texts have no feature, so a low score."""
     at, w, bias = model
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -112,18 +152,18 @@ def score(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
         dense[at] = w
         for b in batches:
             scores = [_chance(dense[features(t or b"")].sum() + bias) for t in b.column("scored text").to_pylist()]
-            yield pa.record_batch([*(b.column(c) for c in keep), pa.array(scores, pa.float64())], names=[*keep, "score"])
+            yield pa.record_batch([*(b.column(c) for c in keep), pa.array(scores, pa.float64())], names=[*keep, name])
 
     kept = docs.select(*[F.col(f"`{c}`") for c in keep])
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema)
-    return docs.select(*[F.col(f"`{c}`") for c in keep], F.col("text").cast("binary").alias("scored text")).mapInArrow(rows, f"{fields}, score double")
+    return docs.select(*[F.col(f"`{c}`") for c in keep], F.col("text").cast("binary").alias("scored text")).mapInArrow(rows, f"{fields}, `{name}` double")
 
 
 def held_out(doc_id: str) -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def toxic_scores(docs: DataFrame, labels: DataFrame, keep: list[str], sample: int = SAMPLE) -> DataFrame:
+def toxic_scores(docs: DataFrame, labels: DataFrame, keep: list[str], sample: int = SAMPLE, name: str = "score") -> DataFrame:
     """Scores of all rows by a model that never saw a held-out row's label."""
     train = labels.where(~held_out("doc_id")).select("doc_id", F.col("toxic").alias("label"))
-    return score(docs, fit(docs, train, sample), keep)
+    return score(docs, fit(docs, train, sample), keep, name)
