@@ -1,6 +1,7 @@
 """Shards of near equal bytes by histogram sort.
 
-Rows are ordered by a 128-bit key: a digest of the text, then one of the doc_id, so equal texts lie side by side.
+Rows are ordered by a 192-bit key: a digest of the text, one of the doc_id and one of the row's number in the staged
+table, so equal texts lie side by side and rows that repeat can still be parted.
 A splitter is searched for without moving rows: every round the tasks count exact bytes and rows below a list of
 probes, and each splitter's bracket shrinks to the probes around its target, until one lies within the tolerance
 or no row is left between. Then rows are exchanged once, by ranges that are as fine as wanted: a shard may be far
@@ -25,25 +26,26 @@ TOLERANCE = 0.001  # of a shard's bytes
 GROUP_TOLERANCE = 0.02  # the same for a border that keeps equal texts together
 RANGE_BYTES = 256 << 20  # what one task sorts after the exchange
 PROBES = 32
-_KEYS = 1 << 128
-_GROUP = 1 << 64
+_WIDTH = 24  # bytes of a key
+_KEYS = 1 << 8 * _WIDTH
+_GROUP = 1 << 128
 
 
 def _digest(c: Column) -> Column:
     return F.lpad(F.hex(F.xxhash64(c)), 16, "0")
 
 
-def key(text: Column, doc_id: Column) -> Column:
-    return F.unhex(F.concat(F.substring(F.md5(text), 1, 16), _digest(doc_id)))
+def key(text: Column, doc_id: Column, row: Column) -> Column:
+    return F.unhex(F.concat(F.substring(F.md5(text), 1, 16), _digest(doc_id), _digest(row)))
 
 
 def _as_bytes(keys: list[int]) -> np.ndarray:
-    return np.array([k.to_bytes(16, "big") for k in keys], "S16")
+    return np.array([k.to_bytes(_WIDTH, "big") for k in keys], f"S{_WIDTH}")
 
 
 def _interval(batch: pa.RecordBatch, probes: np.ndarray) -> np.ndarray:
     """How many probes are at or below each row's key."""
-    return np.searchsorted(probes, np.frombuffer(b"".join(batch.column("key").to_pylist()), "S16"), "right")
+    return np.searchsorted(probes, np.frombuffer(b"".join(batch.column("shard key").to_pylist()), f"S{_WIDTH}"), "right")
 
 
 def _histogram(keyed: DataFrame, probes: list[int]) -> tuple[np.ndarray, np.ndarray]:
@@ -59,7 +61,7 @@ def _histogram(keyed: DataFrame, probes: list[int]) -> tuple[np.ndarray, np.ndar
         hit = np.flatnonzero(rows)
         yield pa.record_batch([pa.array(hit), pa.array(size[hit]), pa.array(rows[hit])], names=["at", "size", "n"])
 
-    found = keyed.select("key", "size").mapInArrow(count, "at long, size long, n long").groupBy("at").agg(F.sum("size").alias("size"), F.sum("n").alias("n"))
+    found = keyed.select("shard key", "size").mapInArrow(count, "at long, size long, n long").groupBy("at").agg(F.sum("size").alias("size"), F.sum("n").alias("n"))
     size, rows = np.zeros(len(borders) + 1, np.int64), np.zeros(len(borders) + 1, np.int64)
     for r in found.collect():  # a row per probe at most
         size[r["at"]], rows[r["at"]] = r["size"], r["n"]
@@ -113,16 +115,14 @@ def shard_by_bytes(docs: DataFrame, shards: int = SHARDS, range_bytes: int = RAN
     """The rows with size, shard and slot (gapless from 0 in each shard), and their other columns.
 
     ``keep`` names the columns wanted besides; None keeps all but those called like the results. Null texts count no
-    bytes and lie with the empty ones. Rows with the same text and doc_id stay side by side. An empty table gives
+    bytes and lie with the empty ones. Rows that repeat are dealt like any others. An empty table gives
     no rows; with fewer rows than shards some shards stay empty.
     """
-    own = {"size", "shard", "slot", "key", "range", "first_slot"}
-    names = [c for c in docs.columns if c.lower() not in own] if keep is None else keep
+    own = {"size", "shard", "slot"}
+    names = [f"`{c}`" for c in docs.columns if c.lower() not in own] if keep is None else keep
     text = F.coalesce(F.col("text"), F.lit(""))
-    keyed = stage(
-        docs.withColumns({"size": F.octet_length(text).cast("long") + ROW_BYTES, "key": key(text, F.coalesce(F.col("doc_id"), F.lit(0)))}).select(*names, "size", "key"),
-        "keyed",
-    )
+    place = key(text, F.coalesce(F.col("doc_id"), F.lit(0)), F.monotonically_increasing_id())
+    keyed = stage(docs.select(*names, (F.octet_length(text).cast("long") + ROW_BYTES).alias("size"), place.alias("shard key")), "keyed")
     total = keyed.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("size"), F.count(F.lit(1)).alias("n")).first()
     parts = max(1, -(-total["size"] // (shards * range_bytes)))  # ranges to a shard
     share = total["size"] / shards
@@ -139,8 +139,8 @@ def shard_by_bytes(docs: DataFrame, shards: int = SHARDS, range_bytes: int = RAN
             at = _interval(b, borders)
             shard = at // parts
             new = [pa.array(at.astype(np.int32)), pa.array(shard.astype(np.int32)), pa.array(below[at] - below[shard * parts])]
-            yield pa.record_batch([*b.columns, *new], names=[*b.schema.names, "range", "shard", "first_slot"])
+            yield pa.record_batch([*b.columns, *new], names=[*b.schema.names, "shard range", "shard", "first slot"])
 
-    dealt = keyed.mapInArrow(deal, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in keyed.schema) + ", range int, shard int, first_slot long")
-    nth = F.row_number().over(Window.partitionBy("range").orderBy("key"))
-    return dealt.withColumn("slot", F.col("first_slot") + nth - 1).select(*names, "size", "shard", "slot")
+    dealt = keyed.mapInArrow(deal, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in keyed.schema) + ", `shard range` int, shard int, `first slot` long")
+    nth = F.row_number().over(Window.partitionBy("shard range").orderBy("shard key"))
+    return dealt.withColumn("slot", F.col("first slot") + nth - 1).select(*names, "size", "shard", "slot")

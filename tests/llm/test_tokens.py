@@ -139,3 +139,14 @@ def test_empty_tables(spark, docs, tmp_path):
     assert packing.pack(none).count() == 0 and sharding.shard_by_bytes(none).count() == 0
     tokenfiles.write_token_files(none, f"{tmp_path}/t")
     assert tokenfiles.token_index(spark, f"{tmp_path}/t").count() == 0
+
+
+def test_shards_part_rows_that_repeat(spark):
+    """Half of the rows are one row; columns called like the operator's own stay."""
+    rows = [(7, "r" * 500, "k", 1)] * 3000 + [(i, f"text {i} " * (i % 40), "k", 1) for i in range(3000)] + [(None, "n" * 300, "k", 1)] * 200
+    found = sharding.shard_by_bytes(spark.createDataFrame(rows, "doc_id long, text string, key string, range int").repartition(6)).collect()
+    assert len(found) == len(rows) and set(found[0].asDict()) == {"doc_id", "text", "key", "range", "size", "shard", "slot"}
+    total = [sum(r["size"] for r in found if r["shard"] == s) for s in range(24)]
+    assert max(total) - min(total) <= 0.05 * max(total)
+    for shard in range(24):
+        assert sorted(r["slot"] for r in found if r["shard"] == shard) == list(range(sum(r["shard"] == shard for r in found)))
