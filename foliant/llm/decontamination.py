@@ -6,8 +6,8 @@ with the text, on diagonals (place in the text less place in the item) that diff
 is counted in bands of diagonals, 2e wide and overlapping by e: any occurrence lies within one of them. Bands that
 reach the count are aligned, with only the diagonals of the band computed.
 
-Items of fewer than LEAST signs are searched for without edits; those of fewer than Q signs are looked up by digests of
-their length and must begin and end at a border of words.
+Items of fewer than LEAST signs are searched for without edits and must begin and end at a border of words; those of
+fewer than Q signs are looked up by digests of their length.
 
 Items of more than SEGMENT signs are also searched for in parts: segments of SEGMENT signs that overlap by half, each
 with its own edits and count of q-grams. So any stretch of one and a half segments is found. Segments that follow one
@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foliant.llm.hashing import between, prefix
+from foliant.llm.staging import stage
 
 Q = 10
 EDITS = 0.06  # of an item's signs
@@ -189,6 +190,8 @@ class Index:
             own = item == i
             mine, begin = diagonal[own], at[own]
             hits = _occurrences(signs, self.signs[i], mine, int(self.least[i])) if total[i] >= self.least[i] else []
+            if size[i] < LEAST:
+                hits = [h for h in hits if _border(signs, where, h[0]) and _border(signs, where, h[1])]
             if size[i] > SEGMENT:
                 free = np.ones(len(begin), bool)
                 for start, end, _ in hits:
@@ -271,17 +274,8 @@ def _rounds(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
         yield held
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """One row per occurrence: doc_id, item_id, start, end (code points of the text, end exclusive), edits.
-
-    Items of under 40 letters and digits are found where they occur without edits, those of under 10 as whole words only.
-    Of items of more than 64, parts are found too: any stretch of 96, or a segment of 64 from a multiple of 32 on or at
-    the end; start, end and edits are then those of the part, and an item may have several rows.
-    Null items, items without letter or digit and null or empty texts give nothing. Every round of items reads the
-    texts once, so a benchmark of any size is searched for whole. Repeated rows report each; other columns are not
-    looked at.
-    """
-    source = docs.where("text is not null").select(F.col("doc_id").cast("long"), "text")
+def _hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """One row per occurrence; ``docs`` has a long ``doc_id`` and ``text``."""
     fields = "doc_id long, item_id long, start long, end long, edits int"
     found = docs.sparkSession.createDataFrame([], fields)
     for items in _rounds(benchmark):
@@ -293,10 +287,28 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                 columns = list(zip(*rows)) or [()] * 5
                 yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, [pa.int64()] * 4 + [pa.int32()])], names=["doc_id", "item_id", "start", "end", "edits"])
 
-        found = found.unionByName(source.mapInArrow(search, fields))
+        found = found.unionByName(docs.select("doc_id", "text").mapInArrow(search, fields))
     return found
 
 
+def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """One row per occurrence: doc_id, item_id, start, end (code points of the text, end exclusive), edits.
+
+    Items of under 40 letters and digits are found where they occur without edits and as whole words.
+    Of items of more than 64, parts are found too: any stretch of 96, or a segment of 64 from a multiple of 32 on or at
+    the end; start, end and edits are then those of the part, and an item may have several rows.
+    Null items, items without letter or digit and null or empty texts give nothing. Every round of items reads the
+    texts once, so a benchmark of any size is searched for whole. Rows that repeat or have no doc_id report each; other
+    columns are not looked at.
+    """
+    return _hits(docs.where("text is not null").select(F.col("doc_id").cast("long"), "text"), benchmark)
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose text holds no occurrence of an item, unchanged."""
-    return docs.join(leaks(docs, benchmark).select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+    """The rows of ``docs`` whose text holds no occurrence of an item, unchanged.
+
+    Each row is judged by its own text, whatever its doc_id: rows without one and rows that share one too.
+    """
+    rows = stage(docs.select("*", F.monotonically_increasing_id().alias("leak row")), "numbered")
+    found = _hits(rows.where("text is not null").select(F.col("leak row").alias("doc_id"), "text"), benchmark)
+    return rows.join(found.select(F.col("doc_id").alias("leak row")).distinct(), "leak row", "left_anti").drop("leak row")

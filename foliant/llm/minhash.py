@@ -212,3 +212,17 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     first = signed.join(heads_of, "set_md5", "left").join(final, F.col("first") == F.col("node"), "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "first", "doc_id"))
     return first.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+
+
+def drop_near_duplicates(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` without near duplicates, unchanged: of each component the row with the smallest doc_id stays.
+
+    Rows are compared by their own texts, whatever their doc_id: rows that repeat and rows that share an id are
+    copies of each other only if their texts are alike. Rows without doc_id come after all others. Null texts and
+    texts without words stay.
+    """
+    rows = stage(docs.select("*", F.monotonically_increasing_id().alias("minhash row")), "numbered")
+    found = near_duplicates(rows.select(F.col("minhash row").alias("doc_id"), "text")).select(F.col("doc_id").alias("minhash row"), F.col("component_id").alias("component"))
+    order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("minhash row").alias("row"))
+    first = rows.select("doc_id", "minhash row").join(found, "minhash row").groupBy("component").agg(F.min(order)["row"].alias("minhash row"))
+    return rows.join(first, "minhash row", "left_semi").drop("minhash row")

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from foliant.llm import decontamination, licences, pii, queries, toxicity
+from foliant.llm import decontamination, licences, minhash, pii, queries, toxicity
 from tests.llm.conftest import prose
 
 SF = "/root/testdata/sf0.01"
@@ -167,6 +167,29 @@ def test_short_items_are_found_exactly(spark):
     assert {r["doc_id"] for r in decontamination.decontaminate(docs, bench).collect()} == {1, 4, 6}
 
 
+def test_short_items_are_whole_words(spark):
+    texts = ["Roman art exhibits", "see an ART-exhibit, now", "an art exhibit"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bench = spark.createDataFrame([(1, "An art exhibit")], "item_id long, text string")
+    assert sorted(r["doc_id"] for r in decontamination.leaks(docs, bench).collect()) == [1, 2]
+
+
+def test_rows_are_judged_by_their_own_text(spark):
+    """Leaks and copies among rows without doc_id and rows that share one."""
+    rng = random.Random(5)
+    item, clean, other = prose(rng, 30), prose(rng, 40), prose(rng, 40)
+    rows = [(None, item), (None, clean), (4, item), (4, other), (4, other), (None, clean), (9, clean), (None, None), (None, "")]
+    docs = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, score string").repartition(3)
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    count = lambda found: sorted((str(r["doc_id"]), str(r["text"])) for r in found)
+    left = decontamination.decontaminate(docs, bench)
+    assert left.columns == docs.columns and count(left.collect()) == count([dict(zip(("doc_id", "text"), r)) for r in rows if r[1] != item])
+    one = minhash.drop_near_duplicates(docs)
+    want = [(None, None), (None, ""), (4, item), (4, other), (9, clean)]
+    assert one.columns == docs.columns and count(one.collect()) == count([dict(zip(("doc_id", "text"), r)) for r in want])
+    assert decontamination.decontaminate(docs.where("false"), bench).count() == minhash.drop_near_duplicates(docs.where("false")).count() == 0
+
+
 def test_parts_of_long_items_are_found(spark):
     rng = random.Random(3)
     item = prose(rng, 120)
