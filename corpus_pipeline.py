@@ -12,18 +12,17 @@ from foliant.llm.staging import stage
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a toxicity score below the threshold; the model is fitted on the labels beside them."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    columns = [c for c in docs.columns if c != "score"]
-    return toxicity.toxic_scores(docs, labels, columns).where(F.col("score") < toxicity.THRESHOLD).drop("score")
+    scored = toxicity.toxic_scores(docs, labels, docs.columns, name="toxicity score")
+    return scored.where(F.col("toxicity score") < toxicity.THRESHOLD).drop("toxicity score")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: the one with the smallest doc_id. Repeated rows of it stay one."""
-    dropped = minhash.near_duplicates(docs).where("not kept").select("doc_id").distinct()
-    return docs.join(dropped, "doc_id", "left_anti").select(docs.columns)
+    """One row of each group of near duplicates: the one with the smallest doc_id."""
+    return minhash.drop_near_duplicates(docs)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no passage of the benchmark."""
+    """Rows that hold no passage of the benchmark."""
     return decontamination.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
