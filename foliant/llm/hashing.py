@@ -1,7 +1,8 @@
 """Hashes of word sequences, computed for whole texts at once.
 
 A word is a run of bytes other than white space. The words of a text, joined by single spaces, get one polynomial
-prefix hash, from which the hash of any sequence of words follows by one subtraction and one product.
+prefix hash, from which the hash of any word follows by one subtraction and one product. The hash of a sequence mixes
+in one word after the other; the polynomial alone would give some long strings of two letters the same hash.
 """
 
 from __future__ import annotations
@@ -14,7 +15,8 @@ import numpy as np
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _SEGMENT = 1 << 20  # bytes hashed at a time
-_LONGEST = 4096  # a longer word is replaced by its digest
+_LONGEST = 64  # a longer word is replaced by its digest
+_NEXT = np.uint64(0x9FB21C651E98DF25)
 _powers: dict[int, np.ndarray] = {}
 
 
@@ -64,9 +66,12 @@ def sequences(found: list[bytes], k: int) -> Iterator[np.ndarray]:
     lo, n = 0, len(starts) - k + 1
     while lo < n:
         hi = min(n, max(lo + 1, int(np.searchsorted(starts, starts[lo] + _SEGMENT))))
-        base = starts[lo]
-        table = prefix(data[base : ends[hi + k - 2]])
-        yield between(table, starts[lo:hi] - base, ends[lo + k - 1 : hi + k - 1] - base)
+        first, last = starts[lo : hi + k - 1] - starts[lo], ends[lo : hi + k - 1] - starts[lo]
+        word = between(prefix(data[starts[lo] : ends[hi + k - 2]]), first, last)
+        run = word[: hi - lo]
+        for i in range(1, k):
+            run = mix(run * _NEXT + word[i : i + hi - lo])
+        yield run
         lo = hi
 
 

@@ -9,8 +9,10 @@
    posterior of its similarity, it reaches the threshold with a probability under ``MISS`` only. Survivors
    are confirmed on their full sets.
 4. Where a bucket still holds documents of several components, its other pairs are looked at too: in blocks of
-   bounded size, by the same sequential test inside the task, so pairs that fail are never rows. Pairs of one component
-   need no look, as they change nothing; so the largest component of a bucket meets only the documents outside it.
+   bounded size, by the same sequential test inside the task. Documents with a survivor get their texts, and survivors
+   are confirmed in the block, those that agree most first; pairs are never rows, and a block gives fewer links than it
+   has documents. Pairs of one component need no look, as they change nothing; so the largest component of a bucket meets
+   only the documents outside it.
 """
 
 from __future__ import annotations
@@ -35,6 +37,7 @@ BANDS, ROWS = 32, 4
 MINIMA = BANDS * ROWS
 BATCH = 16  # minima compared at a time
 MISS = 1e-7  # posterior probability at which a candidate is given up
+SET_BYTES = 64 << 20  # shingles that a task remembers while it confirms a block
 BLOCK = 1024  # documents of a bucket that meet in one block: half a megabyte of minima
 
 _seeds = mix(np.arange(1, 2 * MINIMA + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
@@ -63,14 +66,18 @@ def least_matches(n: int) -> int:
         m += 1
 
 
-def sequential(left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """Which of the pairs (rows of minima) survive all batches."""
+def tested(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which of the pairs (rows of minima) survive all batches, and how many of their minima agree."""
     alive, matches = np.arange(len(left)), np.zeros(len(left), np.int32)
     for n in range(BATCH, MINIMA + 1, BATCH):
         matches += (left[alive, n - BATCH : n] == right[alive, n - BATCH : n]).sum(axis=1, dtype=np.int32)
         stays = matches >= least_matches(n)
         alive, matches = alive[stays], matches[stays]
-    return alive
+    return alive, matches
+
+
+def sequential(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    return tested(left, right)[0]
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -122,39 +129,104 @@ def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return both.mapInArrow(_confirm, "a long, b long").distinct()
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs across components in each block. Rows come sorted by block; a block may span batches."""
-    held: list[pa.RecordBatch] = []
+_BIT = np.int64(1) << np.arange(BANDS, dtype=np.int64)
+
+
+def _bands(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """For each pair of rows of minima the bands on which it agrees, as bits."""
+    return (left == right).reshape(-1, BANDS, ROWS).all(axis=2) @ _BIT
 
-    def compare(rows: pa.Table) -> Iterator[pa.RecordBatch]:
-        blocks = rows.column("block").to_numpy()
-        signs, ids, parts, sizes, sides = _matrix(rows.column("minima").combine_chunks()), *(rows.column(n).to_numpy() for n in ("doc_id", "component", "n_shingles", "side"))
-        cuts = [0, *(np.flatnonzero(np.diff(blocks)) + 1), len(blocks)]
-        for lo, hi in zip(cuts, cuts[1:]):
-            i, j = np.triu_indices(hi - lo, 1)
-            i, j = i + lo, j + lo
-            # In a block of two chunks only pairs across the chunks are new.
-            ok = (parts[i] != parts[j]) & ((sides[i] != sides[j]) | (sides[i] == 0))
-            ok &= SIMILAR[1] * np.minimum(sizes[i], sizes[j]) >= SIMILAR[0] * np.maximum(sizes[i], sizes[j])
-            i, j = i[ok], j[ok]
-            for at in range(0, len(i), 20_000):
-                x, y = i[at : at + 20_000], j[at : at + 20_000]
-                alive = sequential(signs[x], signs[y])
-                a, b = ids[x[alive]], ids[y[alive]]
-                yield pa.record_batch([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows of one block at a time. Rows come sorted by block; a block may span batches."""
+    held: list[pa.RecordBatch] = []
     for b in batches:
-        if not b.num_rows:
-            continue
-        held.append(b)
-        rows = pa.Table.from_batches(held)
-        ends = np.flatnonzero(np.diff(rows.column("block").to_numpy())) + 1
-        last = int(ends[-1]) if len(ends) else 0  # the last block may go on
-        if last:
-            yield from compare(rows.slice(0, last))
-            held = rows.slice(last).to_batches()
+        blocks = b.column("block").to_numpy()
+        cuts = [0, *(np.flatnonzero(np.diff(blocks)) + 1), len(blocks)]
+        for lo, hi in zip(cuts, cuts[1:]):
+            if held and hi > lo and held[0].column("block")[0].as_py() != blocks[lo]:
+                yield pa.Table.from_batches(held).combine_chunks()
+                held = []
+            if hi > lo:
+                held.append(b.slice(lo, hi - lo))
     if held:
-        yield from compare(pa.Table.from_batches(held))
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def _pairs(rows: pa.Table, signs: np.ndarray, bands: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs across components that survive the sequential test, and how many minima agree.
+
+    A pair that agrees on several bands is taken where the first of them is one of ``bands``, so in one block.
+    """
+    parts, sizes, sides = (rows.column(n).to_numpy() for n in ("component", "n_shingles", "side"))
+    found = []
+    for lo in range(0, len(signs), 32):  # some rows against all later ones
+        i, j = np.nonzero(np.arange(lo, min(lo + 32, len(signs)))[:, None] < np.arange(len(signs))[None, :])
+        i += lo
+        # In a block of two chunks only pairs across the chunks are new.
+        ok = (parts[i] != parts[j]) & ((sides[i] != sides[j]) | (sides[i] == 0))
+        ok &= SIMILAR[1] * np.minimum(sizes[i], sizes[j]) >= SIMILAR[0] * np.maximum(sizes[i], sizes[j])
+        i, j = i[ok], j[ok]
+        alive, matches = tested(signs[i], signs[j])
+        i, j = i[alive], j[alive]
+        agreed = _bands(signs[i], signs[j])
+        own = (agreed & -agreed & bands) != 0
+        found.append((i[own], j[own], matches[own]))
+    return tuple(np.concatenate(x) for x in zip(*found))
+
+
+def _open_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The documents of each block that have a surviving pair, with the bands that the whole block agrees on."""
+    for rows in _runs(batches):
+        signs = _matrix(rows.column("minima"))
+        # The block's own band is among them; all bands, should two different bands have one hash.
+        bands = int(np.bitwise_and.reduce(_bands(signs, signs[:1]))) or int(_BIT.sum())
+        i, j, _ = _pairs(rows, signs, bands)
+        if len(i):
+            out = rows.take(pa.array(np.unique(np.concatenate([i, j]))))
+            yield from out.append_column("bands", pa.array(np.full(len(out), bands))).to_batches()
+
+
+class _Sets:
+    """Shingles of the texts of a block; those used last are remembered, up to SET_BYTES."""
+
+    def __init__(self, texts: pa.ChunkedArray):
+        self.texts, self.known, self.size = texts, OrderedDict(), 0
+
+    def __getitem__(self, k: int) -> np.ndarray:
+        if k in self.known:
+            self.known.move_to_end(k)
+        else:
+            self.known[k] = shingles(self.texts[k].as_py(), WORDS)
+            self.size += self.known[k].nbytes
+            while self.size > SET_BYTES and len(self.known) > 2:
+                self.size -= self.known.popitem(last=False)[1].nbytes
+        return self.known[k]
+
+
+def _join_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Confirmed links of each block that join components: fewer than it has documents.
+
+    Pairs are confirmed on full sets, those that agree most first; a pair whose documents were joined before is skipped.
+    """
+    for rows in _runs(batches):
+        signs, ids = _matrix(rows.column("minima")), rows.column("doc_id").to_numpy()
+        i, j, matches = _pairs(rows, signs, rows.column("bands")[0].as_py())
+        order = np.argsort(-matches, kind="stable")
+        i, j = i[order], j[order]
+        part = np.unique(rows.column("component").to_numpy(), return_inverse=True)[1]
+        sets, a, b = _Sets(rows.column("text")), [], []
+        while len(i):
+            for x, y in zip(i[:512].tolist(), j[:512].tolist()):
+                if part[x] != part[y] and similar(sets[x], sets[y]):
+                    part[part == part[y]] = part[x]
+                    a.append(min(ids[x], ids[y]))
+                    b.append(max(ids[x], ids[y]))
+            i, j = i[512:], j[512:]
+            open_ = part[i] != part[j]
+            i, j = i[open_], j[open_]
+        if a:
+            yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -204,8 +276,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         F.xxhash64("band", F.least("chunk", "other"), F.greatest("chunk", "other")).alias("block"), "doc_id", "n_shingles", "component",
         F.when(F.col("chunk") < F.col("other"), 1).when(F.col("chunk") > F.col("other"), 2).otherwise(0).alias("side"),
     ).join(heads.select("doc_id", "minima"), "doc_id")
-    rest = blocks.repartition("block").sortWithinPartitions("block").mapInArrow(_blocks, "a long, b long").distinct()
-    more = stage(confirmed(rest, texts), "links")
+    by_block = lambda rows: rows.repartition("block").sortWithinPartitions("block")
+    open_ = by_block(blocks.select("block", "doc_id", "n_shingles", "component", "side", "minima"))
+    open_ = open_.mapInArrow(_open_blocks, "block long, doc_id long, n_shingles long, component long, side int, minima binary, bands long")
+    more = by_block(open_.join(texts, "doc_id")).mapInArrow(_join_blocks, "a long, b long")
+    more = stage(more.distinct(), "links")
     final = components(links.unionByName(more)) if more.limit(1).count() else labels
 
     heads_of = classes.select("set_md5", F.col("head.doc_id").alias("first"))

@@ -4,6 +4,7 @@ import hashlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from foliant.llm import capfilter, components, minhash, repeats
@@ -53,6 +54,64 @@ def test_large_buckets_lose_no_link(spark):
     assert found == want
 
 
+def test_near_copies_of_one_text(spark):
+    """One very large group: every copy is near the first text, few are near each other; none is lost."""
+    rng = np.random.default_rng(8)
+    base = [f"b{i}" for i in range(120)]
+    rows = []
+    for i in range(3000):
+        words = list(base)
+        for k in rng.choice(120, 1 + i % 4, replace=False).tolist():
+            words[k] = f"c{i}x{k}"
+        rows.append((i + 1, " ".join(words)))
+    rows.append((5000, " ".join(base)))
+    sets = {i: shingle_set(t) for i, t in rows}
+    holders = {}
+    for i, found in sets.items():
+        for x in found:
+            holders.setdefault(x, []).append(i)
+    links = []
+    for i, found in sets.items():
+        both = Counter(j for x in found for j in holders[x] if j > i)
+        links += [(i, j) for j, n in both.items() if 100 * n >= 75 * (len(found) + len(sets[j]) - n)]
+    want = roots(sets, links)
+    found = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(6)).collect()}
+    assert found == want
+
+
+def test_blocks_confirm_and_give_a_forest():
+    """The pairs of a block against all pairs: the same components, and fewer links than documents."""
+    rng = np.random.default_rng(4)
+    texts = []
+    for g in range(12):
+        base = [f"g{g}w{i}" for i in range(60)]
+        for k in range(12):
+            words = list(base)
+            for at in rng.choice(60, k % 4, replace=False).tolist():
+                words[at] = f"v{g}x{k}"
+            texts.append(" ".join(words).encode())
+    sets = [minhash.shingles(t, 5) for t in texts]
+    signs = [minhash.minima(x) for x in sets]
+    n = len(texts)
+    columns = {"block": [1] * n, "doc_id": list(range(n)), "n_shingles": [len(x) for x in sets], "component": list(range(n)), "side": [0] * n}
+    batch = pa.record_batch([*(pa.array(c, pa.int64()) for c in columns.values()), pa.array([x.tobytes() for x in signs])], names=[*columns, "minima"])
+    open_ = pa.Table.from_batches(minhash._open_blocks(iter([batch.slice(0, 50), batch.slice(50)])))
+    open_ = open_.append_column("text", pa.array([texts[i] for i in open_.column("doc_id").to_pylist()]))
+    links = [x for b in minhash._join_blocks(iter(open_.to_batches())) for x in zip(*(b.column(c).to_pylist() for c in "ab"))]
+    pairs = [(i, j) for i in range(n) for j in range(i + 1, n) if minhash.similar(sets[i], sets[j])]
+    assert len(links) < n and set(links) <= set(pairs) and roots(range(n), links) == roots(range(n), pairs)
+
+
+def test_texts_of_two_letters_have_their_own_shingles():
+    """A sequence that cancels in polynomials modulo powers of two, and its complement: as one word and as many."""
+    bits = [i.bit_count() % 2 for i in range(4096)]
+    left, right = ("".join("ab"[b ^ flip] for b in bits).encode() for flip in (0, 1))
+    assert minhash.shingles(left, 5) != minhash.shingles(right, 5)
+    cut = lambda t, n: b" ".join(t[i : i + n] for i in range(0, 5 * n, n))
+    for n in (16, 64, 256, 800):
+        assert minhash.shingles(cut(left, n), 5)[0] != minhash.shingles(cut(right, n), 5)[0]
+
+
 def test_posterior_bound():
     """A pair at the threshold is given up with a probability near MISS only, an unlike one soon."""
     least = [minhash.least_matches(n) for n in range(minhash.BATCH, minhash.MINIMA + 1, minhash.BATCH)]
