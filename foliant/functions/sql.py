@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from itertools import count
 
-from foliant.functions.text import SPACE
+from foliant.functions.text import SPACE, SPACES
 
 _serial = count()
+_SPACES = "".join(f"\\u{ord(c):04x}" for c in SPACES)
 
 
 def _lambda(body, arguments: int) -> str:
@@ -42,7 +43,7 @@ def mapping(pairs: dict[str, str]) -> str:
 
 
 def strip(text: str) -> str:
-    return f"regexp_replace({text}, r'^{SPACE}+|{SPACE}+$', '')"
+    return f"btrim({text}, '{_SPACES}')"
 
 
 def squeeze(text: str) -> str:

@@ -1,7 +1,7 @@
 """The tree of a page as arrays: ends of subtrees, places of wanted nodes, answers, kinds and blocks.
 
-Input are, per token, its kind, tag and those attributes that are asked for, and what a string is like. Local questions are answered
-once per distinct tag with its attributes, as bits of a long. One pass over openings and closings gives each node its parent and the end of its subtree; nodes are numbered in document order, so a subtree is a range and
+Input are the texts of a page's tokens and, per distinct one, its kind, tag and those attributes that are asked for, and what a string is like; places
+of tokens in the result are places among the distinct ones. Local questions are answered once per distinct tag with its attributes, as bits of a long. One pass over openings and closings gives each node its parent and the end of its subtree; nodes are numbered in document order, so a subtree is a range and
 
 * "the first X below" is the next X in a sorted list of places, if it lies in the range (a binary search);
 * "how many X below" is the difference of two prefix counts, "how many X among the children" a count by parent;
@@ -12,7 +12,7 @@ All of it is arithmetic on whole arrays, over all pages of a batch at once.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -22,10 +22,10 @@ from foliant.operators.predicates import (
     All, Any, BIT, BY_KIND, BY_STRING, Below, Has, KIND_CODES, KINDS, LOOKED_INTO, Local, NEEDED, Not, RULE_BIT, SILENT, Selection, Test,
 )
 
-SLICE = 1 << 19  # tokens that are worked on at a time; a longer page is worked on alone
+SLICE = 1 << 17  # tokens that are worked on at a time; a longer page is worked on alone
 #: Kinds whose blocks have an image; a diagram has one only if it has a source.
 IMAGED = ["hero", "mermaid", "progress_bar", "stat_cards", "timeline", "comparison", "visual_component"]
-CLOSING, TIMELINE, BLANK, HIDDEN, BADGE = 1, 2, 4, 8, 16  # what is known of an event
+CLOSING, OPENING, BLANK, HIDDEN, BADGE = 1, 2, 4, 8, 16  # what is known of an event
 OUTSIDE = -2  # place of a node that encloses blocks, before all events
 
 #: The arrays of a page, by what they run over.
@@ -35,7 +35,10 @@ BLOCKS = ["b_at", "b_pos", "b_end", "b_kind", "b_h1", "b_p", "b_pre", "b_code",
 CANDIDATES = ["c_type", "c_ordinal", "c_pos"]
 ARRAYS = [*NODES, *EVENTS, *BLOCKS, *CANDIDATES]
 SCALARS = ["body_pos", "body_end"]
-TYPE = T.StructType([T.StructField(n, T.ArrayType(T.IntegerType())) for n in ARRAYS] + [T.StructField(n, T.IntegerType()) for n in SCALARS])
+
+
+def type_of(arrays: Sequence[str]) -> T.StructType:
+    return T.StructType([T.StructField(n, T.ArrayType(T.IntegerType())) for n in arrays] + [T.StructField(n, T.IntegerType()) for n in SCALARS])
 
 
 def _match(bits: np.ndarray, tags: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -83,7 +86,7 @@ def _match(bits: np.ndarray, tags: np.ndarray, begin: np.ndarray) -> tuple[np.nd
 class _Tree:
     """Nodes of all pages of a slice in document order, the page itself first; ``last`` is the last node of a subtree."""
 
-    def __init__(self, bits: np.ndarray, tags: np.ndarray, begin: np.ndarray):
+    def __init__(self, bits: np.ndarray, tags: np.ndarray, begin: np.ndarray, place: np.ndarray):
         pages = len(begin) - 1
         around, depth, closer, turn, closes = _match(bits, tags, begin)
         page_of = np.repeat(np.arange(pages), np.diff(begin))
@@ -102,7 +105,7 @@ class _Tree:
         fill = lambda value, dtype=np.int64: np.full(self.n, value, dtype)
         self.tok, self.bits, self.pos, self.end_pos = fill(-1), fill(0), fill(0), fill(0)
         self.parent, self.depth, self.last = fill(-1), fill(0), np.arange(self.n)
-        self.tok[at], self.bits[at], self.pos[at], self.depth[at] = tok - begin[page_of[tok]], bits[tok], pos[tok], depth[tok] + 1
+        self.tok[at], self.bits[at], self.pos[at], self.depth[at] = place[tok], bits[tok], pos[tok], depth[tok] + 1
         self.parent[at] = np.where(around[tok] >= 0, number[around[tok]], self.page[page_of[tok]])
         # At the end of a page whatever is open is closed, the page last.
         page_steps = steps[begin[1:]] - steps[begin[:-1]] + 1
@@ -190,9 +193,9 @@ def _running(values: np.ndarray, group: np.ndarray) -> np.ndarray:
     return counts - np.append(0, counts)[first]
 
 
-def _outline(bits: np.ndarray, tags: np.ndarray, begin: np.ndarray, chosen: Selection) -> tuple[dict[str, tuple[np.ndarray, np.ndarray]], dict[str, np.ndarray]]:
+def _outline(bits: np.ndarray, tags: np.ndarray, begin: np.ndarray, place_of: np.ndarray, chosen: Selection) -> tuple[dict[str, tuple[np.ndarray, np.ndarray]], dict[str, np.ndarray]]:
     """For each array its values and the page of each; for each scalar its values. -1 stands for null."""
-    tree = _Tree(bits, tags, begin)
+    tree = _Tree(bits, tags, begin, place_of)
     element = tree.any("opens", "void", "raw")
     is_code, is_badge = tree.has("code"), tree.has("span", "class badge")
 
@@ -242,8 +245,7 @@ def _outline(bits: np.ndarray, tags: np.ndarray, begin: np.ndarray, chosen: Sele
     stop = np.where(reach // (tree.n + 1) >= every, tree.n - reach % (tree.n + 1), -1)
     stop_at = np.where(stop < 0, -1, np.where(at[stop] < 0, OUTSIDE, at[stop]))
     hidden, shrinks = tree.inside(tree.has("hides text")), tree.has("blank") & ~tree.inside(tree.has("keeps space"))
-    in_timeline = kind[owner] == KINDS.index("timeline")
-    flags = CLOSING * ev_close + TIMELINE * in_timeline[ev_node] + BLANK * shrinks[ev_node] + HIDDEN * hidden[ev_node] + BADGE * is_badge[ev_node]
+    flags = CLOSING * ev_close + OPENING * (tree.any("opens", "void")[ev_node] & ~ev_close) + BLANK * shrinks[ev_node] + HIDDEN * hidden[ev_node] + BADGE * is_badge[ev_node]
     badge_stop = np.where(stop >= 0, is_badge[stop], False)
 
     # Blocks, with the numbers of their images.
@@ -321,28 +323,42 @@ def _answers(kinds: np.ndarray, strings: np.ndarray, tags: pa.Array, attributes:
     return bits | np.where(is_text, of_string, of_string & ~BIT["visible"]), tag_code
 
 
-def outliner(chosen: Selection) -> Callable[..., pa.Array]:
-    """A function from the tokens of pages (kind codes, string codes, tags and the chosen attributes, each an array per page) to the arrays of their
-    trees, as a struct of lists (see ``TYPE``)."""
-
-    def outline(kinds: pa.Array, strings: pa.Array, tags: pa.Array, *attributes: pa.Array) -> pa.Array:
-        begin = np.append(0, np.cumsum(np.nan_to_num(kinds.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64)))
-        flat = [column.flatten() for column in (kinds, strings, tags, *attributes)]
-        parts = []
-        for lo, hi in _slices(begin):
-            kind, string, tag, *values = (column.slice(begin[lo], begin[hi] - begin[lo]) for column in flat)
-            bits, names = _answers(kind.to_numpy(zero_copy_only=False), string.to_numpy(zero_copy_only=False), tag, values, chosen)
-            arrays, scalars = _outline(bits, names, begin[lo : hi + 1] - begin[lo], chosen)
-            columns = []
-            for name in ARRAYS:
-                found, page = arrays[name]
-                lists = np.searchsorted(page, np.arange(hi - lo + 1)).astype(np.int32)
-                columns.append(pa.ListArray.from_arrays(pa.array(lists), pa.array(found.astype(np.int32), mask=found == -1)))
-            columns += [pa.array(scalars[name].astype(np.int32)) for name in SCALARS]
-            parts.append(pa.StructArray.from_arrays(columns, names=[*ARRAYS, *SCALARS]))
-        if not parts:
-            empty = [pa.list_(pa.int32())] * len(ARRAYS) + [pa.int32()] * len(SCALARS)
-            return pa.StructArray.from_arrays([pa.array([], k) for k in empty], names=[*ARRAYS, *SCALARS])
-        return pa.concat_arrays(parts)
+def _starts(lists: pa.Array) -> np.ndarray:
+    """Where the lists of a column begin in its flat values, and where the last one ends."""
+    return np.append(0, np.cumsum(np.nan_to_num(lists.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64)))
+
+
+def _first_places(cut: pa.Array, begin: np.ndarray) -> np.ndarray:
+    """For each token the number of its text among the distinct ones of all pages, each page's in order of their first place."""
+    codes, values = _codes(cut)
+    keys = np.repeat(np.arange(len(begin) - 1), np.diff(begin)) * len(values) + codes
+    _, first, which = np.unique(keys, return_index=True, return_inverse=True)
+    number = np.empty(len(first), np.int64)
+    number[np.argsort(first)] = np.arange(len(first))
+    return number[which.ravel()]
+
+
+def outliner(chosen: Selection, asked: Sequence[str] = ARRAYS) -> Callable[..., Iterator[pa.Array]]:
+    """A function from the tokens of pages (their texts; of each distinct one kind code, string code, tag and the chosen attributes, each an array per page) to
+    the asked arrays of their trees, as a struct of lists (see ``type_of``). What it gives at a time is as small as what it works on."""
+
+    def outline(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
+        for cut, kinds, *others in batches:
+            begin, parsed = _starts(cut), _starts(kinds)
+            texts, *flat = (column.flatten() for column in (cut, kinds, *others))
+            for lo, hi in _slices(begin):
+                first, tokens = parsed[lo], begin[lo : hi + 1] - begin[lo]
+                which = _first_places(texts.slice(begin[lo], begin[hi] - begin[lo]), tokens)
+                kind, string, tag, *values = (column.slice(first, parsed[hi] - first) for column in flat)
+                bits, names = _answers(kind.to_numpy(zero_copy_only=False), string.to_numpy(zero_copy_only=False), tag, values, chosen)
+                place = which - np.repeat(parsed[lo:hi] - first, np.diff(tokens))
+                arrays, scalars = _outline(bits[which], names[which], tokens, place, chosen)
+                columns = []
+                for name in asked:
+                    found, page = arrays[name]
+                    lists = np.searchsorted(page, np.arange(hi - lo + 1)).astype(np.int32)
+                    columns.append(pa.ListArray.from_arrays(pa.array(lists), pa.array(found.astype(np.int32), mask=found == -1)))
+                columns += [pa.array(scalars[name].astype(np.int32)) for name in SCALARS]
+                yield pa.StructArray.from_arrays(columns, names=[*asked, *SCALARS])
 
     return outline

@@ -1,8 +1,9 @@
 """Blocks to Markdown.
 
-A page is one row. Its array ``ev`` holds the events of its blocks in document order: openings, strings, and closings that
-write a mark. An event knows its place ``at`` and the last place ``to`` of its subtree, so any subtree is a range and each rule below
-reads exactly the events it renders. ``bs`` holds the blocks: where they stand, their kind and the numbers of their images.
+A page is one row. The arrays ``ev_...`` of its outline hold the events of its blocks in document order: openings, strings, and closings that
+write a mark. An event is a place in them and ``ev_to`` the last place of its subtree, so any subtree is a range and each rule below
+reads exactly the events it renders. What events of the same token share is worked out once a page (``shapes``), and so is what each writes
+(``plains``, ``inlines``): the text of a subtree is a slice of these, joined. ``bs`` holds the blocks: where they stand, their kind and the numbers of their images.
 """
 
 from __future__ import annotations
@@ -45,88 +46,112 @@ CAPTIONS = {
 }
 
 
-def _event() -> str:
-    """The event at place ``k`` of a page: ``t`` is its token."""
-
-    def flag(bit: int) -> str:
-        return f"(ix.ev_flags[k] & {bit}) <> 0"
-
-    is_tag = "t.kind IN ('open', 'void')"
+def _shape() -> str:
+    """What the events of one distinct token ``t`` share."""
     opening = "CASE WHEN t.tag IN ('strong', 'b') THEN '**' WHEN t.tag IN ('em', 'i') THEN '*' WHEN t.tag = 'code' THEN '`' WHEN t.tag = 'a' THEN '[' WHEN t.tag = 'br' THEN '\n' ELSE '' END"
     closing = "CASE WHEN t.tag IN ('strong', 'b') THEN '**' WHEN t.tag IN ('em', 'i') THEN '*' WHEN t.tag = 'code' THEN '`' WHEN t.tag = 'a' THEN concat('](', coalesce(t.attrs['href'], ''), ')') ELSE '' END"
-    string = f"if({flag(tree.BLANK)}, if(contains(t.text, '\n'), '\n', ' '), coalesce(t.text, ''))"
-    piece = f"CASE WHEN {flag(tree.CLOSING)} THEN {closing} WHEN t.kind = 'open' THEN {opening} WHEN t.kind = 'void' THEN concat({opening}, {closing}) ELSE {string} END"
-    plain = f"if(t.kind = 'text' AND NOT {flag(tree.HIDDEN)}, {string}, NULL)"
-    # A subtree is told from another by its marks alone: the number of events below each opening gives the shape.
-    mark = f"if({is_tag}, concat('<', t.tag, coalesce(cast(map_entries(t.attrs) AS string), ''), ' ', cast(ix.ev_to[k] - k AS string)), concat(t.kind, ':', t.text))"
-    only = lambda value: f"if({flag(tree.CLOSING)}, NULL, {value})"
-    return f"""named_struct('at', k, 'to', ix.ev_to[k], 'parent', ix.ev_parent[k], 'tag', {only(f"if({is_tag}, t.tag, NULL)")},
-        'piece', {piece}, 'plain', {only(plain)}, 'stop', ix.ev_stop[k], 'quiet_stop', ix.ev_badge_stop[k] = 1,
-        'badge', {only(flag(tree.BADGE))}, 'classes', {only(f"if(t.attrs IS NULL, cast(array() AS array<string>), {classes('t.attrs')})")}, 'titled', {only("coalesce(contains(t.attrs['style'], 'text-transform'), false)")},
-        'code', ix.ev_code[k], 'date', ix.ev_date[k], 'mark', if({flag(tree.TIMELINE)}, {only(mark)}, NULL))"""
+    shown = f"CASE t.kind WHEN 'open' THEN {opening} WHEN 'void' THEN concat({opening}, {closing}) ELSE coalesce(t.text, '') END"
+    return f"""named_struct('tag', if(t.kind IN ('open', 'void'), t.tag, NULL), 'shown', {shown}, 'closing', if(t.kind = 'open', {closing}, ''),
+        'is_text', t.kind = 'text', 'blank', if(contains(t.text, '\n'), '\n', ' '),
+        'classes', if(t.attrs IS NULL, cast(array() AS array<string>), {classes('t.attrs')}), 'titled', coalesce(contains(t.attrs['style'], 'text-transform'), false))"""
 
 
 def block_rows(outlined: DataFrame, carried: Sequence[str] = ()) -> DataFrame:
-    """page_id, ``ev``, ``bs`` and the columns that are carried along. What is not used of them is not computed."""
-    events = f"transform(ix.ev_tok, (n, k) -> transform(array(tokens[n]), t -> {_event()})[0])"
+    """page_id, ``tokens``, ``ix``, ``bs`` and the columns that are carried along. What is not used of them is not computed."""
     kind = f"array({sql.strings(KINDS)})"
     name = f"{kind}[ix.b_kind[j]]"
     found = f"""transform(ix.b_at, (a, j) -> struct(a AS at, ix.b_pos[j] AS pos, ix.b_end[j] AS end_pos, {name} AS kind,
         ix.b_h1[j] AS h1, ix.b_p[j] AS p, ix.b_pre[j] AS pre, ix.b_code[j] AS code, ix.b_asset[j] AS asset_index, ix.b_diagram[j] AS diagram_index,
         if(ix.b_asset[j] IS NULL, NULL, format_string('%s_%02d.png', {name}, ix.b_asset[j])) AS asset_file, ix.b_callouts[j] AS n_callouts))"""
-    return outlined.select("page_id", *carried, F.expr(events).alias("ev"), F.expr(found).alias("bs"))
+    return outlined.select("page_id", *carried, "tokens", "ix", F.expr(found).alias("bs"))
+
+
+# The rules below are SQL text over the arrays of events and a block ``b``; an "event" argument is the place of one.
+# Text, because a rule nests a dozen lambdas: built call by call, planning took longer than running. Places, because a struct per
+# event costs more than all that is read of it.
+
+
+TOP = "b.at"
 
 
-# The rules below are SQL text over ``ev`` and a block ``b``; an "event" argument is the name of a struct.
-# Text, because a rule nests a dozen lambdas: built call by call, planning took longer than running.
+def _to(e: str) -> str:
+    return f"get(ix.ev_to, {e})"
 
 
-def at(place: str) -> str:
-    return f"get(ev, {place})"
+def _flag(e: str, bit: int) -> str:
+    return f"((get(ix.ev_flags, {e}) & {bit}) <> 0)"
 
 
-TOP = "get(ev, b.at)"
+def _of_token(e: str, name: str) -> str:
+    return f"get(shapes, get(ix.ev_tok, {e})).{name}"
+
+
+def tag(e: str) -> str:
+    """Of an opening."""
+    return _of_token(e, "tag")
 
 
 def _nodes(lo: str, hi: str, keep) -> str:
     """Openings between two places that meet a condition."""
-    events = sql.transform(sql.span(lo, hi), at)
-    return sql.where(events, lambda e: f"{e}.tag IS NOT NULL AND ({keep(e)})")
+    return sql.where(sql.span(lo, hi), lambda e: f"{_flag(e, tree.OPENING)} AND ({keep(e)})")
 
 
 def below(e: str, keep) -> str:
-    return _nodes(f"({e}.at + 1)", f"{e}.to", keep)
+    return _nodes(f"({e} + 1)", _to(e), keep)
 
 
 def children(e: str, tags: list[str]) -> str:
-    return below(e, lambda x: f"{x}.parent = {e}.at AND {x}.tag IN ({sql.strings(tags)})")
+    return below(e, lambda x: f"get(ix.ev_parent, {x}) = {e} AND {tag(x)} IN ({sql.strings(tags)})")
+
+
+def _between(texts: str, e: str) -> str:
+    """The texts of all events of the subtree in one."""
+    return f"array_join(slice({texts}, {e} + 2, {_to(e)} - {e}), '')"
 
 
 def plain(e: str) -> str:
     """Text of the subtree without marks, comments and scripts."""
-    inner = sql.span(f"({e}.at + 1)", f"{e}.to")
-    return f"array_join({sql.transform(inner, lambda i: f'{at(i)}.plain')}, '')"
+    return _between("plains", e)
+
+
+def _plains() -> str:
+    """By event: its plain text."""
+
+    def text(n: str, k: str) -> str:
+        has_any = f"get(shapes, {n}).is_text AND NOT {_flag(k, tree.CLOSING | tree.HIDDEN)}"
+        return f"if({has_any}, if({_flag(k, tree.BLANK)}, get(shapes, {n}).blank, get(shapes, {n}).shown), NULL)"
+
+    return sql.transform("ix.ev_tok", text, 2)
+
+
+def _piece(k: str) -> str:
+    """What an event writes where marks are on."""
+    return f"""CASE WHEN {_flag(k, tree.CLOSING)} THEN {_of_token(k, 'closing')} WHEN {_flag(k, tree.BADGE)} THEN concat('[', {sql.strip(plain(k))}, ']')
+        WHEN {_flag(k, tree.BLANK)} THEN {_of_token(k, 'blank')} ELSE {_of_token(k, 'shown')} END"""
+
+
+def _quiet(is_badge: str, e: str) -> str:
+    return f"if({is_badge}, '', coalesce(get(plains, {e}), ''))"
+
+
+def _inlines() -> str:
+    """By event: what it writes, seen from outside of all code and badges."""
+    return sql.transform("ix.ev_stop", lambda stop, k: f"if({stop} IS NULL, {_piece(k)}, {_quiet(f'get(ix.ev_badge_stop, {k}) = 1', k)})", 2)
 
 
 def inline(root: str) -> str:
     """Text of the subtree with inline marks.
 
-    Inside code and badges marks are off. ``stop`` names the outermost of them around an event
-    on the page; only if that one lies outside the root, it is looked up anew.
+    Inside code and badges marks are off. ``ev_stop`` names the outermost of them around an event on the page; only if that
+    is the root or lies around it, which then holds for all its events, it is looked up anew.
     """
 
-    def quiet(is_badge: str, e: str) -> str:
-        return f"if({is_badge}, '', coalesce({e}.plain, ''))"
+    def again(e: str) -> str:
+        covers = lambda c: f"({tag(c)} = 'code' OR {_flag(c, tree.BADGE)}) AND {_to(c)} >= {e}"
+        return sql.let(f"get({_nodes(f'({root} + 1)', f'({e} - 1)', covers)}, 0)", lambda c: f"if({c} IS NULL, {_piece(e)}, {_quiet(_flag(c, tree.BADGE), e)})")
 
-    def piece(e: str) -> str:
-        shown = f"if({e}.badge, concat('[', {sql.strip(plain(e))}, ']'), {e}.piece)"
-        covers = lambda c: f"({c}.tag = 'code' OR {c}.badge) AND {c}.to >= {e}.at"
-        again = f"get({_nodes(f'({root}.at + 1)', f'({e}.at - 1)', covers)}, 0)"
-        return f"""CASE WHEN {e}.stop IS NULL THEN {shown} WHEN {e}.stop > {root}.at THEN {quiet(f"{e}.quiet_stop", e)}
-            ELSE {sql.let(again, lambda c: f"if({c} IS NULL, {shown}, {quiet(f'{c}.badge', e)})")} END"""
-
-    inner = sql.span(f"({root}.at + 1)", f"{root}.to")
-    return f"array_join({sql.transform(sql.transform(inner, at), piece)}, '')"
+    is_inside = f"get(ix.ev_stop, {root}) IS NOT NULL OR {tag(root)} = 'code' OR {_flag(root, tree.BADGE)}"
+    return f"if({is_inside}, array_join({sql.transform(sql.span(f'({root} + 1)', _to(root)), again)}, ''), {_between('inlines', root)})"
 
 
 def _filled(parts: str) -> str:
@@ -151,12 +176,12 @@ def _table(rows: str) -> str:
 
 def table_rows(e: str = TOP) -> str:
     """Cell texts by row: every row and cell below the table, also those of nested tables."""
-    cells = lambda tr: sql.transform(below(tr, lambda c: f"{c}.tag IN ('td', 'th')"), lambda c: sql.escape_pipe(sql.squeeze(inline(c))))
-    return sql.where(sql.transform(below(e, lambda r: f"{r}.tag = 'tr'"), cells), lambda r: f"size({r}) > 0")
+    cells = lambda tr: sql.transform(below(tr, lambda c: f"{tag(c)} IN ('td', 'th')"), lambda c: sql.escape_pipe(sql.squeeze(inline(c))))
+    return sql.where(sql.transform(below(e, lambda r: f"{tag(r)} = 'tr'"), cells), lambda r: f"size({r}) > 0")
 
 
 def contents_entries() -> str:
-    return sql.transform(below(TOP, lambda a: f"{a}.tag = 'a'"), lambda a: sql.strip(plain(a)))
+    return sql.transform(below(TOP, lambda a: f"{tag(a)} = 'a'"), lambda a: sql.strip(plain(a)))
 
 
 def list_entries() -> str:
@@ -164,12 +189,12 @@ def list_entries() -> str:
 
 
 def badge_texts() -> str:
-    return sql.transform(below(TOP, lambda e: f"{e}.badge"), lambda e: f"concat('[', {sql.strip(plain(e))}, ']')")
+    return sql.transform(below(TOP, lambda e: _flag(e, tree.BADGE)), lambda e: f"concat('[', {sql.strip(plain(e))}, ']')")
 
 
 def _callout(e: str) -> str:
     signs = sql.mapping(CALLOUT_SIGNS)
-    found = sql.where(sql.transform(f"{e}.classes", lambda c: f"element_at({signs}, {c})"), lambda s: f"{s} IS NOT NULL")
+    found = sql.where(sql.transform(_of_token(e, "classes"), lambda c: f"element_at({signs}, {c})"), lambda s: f"{s} IS NOT NULL")
     sign = f"concat(coalesce(get({found}, 0), '{CALLOUT_DEFAULT_SIGN}'), ' ')"
     lines = sql.transform(f"split({sql.strip(inline(e))}, '\n')", sql.strip)
     signed = sql.transform(lines, lambda t, i: f"if({t} = '', '', concat('> ', if({i} = 0, {sign}, ''), {t}))", 2)
@@ -211,14 +236,20 @@ def _pair_table(pairs: str) -> str:
 def timeline_entries() -> str:
     """sign, date, title and body of every entry."""
 
+    def mark(k: str) -> str:
+        # A subtree is told from another by its marks alone: the number of events below each opening gives the shape.
+        opening = lambda t: f"concat('<', {t}.tag, coalesce(cast(map_entries({t}.attrs) AS string), ''), ' ', cast({_to(k)} - {k} AS string))"
+        own = sql.let(f"get(tokens, get(ix.ev_tok, {k}))", lambda t: f"if({t}.kind IN ('open', 'void'), {opening(t)}, concat({t}.kind, ':', {t}.text))")
+        return f"if({_flag(k, tree.CLOSING)}, NULL, {own})"
+
     def marks(e: str) -> str:
-        return f"array_join({sql.transform(sql.span(f'{e}.at', f'{e}.to'), lambda i: f'{at(i)}.mark')}, '\u0001')"
+        return f"array_join({sql.transform(sql.span(e, _to(e)), mark)}, '\u0001')"
 
     def entry(item: str) -> str:
-        signs = " ".join(f"WHEN array_contains({item}.classes, '{n}') THEN '{c}'" for n, c in TIMELINE_SIGNS.items())
+        signs = " ".join(f"WHEN array_contains({_of_token(item, 'classes')}, '{n}') THEN '{c}'" for n, c in TIMELINE_SIGNS.items())
 
         def fields(date: str) -> str:
-            same = lambda c: f"{c}.at = {date}.at OR {marks(c)} = {marks(date)}"
+            same = lambda c: f"{c} = {date} OR {marks(c)} = {marks(date)}"
             parts = sql.where(children(item, ["div", "span", "p", "h3", "h4"]), lambda c: f"{date} IS NULL OR NOT ({same(c)})")
             texts = _filled(sql.transform(parts, lambda c: sql.strip(inline(c))))
             return sql.let(
@@ -228,7 +259,7 @@ def timeline_entries() -> str:
                     'title', coalesce(get({ts}, 0), ''), 'body', coalesce(get({ts}, 1), ''))""",
             )
 
-        return sql.let(at(f"{item}.date"), fields)
+        return sql.let(f"get(ix.ev_date, {item})", fields)
 
     return sql.transform(children(TOP, ["div"]), entry)
 
@@ -246,28 +277,28 @@ def code_language() -> str:
         found = sql.transform(classes, lambda c: f"regexp_extract({c}, '^(?:language-|lang-)(.+)$', 1)")
         return f"get({_filled(found)}, 0)"
 
-    return f"coalesce({hint(at('b.code') + '.classes')}, {hint(TOP + '.classes')}, '')"
+    return f"coalesce({hint(_of_token('b.code', 'classes'))}, {hint(_of_token(TOP, 'classes'))}, '')"
 
 
 def code_text() -> str:
-    return sql.let(f"coalesce({at('b.code')}, {TOP})", plain)
+    return plain(f"coalesce(b.code, {TOP})")
 
 
 def mermaid_source() -> str:
-    holder = f"if({TOP}.tag = 'div', {at('b.pre')}, {TOP})"
+    holder = f"if({tag(TOP)} = 'div', b.pre, {TOP})"
     return sql.let(holder, lambda h: f"if({h} IS NULL, '', {sql.strip(plain(h))})")
 
 
 def _is_callout(e: str) -> str:
-    return f"{e}.tag = 'div' AND arrays_overlap({e}.classes, array({sql.strings(CALLOUT_CLASSES)}))"
+    return f"{tag(e)} = 'div' AND arrays_overlap({_of_token(e, 'classes')}, array({sql.strings(CALLOUT_CLASSES)}))"
 
 
 def _comparison() -> str:
     def parts(card: str) -> str:
-        titles = sql.transform(below(card, lambda e: f"{e}.tag = 'div' AND {e}.titled"), lambda e: f"concat('**', {sql.strip(plain(e))}, '**')")
+        titles = sql.transform(below(card, lambda e: f"{tag(e)} = 'div' AND {_of_token(e, 'titled')}"), lambda e: f"concat('**', {sql.strip(plain(e))}, '**')")
         texts = sql.transform(children(card, ["p"]), lambda p: sql.strip(inline(p)))
-        code = lambda e: sql.let(f"coalesce({at(f'{e}.code')}, {e})", plain)
-        codes = sql.transform(below(card, lambda e: f"{e}.tag = 'pre'"), lambda e: f"concat('```\n', {code(e)}, '\n```')")
+        code = lambda e: sql.let(f"coalesce(get(ix.ev_code, {e}), {e})", plain)
+        codes = sql.transform(below(card, lambda e: f"{tag(e)} = 'pre'"), lambda e: f"concat('```\n', {code(e)}, '\n```')")
         callouts = sql.transform(below(card, _is_callout), _callout)
         return f"concat({titles}, {texts}, {codes}, {callouts})"
 
@@ -275,13 +306,13 @@ def _comparison() -> str:
 
 
 def _visual() -> str:
-    tables = sql.transform(below(TOP, lambda e: f"{e}.tag = 'table'"), lambda t: _table(table_rows(t)))
-    texts = sql.transform(below(TOP, lambda e: f"{e}.tag = 'p'"), lambda p: sql.strip(inline(p)))
+    tables = sql.transform(below(TOP, lambda e: f"{tag(e)} = 'table'"), lambda t: _table(table_rows(t)))
+    texts = sql.transform(below(TOP, lambda e: f"{tag(e)} = 'p'"), lambda p: sql.strip(inline(p)))
     return f"array_join({_filled(f'concat({tables}, {texts})')}, '\n\n')"
 
 
 def _hero() -> str:
-    text = lambda c: sql.let(at(c), lambda e: sql.strip(plain(e)))
+    text = lambda c: sql.strip(plain(c))
     title = f"if(b.h1 IS NULL, '', concat('# ', {text('b.h1')}))"
     lead = f"if(b.p IS NULL, '', concat('\n*', {text('b.p')}, '*\n'))"
     return f"array_join({_filled(f'array({title}, {lead}, {_pair_table(hero_entries())})')}, '\n')"
@@ -296,8 +327,8 @@ def _bodies() -> dict[str, str]:
     text = sql.strip(inline(TOP))
     return {
         "paragraph": text,
-        "heading": f"concat(repeat('#', int(substring({TOP}.tag, 2, 1))), ' ', {text})",
-        "list": f"array_join(if({TOP}.tag = 'ol', {_numbered(list_entries())}, {sql.transform(list_entries(), lambda t: f"concat('- ', {t})")}), '\n')",
+        "heading": f"concat(repeat('#', int(substring({tag(TOP)}, 2, 1))), ' ', {text})",
+        "list": f"array_join(if({tag(TOP)} = 'ol', {_numbered(list_entries())}, {sql.transform(list_entries(), lambda t: f"concat('- ', {t})")}), '\n')",
         "contents": f"array_join(concat(array('## Table of Contents\n'), {_numbered(contents_entries())}), '\n')",
         "footer": f"concat('---\n\n*', {text}, '*')",
         "table": _table(table_rows()),
@@ -332,8 +363,11 @@ _FIELDS = ["pos", "end_pos", "kind", "asset_index", "asset_file", "diagram_index
 
 
 def _with_events(body: str) -> str:
-    """``body`` with ``ev`` as a variable: computed once a page even where Catalyst moves its expression here."""
-    return f"transform(array(ev), ev -> {body})[0]"
+    """``body`` with the texts of tokens and events as variables: each computed once a page, and only if it is read."""
+    for name, value in (("inlines", _inlines()), ("plains", _plains()), ("shapes", f"transform(tokens, t -> {_shape()})")):
+        if name in body:
+            body = f"transform(array({value}), {name} -> {body})[0]"
+    return body
 
 
 def rendered(rows: DataFrame, *kinds: str, carried: Sequence[str] = ()) -> DataFrame:

@@ -9,7 +9,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.operators import assets, parse, quality, render
+from foliant.operators import assets, outline, parse, quality, render
 from foliant.operators.predicates import SELECTORS
 
 
@@ -28,6 +28,11 @@ class Conversion:
     def outlined(self) -> DataFrame:
         return parse.outlines(self.pages, dict(self.selectors))
 
+    @cached_property
+    def _shaped(self) -> DataFrame:
+        """Without the arrays of nodes, which blocks and side tables do not read."""
+        return parse.outlines(self.pages, dict(self.selectors), [*outline.EVENTS, *outline.BLOCKS, *outline.CANDIDATES])
+
     @property
     def nodes(self) -> DataFrame:
         return parse.nodes_of(self.outlined)
@@ -35,7 +40,7 @@ class Conversion:
     @cached_property
     def rows(self) -> DataFrame:
         """page_id, ev and bs: what blocks are rendered from."""
-        return render.block_rows(self.outlined)
+        return render.block_rows(self._shaped)
 
     def blocks(self, *kinds: str) -> DataFrame:
         return render.blocks(self.rows, *kinds)
@@ -46,7 +51,7 @@ class Conversion:
     @cached_property
     def table(self) -> DataFrame:
         """One row per page: page_id, html, bs, blocks, md, manifest, candidates, plan, png_names, loads_diagrams."""
-        found = self.outlined.select("page_id", "html", "tokens", "ix", assets.candidates(list(self.selectors)).alias("candidates"), assets.loads_diagrams().alias("loads_diagrams"))
+        found = self._shaped.select("page_id", "html", "tokens", "ix", assets.candidates(list(self.selectors)).alias("candidates"), assets.loads_diagrams().alias("loads_diagrams"))
         carried = ["html", "candidates", "loads_diagrams"]
         rows = render.block_rows(found, carried)
         shown = render.rendered(rows, carried=[*carried, "bs"])

@@ -3,7 +3,11 @@
 import time
 from html.parser import HTMLParser
 
-from foliant.operators.parse import VOID_TAGS, nodes
+import pyarrow as pa
+
+from foliant.operators import outline
+from foliant.operators.parse import VOID_TAGS, nodes, tags, tokens
+from foliant.operators.predicates import selection
 
 PAGES = [
     "<html><body><p>a<b>b</p>c</b></p></x>d</body></html>",
@@ -120,3 +124,28 @@ def test_sections_are_text_as_they_stand(spark):
     rows = nodes(spark.createDataFrame([(1, "<p><![CDATA[x > y &amp; <b>]]></p>")], "page_id long, html string")).collect()
     assert [r.text for r in rows if r.kind == "text"] == ["x > y &amp; <b>"]
     assert [r.tag for r in rows if r.kind == "element"] == ["p"]
+
+
+def test_distinct_tokens_are_parsed_once(spark):
+    html = "<p>a</p>" * 50 + "<p>b</p>"
+    row = tokens(spark.createDataFrame([(1, html)], "page_id long, html string")).first()
+    assert len(row.cut) == 153
+    assert [(t.kind, t.tag, t.text) for t in row.tokens] == [("open", "p", None), ("text", "", "a"), ("close", "p", None), ("text", "", "b")]
+
+
+def test_outline_gives_small_parts(monkeypatch):
+    """What a worker holds does not grow with the pages that it is sent at a time."""
+    monkeypatch.setattr(outline, "SLICE", 6)
+    one = lambda *values: pa.array([list(values)] * 5)
+    open_, close, text = (outline.KIND_CODES.index(k) for k in ("open", "close", "text"))
+    batch = one("<p>", "a", "</p>"), one(open_, text, close), one(0, 2, 0), one("p", "", "p"), *[pa.array([[None] * 3] * 5, pa.list_(pa.string()))] * 2
+    parts = list(outline.outliner(selection({}), ["tok", "b_at"])(iter([batch])))
+    assert [len(p) for p in parts] == [2, 2, 1]
+    assert [row["tok"] for p in parts for row in p.to_pylist()] == [[None, 0, 1]] * 5
+    assert {f.name for f in parts[0].type} == {"tok", "b_at", "body_pos", "body_end"}
+
+
+def test_only_asked_tags_are_parsed(spark):
+    pages = spark.createDataFrame([(1, '<a href="x">1</a><abbr>2</abbr><A HREF="y"/><!-- <a href="z"> --><a>'), (2, None)], "page_id long, html string")
+    found = {r.page_id: r.tokens and [(t.kind, t.attrs and t.attrs["href"]) for t in r.tokens] for r in tags(pages, "a").collect()}
+    assert found == {1: [("open", "x"), ("void", "y"), ("open", None)], 2: None}
