@@ -30,7 +30,7 @@ OUTSIDE = -2  # place of a node that encloses blocks, before all events
 
 #: The arrays of a page, by what they run over.
 NODES = ["tok", "pos", "end_pos", "parent", "parent_tok", "depth", "kind"]
-EVENTS = ["ev_tok", "ev_flags", "ev_to", "ev_parent", "ev_stop", "ev_badge_stop", "ev_code", "ev_date"]
+EVENTS = ["ev_tok", "ev_flags", "ev_to", "ev_parent", "ev_stop", "ev_quiet_stop", "ev_code", "ev_date"]
 BLOCKS = ["b_at", "b_pos", "b_end", "b_kind", "b_h1", "b_p", "b_pre", "b_code", "b_asset", "b_diagram", "b_callouts"]
 CANDIDATES = ["c_type", "c_ordinal", "c_pos"]
 ARRAYS = [*NODES, *EVENTS, *BLOCKS, *CANDIDATES]
@@ -271,7 +271,7 @@ def _outline(bits: np.ndarray, tags: np.ndarray, begin: np.ndarray, place_of: np
     arrays = {
         "tok": tree.tok, "pos": tree.pos, "end_pos": tree.end_pos, "parent": pos_of(tree.parent), "parent_tok": np.where(tree.parent >= 0, tree.tok[tree.parent], -1), "depth": tree.depth, "kind": kind,
         "ev_tok": tree.tok[ev_node], "ev_flags": flags, "ev_to": to[ev_node], "ev_parent": event_of(tree.parent[ev_node]), "ev_stop": stop_at[ev_node],
-        "ev_badge_stop": badge_stop[ev_node], "ev_code": event_of(first["code"][ev_node]), "ev_date": event_of(first["date"][ev_node]),
+        "ev_quiet_stop": badge_stop[ev_node], "ev_code": event_of(first["code"][ev_node]), "ev_date": event_of(first["date"][ev_node]),
         "b_at": at[heads], "b_pos": tree.pos[heads], "b_end": tree.end_pos[heads], "b_kind": block_kind,
         **{f"b_{n}": event_of(first[n][heads]) for n in ("h1", "p", "pre", "code")},
         "b_asset": np.where(is_asset, _running(is_asset, block_page), -1), "b_diagram": np.where(is_diagram, _running(is_diagram, block_page), -1),

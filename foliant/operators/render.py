@@ -136,7 +136,7 @@ def _quiet(is_badge: str, e: str) -> str:
 
 def _inlines() -> str:
     """By event: what it writes, seen from outside of all code and badges."""
-    return sql.transform("ix.ev_stop", lambda stop, k: f"if({stop} IS NULL, {_piece(k)}, {_quiet(f'get(ix.ev_badge_stop, {k}) = 1', k)})", 2)
+    return sql.transform("ix.ev_stop", lambda stop, k: f"if({stop} IS NULL, {_piece(k)}, {_quiet(f'get(ix.ev_quiet_stop, {k}) = 1', k)})", 2)
 
 
 def inline(root: str) -> str:
