@@ -32,6 +32,8 @@ OUTSIDE = -2  # place of a node that encloses blocks, before all events
 NODES = ["tok", "pos", "end_pos", "parent", "parent_tok", "depth", "kind"]
 EVENTS = ["ev_tok", "ev_flags", "ev_to", "ev_parent", "ev_stop", "ev_quiet_stop", "ev_code", "ev_date"]
 BLOCKS = ["b_at", "b_pos", "b_end", "b_kind", "b_h1", "b_p", "b_pre", "b_code", "b_asset", "b_diagram", "b_callouts"]
+PLACES = ["h1", "p", "pre", "code"]
+NUMBERS = ["b_pos", "b_end", "b_kind", "b_asset", "b_diagram", "b_callouts"]  # what is known of blocks without their events
 CANDIDATES = ["c_type", "c_ordinal", "c_pos"]
 ARRAYS = [*NODES, *EVENTS, *BLOCKS, *CANDIDATES]
 SCALARS = ["body_pos", "body_end"]
@@ -41,45 +43,83 @@ def type_of(arrays: Sequence[str]) -> T.StructType:
     return T.StructType([T.StructField(n, T.ArrayType(T.IntegerType())) for n in arrays] + [T.StructField(n, T.IntegerType()) for n in SCALARS])
 
 
+def _match_one(
+    marks: np.ndarray, opens: list[bool], names: list[int], end: int, closer: np.ndarray, turn: np.ndarray, closes: np.ndarray
+) -> tuple[np.ndarray, np.ndarray]:
+    """The same for the openings and closings of one page, whose end tags need not nest: writes ``closer``, ``turn`` and ``closes``, gives the
+    innermost open element after each mark, and how many are open."""
+    places = marks.tolist()
+    closer[marks], turn[marks], closes[marks] = -1, 0, 0
+    inner, height = [], []
+    stack: list[int] = []  # places in ``marks``
+    open_tags: dict[int, int] = {}
+    for m, name in enumerate(names):
+        if opens[m]:
+            stack.append(m)
+            open_tags[name] = open_tags.get(name, 0) + 1
+        elif open_tags.get(name):
+            place, k = places[m], 0
+            while True:
+                last = stack.pop()
+                closer[places[last]], turn[places[last]] = place, k
+                k += 1
+                open_tags[names[last]] -= 1
+                if names[last] == name:
+                    break
+            closes[place] = k
+        inner.append(places[stack[-1]] if stack else -1)
+        height.append(len(stack))
+    for k, left in enumerate(reversed(stack)):
+        closer[places[left]], turn[places[left]] = end, k
+    return np.array(inner, np.int64), np.array(height, np.int64)
+
+
 def _match(bits: np.ndarray, tags: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """By token: the opening around it (-1: the page) and how many are open; by opening: the token that closes it (the next
     page's first token: the end of the page) and its turn among those closed there; by closing: how many it closes."""
     n = len(bits)
     closer, turn, closes = np.full(n, -1), np.zeros(n, np.int64), np.zeros(n, np.int64)
     marks = np.flatnonzero(bits & (BIT["opens"] | BIT["closes"]))
-    opens = ((bits[marks] & BIT["opens"]) != 0).tolist()
-    names = tags[marks].tolist()
-    cuts = np.searchsorted(marks, begin).tolist()
-    places = marks.tolist()
-    inner, height = [], []  # the innermost open element after each mark, and how many are open
-    for page, (lo, hi) in enumerate(zip(cuts, cuts[1:])):
-        stack: list[int] = []  # places in ``marks``
-        open_tags: dict[int, int] = {}
-        for m in range(lo, hi):
-            name = names[m]
-            if opens[m]:
-                stack.append(m)
-                open_tags[name] = open_tags.get(name, 0) + 1
-            elif open_tags.get(name):
-                place, k = places[m], 0
-                while True:
-                    last = stack.pop()
-                    closer[places[last]], turn[places[last]] = place, k
-                    k += 1
-                    open_tags[names[last]] -= 1
-                    if names[last] == name:
-                        break
-                closes[place] = k
-            inner.append(places[stack[-1]] if stack else -1)
-            height.append(len(stack))
-        for k, left in enumerate(reversed(stack)):
-            closer[places[left]], turn[places[left]] = begin[page + 1], k
+    opens = (bits[marks] & BIT["opens"]) != 0
+    names = tags[marks]
+    cuts = np.searchsorted(marks, begin)
+    pages = np.repeat(np.arange(len(begin) - 1), np.diff(cuts))
+    # Level of an element: how many are open with it. On a level openings and closings take turns if end tags nest.
+    steps = np.append(0, np.cumsum(np.where(opens, 1, -1)))
+    height = steps[1:] - steps[cuts[:-1]][pages]  # how many are open after each mark
+    level = height + ~opens
+    uneven = np.zeros(len(begin) - 1, bool)
+    uneven[pages[height < 0]] = True
+    base = level.max(initial=0) + 2
+    row = pages * base + np.maximum(level, 0)
+    order = np.argsort(row, kind="stable")
+    follows = np.zeros(len(order), bool)  # the next one in this order is on the same page and level
+    follows[:-1] = row[order][1:] == row[order][:-1]
+    first, second = order, np.roll(order, -1)
+    pair = follows & opens[first] & ~opens[second]
+    uneven[pages[first[follows & ~pair & (opens[first] == opens[second])]]] = True
+    uneven[pages[first[pair & (names[first] != names[second])]]] = True
+    uneven[pages[order[~np.roll(follows, 1) & ~opens[order]]]] = True  # a level that starts with a closing
+    closer[marks[first[pair]]], closes[marks[second[pair]]] = marks[second[pair]], 1
+    left = first[opens[first] & ~pair]  # open up to the end of their page
+    ends = np.append(height, 0)[np.maximum(cuts[1:] - 1, 0)]
+    closer[marks[left]], turn[marks[left]] = begin[1:][pages[left]], (ends[pages[left]] - level[left])
+    # The innermost open element after each mark: the last one to open on the level reached.
+    many = len(marks) + 1
+    opened = order[opens[order]]
+    reached = np.searchsorted(row[opened] * many + opened, (pages * base + height) * many + np.arange(len(marks)), "right") - 1
+    inner = np.where(height > 0, marks[opened[reached]] if len(opened) else -1, -1)
+    for page in np.flatnonzero(uneven).tolist():
+        here = slice(cuts[page], cuts[page + 1])
+        inner[here], height[here] = _match_one(marks[here], opens[here].tolist(), names[here].tolist(), int(begin[page + 1]), closer, turn, closes)
     # A token stands where the mark before it has left off, if that is on the same page.
-    before = np.searchsorted(marks, np.arange(n)) - 1
+    before = np.full(n + 1, 0)
+    before[marks + 1] = 1
+    before = np.cumsum(before[:n]) - 1
     page_of = np.repeat(np.arange(len(begin) - 1), np.diff(begin))
-    known = (before >= 0) & (before >= np.asarray(cuts)[page_of])
-    around = np.where(known, np.append(np.array(inner, np.int64), -1)[before], -1)
-    depth = np.where(known, np.append(np.array(height, np.int64), 0)[before], 0)
+    known = (before >= 0) & (before >= cuts[page_of])
+    around = np.where(known, np.append(inner, -1)[before], -1)
+    depth = np.where(known, np.append(height, 0)[before], 0)
     return around, depth, closer, turn, closes
 
 
@@ -129,7 +169,7 @@ class _Tree:
     def first_below(self, wanted: np.ndarray) -> np.ndarray:
         """The first wanted node inside each node, or -1."""
         places = np.append(np.flatnonzero(wanted), self.n)
-        found = places[np.searchsorted(places, np.arange(self.n), "right").clip(max=len(places) - 1)]
+        found = places[np.cumsum(wanted)]
         return np.where(found <= self.last, found, -1)
 
     def inside(self, wanted: np.ndarray) -> np.ndarray:
@@ -193,31 +233,11 @@ def _running(values: np.ndarray, group: np.ndarray) -> np.ndarray:
     return counts - np.append(0, counts)[first]
 
 
-def _outline(bits: np.ndarray, tags: np.ndarray, begin: np.ndarray, place_of: np.ndarray, chosen: Selection) -> tuple[dict[str, tuple[np.ndarray, np.ndarray]], dict[str, np.ndarray]]:
-    """For each array its values and the page of each; for each scalar its values. -1 stands for null."""
-    tree = _Tree(bits, tags, begin, place_of)
-    element = tree.any("opens", "void", "raw")
-    is_code, is_badge = tree.has("code"), tree.has("span", "class badge")
-
-    wanted = {name: tree.has(name) for name in ("h1", "p", "pre", "code", "table", "a")}
-    wanted["mermaid"] = tree.any("pre", "div") & tree.has("class mermaid")
-    wanted["grid"] = tree.has("div", "style grid")
-    first = {name: tree.first_below(w) for name, w in wanted.items()}
-    # An element has a string of its own if a chain of only children leads down to it.
-    string = tree.first_below(tree.any("text", "comment", "raw"))
-    chain = (string >= 0) & (tree.last == string) & (tree.depth[string] - tree.depth == string - np.arange(tree.n))
-    first["date"] = tree.first_below(tree.has("date tag") & chain & tree.has("dated")[string])
-    kind = _kinds(tree, element, first)
-
-    body = np.append(np.flatnonzero(tree.has("body", "opens")), tree.n)
-    body = body[np.searchsorted(body, tree.page).clip(max=len(body) - 1)]
-    body = np.where(body <= tree.last[tree.page], body, tree.page)
+def _events(tree: _Tree, heads: np.ndarray, first: dict[str, np.ndarray], hidden: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray]:
+    """The arrays of events with the places of blocks among them, and the page of each event. Events are the nodes of blocks, and the
+    closings that write a mark."""
     every = np.arange(tree.n)
-    in_body = (every > body[tree.of_page]) & (every <= tree.last[body][tree.of_page])
-    stops = in_body & element & ~np.isin(kind, [KINDS.index(k) for k in LOOKED_INTO])
-    heads = np.flatnonzero(stops & ~tree.inside(stops) & ~np.isin(kind, [KINDS.index(k) for k in SILENT]))
-
-    # Events: the nodes of blocks, and the closings that write a mark.
+    is_badge = tree.has("span", "class badge")
     owner = np.append(heads, -1)[np.searchsorted(heads, every, "right") - 1]
     kept = np.flatnonzero((owner >= 0) & (every <= tree.last[owner]))
     marked = kept[tree.has("mark", "opens")[kept]]
@@ -240,17 +260,49 @@ def _outline(bits: np.ndarray, tags: np.ndarray, begin: np.ndarray, place_of: np
     ends = np.where(tree.end_pos[kept] > tree.pos[kept], tree.end_pos[kept] - 1, tree.pos[kept])
     to[kept] = rank[place(tree.of_page[kept], ends)] - ev_begin[tree.of_page[kept]]
     # The outermost code or badge around a node: of the earlier ones the one that reaches furthest.
-    quiet = is_code | is_badge
+    quiet = tree.has("code") | is_badge
     reach = np.append(-1, np.maximum.accumulate(np.where(quiet, tree.last * (tree.n + 1) + (tree.n - every), -1))[:-1])
     stop = np.where(reach // (tree.n + 1) >= every, tree.n - reach % (tree.n + 1), -1)
     stop_at = np.where(stop < 0, -1, np.where(at[stop] < 0, OUTSIDE, at[stop]))
-    hidden, shrinks = tree.inside(tree.has("hides text")), tree.has("blank") & ~tree.inside(tree.has("keeps space"))
+    shrinks = tree.has("blank") & ~tree.inside(tree.has("keeps space"))
     flags = CLOSING * ev_close + OPENING * (tree.any("opens", "void")[ev_node] & ~ev_close) + BLANK * shrinks[ev_node] + HIDDEN * hidden[ev_node] + BADGE * is_badge[ev_node]
     badge_stop = np.where(stop >= 0, is_badge[stop], False)
+    event_of = lambda nodes: np.where(nodes >= 0, at[nodes], -1)
+    arrays = {
+        "ev_tok": tree.tok[ev_node], "ev_flags": flags, "ev_to": to[ev_node], "ev_parent": event_of(tree.parent[ev_node]), "ev_stop": stop_at[ev_node],
+        "ev_quiet_stop": badge_stop[ev_node], "ev_code": event_of(first["code"][ev_node]), "ev_date": event_of(first["date"][ev_node]),
+        "b_at": at[heads], **{f"b_{n}": event_of(first[n][heads]) for n in PLACES},
+    }
+    return arrays, ev_page
+
+
+def _outline(bits: np.ndarray, tags: np.ndarray, begin: np.ndarray, place_of: np.ndarray, chosen: Selection, asked: Sequence[str]) -> tuple[dict[str, tuple[np.ndarray, np.ndarray]], dict[str, np.ndarray]]:
+    """For each array asked for, at least, its values and the page of each; for each scalar its values. -1 stands for null."""
+    tree = _Tree(bits, tags, begin, place_of)
+    element = tree.any("opens", "void", "raw")
+
+    wanted = {name: tree.has(name) for name in ("h1", "p", "pre", "code", "table", "a")}
+    wanted["mermaid"] = tree.any("pre", "div") & tree.has("class mermaid")
+    wanted["grid"] = tree.has("div", "style grid")
+    first = {name: tree.first_below(w) for name, w in wanted.items()}
+    # An element has a string of its own if a chain of only children leads down to it.
+    string = tree.first_below(tree.any("text", "comment", "raw"))
+    chain = (string >= 0) & (tree.last == string) & (tree.depth[string] - tree.depth == string - np.arange(tree.n))
+    first["date"] = tree.first_below(tree.has("date tag") & chain & tree.has("dated")[string])
+    kind = _kinds(tree, element, first)
+
+    body = np.append(np.flatnonzero(tree.has("body", "opens")), tree.n)
+    body = body[np.searchsorted(body, tree.page).clip(max=len(body) - 1)]
+    body = np.where(body <= tree.last[tree.page], body, tree.page)
+    every = np.arange(tree.n)
+    in_body = (every > body[tree.of_page]) & (every <= tree.last[body][tree.of_page])
+    stops = in_body & element & ~np.isin(kind, [KINDS.index(k) for k in LOOKED_INTO])
+    heads = np.flatnonzero(stops & ~tree.inside(stops) & ~np.isin(kind, [KINDS.index(k) for k in SILENT]))
 
     # Blocks, with the numbers of their images.
     block_kind = kind[heads]
     of = lambda name: block_kind == KINDS.index(name)
+    hidden = tree.inside(tree.has("hides text"))
     shown = tree.below(tree.has("visible") & ~hidden)
     source = np.where(tree.has("div")[heads], first["pre"][heads], heads)
     is_diagram = of("mermaid") & (source >= 0) & (shown[source] > 0)
@@ -258,11 +310,10 @@ def _outline(bits: np.ndarray, tags: np.ndarray, begin: np.ndarray, place_of: np
     block_page = tree.of_page[heads]
     cards = np.flatnonzero(tree.has("div") & (tree.parent >= 0))
     in_cards = np.bincount(tree.parent[cards], weights=tree.below(tree.has("div", "class callout"))[cards], minlength=tree.n).astype(np.int64)
-    event_of = lambda nodes: np.where(nodes >= 0, at[nodes], -1)
 
-    picks = [np.flatnonzero(element & tree.meets(test, chosen.bits)) for test in chosen.tests.values()]
+    picks = [np.flatnonzero(element & tree.meets(test, chosen.bits)) for test in chosen.tests.values() if not set(CANDIDATES).isdisjoint(asked)]
     c_node = np.concatenate([*picks, every[:0]])
-    c_type = np.repeat(np.arange(len(picks)), [len(p) for p in picks])
+    c_type = np.repeat(np.arange(len(picks)), np.array([len(p) for p in picks], np.int64))
     c_ordinal = np.concatenate([*(_running(np.ones(len(p), bool), tree.of_page[p]) for p in picks), every[:0]])
     order = np.lexsort((c_ordinal, c_type, tree.of_page[c_node]))
     c_page = tree.of_page[c_node][order]
@@ -270,15 +321,16 @@ def _outline(bits: np.ndarray, tags: np.ndarray, begin: np.ndarray, place_of: np
     pos_of = lambda nodes: np.where(nodes >= 0, tree.pos[nodes], -1)
     arrays = {
         "tok": tree.tok, "pos": tree.pos, "end_pos": tree.end_pos, "parent": pos_of(tree.parent), "parent_tok": np.where(tree.parent >= 0, tree.tok[tree.parent], -1), "depth": tree.depth, "kind": kind,
-        "ev_tok": tree.tok[ev_node], "ev_flags": flags, "ev_to": to[ev_node], "ev_parent": event_of(tree.parent[ev_node]), "ev_stop": stop_at[ev_node],
-        "ev_quiet_stop": badge_stop[ev_node], "ev_code": event_of(first["code"][ev_node]), "ev_date": event_of(first["date"][ev_node]),
-        "b_at": at[heads], "b_pos": tree.pos[heads], "b_end": tree.end_pos[heads], "b_kind": block_kind,
-        **{f"b_{n}": event_of(first[n][heads]) for n in ("h1", "p", "pre", "code")},
+        "b_pos": tree.pos[heads], "b_end": tree.end_pos[heads], "b_kind": block_kind,
         "b_asset": np.where(is_asset, _running(is_asset, block_page), -1), "b_diagram": np.where(is_diagram, _running(is_diagram, block_page), -1),
         "b_callouts": np.where(of("callout"), 1, np.where(of("comparison"), in_cards[heads], 0)),
         "c_type": c_type[order], "c_ordinal": c_ordinal[order], "c_pos": tree.pos[c_node][order],
     }
-    pages = {**{n: tree.of_page for n in NODES}, **{n: ev_page for n in EVENTS}, **{n: block_page for n in BLOCKS}, **{n: c_page for n in CANDIDATES}}
+    pages = {**{n: tree.of_page for n in NODES}, **{n: block_page for n in BLOCKS}, **{n: c_page for n in CANDIDATES}}
+    if not {*EVENTS, *BLOCKS}.difference(NUMBERS).isdisjoint(asked):
+        found, ev_page = _events(tree, heads, first, hidden)
+        arrays |= found
+        pages |= {n: ev_page for n in EVENTS}
     scalars = {"body_pos": tree.pos[body], "body_end": tree.end_pos[body]}
     return {n: (values, pages[n]) for n, values in arrays.items()}, scalars
 
@@ -319,8 +371,7 @@ def _answers(kinds: np.ndarray, strings: np.ndarray, tags: pa.Array, attributes:
     is_tag = (bits & (BIT["opens"] | BIT["void"] | BIT["raw"])) != 0
     bits = bits | np.where(is_tag, answered[which.ravel()], 0)
     of_string = sum(np.where(strings & code, BIT[name], 0) for name, code in BY_STRING.items())
-    is_text = kinds == KIND_CODES.index("text")
-    return bits | np.where(is_text, of_string, of_string & ~BIT["visible"]), tag_code
+    return bits | np.where(bits & BIT["text"], of_string, of_string & ~BIT["visible"]), tag_code
 
 
 def _starts(lists: pa.Array) -> np.ndarray:
@@ -330,12 +381,9 @@ def _starts(lists: pa.Array) -> np.ndarray:
 
 def _first_places(cut: pa.Array, begin: np.ndarray) -> np.ndarray:
     """For each token the number of its text among the distinct ones of all pages, each page's in order of their first place."""
-    codes, values = _codes(cut)
-    keys = np.repeat(np.arange(len(begin) - 1), np.diff(begin)) * len(values) + codes
-    _, first, which = np.unique(keys, return_index=True, return_inverse=True)
-    number = np.empty(len(first), np.int64)
-    number[np.argsort(first)] = np.arange(len(first))
-    return number[which.ravel()]
+    codes, values = cut.dictionary_encode(), len(cut) + 1
+    keys = np.repeat(np.arange(len(begin) - 1), np.diff(begin)) * values + codes.indices.fill_null(values - 1).to_numpy(zero_copy_only=False)
+    return pa.array(keys).dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.int64)  # numbers in order of first places
 
 
 def outliner(chosen: Selection, asked: Sequence[str] = ARRAYS) -> Callable[..., Iterator[pa.Array]]:
@@ -352,7 +400,7 @@ def outliner(chosen: Selection, asked: Sequence[str] = ARRAYS) -> Callable[...,
                 kind, string, tag, *values = (column.slice(first, parsed[hi] - first) for column in flat)
                 bits, names = _answers(kind.to_numpy(zero_copy_only=False), string.to_numpy(zero_copy_only=False), tag, values, chosen)
                 place = which - np.repeat(parsed[lo:hi] - first, np.diff(tokens))
-                arrays, scalars = _outline(bits[which], names[which], tokens, place, chosen)
+                arrays, scalars = _outline(bits[which], names[which], tokens, place, chosen, asked)
                 columns = []
                 for name in asked:
                     found, page = arrays[name]

@@ -56,12 +56,13 @@ def _shape() -> str:
         'classes', if(t.attrs IS NULL, cast(array() AS array<string>), {classes('t.attrs')}), 'titled', coalesce(contains(t.attrs['style'], 'text-transform'), false))"""
 
 
-def block_rows(outlined: DataFrame, carried: Sequence[str] = ()) -> DataFrame:
-    """page_id, ``tokens``, ``ix``, ``bs`` and the columns that are carried along. What is not used of them is not computed."""
+def block_rows(outlined: DataFrame, carried: Sequence[str] = (), with_events: bool = True) -> DataFrame:
+    """page_id, ``tokens``, ``ix``, ``bs`` and the columns that are carried along. What is not used of them is not computed. Without events,
+    blocks can be counted and numbered, not rendered."""
     kind = f"array({sql.strings(KINDS)})"
     name = f"{kind}[ix.b_kind[j]]"
-    found = f"""transform(ix.b_at, (a, j) -> struct(a AS at, ix.b_pos[j] AS pos, ix.b_end[j] AS end_pos, {name} AS kind,
-        ix.b_h1[j] AS h1, ix.b_p[j] AS p, ix.b_pre[j] AS pre, ix.b_code[j] AS code, ix.b_asset[j] AS asset_index, ix.b_diagram[j] AS diagram_index,
+    places = f"ix.b_at[j] AS at, {', '.join(f'ix.b_{n}[j] AS {n}' for n in tree.PLACES)}," if with_events else ""
+    found = f"""transform(ix.b_pos, (a, j) -> struct({places} a AS pos, ix.b_end[j] AS end_pos, {name} AS kind, ix.b_asset[j] AS asset_index, ix.b_diagram[j] AS diagram_index,
         if(ix.b_asset[j] IS NULL, NULL, format_string('%s_%02d.png', {name}, ix.b_asset[j])) AS asset_file, ix.b_callouts[j] AS n_callouts))"""
     return outlined.select("page_id", *carried, "tokens", "ix", F.expr(found).alias("bs"))
 

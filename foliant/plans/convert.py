@@ -30,8 +30,8 @@ class Conversion:
 
     @cached_property
     def _shaped(self) -> DataFrame:
-        """Without the arrays of nodes, which blocks and side tables do not read."""
-        return parse.outlines(self.pages, dict(self.selectors), [*outline.EVENTS, *outline.BLOCKS, *outline.CANDIDATES])
+        """Without the arrays of nodes and candidates, which blocks do not read."""
+        return parse.outlines(self.pages, dict(self.selectors), [*outline.EVENTS, *outline.BLOCKS])
 
     @property
     def nodes(self) -> DataFrame:
@@ -48,13 +48,22 @@ class Conversion:
     def entries(self, kind: str, listed: str) -> DataFrame:
         return render.entries(self.rows, kind, listed)
 
+    def _places(self, arrays: list[str]) -> DataFrame:
+        """page_id, html, tokens, ix, bs, candidates, loads_diagrams, of an outline with these arrays."""
+        found = parse.outlines(self.pages, dict(self.selectors), [*arrays, *outline.CANDIDATES])
+        found = found.select("page_id", "html", "tokens", "ix", assets.candidates(list(self.selectors)).alias("candidates"), assets.loads_diagrams().alias("loads_diagrams"))
+        return render.block_rows(found, ["html", "candidates", "loads_diagrams"], with_events="b_at" in arrays)
+
+    @cached_property
+    def numbers(self) -> DataFrame:
+        """One row per page, for what needs no text of blocks: page_id, html, bs, manifest, candidates, plan, png_names, loads_diagrams."""
+        found = self._places(outline.NUMBERS).select("page_id", "html", "candidates", "loads_diagrams", "bs")
+        return found.select("*", assets.manifest_json().alias("manifest"), assets.png_names().alias("png_names"), assets.plan().alias("plan"))
+
     @cached_property
     def table(self) -> DataFrame:
         """One row per page: page_id, html, bs, blocks, md, manifest, candidates, plan, png_names, loads_diagrams."""
-        found = self._shaped.select("page_id", "html", "tokens", "ix", assets.candidates(list(self.selectors)).alias("candidates"), assets.loads_diagrams().alias("loads_diagrams"))
-        carried = ["html", "candidates", "loads_diagrams"]
-        rows = render.block_rows(found, carried)
-        shown = render.rendered(rows, carried=[*carried, "bs"])
+        shown = render.rendered(self._places([*outline.EVENTS, *outline.BLOCKS]), carried=["html", "candidates", "loads_diagrams", "bs"])
         whole = shown.select("*", render.joined().alias("md"), assets.manifest_json().alias("manifest"), assets.png_names().alias("png_names"))
         return whole.select("*", assets.plan().alias("plan"))
 
