@@ -27,10 +27,17 @@ def _alphabet() -> dict[int, str]:
 
 
 _ALPHABET = _alphabet()
+_SIGN_OF_SPACE = _ALPHABET[ord(" ")]
+_ENDS = (".", ",", ";", ":", "!", "?")  # signs that end a word; the pattern makes each a word of its own
 
 _encoders: dict[str, "Encoder"] = {}
 
 
+def _is_word(unit: str) -> bool:
+    """ASCII letters, behind a space or not: the pattern leaves such a unit whole."""
+    return unit.isascii() and (unit[1:] if unit[:1] == " " else unit).isalpha()
+
+
 def vocabulary() -> str:
     import public_tokenizers
 
@@ -42,8 +49,9 @@ class Encoder:
 
     A text is cut before each space. The pattern of the vocabulary never joins signs across such a cut,
     so the ids of the units, one after the other, are the ids of the text, and a unit that repeats is
-    encoded once. A new unit is cut by the pattern itself into words, of which most are known; new ones are merged alone. Texts with
-    runs of white space around a cut, or with an added token of the vocabulary, are encoded whole.
+    encoded once. A unit of ASCII letters is one word of the pattern. Any other new unit is cut by the pattern itself into words, of which
+    most are known; new ones are merged alone. Texts with runs of white space around a cut, or with an added token of the vocabulary,
+    are encoded whole.
     """
 
     def __init__(self, path: str):
@@ -58,23 +66,39 @@ class Encoder:
         self.units: dict[str, bytes] = {}
         self.known: dict[str, bytes] = {}
 
+    def _words(self, unit: str) -> list[str]:
+        if unit[-1:] in _ENDS and _is_word(unit[:-1]):
+            return [unit[:-1], unit[-1]]
+        return self.words(unit)
+
     def _learn(self, words: list[str]) -> None:
         """Words that the pattern has cut go to the vocabulary's merges as they are, in its alphabet of bytes."""
-        merged = self.tokenizer.model.tokenize
+        merged, known = self.tokenizer.model.tokenize, self.known
         for word in words:
-            ids = [t.id for t in merged(word.encode().decode("latin-1").translate(_ALPHABET))]
-            self.known[word] = pack(f"<{len(ids)}I", *ids)
+            signs = _SIGN_OF_SPACE + word[1:] if _is_word(word) and word[0] == " " else word.encode().decode("latin-1").translate(_ALPHABET)
+            ids = [t.id for t in merged(signs)]
+            known[word] = pack(f"<{len(ids)}I", *ids)
 
     def _ids(self, units: list[str]) -> list[bytes]:
         if len(self.units) > REMEMBERED_UNITS:
             self.units = {}
         if len(self.known) > REMEMBERED_WORDS:
             self.known = {}
-        new = {u: self.words(u) for u in dict.fromkeys(units) if u not in self.units}
-        self._learn(list(dict.fromkeys(w for words in new.values() for w in words if w not in self.known)))
-        for unit, words in new.items():
-            self.units[unit] = b"".join([self.known[w] for w in words])
-        return [self.units[u] for u in units]
+        known = self.known
+        found = [known.get(u) for u in units]  # units that are words
+        left = [i for i, ids in enumerate(found) if ids is None]
+        if left:
+            others = dict.fromkeys(units[i] for i in left)
+            whole = [u for u in others if _is_word(u)]
+            self._learn(whole)
+            new = {u: self._words(u) for u in others if u not in known and u not in self.units}
+            self._learn(list(dict.fromkeys(w for words in new.values() for w in words if w not in known)))
+            for unit, words in new.items():
+                self.units[unit] = b"".join([known[w] for w in words])
+            for i in left:
+                ids = known.get(units[i])
+                found[i] = self.units[units[i]] if ids is None else ids
+        return found
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row, and where each text's ids begin (one more entry than texts). Null is empty."""

@@ -44,6 +44,17 @@ def test_added_tokens_have_their_own_ids():
     assert ids[: at[1]].tolist() == [64, 220, 50256, 275]
 
 
+def test_units_of_letters_are_not_cut():
+    tokenizer, encoder = Tokenizer.from_file(vocabulary()), Encoder(vocabulary())
+    cut, found = [], encoder.words
+    encoder.words = lambda unit: cut.append(unit) or found(unit)
+    texts = ["Plain words, known: again plain words. End", "it's été a1 x,, ,x wor\u017f K\u212a d' s. . ? !a", "\u00e9. a_b,", None]
+    for _ in range(2):
+        ids, at = encoder.encode(pa.array(texts))
+        assert [ids[lo:hi].tolist() for lo, hi in zip(at, at[1:])] == [tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert "it's" in cut and " \u00e9t\u00e9" in cut and not {"Plain", " words,", " known:", " again", " words.", " End", " s."} & set(cut)
+
+
 def test_pieces_and_places(docs, encode):
     rows = packing.pack(docs, with_ids=True).collect()
     by_doc = {}
