@@ -22,7 +22,7 @@ from foliant.operators.predicates import (
     All, Any, BIT, BY_KIND, BY_STRING, Below, Has, KIND_CODES, KINDS, LOOKED_INTO, Local, NEEDED, Not, RULE_BIT, SILENT, Selection, Test,
 )
 
-SLICE = 1 << 17  # tokens that are worked on at a time; a longer page is worked on alone
+SLICE = 1 << 16  # tokens that are worked on at a time; a longer page is worked on alone
 #: Kinds whose blocks have an image; a diagram has one only if it has a source.
 IMAGED = ["hero", "mermaid", "progress_bar", "stat_cards", "timeline", "comparison", "visual_component"]
 CLOSING, OPENING, BLANK, HIDDEN, BADGE = 1, 2, 4, 8, 16  # what is known of an event
@@ -205,6 +205,7 @@ class _Tree:
 
 def _kinds(tree: _Tree, element: np.ndarray, first: dict[str, np.ndarray]) -> np.ndarray:
     """Places in ``KINDS`` of all elements, -1 for other nodes: the lowest rule of which a row is met."""
+    at = np.flatnonzero(element)
     div = tree.has("div")
     bars = tree.children(tree.any("div", "span") & tree.has("style background", "style extent"))
     n_div, parts = tree.children(div), tree.children(tree.has("card part"))
@@ -215,15 +216,16 @@ def _kinds(tree: _Tree, element: np.ndarray, first: dict[str, np.ndarray]) -> np
         "mostly dated": (n_div >= 3) & (10 * dated >= 6 * n_div),
         **{f"has {name}": first[name] >= 0 for name in ("h1", "a", "mermaid", "table", "grid")},
     }
-    facts = np.zeros(tree.n, np.int64)
+    facts, bits = np.zeros(len(at), np.int64), tree.bits[at]
     for name, bit in RULE_BIT.items():
-        facts |= np.where(answers[name] if name in answers else tree.has(name), bit, 0)
-    met = np.full(tree.n, 1 << len(NEEDED))  # no rule: dropped
-    for rule, rows in enumerate(NEEDED):
-        for need in rows:
-            met |= np.where((facts & need) == need, 1 << rule, 0)
-    lowest = np.log2(met & -met).astype(np.int64)
-    return np.where(element, lowest, -1)
+        facts |= np.where(answers[name][at] if name in answers else bits & BIT[name], bit, 0)
+    lowest = np.full(len(at), len(NEEDED))  # no rule: dropped
+    for rule in reversed(range(len(NEEDED))):
+        for need in NEEDED[rule]:
+            lowest[(facts & need) == need] = rule
+    kind = np.full(tree.n, -1)
+    kind[at] = lowest
+    return kind
 
 
 def _running(values: np.ndarray, group: np.ndarray) -> np.ndarray:
@@ -354,22 +356,46 @@ def _codes(column: pa.Array) -> tuple[np.ndarray, list[str | None]]:
     return coded.indices.fill_null(len(values)).to_numpy(zero_copy_only=False).astype(np.int64), [*values, None]
 
 
+def _values(attributes: list[pa.Array], names: list[str], n: int) -> tuple[np.ndarray, list[tuple[np.ndarray, list[str | None]]]]:
+    """Tokens that may have an attribute asked for, and for each of these attributes what ``_codes`` gives of their values. The attributes
+    of tokens are a column for each name, or one of maps."""
+    if len(attributes) != 1 or not pa.types.is_map(attributes[0].type):
+        return np.arange(n), [_codes(a) for a in attributes]
+    maps = attributes[0].drop_null()  # places of null maps need not be set
+    offsets = maps.offsets.to_numpy() if len(maps) else np.zeros(1, np.int32)
+    held = np.flatnonzero(attributes[0].is_valid().to_numpy(zero_copy_only=False))
+    owner = np.repeat(held, np.diff(offsets))
+    (key, keys), (code, values) = (_codes(c.slice(offsets[0], len(owner))) for c in (maps.keys, maps.items))
+    asked = np.isin(key, [i for i, k in enumerate(keys) if k in names])
+    some = np.unique(owner[asked])
+    columns = []
+    for name in names:
+        mine = key == (keys.index(name) if name in keys else -1)
+        column = np.full(len(some), len(values) - 1)
+        column[np.searchsorted(some, owner[mine])] = code[mine]
+        columns.append((column, values))
+    return some, columns
+
+
 def _answers(kinds: np.ndarray, strings: np.ndarray, tags: pa.Array, attributes: list[pa.Array], chosen: Selection) -> tuple[np.ndarray, np.ndarray]:
-    """The bits of all tokens, and a number for each tag name."""
+    """The bits of all tokens, and a number for each tag name. What follows from the tag alone is asked once a tag."""
     tag_code, names = _codes(tags)
-    columns = [_codes(a) for a in attributes]
-    combined = tag_code
-    for code, values in columns:
-        combined = combined * len(values) + code
+    none = dict.fromkeys(chosen.attributes)
+    answered = np.array([chosen.answers(tag, none) if tag else 0 for tag in names], np.int64)[tag_code]
+    some, columns = _values(attributes, chosen.attributes, len(tags))
+    combined = tag_code[some]
+    for code, values in columns:  # numbered anew each time, so that no product grows beyond a long
+        combined = np.unique(combined * len(values) + code, return_inverse=True)[1].ravel()
     distinct, first, which = np.unique(combined, return_index=True, return_inverse=True)
-    answered = np.zeros(len(distinct), np.int64)
+    found = np.zeros(len(distinct), np.int64)
     for i, at in enumerate(first.tolist()):
-        tag = names[tag_code[at]]
+        tag = names[tag_code[some[at]]]
         if tag:
-            answered[i] = chosen.answers(tag, {name: values[code[at]] for name, (code, values) in zip(chosen.attributes, columns)})
+            found[i] = chosen.answers(tag, {name: values[code[at]] for name, (code, values) in zip(chosen.attributes, columns)})
+    answered[some] = found[which.ravel()]
     bits = _KIND_BITS[kinds]
     is_tag = (bits & (BIT["opens"] | BIT["void"] | BIT["raw"])) != 0
-    bits = bits | np.where(is_tag, answered[which.ravel()], 0)
+    bits = bits | np.where(is_tag, answered, 0)
     of_string = sum(np.where(strings & code, BIT[name], 0) for name, code in BY_STRING.items())
     return bits | np.where(bits & BIT["text"], of_string, of_string & ~BIT["visible"]), tag_code
 
@@ -387,26 +413,30 @@ def _first_places(cut: pa.Array, begin: np.ndarray) -> np.ndarray:
 
 
 def outliner(chosen: Selection, asked: Sequence[str] = ARRAYS) -> Callable[..., Iterator[pa.Array]]:
-    """A function from the tokens of pages (their texts; of each distinct one kind code, string code, tag and the chosen attributes, each an array per page) to
-    the asked arrays of their trees, as a struct of lists (see ``type_of``). What it gives at a time is as small as what it works on."""
+    """A function from the tokens of pages (their texts; of each distinct one kind code, string code, tag and either its attributes as a map or the
+    chosen ones, each an array per page) to the asked arrays of their trees, as a struct of lists (see ``type_of``). What it gives at a time is as small as what it works on."""
+
+    def parts(cut: pa.Array, kinds: pa.Array, *others: pa.Array) -> Iterator[pa.Array]:
+        begin, parsed = _starts(cut), _starts(kinds)
+        texts, *flat = (column.flatten() for column in (cut, kinds, *others))
+        for lo, hi in _slices(begin):
+            first, tokens = parsed[lo], begin[lo : hi + 1] - begin[lo]
+            which = _first_places(texts.slice(begin[lo], begin[hi] - begin[lo]), tokens)
+            kind, string, tag, *values = (column.slice(first, parsed[hi] - first) for column in flat)
+            bits, names = _answers(kind.to_numpy(zero_copy_only=False), string.to_numpy(zero_copy_only=False), tag, values, chosen)
+            place = which - np.repeat(parsed[lo:hi] - first, np.diff(tokens))
+            arrays, scalars = _outline(bits[which], names[which], tokens, place, chosen, asked)
+            columns = []
+            for name in asked:
+                found, page = arrays[name]
+                lists = np.searchsorted(page, np.arange(hi - lo + 1)).astype(np.int32)
+                columns.append(pa.ListArray.from_arrays(pa.array(lists), pa.array(found.astype(np.int32), mask=found == -1)))
+            columns += [pa.array(scalars[name].astype(np.int32)) for name in SCALARS]
+            yield pa.StructArray.from_arrays(columns, names=[*asked, *SCALARS])
 
     def outline(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
-        for cut, kinds, *others in batches:
-            begin, parsed = _starts(cut), _starts(kinds)
-            texts, *flat = (column.flatten() for column in (cut, kinds, *others))
-            for lo, hi in _slices(begin):
-                first, tokens = parsed[lo], begin[lo : hi + 1] - begin[lo]
-                which = _first_places(texts.slice(begin[lo], begin[hi] - begin[lo]), tokens)
-                kind, string, tag, *values = (column.slice(first, parsed[hi] - first) for column in flat)
-                bits, names = _answers(kind.to_numpy(zero_copy_only=False), string.to_numpy(zero_copy_only=False), tag, values, chosen)
-                place = which - np.repeat(parsed[lo:hi] - first, np.diff(tokens))
-                arrays, scalars = _outline(bits[which], names[which], tokens, place, chosen, asked)
-                columns = []
-                for name in asked:
-                    found, page = arrays[name]
-                    lists = np.searchsorted(page, np.arange(hi - lo + 1)).astype(np.int32)
-                    columns.append(pa.ListArray.from_arrays(pa.array(lists), pa.array(found.astype(np.int32), mask=found == -1)))
-                columns += [pa.array(scalars[name].astype(np.int32)) for name in SCALARS]
-                yield pa.StructArray.from_arrays(columns, names=[*asked, *SCALARS])
+        for batch in batches:
+            yield from parts(*batch)
+            del batch  # it is gone before the next one is read
 
     return outline

@@ -8,6 +8,7 @@ reads exactly the events it renders. What events of the same token share is work
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -46,22 +47,32 @@ CAPTIONS = {
 }
 
 
-def _shape() -> str:
-    """What the events of one distinct token ``t`` share."""
+def _shape(rules: str) -> str:
+    """What the events of one distinct token ``t`` share, as far as the rules read it."""
     opening = "CASE WHEN t.tag IN ('strong', 'b') THEN '**' WHEN t.tag IN ('em', 'i') THEN '*' WHEN t.tag = 'code' THEN '`' WHEN t.tag = 'a' THEN '[' WHEN t.tag = 'br' THEN '\n' ELSE '' END"
     closing = "CASE WHEN t.tag IN ('strong', 'b') THEN '**' WHEN t.tag IN ('em', 'i') THEN '*' WHEN t.tag = 'code' THEN '`' WHEN t.tag = 'a' THEN concat('](', coalesce(t.attrs['href'], ''), ')') ELSE '' END"
-    shown = f"CASE t.kind WHEN 'open' THEN {opening} WHEN 'void' THEN concat({opening}, {closing}) ELSE coalesce(t.text, '') END"
-    return f"""named_struct('tag', if(t.kind IN ('open', 'void'), t.tag, NULL), 'shown', {shown}, 'closing', if(t.kind = 'open', {closing}, ''),
-        'is_text', t.kind = 'text', 'blank', if(contains(t.text, '\n'), '\n', ' '),
-        'classes', if(t.attrs IS NULL, cast(array() AS array<string>), {classes('t.attrs')}), 'titled', coalesce(contains(t.attrs['style'], 'text-transform'), false))"""
+    fields = {
+        "tag": "if(t.kind IN ('open', 'void'), t.tag, NULL)",
+        "shown": f"CASE t.kind WHEN 'text' THEN coalesce(t.text, '') WHEN 'open' THEN {opening} WHEN 'void' THEN concat({opening}, {closing}) ELSE coalesce(t.text, '') END",
+        "closing": f"if(t.kind = 'open', {closing}, '')", "is_text": "t.kind = 'text'", "blank": "if(contains(t.text, '\n'), '\n', ' ')",
+        "classes": f"if(t.attrs IS NULL, cast(array() AS array<string>), {classes('t.attrs')})", "titled": "coalesce(contains(t.attrs['style'], 'text-transform'), false)",
+    }
+    return f"named_struct({', '.join(f"'{name}', {value}" for name, value in fields.items() if re.search(rf'\)\.{name}\b', rules))})"
 
 
-def block_rows(outlined: DataFrame, carried: Sequence[str] = (), with_events: bool = True) -> DataFrame:
-    """page_id, ``tokens``, ``ix``, ``bs`` and the columns that are carried along. What is not used of them is not computed. Without events,
-    blocks can be counted and numbered, not rendered."""
+def arrays_of(rules: str) -> list[str]:
+    """The arrays of a page's outline that rules read, and those by which blocks are found and numbered."""
+    events = [n for n in tree.EVENTS if f"ix.{n}" in rules]
+    places = [f"b_{n}" for n in tree.PLACES if re.search(rf"\bb\.{n}\b", rules)]
+    return [*events, "b_at", *tree.NUMBERS, *places]
+
+
+def block_rows(outlined: DataFrame, carried: Sequence[str] = (), arrays: Sequence[str] = tree.BLOCKS) -> DataFrame:
+    """page_id, ``tokens``, ``ix``, ``bs`` and the columns that are carried along. What is not used of them is not computed. ``arrays`` are those of
+    the outline; without places of events, blocks can be counted and numbered, not rendered."""
     kind = f"array({sql.strings(KINDS)})"
     name = f"{kind}[ix.b_kind[j]]"
-    places = f"ix.b_at[j] AS at, {', '.join(f'ix.b_{n}[j] AS {n}' for n in tree.PLACES)}," if with_events else ""
+    places = "".join(f"ix.b_{n}[j] AS {n}, " for n in ("at", *tree.PLACES) if f"b_{n}" in arrays)
     found = f"""transform(ix.b_pos, (a, j) -> struct({places} a AS pos, ix.b_end[j] AS end_pos, {name} AS kind, ix.b_asset[j] AS asset_index, ix.b_diagram[j] AS diagram_index,
         if(ix.b_asset[j] IS NULL, NULL, format_string('%s_%02d.png', {name}, ix.b_asset[j])) AS asset_file, ix.b_callouts[j] AS n_callouts))"""
     return outlined.select("page_id", *carried, "tokens", "ix", F.expr(found).alias("bs"))
@@ -365,24 +376,35 @@ _FIELDS = ["pos", "end_pos", "kind", "asset_index", "asset_file", "diagram_index
 
 def _with_events(body: str) -> str:
     """``body`` with the texts of tokens and events as variables: each computed once a page, and only if it is read."""
-    for name, value in (("inlines", _inlines()), ("plains", _plains()), ("shapes", f"transform(tokens, t -> {_shape()})")):
+    for name, value in (("inlines", _inlines()), ("plains", _plains()), ("shapes", None)):
         if name in body:
-            body = f"transform(array({value}), {name} -> {body})[0]"
+            body = f"transform(array({value or f'transform(tokens, t -> {_shape(body)})'}), {name} -> {body})[0]"
     return body
 
 
-def rendered(rows: DataFrame, *kinds: str, carried: Sequence[str] = ()) -> DataFrame:
-    """page_id, the columns carried along and ``blocks``, those of some kinds, or all, with body and Markdown: one row a page."""
+def with_bodies(*kinds: str) -> str:
+    """Rule: the blocks of some kinds, or all, with their bodies."""
     bodies = {kind: body for kind, body in _bodies().items() if not kinds or kind in kinds}
     body = f"CASE b.kind {' '.join(f"WHEN '{kind}' THEN {body}" for kind, body in bodies.items())} ELSE '' END"
     fields = ", ".join(f"b.{c} AS {c}" for c in _FIELDS)
-    with_body = rows.select("page_id", *carried, F.expr(_with_events(f"transform({_of(kinds)}, b -> struct({fields}, {body} AS body))")).alias("blocks"))
+    return _with_events(f"transform({_of(kinds)}, b -> struct({fields}, {body} AS body))")
+
+
+def rendered(rows: DataFrame, *kinds: str, carried: Sequence[str] = ()) -> DataFrame:
+    """page_id, the columns carried along and ``blocks``, those of some kinds, or all, with body and Markdown: one row a page."""
+    fields = ", ".join(f"b.{c} AS {c}" for c in _FIELDS)
+    with_body = rows.select("page_id", *carried, F.expr(with_bodies(*kinds)).alias("blocks"))
     return with_body.select("page_id", *carried, F.expr(f"transform(blocks, b -> struct({fields}, b.body AS body, {_markdown()} AS md))").alias("blocks"))
 
 
+def listing(kind: str, listed: str) -> str:
+    """Rule: the entries of all blocks of a kind."""
+    return _with_events(f"transform({_of((kind,))}, b -> {listed})")
+
+
 def entries(rows: DataFrame, kind: str, listed: str) -> DataFrame:
     """page_id, block_no, item_no (both from 1) and item: the entries of all blocks of a kind."""
-    found = rows.select("page_id", F.expr(_with_events(f"transform({_of((kind,))}, b -> {listed})")).alias("found"))
+    found = rows.select("page_id", F.expr(listing(kind, listed)).alias("found"))
     return numbered(numbered(found, F.col("found"), "block_no", "entries", "page_id"), F.col("entries"), "item_no", "item", "page_id", "block_no")
 
 

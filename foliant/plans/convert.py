@@ -28,31 +28,26 @@ class Conversion:
     def outlined(self) -> DataFrame:
         return parse.outlines(self.pages, dict(self.selectors))
 
-    @cached_property
-    def _shaped(self) -> DataFrame:
-        """Without the arrays of nodes and candidates, which blocks do not read."""
-        return parse.outlines(self.pages, dict(self.selectors), [*outline.EVENTS, *outline.BLOCKS])
-
     @property
     def nodes(self) -> DataFrame:
         return parse.nodes_of(self.outlined)
 
-    @cached_property
-    def rows(self) -> DataFrame:
-        """page_id, ev and bs: what blocks are rendered from."""
-        return render.block_rows(self._shaped)
+    def rows(self, rules: str) -> DataFrame:
+        """page_id, tokens, ix and bs: what blocks are rendered from. Only the arrays that the rules read are asked for."""
+        arrays = render.arrays_of(rules)
+        return render.block_rows(parse.outlines(self.pages, dict(self.selectors), arrays), arrays=arrays)
 
     def blocks(self, *kinds: str) -> DataFrame:
-        return render.blocks(self.rows, *kinds)
+        return render.blocks(self.rows(render.with_bodies(*kinds)), *kinds)
 
     def entries(self, kind: str, listed: str) -> DataFrame:
-        return render.entries(self.rows, kind, listed)
+        return render.entries(self.rows(render.listing(kind, listed)), kind, listed)
 
     def _places(self, arrays: list[str]) -> DataFrame:
         """page_id, html, tokens, ix, bs, candidates, loads_diagrams, of an outline with these arrays."""
         found = parse.outlines(self.pages, dict(self.selectors), [*arrays, *outline.CANDIDATES])
         found = found.select("page_id", "html", "tokens", "ix", assets.candidates(list(self.selectors)).alias("candidates"), assets.loads_diagrams().alias("loads_diagrams"))
-        return render.block_rows(found, ["html", "candidates", "loads_diagrams"], with_events="b_at" in arrays)
+        return render.block_rows(found, ["html", "candidates", "loads_diagrams"], arrays)
 
     @cached_property
     def numbers(self) -> DataFrame:

@@ -5,10 +5,12 @@ from __future__ import annotations
 import random
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
-from foliant.operators import assets, outline, parse
-from foliant.operators.predicates import BIT
+from foliant.functions.text import decode_attribute, decode_text
+from foliant.operators import assets, outline, parse, render
+from foliant.operators.predicates import BIT, selection
 from foliant.plans.convert import Conversion
 
 PAGE = (
@@ -70,3 +72,37 @@ def test_single_attributes(spark):
     wanted = ["x", "x", "x", "x", "", "x>y", "a&b©", "x", "x"]
     assert [r.attrs["href"] for r in found] == wanted
     assert [len(r.attrs) for r in found] == [1] * 8 + [2]
+
+
+def test_only_arrays_that_rules_read_are_asked_for(spark):
+    conversion = Conversion(_pages(spark))
+    plan = lambda df: df._jdf.queryExecution().toString()
+    texts = conversion.entries("paragraph", f"array({render.plain(render.TOP)})")
+    assert [r.item for r in texts.filter("page_id = 1").collect()] == ["one"]
+    assert "ev_flags" in plan(texts) and not any(n in plan(texts) for n in ("ev_stop", "ev_date", "ev_parent", "b_pre", "titled", "classes"))
+    assert "ev_date" in plan(conversion.blocks("timeline")) and "ev_date" not in plan(conversion.blocks("visual_component"))
+    assert render.arrays_of("get(ix.ev_to, b.pre)") == ["ev_to", "b_at", *outline.NUMBERS, "b_pre"]
+
+
+def test_attributes_as_maps_answer_as_columns_do():
+    chosen = selection({"x": '[class*="a"][role="b"]', "y": "[hidden]"})
+    rng, held = random.Random(3), []
+    for _ in range(300):
+        names = rng.sample(["class", "style", "role", "hidden", "href"], rng.randrange(4))
+        held.append(rng.choice([None, {n: rng.choice(["a", "b", "a timeline", ""]) for n in names}]))
+    tags, kinds, strings = [pa.array([rng.choice(v) for _ in held]) for v in (["p", "div", "", "pre"], [1, 1, 5], [0])]
+    kinds, strings = kinds.to_numpy(), strings.to_numpy()
+    maps = pa.array([None if h is None else list(h.items()) for h in held], pa.map_(pa.string(), pa.string()))
+    columns = [pa.array([(h or {}).get(n) for h in held], pa.string()) for n in chosen.attributes]
+    for lo, n in ((0, 300), (7, 100), (5, 0)):
+        found = [outline._answers(kinds[lo : lo + n], strings[lo : lo + n], tags.slice(lo, n), [c.slice(lo, n) for c in form], chosen)[0].tolist() for form in ([maps], columns)]
+        assert found[0] == found[1]
+        wanted = [chosen.answers(t, {a: (h or {}).get(a) for a in chosen.attributes}) if k == 1 and t else 0 for t, h, k in zip(tags.to_pylist()[lo : lo + n], held[lo : lo + n], kinds[lo : lo + n])]
+        assert [b & ~BIT["opens"] & ~BIT["text"] for b in found[0]] == wanted
+
+
+def test_ampersands_are_decoded_in_one_go_as_in_pieces(spark):
+    texts = ["a&amp;b", "&amp;amp;", "&amp", "&amp;&lt;", "&AMP;x", "a&b", "&amp;&amp; &", "x", "&amp;lt;"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select(decode_text(F.col("t")).alias("a"), decode_attribute(F.col("t")).alias("b"))
+    assert [r.a for r in df.collect()] == ["a&b", "&amp;", "&", "&<", "&x", "a&b", "&& &", "x", "&lt;"]
+    assert [r.b for r in df.collect()] == ["a&b", "&amp;", "&", "&<", "&x", "a&b", "&& &", "x", "&lt;"]
