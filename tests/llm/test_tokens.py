@@ -1,5 +1,7 @@
 """Packing, token files and shards against plain Python on the same rows."""
 
+import random
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -9,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from foliant.llm import packing, sharding, tokenfiles
+from foliant.llm import packing, sharding, tokenfiles, tokens
 from foliant.llm.tokens import Encoder, vocabulary
 
 TEXTS = [
@@ -55,6 +57,35 @@ def test_units_of_letters_are_not_cut():
     assert "it's" in cut and " \u00e9t\u00e9" in cut and not {"Plain", " words,", " known:", " again", " words.", " End", " s."} & set(cut)
 
 
+def test_remembered_words_take_little_memory():
+    rng = random.Random(3)
+    words = {"".join(rng.choices("abcdefghijklmnop", k=9)) for _ in range(60_000)}
+    encoder = Encoder(vocabulary())
+    encoder.encode(pa.array(["warm up"]))
+    texts = pa.array([" ".join(words)])
+    tracemalloc.start()
+    found = encoder.encode(texts)
+    del found
+    kept = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert kept < 100 * len(words)
+
+
+def test_units_of_all_lengths_and_signs(monkeypatch):
+    tokenizer, rng = Tokenizer.from_file(vocabulary()), random.Random(5)
+    signs = ["a", "b", "Th", ".", "!", "9", "\0", "\u00e9", "\u00a0", "\u4e2d", "\U0001f600", "\t", "'s", "&&", "\u0142", "\u00c2"]
+    units = ["".join(rng.choices(signs, k=rng.randrange(1, 14))) for _ in range(3000)] + ["x" * n for n in range(15, 30)]
+    units += ["a", "a\0", "a\0\0", "a" * 22, "a" * 23, "a" * 24, "q" * 300, "\u00a0", "b\u00a0", "\u00a0b", "\u00a0\u00a0"]
+    texts = [" ".join(rng.choices(units, k=rng.randrange(1, 60))) for _ in range(300)] + units[-30:] + ["", None]
+    expected = [tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts]
+    encoder = Encoder(vocabulary())
+    for remembered in (1_000_000, 1_000_000, 50):  # the first time all are new, then known, then forgotten
+        monkeypatch.setattr(tokens, "REMEMBERED", remembered, raising=False)
+        for lo in range(0, len(texts), 70):
+            ids, at = encoder.encode(pa.array(texts[lo : lo + 70], pa.string()))
+            assert [ids[x:y].tolist() for x, y in zip(at, at[1:])] == expected[lo : lo + 70]
+
+
 def test_pieces_and_places(docs, encode):
     rows = packing.pack(docs, with_ids=True).collect()
     by_doc = {}
