@@ -42,7 +42,7 @@ def components(links: DataFrame) -> DataFrame:
                 edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
             )
         seen = state
-        after = stage(_stars(_stars(edges, both_ways=True), both_ways=False), "edges")
+        after = stage(_stars(_stars(edges, both_ways=True), both_ways=False), "edges", rows=state["n"])
         drop(edges)
         edges = after
 

@@ -239,9 +239,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     source = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text"))
     signed = source.mapInArrow(_sign, "doc_id long, n_shingles long, set_md5 binary, minima binary")
     signed = stage(signed.withColumn("row", F.monotonically_increasing_id()), "minima")
+    n_docs = signed.count()
     linkable = signed.where("doc_id is not null and set_md5 is not null")
     classes = linkable.groupBy("set_md5").agg(F.min(F.struct("doc_id", "row")).alias("head"))
-    heads = stage(signed.join(classes.select("head.row"), "row", "left_semi").select("doc_id", "n_shingles", "minima"), "heads")
+    heads = stage(signed.join(classes.select("head.row"), "row", "left_semi").select("doc_id", "n_shingles", "minima"), "heads", rows=n_docs)
     band = lambda i: F.xxhash64(i, F.substring("minima", i * 4 * ROWS + 1, F.lit(4 * ROWS)))
     in_bands = heads.select("doc_id", "n_shingles", F.explode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), band)).alias("band"))
     buckets = stage(
@@ -249,8 +250,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         .agg(F.min(F.struct("doc_id", "n_shingles")).alias("hub"), F.count(F.lit(1)).alias("n"))
         .where("n > 1"),
         "buckets",
+        rows=n_docs,
     )
-    members = stage(in_bands.join(buckets, "band").select("band", "doc_id", "n_shingles", "hub"), "members")
+    members = stage(in_bands.join(buckets, "band").select("band", "doc_id", "n_shingles", "hub"), "members", rows=n_docs)
     sizes_fit = F.expr(f"{SIMILAR[1]} * least(n_shingles, hub.n_shingles) >= {SIMILAR[0]} * greatest(n_shingles, hub.n_shingles)")
     met = members.where(sizes_fit & (F.col("doc_id") != F.col("hub.doc_id"))).groupBy(F.col("hub.doc_id").alias("a"), F.col("doc_id").alias("b"))
     met = met.agg(F.count(F.lit(1)).alias("times")).groupBy("b").agg(F.min("a").alias("least"), F.min(F.struct(-F.col("times"), "a"))["a"].alias("often"))
@@ -258,8 +260,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     signs = lambda name, sign: heads.select(F.col("doc_id").alias(name), F.col("minima").alias(sign))
     candidates = stars.join(signs("b", "right"), "b").join(signs("a", "left"), "a").select("a", "b", "left", "right")
     texts = source.where("doc_id is not null")
-    links = stage(confirmed(candidates.mapInArrow(_survivors, "a long, b long").distinct(), texts), "links")
-    labels = stage(components(links), "labels")
+    links = stage(confirmed(candidates.mapInArrow(_survivors, "a long, b long").distinct(), texts), "links", rows=n_docs)
+    labels = stage(components(links), "labels", rows=n_docs)
 
     others = members.join(labels, F.col("doc_id") == F.col("node"), "left")
     others = others.select("band", "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component"))
@@ -280,7 +282,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     open_ = by_block(blocks.select("block", "doc_id", "n_shingles", "component", "side", "minima"))
     open_ = open_.mapInArrow(_open_blocks, "block long, doc_id long, n_shingles long, component long, side int, minima binary, bands long")
     more = by_block(open_.join(texts, "doc_id")).mapInArrow(_join_blocks, "a long, b long")
-    more = stage(more.distinct(), "links")
+    more = stage(more.distinct(), "links", rows=n_docs)
     final = components(links.unionByName(more)) if more.limit(1).count() else labels
 
     heads_of = classes.select("set_md5", F.col("head.doc_id").alias("first"))

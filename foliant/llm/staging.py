@@ -30,7 +30,17 @@ def write(df: DataFrame, path: str, **options: object) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
+#: Rows that a task writes at least, if its table is staged with a number of rows.
+ROWS_A_FILE = 20_000
+
+
+def stage(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+    """``rows``: about how many there are. Small tables are then not dealt to many files; each core still gets two tasks.
+
+    On a local file system without Hadoop's native library a task starts two processes for each file that it creates.
+    """
+    if rows is not None:
+        df = df.coalesce(max(2 * df.sparkSession.sparkContext.defaultParallelism, -(-rows // ROWS_A_FILE)))
     return write(df, new_path(df.sparkSession, name), compression="zstd")
 
 

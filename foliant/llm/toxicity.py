@@ -136,7 +136,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
         dealt = rows.unionByName(to_all, allowMissingColumns=True).repartition(SHARDS, "shard")
         dealt = dealt.sortWithinPartitions("shard", F.col("coordinates").isNull(), "place", "doc_id")
         learned = dealt.mapInArrow(_learn(bias), "at int, z double, n double")
-        state = stage(state.unionByName(learned).groupBy("at").agg(F.sum("z").alias("z"), F.sum("n").alias("n")), "state")
+        state = stage(state.unionByName(learned).groupBy("at").agg(F.sum("z").alias("z"), F.sum("n").alias("n")), "state", rows=1 << BITS)
     root = F.sqrt("n")
     weight = (-F.col("z") - L1 * root) / ((BETA + root) / ALPHA)  # see ``weights``
     found = state.select("at", weight.alias("w")).where("w > 0").orderBy("at").collect()  # the model: 2**BITS rows at most, some hundreds

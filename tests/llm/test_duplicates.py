@@ -184,3 +184,17 @@ def test_empty(corpus, spark):
     none = corpus.where("false")
     assert minhash.near_duplicates(none).count() == 0 and repeats.remove_repeats(none).count() == 0
     assert capfilter.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
+
+
+def test_small_tables_are_not_dealt_to_many_files(spark):
+    most = 2 * spark.sparkContext.defaultParallelism
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", 4 * most)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", False)
+    try:
+        found = components.components(spark.createDataFrame([(3 * i + 1, 3 * i) for i in range(3000)] + [(3 * i + 2, 3 * i + 1) for i in range(3000)], "a long, b long"))
+        assert len(found.inputFiles()) <= most
+        assert sorted(map(tuple, found.collect())) == [(i, i - i % 3) for i in range(9000)]
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
