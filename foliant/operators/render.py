@@ -70,12 +70,16 @@ def arrays_of(rules: str) -> list[str]:
 def block_rows(outlined: DataFrame, carried: Sequence[str] = (), arrays: Sequence[str] = tree.BLOCKS) -> DataFrame:
     """page_id, ``tokens``, ``ix``, ``bs`` and the columns that are carried along. What is not used of them is not computed. ``arrays`` are those of
     the outline; without places of events, blocks can be counted and numbered, not rendered."""
+    return outlined.select("page_id", *carried, "tokens", "ix", F.expr(found_blocks(arrays)).alias("bs"))
+
+
+def found_blocks(arrays: Sequence[str], ix: str = "ix", more: str = "") -> str:
+    """SQL: the blocks of a page, from the arrays of its outline."""
     kind = f"array({sql.strings(KINDS)})"
-    name = f"{kind}[ix.b_kind[j]]"
-    places = "".join(f"ix.b_{n}[j] AS {n}, " for n in ("at", *tree.PLACES) if f"b_{n}" in arrays)
-    found = f"""transform(ix.b_pos, (a, j) -> struct({places} a AS pos, ix.b_end[j] AS end_pos, {name} AS kind, ix.b_asset[j] AS asset_index, ix.b_diagram[j] AS diagram_index,
-        if(ix.b_asset[j] IS NULL, NULL, format_string('%s_%02d.png', {name}, ix.b_asset[j])) AS asset_file, ix.b_callouts[j] AS n_callouts))"""
-    return outlined.select("page_id", *carried, "tokens", "ix", F.expr(found).alias("bs"))
+    name = f"{kind}[{ix}.b_kind[j]]"
+    places = "".join(f"{ix}.b_{n}[j] AS {n}, " for n in ("at", *tree.PLACES) if f"b_{n}" in arrays)
+    return f"""transform({ix}.b_pos, (a, j) -> struct({places} a AS pos, {ix}.b_end[j] AS end_pos, {name} AS kind, {ix}.b_asset[j] AS asset_index, {ix}.b_diagram[j] AS diagram_index,
+        if({ix}.b_asset[j] IS NULL, NULL, format_string('%s_%02d.png', {name}, {ix}.b_asset[j])) AS asset_file, {ix}.b_callouts[j] AS n_callouts{more}))"""
 
 
 # The rules below are SQL text over the arrays of events and a block ``b``; an "event" argument is the place of one.
@@ -392,8 +396,12 @@ def with_bodies(*kinds: str) -> str:
 
 def rendered(rows: DataFrame, *kinds: str, carried: Sequence[str] = ()) -> DataFrame:
     """page_id, the columns carried along and ``blocks``, those of some kinds, or all, with body and Markdown: one row a page."""
+    return marked(rows.select("page_id", *carried, F.expr(with_bodies(*kinds)).alias("blocks")), *carried)
+
+
+def marked(with_body: DataFrame, *carried: str) -> DataFrame:
+    """``blocks`` that have bodies, with their Markdown."""
     fields = ", ".join(f"b.{c} AS {c}" for c in _FIELDS)
-    with_body = rows.select("page_id", *carried, F.expr(with_bodies(*kinds)).alias("blocks"))
     return with_body.select("page_id", *carried, F.expr(f"transform(blocks, b -> struct({fields}, b.body AS body, {_markdown()} AS md))").alias("blocks"))
 
 
@@ -408,10 +416,10 @@ def entries(rows: DataFrame, kind: str, listed: str) -> DataFrame:
     return numbered(numbered(found, F.col("found"), "block_no", "entries", "page_id"), F.col("entries"), "item_no", "item", "page_id", "block_no")
 
 
-def blocks(rows: DataFrame, *kinds: str) -> DataFrame:
-    """One row per block of some kinds, or of all: page_id, block_no (from 1, among those), pos, end_pos, kind, asset_index, asset_file,
+def blocks(rendered: DataFrame) -> DataFrame:
+    """One row per rendered block: page_id, block_no (from 1, among those), pos, end_pos, kind, asset_index, asset_file,
     diagram_index, n_callouts, body, md."""
-    return numbered(rendered(rows, *kinds), F.col("blocks"), "block_no", "b", "page_id").select("page_id", "block_no", "b.*")
+    return numbered(rendered, F.col("blocks"), "block_no", "b", "page_id").select("page_id", "block_no", "b.*")
 
 
 def joined() -> Column:

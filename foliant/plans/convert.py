@@ -9,7 +9,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.operators import assets, outline, parse, quality, render
+from foliant.operators import assets, bodies, outline, parse, quality, render
 from foliant.operators.predicates import SELECTORS
 
 
@@ -38,29 +38,45 @@ class Conversion:
         return render.block_rows(parse.outlines(self.pages, dict(self.selectors), arrays), arrays=arrays)
 
     def blocks(self, *kinds: str) -> DataFrame:
-        return render.blocks(self.rows(render.with_bodies(*kinds)), *kinds)
+        if not kinds:
+            return render.blocks(bodies.rendered(self._converted(ix=bodies.RENDERED)))
+        return render.blocks(render.rendered(self.rows(render.with_bodies(*kinds)), *kinds))
 
     def entries(self, kind: str, listed: str) -> DataFrame:
         return render.entries(self.rows(render.listing(kind, listed)), kind, listed)
 
-    def _places(self, arrays: list[str]) -> DataFrame:
-        """page_id, html, tokens, ix, bs, candidates, loads_diagrams, of an outline with these arrays."""
-        found = parse.outlines(self.pages, dict(self.selectors), [*arrays, *outline.CANDIDATES])
-        found = found.select("page_id", "html", "tokens", "ix", assets.candidates(list(self.selectors)).alias("candidates"), assets.loads_diagrams().alias("loads_diagrams"))
-        return render.block_rows(found, ["html", "candidates", "loads_diagrams"], arrays)
+    def _converted(self, **arrays: list[str]) -> DataFrame:
+        """page_id, html and under each name what a Python stage gives that works with these arrays."""
+        return self.pages.select("page_id", "html", *[bodies.converted("html", found, dict(self.selectors)).alias(name) for name, found in arrays.items()])
+
+    def _numbered(self, found: DataFrame, *carried: str) -> DataFrame:
+        """One row per page with ``ix``: page_id, html, bs, candidates, loads_diagrams and the columns carried along."""
+        loads = F.when(F.col("html").isNotNull(), F.col("ix.loads_diagrams"))
+        blocks = F.expr(render.found_blocks(outline.NUMBERS))
+        return found.select("page_id", "html", *carried, assets.candidates(list(self.selectors)).alias("candidates"), loads.alias("loads_diagrams"), blocks.alias("bs"))
 
     @cached_property
     def numbers(self) -> DataFrame:
         """One row per page, for what needs no text of blocks: page_id, html, bs, manifest, candidates, plan, png_names, loads_diagrams."""
-        found = self._places(outline.NUMBERS).select("page_id", "html", "candidates", "loads_diagrams", "bs")
+        found = self._numbered(self._converted(ix=[*outline.NUMBERS, *outline.CANDIDATES]))
         return found.select("*", assets.manifest_json().alias("manifest"), assets.png_names().alias("png_names"), assets.plan().alias("plan"))
 
+    def _shown(self, found: DataFrame, texts: str) -> DataFrame:
+        carried = ["html", "candidates", "loads_diagrams", "bs"]
+        shown = bodies.rendered(self._numbered(found, texts), *carried, ix=texts)
+        whole = shown.select("*", render.joined().alias("md"), assets.manifest_json("blocks").alias("manifest"), assets.png_names().alias("png_names"))
+        return whole.select("*", assets.plan().alias("plan"))
+
     @cached_property
     def table(self) -> DataFrame:
-        """One row per page: page_id, html, bs, blocks, md, manifest, candidates, plan, png_names, loads_diagrams."""
-        shown = render.rendered(self._places([*outline.EVENTS, *outline.BLOCKS]), carried=["html", "candidates", "loads_diagrams", "bs"])
-        whole = shown.select("*", render.joined().alias("md"), assets.manifest_json().alias("manifest"), assets.png_names().alias("png_names"))
-        return whole.select("*", assets.plan().alias("plan"))
+        """One row per page: page_id, html, bs, blocks, md, manifest, candidates, plan, png_names, loads_diagrams. Blocks, md and manifest come from one
+        Python stage and all else from another, which renders nothing; of these only what is used runs."""
+        return self._shown(self._converted(ix=[*outline.NUMBERS, *outline.CANDIDATES], texts=bodies.RENDERED), "texts")
+
+    @cached_property
+    def whole(self) -> DataFrame:
+        """The same from one Python stage, for those who use all of it."""
+        return self._shown(self._converted(ix=[*bodies.RENDERED, *outline.CANDIDATES]), "ix")
 
     @property
     def markdown(self) -> DataFrame:
@@ -73,7 +89,7 @@ def export(spark: SparkSession, pages: DataFrame, out: str) -> dict[str, int]:
     The pages are parsed and rendered once, into ``pages``, one row per page; that table cuts the lineage, and all others
     are read off it. Written files survive the loss of executors, and a re-run replaces them whole.
     """
-    converted = Conversion(pages).table.drop("html")
+    converted = Conversion(pages).whole.drop("html")
     totals = Observation("totals")
     counts = {name: F.sum(count) for name, count in assets.stats().items()}
     observed = converted.observe(totals, F.count(F.lit(1)).alias("pages"), *[F.coalesce(c, F.lit(0)).alias(n) for n, c in counts.items()])
