@@ -74,6 +74,11 @@ def _match_one(
     return np.array(inner, np.int64), np.array(height, np.int64)
 
 
+def _narrow(values: np.ndarray, limit: int) -> np.ndarray:
+    """Numbers below a limit in a type that is sorted by digits, if there is one."""
+    return values.astype(np.uint16) if limit <= 1 << 16 else values
+
+
 def _match(bits: np.ndarray, tags: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """By token: the opening around it (-1: the page) and how many are open; by opening: the token that closes it (the next
     page's first token: the end of the page) and its turn among those closed there; by closing: how many it closes."""
@@ -92,7 +97,7 @@ def _match(bits: np.ndarray, tags: np.ndarray, begin: np.ndarray) -> tuple[np.nd
     uneven[pages[height < 0]] = True
     base = level.max(initial=0) + 2
     row = pages * base + np.maximum(level, 0)
-    order = np.argsort(row, kind="stable")
+    order = np.argsort(_narrow(row, len(begin) * base), kind="stable")
     follows = np.zeros(len(order), bool)  # the next one in this order is on the same page and level
     follows[:-1] = row[order][1:] == row[order][:-1]
     first, second = order, np.roll(order, -1)
@@ -104,11 +109,13 @@ def _match(bits: np.ndarray, tags: np.ndarray, begin: np.ndarray) -> tuple[np.nd
     left = first[opens[first] & ~pair]  # open up to the end of their page
     ends = np.append(height, 0)[np.maximum(cuts[1:] - 1, 0)]
     closer[marks[left]], turn[marks[left]] = begin[1:][pages[left]], (ends[pages[left]] - level[left])
-    # The innermost open element after each mark: the last one to open on the level reached.
+    # The innermost open element after each mark: itself, or after a closing the last one to open on the level reached.
     many = len(marks) + 1
-    opened = order[opens[order]]
-    reached = np.searchsorted(row[opened] * many + opened, (pages * base + height) * many + np.arange(len(marks)), "right") - 1
-    inner = np.where(height > 0, marks[opened[reached]] if len(opened) else -1, -1)
+    opened, inner = order[opens[order]], np.where(opens, marks, -1)
+    after = np.flatnonzero(~opens & (height > 0))
+    if len(opened):
+        reached = np.searchsorted(row[opened] * many + opened, (pages[after] * base + height[after]) * many + after, "right") - 1
+        inner[after] = marks[opened[reached]]
     for page in np.flatnonzero(uneven).tolist():
         here = slice(cuts[page], cuts[page + 1])
         inner[here], height[here] = _match_one(marks[here], opens[here].tolist(), names[here].tolist(), int(begin[page + 1]), closer, turn, closes)
@@ -286,11 +293,17 @@ def _outline(bits: np.ndarray, tags: np.ndarray, begin: np.ndarray, place_of: np
     wanted = {name: tree.has(name) for name in ("h1", "p", "pre", "code", "table", "a")}
     wanted["mermaid"] = tree.any("pre", "div") & tree.has("class mermaid")
     wanted["grid"] = tree.has("div", "style grid")
-    first = {name: tree.first_below(w) for name, w in wanted.items()}
+    renders = not {*EVENTS, *BLOCKS}.difference(NUMBERS).isdisjoint(asked)
+    first = {name: tree.first_below(w) for name, w in wanted.items() if renders or name not in ("p", "code")}
     # An element has a string of its own if a chain of only children leads down to it.
-    string = tree.first_below(tree.any("text", "comment", "raw"))
-    chain = (string >= 0) & (tree.last == string) & (tree.depth[string] - tree.depth == string - np.arange(tree.n))
-    first["date"] = tree.first_below(tree.has("date tag") & chain & tree.has("dated")[string])
+    string = tree.any("text", "comment", "raw")
+    at = np.flatnonzero(tree.has("date tag"))
+    holds = tree.last[at]  # the only string is the last node of the subtree
+    at, holds = at[string[holds] & (holds > at)], holds[string[holds] & (holds > at)]
+    chain = (tree.depth[holds] - tree.depth[at] == holds - at) & tree.has("dated")[holds]
+    dated = np.zeros(tree.n, bool)
+    dated[at[chain]] = True
+    first["date"] = tree.first_below(dated)
     kind = _kinds(tree, element, first)
 
     body = np.append(np.flatnonzero(tree.has("body", "opens")), tree.n)
@@ -329,7 +342,7 @@ def _outline(bits: np.ndarray, tags: np.ndarray, begin: np.ndarray, place_of: np
         "c_type": c_type[order], "c_ordinal": c_ordinal[order], "c_pos": tree.pos[c_node][order],
     }
     pages = {**{n: tree.of_page for n in NODES}, **{n: block_page for n in BLOCKS}, **{n: c_page for n in CANDIDATES}}
-    if not {*EVENTS, *BLOCKS}.difference(NUMBERS).isdisjoint(asked):
+    if renders:
         found, ev_page = _events(tree, heads, first, hidden)
         arrays |= found
         pages |= {n: ev_page for n in EVENTS}

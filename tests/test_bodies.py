@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from foliant.functions import text
 from foliant.operators import assets, bodies, cut, outline, parse, quality, render
 from foliant.plans.convert import Conversion
+from foliant.sources import rendered
 
 TAGS = "p div span b em code a pre table tr td th ul ol li section header nav footer h1 h3 time body main textarea rt".split()
 HELD = [
@@ -55,10 +56,10 @@ def test_bodies_and_numbers_are_those_of_the_sql_rules(spark):
     found = found.select("*", assets.candidates(list(conversion.selectors)).alias("candidates"), assets.loads_diagrams().alias("loads_diagrams"))
     wanted = render.rendered(render.block_rows(found, ["candidates", "loads_diagrams"], arrays), carried=["candidates", "loads_diagrams"])
     columns = ["page_id", "blocks", "candidates", "loads_diagrams"]
-    rendered = wanted.select(columns).orderBy("page_id").collect()
-    assert conversion.table.select(columns).orderBy("page_id").collect() == rendered
-    assert conversion.whole.select(columns).orderBy("page_id").collect() == rendered
-    assert {b.kind for r in rendered for b in r.blocks} >= {"stat_cards", "progress_bar", "timeline", "comparison", "visual_component", "mermaid", "callout", "code", "hero"}
+    wanted_rows = wanted.select(columns).orderBy("page_id").collect()
+    assert conversion.table.select(columns).orderBy("page_id").collect() == wanted_rows
+    assert conversion.whole.select(columns).orderBy("page_id").collect() == wanted_rows
+    assert {b.kind for r in wanted_rows for b in r.blocks} >= {"stat_cards", "progress_bar", "timeline", "comparison", "visual_component", "mermaid", "callout", "code", "hero"}
     numbered = conversion.numbers.select("page_id", "candidates", "loads_diagrams", "manifest").orderBy("page_id")
     assert numbered.collect() == conversion.whole.select("page_id", "candidates", "loads_diagrams", "manifest").orderBy("page_id").collect()
 
@@ -105,3 +106,17 @@ def test_slices_do_not_change_results(monkeypatch):
     monkeypatch.setattr(bodies, "SLICE", 300)
     assert len(list(convert(iter([given(0, 60)])))) > 5
     assert rows([given(0, 7), given(7, 7), given(7, 60)]) == wanted
+
+
+def test_orders_are_dealt_into_parts_by_their_bytes(spark, tmp_path):
+    """Before, Spark merged them into about one a core, and at the end cores waited for the last few."""
+    rng = random.Random(8)
+    rows = [(k, rng.randrange(10**6), "F", rng.choice("abc"), None) for k in rng.sample(range(10**9), 40_000)] + [(None, 1, "O", "x", None)] * 3
+    spark.createDataFrame(rows, "o_orderkey long, o_custkey long, o_orderstatus string, o_orderpriority string, o_orderdate timestamp").coalesce(1).write.parquet(f"{tmp_path}/orders.parquet")
+    found = rendered.batches(spark, str(tmp_path))
+    assert found.rdd.getNumPartitions() > 5  # the session has 4 cores and shuffle partitions
+    kept = found.select("page_id", F.size("os").alias("n")).collect()
+    assert sum(r.n for r in kept) == len(rows) and len(kept) == len({None if k is None else k // 10 for k, *_ in rows})
+    few = spark.createDataFrame(rows[:5], "o_orderkey long, o_custkey long, o_orderstatus string, o_orderpriority string, o_orderdate timestamp")
+    few.coalesce(1).write.parquet(f"{tmp_path}/few/orders.parquet")
+    assert rendered.batches(spark, f"{tmp_path}/few").rdd.getNumPartitions() == 1
