@@ -17,7 +17,7 @@ from foliant.operators.predicates import SELECTORS
 class Conversion:
     """Lazy tables of one corpus. Nothing runs until one of them is used, and then only what that one needs.
 
-    Every table comes from one scan of the pages and one Python stage. A page stays one row up to the table asked for.
+    Every table asked for comes from one scan of the pages and one Python stage; blocks of single kinds are rendered by SQL rules. A page stays one row up to the table.
     """
 
     pages: DataFrame
